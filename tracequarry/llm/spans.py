@@ -7,14 +7,15 @@ than the corpus itself, so windows are counted in two exact steps:
 1. Every window is named by its anchor, the least hash of the ``inner``-character windows inside it (a
    window's anchor is a function of its text, so equal windows have equal anchors). Consecutive windows with
    one anchor form a run, about 2/(width-inner) of the characters; a run also gets the hash of its whole
-   text. Runs are counted per (anchor, run hash): a run whose whole text occurs in another document is
-   shared as a whole, which settles copies and quoted passages, however often they occur, by partial
-   aggregates over (min, max) document.
-2. Only anchors with several different runs are left. For these, one run of each kind gives the
-   hash of each of its windows, and the windows are counted by (min, max) document.
+   text. Runs with an anchor of one document only are dropped. A run whose whole text occurs in another
+   document is shared as a whole, which settles copies and quoted passages, however often they occur, by
+   partial aggregates over (min, max) document.
+2. Only anchors with several different runs are left. One run of each kind is cut into blocks of windows at
+   fixed distances from its anchor, and blocks are counted in the same way, by the text that all windows of
+   a block have in common and by the block's whole text; in what then is left, single windows are counted.
 
-The last join brings the intervals back to all documents holding the run. No group is collected: groups by
-hash keep two numbers, groups by document are bounded by the document's own length.
+The last joins bring the intervals back to all documents holding the run. No group is collected: groups by
+hash keep two documents, groups by document are bounded by the document's own length.
 
 Defined results: null texts and texts shorter than the window give no rows; repetition inside one document
 only is no case; positions are code points; rows with equal ids count as one document, a null id is
@@ -29,10 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tracequarry.session import staged
 
 WIDTH = 200
 INNER = 64
+#: Windows examined together in the second step.
+BLOCK = 8
 #: Characters hashed at once (about 60 bytes each while at work); a longer text is hashed alone.
 CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -130,9 +134,32 @@ def anchor_runs(text: str, starts: np.ndarray, width: int, inner: int, powers: P
     return number, least[first], h.at(first, end + width - 1), first - starts[number], end - starts[number]
 
 
+def split_blocks(h: RollingHash, inner_hash: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, inner: int):
+    """Blocks of up to BLOCK windows of each run, cut at fixed distances from the run's anchor:
+    (run number, first window, windows, hash of the text all windows of a full block share, hash of the block's text)."""
+    reach = width - inner + 1
+    out = []
+    run, first, end = np.arange(first.size), first.astype(np.int64), (first + n).astype(np.int64)
+    while run.size:
+        anchor = first + np.argmin(inner_hash[first[:, None] + np.arange(reach)], axis=1)
+        stop = np.minimum(end, anchor + 1)  # where the anchor leaves the window, an equal one takes over
+        block0, block1 = (first - anchor) // BLOCK, (stop - 1 - anchor) // BLOCK
+        count = block1 - block0 + 1
+        of = np.repeat(np.arange(run.size), count)
+        block = block0[of] + np.arange(of.size) - np.repeat(np.cumsum(count) - count, count)
+        base = anchor[of] + block * BLOCK
+        s, e = np.maximum(base, first[of]), np.minimum(base + BLOCK, stop[of])
+        out.append((run[of], s, e - s, h.at(base + BLOCK - 1, base + width), h.at(s, e - 1 + width)))
+        more = stop < end
+        run, first, end = run[more], stop[more], end[more]
+    return [np.concatenate(x) for x in zip(*out)]
+
+
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, inner: int = INNER) -> DataFrame:
     """(id_col, span_start, span_end): maximal runs of characters lying in a stretch of ``width`` characters
     that occurs verbatim in another document."""
+    if width - inner < BLOCK:
+        raise ValueError("the window must exceed the anchor by a block at least")
     src = df.select(df[id_col].cast("bigint").alias("d"), df[text_col].alias("t")).where(F.length("t") >= width)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,51 +173,80 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     run = src.mapInArrow(runs, "d bigint, anchor bigint, whole bigint, first int, n int")
-    # (a, b): least and greatest document with this run; a < b: the whole run is shared
-    kinds = run.groupBy("anchor", "whole").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.min(F.struct("d", "first", "n")).alias("at"))
-    several = kinds.groupBy("anchor").agg(F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("w0 <> w1").select("anchor")
-    mixed = kinds.join(several, "anchor", "left_semi").groupBy(F.col("at.d").alias("d")).agg(F.collect_list(F.struct("anchor", "whole", "at.first", "at.n", "a", "b")).alias("runs"))
+    anchors = run.select("anchor", "d").groupBy("anchor").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y").select("anchor")
+    kept = staged(run.join(anchors, "anchor", "left_semi"))
+    # at: a place of the run in its least document; b: its greatest document
+    kinds = kept.groupBy("anchor", "whole").agg(F.min(F.struct("d", "first", "n")).alias("at"), F.max("d").alias("b"))
+    mixed = at_documents(several(kinds, "anchor", "whole"), "whole")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = batch.column(1)[row].values
+                first, n = found.field("first").to_numpy(), found.field("n").to_numpy()
+                h = RollingHash(batch.column(2)[row].as_py(), powers)
+                of, s, m, core, union = split_blocks(h, h.all(inner), first, n, width, inner)
+                d = np.full(of.size, batch.column(0)[row].as_py(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core.view(np.int64)), pa.array(union.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array((s - first[of]).astype(np.int32)), pa.array(found.field("key").to_numpy()[of]), pa.array(found.field("b").to_numpy()[of])],
+                    names=["core", "part", "d", "first", "n", "o", "whole", "b"],
+                )
+
+    block = staged(mixed.join(src, "d").mapInArrow(blocks, "core bigint, part bigint, d bigint, first int, n int, o int, whole bigint, b bigint"))
+    parts = block.groupBy("core", "part").agg(F.min(F.struct("d", "first", "n")).alias("at"), F.max("b").alias("b"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             for row in range(batch.num_rows):
-                found = batch.column(0)[row].values
+                found = batch.column(1)[row].values
                 first, n = found.field("first").to_numpy(), found.field("n").to_numpy()
-                h = RollingHash(batch.column(1)[row].as_py(), powers)
+                h = RollingHash(batch.column(2)[row].as_py(), powers)
                 of = np.repeat(np.arange(n.size), n)
-                offset = np.arange(of.size) - np.repeat(np.cumsum(n) - n, n)
-                start = first[of] + offset
-                hashes = h.at(start, start + width)
-                pick = lambda name, of=of, found=found: pa.array(found.field(name).to_numpy()[of])
+                o = np.arange(of.size) - np.repeat(np.cumsum(n) - n, n)
+                start = first[of] + o
+                d = np.full(of.size, batch.column(0)[row].as_py(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pick("anchor"), pick("whole"), pa.array(offset.astype(np.int32)), pick("a"), pick("b")], names=["h", "anchor", "whole", "o", "a", "b"]
+                    [pa.array(h.at(start, start + width).view(np.int64)), pa.array(found.field("key").to_numpy()[of]), pa.array(o.astype(np.int32)), pa.array(d), pa.array(found.field("b").to_numpy()[of])], names=["h", "part", "o", "a", "b"]
                 )
 
-    window = mixed.join(src, "d").select("runs", "t").mapInArrow(windows, "h bigint, anchor bigint, whole bigint, o int, a bigint, b bigint")
+    window = at_documents(several(parts, "core", "part"), "part").join(src, "d").mapInArrow(windows, "h bigint, part bigint, o int, a bigint, b bigint")
     twice = window.groupBy("h").agg(F.min("a").alias("x"), F.max("b").alias("y")).where("x < y").select("h")
-    partly = window.where("a = b").join(twice, "h", "left_semi").groupBy("anchor", "whole").agg(F.array_sort(F.collect_set("o")).alias("o"))
-    full = kinds.where("a < b").select("anchor", "whole", F.lit(None).cast("array<int>").alias("o"))
-    marked = run.join(full.unionByName(partly), ["anchor", "whole"])
-    pieces = marked.select(
-        "d",
-        F.explode(F.when(F.col("o").isNull(), F.array(F.struct(F.col("first").alias("s"), (F.col("first") + F.col("n") + width - 1).alias("e")))).otherwise(F.transform("o", lambda o: F.struct((F.col("first") + o).alias("s"), (F.col("first") + o + width).alias("e"))))).alias("p"),
-    )
-    merged = pieces.groupBy("d").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    spans = merged.select(
-        "d",
-        F.explode(
-            F.aggregate(
-                "p",
-                F.array().cast("array<struct<s:int,e:int>>"),
-                lambda acc, x: F.when(
-                    (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]),
-                    F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e")))),
-                ).otherwise(F.concat(acc, F.array(x))),
-            )
-        ).alias("p"),
+    one = F.struct(F.col("o").alias("s"), (F.col("o") + 1).alias("e"))
+    shared_part = (
+        parts.where("at.d < b").select("part", F.array(F.struct(F.lit(0).alias("s"), F.col("at.n").alias("e"))).alias("of"))
+    ).unionByName(window.where("a = b").join(twice, "h", "left_semi").groupBy("part").agg(F.array_sort(F.collect_set(one)).alias("of")))
+    shift = lambda by: F.transform("of", lambda x: F.struct((x["s"] + F.col(by)).alias("s"), (x["e"] + F.col(by)).alias("e")))
+    partly = block.where("d = b").select("part", "whole", "o").join(shared_part, "part").select("whole", F.explode(shift("o")).alias("x")).groupBy("whole").agg(join_intervals("x").alias("of"))
+    shared_run = kinds.where("at.d < b").select("whole", F.array(F.struct(F.lit(0).alias("s"), F.col("at.n").alias("e"))).alias("of")).unionByName(partly)
+    marked = kept.select("d", "whole", "first").join(shared_run, "whole").select("d", F.explode(shift("first")).alias("x"))
+    spans = marked.select("d", F.struct("x.s", (F.col("x.e") + width - 1).alias("e")).alias("x")).groupBy("d").agg(join_intervals("x").alias("of"))
+    return spans.select("d", F.explode("of").alias("x")).select(F.col("d").alias(id_col), F.col("x.s").alias("span_start"), F.col("x.e").alias("span_end"))
+
+
+def several(kinds: DataFrame, key: str, whole: str) -> DataFrame:
+    """The kinds whose key has other kinds as well."""
+    two = kinds.groupBy(key).agg(F.min(whole).alias("u"), F.max(whole).alias("v")).where("u <> v").select(key)
+    return kinds.join(two, key, "left_semi")
+
+
+def at_documents(kinds: DataFrame, key: str) -> DataFrame:
+    """One place of each kind, gathered by the document it is in (bounded by that document's length)."""
+    return kinds.groupBy(F.col("at.d").alias("d")).agg(F.collect_list(F.struct(F.col(key).alias("key"), "at.first", "at.n", "b")).alias("of"))
+
+
+def join_intervals(col: str):
+    """Aggregate: the intervals of a group, those that touch or overlap merged."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    return F.aggregate(
+        F.array_sort(F.collect_set(col)),
+        F.array().cast("array<struct<s:int,e:int>>"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (last(acc)["e"] >= x["s"]),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e")))),
+        ).otherwise(F.concat(acc, F.array(x))),
     )
-    return spans.select(F.col("d").alias(id_col), F.col("p.s").alias("span_start"), F.col("p.e").alias("span_end"))
 
 
 def shared_share(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
