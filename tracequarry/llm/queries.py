@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracequarry.llm.lookalikes import look_alike_pairs, visual_forms
 from tracequarry.llm.packing import pack_documents
+from tracequarry.llm.pair_defects import broken_pairs, pair_labels
 from tracequarry.llm.spans import shared_share, shared_spans
 from tracequarry.llm.tokens import encode_corpus
+from tracequarry.llm.truncation import truncated_values, truncation_rates
 from tracequarry.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda s, d: broken_pairs(table(s, d, "prompted_search_smoke")),
+        "p1_labels": lambda s, d: pair_labels(table(s, d, "prompted_search_smoke")),
+        "p2_found": lambda s, d: truncated_values(table(s, d, "prompted_search_smoke")).drop("source"),
+        "p2_rates": lambda s, d: truncation_rates(table(s, d, "prompted_search_smoke")),
+        "p7_found": lambda s, d: look_alike_pairs(table(s, d, "prompted_search_smoke")),
+        "p7_forms": lambda s, d: visual_forms(table(s, d, "prompted_search_smoke"), "row_id", "final_answer"),
         "p8_ids": lambda s, d: encode_corpus(table(s, d, "documents")),
         "p9_pack": lambda s, d: pack_documents(table(s, d, "documents")),
         "p10_found": lambda s, d: shared_spans(table(s, d, "documents")),
