@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracequarry.llm.leakage import leak_report, leaked_items
 from tracequarry.llm.lookalikes import look_alike_pairs, visual_forms
+from tracequarry.llm.neighbours import nearest_rows, similar_pairs
+from tracequarry.llm.overlap import overlap_counts, split_overlaps
 from tracequarry.llm.packing import pack_documents
 from tracequarry.llm.pair_defects import broken_pairs, pair_labels
 from tracequarry.llm.spans import shared_share, shared_spans
@@ -15,12 +18,26 @@ from tracequarry.llm.truncation import truncated_values, truncation_rates
 from tracequarry.session import table
 
 
+def held_items(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "offline_doc").where("split in ('validation', 'test')")
+
+
+def leaks(s: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(s, d, "text_corpus"), held_items(s, d), "corpus_id", "snippet", "odoc_id", ["question", "answer"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: broken_pairs(table(s, d, "prompted_search_smoke")),
         "p1_labels": lambda s, d: pair_labels(table(s, d, "prompted_search_smoke")),
         "p2_found": lambda s, d: truncated_values(table(s, d, "prompted_search_smoke")).drop("source"),
         "p2_rates": lambda s, d: truncation_rates(table(s, d, "prompted_search_smoke")),
+        "p3_found": leaks,
+        "p3_report": lambda s, d: leak_report(leaks(s, d), held_items(s, d), "odoc_id", "split"),
+        "p5_found": lambda s, d: split_overlaps(table(s, d, "fvqa_toy")),
+        "p5_counts": lambda s, d: overlap_counts(split_overlaps(table(s, d, "fvqa_toy")), table(s, d, "fvqa_toy")),
+        "p6_found": lambda s, d: similar_pairs(table(s, d, "offline_doc")),
+        "p6_nearest": lambda s, d: nearest_rows(table(s, d, "offline_doc").where("odoc_id is not null"), "odoc_id", "image_dhash", "image_hist"),
         "p7_found": lambda s, d: look_alike_pairs(table(s, d, "prompted_search_smoke")),
         "p7_forms": lambda s, d: visual_forms(table(s, d, "prompted_search_smoke"), "row_id", "final_answer"),
         "p8_ids": lambda s, d: encode_corpus(table(s, d, "documents")),
@@ -30,5 +47,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_LEAKS = f"""WITH h AS (SELECT odoc_id, split, {_WORDS.format('t')} AS w FROM (SELECT odoc_id, split, unnest([question, answer]) AS t FROM offline_doc WHERE split IN ('validation', 'test'))),
+hw AS (SELECT odoc_id, split, list_slice(w, i, i + 7) AS g FROM (SELECT odoc_id, split, w, unnest(range(1, len(w) - 6)) AS i FROM h)),
+c AS (SELECT corpus_id, {_WORDS.format('snippet')} AS w FROM text_corpus),
+cw AS (SELECT corpus_id, list_slice(w, i, i + 7) AS g FROM (SELECT corpus_id, w, unnest(range(1, len(w) - 6)) AS i FROM c)),
+found AS (SELECT DISTINCT corpus_id, odoc_id, split FROM cw JOIN hw USING (g))"""
+_NEAR = """WITH v AS (SELECT odoc_id AS id, image_dhash AS b, image_hist AS h FROM offline_doc WHERE len(image_dhash) = 64 AND len(image_hist) = 24
+    AND len(list_filter(image_dhash, x -> x IS NULL)) = 0 AND len(list_filter(image_hist, x -> x IS NULL)) = 0),
+s AS (SELECT x.id, y.id AS other, round(0.7 * (list_sum(list_transform(range(1, 65), i -> (x.b[i] = y.b[i])::INT)) / 64.0) + 0.3 * list_sum(list_transform(range(1, 25), i -> least(x.h[i], y.h[i]))), 9) AS sim
+    FROM v x JOIN v y ON x.id <> y.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rn FROM s)"""
+_SPANS = """WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i - 1 AS s, md5(substring(text, i, 200)) AS h FROM p),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, s FROM w SEMI JOIN r USING (h)),
+g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM m)),
+spans AS (SELECT doc_id, min(s)::INT AS span_start, (max(s) + 200)::INT AS span_end FROM g GROUP BY doc_id, k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": _LEAKS + " SELECT DISTINCT corpus_id, odoc_id FROM found",
+        "p3_report": _LEAKS + " SELECT odoc_id, split, count(*) AS n_rows FROM found GROUP BY odoc_id, split",
+        "p6_found": _NEAR + " SELECT DISTINCT least(id, other) AS odoc_id_a, greatest(id, other) AS odoc_id_b FROM k WHERE rn <= 5 AND sim >= 0.9",
+        "p6_nearest": _NEAR + " SELECT id, other, sim FROM k WHERE rn <= 5 AND sim >= 0.9",
+        "p10_found": _SPANS + " SELECT * FROM spans",
+        "p10_share": _SPANS
+        + """ SELECT d.doc_id, length(d.text) AS n_chars, coalesce(c.n, 0)::BIGINT AS shared_chars, round(CASE WHEN length(d.text) > 0 THEN coalesce(c.n, 0) / length(d.text) ELSE 0.0 END, 6) AS shared_share
+FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM spans GROUP BY doc_id) c USING (doc_id) WHERE d.text IS NOT NULL""",
+    }
