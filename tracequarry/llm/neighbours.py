@@ -64,8 +64,13 @@ def project(bits: np.ndarray, hist: np.ndarray, matrix: np.ndarray) -> np.ndarra
     return np.concatenate([ones, roots], axis=1) @ matrix
 
 
+def differing(b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """Number of differing bits (counted on unsigned values: numpy counts the bits of the absolute value else)."""
+    return np.bitwise_count((b1 ^ b2).astype(np.int64).view(np.uint64)).astype(np.float64)
+
+
 def similarity(b1: np.ndarray, h1: np.ndarray, b2: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    equal = BITS - np.bitwise_count(b1 ^ b2).astype(np.float64)
+    equal = BITS - differing(b1, b2)
     return np.round(BIT_WEIGHT * (equal / BITS) + HIST_WEIGHT * np.minimum(h1, h2).sum(axis=1), 9)
 
 
@@ -136,7 +141,7 @@ def search(q_bits, q_hist, bits, hist, ids: list[np.ndarray], k: int, least: flo
             if not r.size:
                 continue
             r, c = live[r], c + x
-            close = BIT_WEIGHT * np.bitwise_count(qb[r] ^ bits[c]) / BITS <= worst
+            close = BIT_WEIGHT * differing(qb[r], bits[c]) / BITS <= worst
             r, c = r[close], c[close]
             s = similarity(qb[r], qh[r], bits[c], hist[c])
             ok = s >= least

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracequarry.llm.leakage import leak_report, leaked_items
 from tracequarry.llm.lookalikes import look_alike_pairs, visual_forms
@@ -37,7 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": lambda s, d: split_overlaps(table(s, d, "fvqa_toy")),
         "p5_counts": lambda s, d: overlap_counts(split_overlaps(table(s, d, "fvqa_toy")), table(s, d, "fvqa_toy")),
         "p6_found": lambda s, d: similar_pairs(table(s, d, "offline_doc")),
-        "p6_nearest": lambda s, d: nearest_rows(table(s, d, "offline_doc").where("odoc_id is not null"), "odoc_id", "image_dhash", "image_hist"),
+        "p6_nearest": lambda s, d: nearest_rows(table(s, d, "offline_doc").where("odoc_id is not null"), "odoc_id", "image_dhash", "image_hist").withColumn("sim", F.round("sim", 6)),
         "p7_found": lambda s, d: look_alike_pairs(table(s, d, "prompted_search_smoke")),
         "p7_forms": lambda s, d: visual_forms(table(s, d, "prompted_search_smoke"), "row_id", "final_answer"),
         "p8_ids": lambda s, d: encode_corpus(table(s, d, "documents")),
@@ -54,8 +55,8 @@ c AS (SELECT corpus_id, {_WORDS.format('snippet')} AS w FROM text_corpus),
 cw AS (SELECT corpus_id, list_slice(w, i, i + 7) AS g FROM (SELECT corpus_id, w, unnest(range(1, len(w) - 6)) AS i FROM c)),
 found AS (SELECT DISTINCT corpus_id, odoc_id, split FROM cw JOIN hw USING (g))"""
 _NEAR = """WITH v AS (SELECT odoc_id AS id, image_dhash AS b, image_hist AS h FROM offline_doc WHERE len(image_dhash) = 64 AND len(image_hist) = 24
-    AND len(list_filter(image_dhash, x -> x IS NULL)) = 0 AND len(list_filter(image_hist, x -> x IS NULL)) = 0),
-s AS (SELECT x.id, y.id AS other, round(0.7 * (list_sum(list_transform(range(1, 65), i -> (x.b[i] = y.b[i])::INT)) / 64.0) + 0.3 * list_sum(list_transform(range(1, 25), i -> least(x.h[i], y.h[i]))), 9) AS sim
+    AND len(list_filter(image_dhash, lambda x: x IS NULL)) = 0 AND len(list_filter(image_hist, lambda x: x IS NULL)) = 0),
+s AS (SELECT x.id, y.id AS other, round(0.7 * (list_sum(list_transform(range(1, 65), lambda i: (x.b[i] = y.b[i])::INT)) / 64.0) + 0.3 * list_sum(list_transform(range(1, 25), lambda i: least(x.h[i], y.h[i]))), 9) AS sim
     FROM v x JOIN v y ON x.id <> y.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rn FROM s)"""
 _SPANS = """WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
@@ -71,7 +72,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _LEAKS + " SELECT DISTINCT corpus_id, odoc_id FROM found",
         "p3_report": _LEAKS + " SELECT odoc_id, split, count(*) AS n_rows FROM found GROUP BY odoc_id, split",
         "p6_found": _NEAR + " SELECT DISTINCT least(id, other) AS odoc_id_a, greatest(id, other) AS odoc_id_b FROM k WHERE rn <= 5 AND sim >= 0.9",
-        "p6_nearest": _NEAR + " SELECT id, other, sim FROM k WHERE rn <= 5 AND sim >= 0.9",
+        "p6_nearest": _NEAR + " SELECT id, other, round(sim, 6) AS sim FROM k WHERE rn <= 5 AND sim >= 0.9",
         "p10_found": _SPANS + " SELECT * FROM spans",
         "p10_share": _SPANS
         + """ SELECT d.doc_id, length(d.text) AS n_chars, coalesce(c.n, 0)::BIGINT AS shared_chars, round(CASE WHEN length(d.text) > 0 THEN coalesce(c.n, 0) / length(d.text) ELSE 0.0 END, 6) AS shared_share
