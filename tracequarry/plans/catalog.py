@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracequarry.plans.registry import Query
 
-MODULES = ("grouping", "nested")
+MODULES = ("grouping", "nested", "tokenwise")
 
 
 def _modules():
