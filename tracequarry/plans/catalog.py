@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracequarry.plans.registry import Query
 
-MODULES = ("grouping", "nested", "tokenwise", "textual")
+MODULES = ("grouping", "nested", "tokenwise", "textual", "searching")
 
 
 def _modules():
