@@ -181,25 +181,26 @@ def pattern_of(defect: str):
 def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 60, strength: float = 0.2) -> dict[int, float]:
     """Posterior of each vote pattern by expectation-maximization.
 
-    ``strength`` is the weight of the prior belief (functions are mostly right, defects are rare) relative to
-    the number of rows, so that the two classes cannot trade places.
+    A function that abstains says nothing; of its votes, the share "for" on defective and on sound pairs is
+    estimated. ``strength`` is the weight of the prior belief (functions are mostly right, defects are rare)
+    relative to the number of rows, so that the two classes cannot trade places.
     """
     patterns = np.array(sorted(counts))
     if patterns.size == 0:
         return {}
     n = np.array([counts[p] for p in patterns], dtype=float)
     digits = np.stack([(patterns // 3 ** (voters - 1 - j)) % 3 for j in range(voters)], axis=1)
-    hot = np.eye(3)[digits]
-    prior_vote = np.array([[0.60, 0.37, 0.03], [0.08, 0.22, 0.70]])  # sound, defective: against, abstain, for
+    against, favour = (digits == 0).astype(float), (digits == 2).astype(float)
+    prior = np.array([0.05, 0.9])  # share "for" among votes on sound and on defective pairs
     rare, total = 0.03, n.sum()
-    vote, share = np.repeat(prior_vote[:, None, :], voters, axis=1), rare
+    p, share = np.repeat(prior[:, None], voters, axis=1), rare
     post = np.zeros(patterns.size)
     for _ in range(rounds):
-        log = np.einsum("pvk,cvk->pc", hot, np.log(vote)) + np.log([1 - share, share])
+        log = favour @ np.log(p.T) + against @ np.log(1 - p.T) + np.log([1 - share, share])
         post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         for c, w in ((0, n * (1 - post)), (1, n * post)):
             weight = strength * total * (rare if c else 1 - rare)
-            vote[c] = (np.einsum("p,pvk->vk", w, hot) + weight * prior_vote[c]) / (w.sum() + weight)
+            p[c] = (w @ favour + weight * prior[c]) / (w @ (favour + against) + weight)
         share = (float((n * post).sum()) + strength * total * rare) / (total * (1 + strength))
     return dict(zip(patterns.tolist(), post.tolist()))
 
