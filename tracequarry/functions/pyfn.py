@@ -69,7 +69,7 @@ def json_objects(text: str) -> list[dict]:
 
 
 # Words that stand for no answer, keys of an answer, names of the final action.
-PLACEHOLDERS = frozenset(("", "...", "<answer>", "answer", "unknown", "none", "null", "query", "text"))
+PLACEHOLDERS = frozenset(("", "query", "answer", "final answer", "visual query", "current image"))
 ANSWER_KEYS = ("answer", "final_answer", "prediction", "response", "value")
 FINAL_ACTIONS = frozenset(("stop", "answer", "final_answer", "final"))
 
