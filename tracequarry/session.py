@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,32 @@ def build_session(app: str = "tracequarry", cores: int | None = None) -> SparkSe
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of all executors, once per application.
+
+    Executors need not have it installed or on their path; the archive is served by the driver.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tracequarry_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tq-package-")
+    archive = os.path.join(folder, "tracequarry.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(root, name)
+                    z.write(path, os.path.join("tracequarry", os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    sc._tracequarry_shipped = True
+    atexit.register(shutil.rmtree, folder, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
     sc = spark.sparkContext
@@ -69,4 +94,5 @@ def staged(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test or production table by name."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
