@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracequarry.plans.registry import Query
 
-MODULES = ("grouping", "nested", "tokenwise", "textual", "searching", "rollups", "stepwise", "batching", "imperative", "further")
+MODULES = ("grouping", "nested", "tokenwise", "textual", "searching", "rollups", "stepwise", "batching", "imperative", "further", "files")
 
 
 def _modules():
