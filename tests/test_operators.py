@@ -130,9 +130,8 @@ def test_spans_spread(spark):
 def test_majority_and_best_of(spark):
     df = spark.createDataFrame([("g", "A", 0.9, 0), ("g", "B", 0.8, 1), ("g", "A", 0.7, 2)], "g string, pred string, v double, o int")
     assert rollup.majority_value(df, ["g"], "pred", "v", "o").first()["maj"] == 0.9
-    x = spark.createDataFrame([("g", float(i)) for i in range(1, 6)], "g string, v double")
-    (p,), _ = rollup.best_of(3, "v", ["g"])
-    best = x.select((F.col("v") * p).alias("x")).agg(F.sum("x")).first()[0]
+    x = spark.createDataFrame([("g", float(i), i) for i in range(1, 6)], "g string, v double, o int")
+    best = rollup.best_of(x, {"b": (3, False)}, "v", "g", "o").first()["b"]
     exact = sum(max(a, b, c) for a in range(1, 6) for b in range(1, 6) for c in range(1, 6)) / 125
     assert abs(best - exact) < 1e-9
 

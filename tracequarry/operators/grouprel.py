@@ -1,7 +1,7 @@
 """Group-relative statistics: advantages of rollouts against the other rollouts of their prompt.
 
-Every operator takes one row per rollout and adds columns with windows over the group, so a plan has one
-shuffle by group. A null score gives a null advantage and does not count in its group. Degenerate groups
+Every operator takes one row per rollout and adds columns. Statistics of a group are partial aggregates joined
+back to its rows, not windows, so that a group with a third of all rows costs no more than any other. A null score gives a null advantage and does not count in its group. Degenerate groups
 follow the named estimator: see each function.
 """
 
@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 EPS = 1e-6
 
 
-def _w(group: str):
-    return W.partitionBy(group)
+def with_group(df: DataFrame, group: str | list[str], **aggregates: Column) -> DataFrame:
+    """Adds statistics of each row's group. They come from partial aggregates and are joined back, so a group of
+    any size is never gathered in one task: AQE broadcasts a small side or splits a skewed one. Null is a group."""
+    keys = [group] if isinstance(group, str) else group
+    stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]).withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    same = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+        same = c if same is None else same & c
+    return df.join(stats, same).drop(*[f"_g_{k}" for k in keys])
 
 
 def group_stats(df: DataFrame, group: str = "uid", score: str = "score", eps: float = EPS) -> DataFrame:
@@ -28,64 +36,63 @@ def group_stats(df: DataFrame, group: str = "uid", score: str = "score", eps: fl
 def grpo(df: DataFrame, group: str = "uid", score: str = "score", normalize: bool = True, eps: float = EPS, out: str = "adv") -> DataFrame:
     """(score - mean) / (std + eps) with the sample deviation; a single row has mean 0 and std 1. Without
     ``normalize`` only the mean is subtracted."""
-    w, s = _w(group), F.col(score)
-    n = F.count(s).over(w)
-    mean = F.when(n > 1, F.avg(s).over(w)).otherwise(0.0)
-    std = F.when(n > 1, F.stddev_samp(s).over(w)).otherwise(1.0)
-    return df.withColumn(out, (s - mean) / (std + eps) if normalize else s - mean)
+    s, n = F.col(score), F.col("_n")
+    x = with_group(df, group, _n=F.count(s), _m=F.avg(s), _d=F.stddev_samp(s))
+    centred = s - F.when(n > 1, F.col("_m")).otherwise(0.0)
+    return x.withColumn(out, centred / (F.when(n > 1, F.col("_d")).otherwise(1.0) + eps) if normalize else centred).drop("_n", "_m", "_d")
 
 
 def grpo_floored(df: DataFrame, group: str = "uid", score: str = "score", normalize: bool = True, eps: float = EPS, out: str = "adv") -> DataFrame:
     """As ``grpo``, but the variance is floored at ``eps`` before the root."""
-    w, s = _w(group), F.col(score)
-    n = F.count(s).over(w)
-    mean = F.when(n > 1, F.avg(s).over(w)).otherwise(0.0)
-    std = F.when(n > 1, F.sqrt(F.greatest(F.var_samp(s).over(w), F.lit(eps)))).otherwise(1.0)
-    return df.withColumn(out, (s - mean) / (std + eps) if normalize else s - mean)
+    s, n = F.col(score), F.col("_n")
+    x = with_group(df, group, _n=F.count(s), _m=F.avg(s), _v=F.var_samp(s))
+    centred = s - F.when(n > 1, F.col("_m")).otherwise(0.0)
+    std = F.when(n > 1, F.sqrt(F.greatest("_v", F.lit(eps)))).otherwise(1.0)
+    return x.withColumn(out, centred / (std + eps) if normalize else centred).drop("_n", "_m", "_v")
 
 
 def pass_at_k(df: DataFrame, group: str = "uid", score: str = "score", order: str = "rid", normalize: bool = True, eps: float = EPS, out: str = "adv") -> DataFrame:
     """Only the best row of a group gets best - second best (by the sample deviation); ties go to the lowest
-    ``order``; a group with fewer than two rows is an error in the estimator and gives null here."""
-    w, s = _w(group), F.col(score)
-    ranked = W.partitionBy(group).orderBy(F.desc(score), order)
-    second = F.max(F.when(F.col("_r") == 2, s)).over(w)
-    df = df.withColumn("_r", F.row_number().over(ranked))
-    gain = s - second
+    ``order``; a group with fewer than two rows is an error in the estimator and gives null here.
+
+    The two best rows of each group are found with a limit that runs before the shuffle.
+    """
+    s = F.col(score)
+    two = df.select(group, score, order).where(s.isNotNull()).withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), order))).where("_r <= 2")
+    best = two.groupBy(group).agg(F.min_by(order, "_r").alias("_best"), F.max(F.when(F.col("_r") == 2, s)).alias("_second")).withColumnsRenamed({group: "_g"})
+    x = with_group(df, group, _n=F.count(s), _d=F.stddev_samp(s)).join(best, F.col(group).eqNullSafe(F.col("_g")), "left")
+    gain = s - F.col("_second")
     if normalize:
-        gain = gain / (F.stddev_samp(s).over(w) + eps)
-    n = F.count(s).over(w)
-    return df.withColumn(out, F.when(n < 2, F.lit(None)).when(F.col("_r") == 1, gain).otherwise(0.0)).drop("_r")
+        gain = gain / (F.col("_d") + eps)
+    return x.withColumn(out, F.when(F.col("_n") < 2, F.lit(None)).when(F.col(order) == F.col("_best"), gain).otherwise(0.0)).drop("_n", "_d", "_best", "_second", "_g")
 
 
 def rloo(df: DataFrame, group: str = "uid", score: str = "score", out: str = "adv") -> DataFrame:
     """Leave-one-out baseline; a single row keeps its score."""
-    w, s = _w(group), F.col(score)
-    n = F.count(s).over(w)
-    return df.withColumn(out, F.when(n > 1, s * n / (n - 1) - F.avg(s).over(w) * n / (n - 1)).otherwise(s))
+    s, n = F.col(score), F.col("_n")
+    x = with_group(df, group, _n=F.count(s), _m=F.avg(s))
+    return x.withColumn(out, F.when(n > 1, s * n / (n - 1) - F.col("_m") * n / (n - 1)).otherwise(s)).drop("_n", "_m")
 
 
 def rloo_batched(df: DataFrame, group: str = "uid", score: str = "score", out: str = "adv") -> DataFrame:
     """The batched form: a single row gets 0."""
-    w, s = _w(group), F.col(score)
-    n = F.count(s).over(w)
-    return df.withColumn(out, F.when(n > 1, (n * s - F.sum(s).over(w)) / F.greatest(n - 1, F.lit(1))).otherwise(0.0))
+    s, n = F.col(score), F.col("_n")
+    x = with_group(df, group, _n=F.count(s), _t=F.sum(s))
+    return x.withColumn(out, F.when(n > 1, (n * s - F.col("_t")) / F.greatest(n - 1, F.lit(1))).otherwise(0.0)).drop("_n", "_t")
 
 
 def opo(df: DataFrame, length: str, group: str = "uid", score: str = "score", out: str = "adv") -> DataFrame:
     """Baseline is the length-weighted mean of the group; a single row has baseline 0."""
-    w, s, n = _w(group), F.col(score), F.col(length)
-    baseline = F.when(F.count(s).over(w) > 1, F.try_divide(F.sum(n * s).over(w), F.sum(n).over(w))).otherwise(0.0)
-    return df.withColumn(out, s - baseline)
+    s = F.col(score)
+    x = with_group(df, group, _n=F.count(s), _b=F.try_divide(F.sum(F.col(length) * s), F.sum(length)))
+    return x.withColumn(out, s - F.when(F.col("_n") > 1, F.col("_b")).otherwise(0.0)).drop("_n", "_b")
 
 
 def gpg(df: DataFrame, group: str = "uid", score: str = "score", f_norm: float = 1.0, out: str = "adv") -> DataFrame:
     """alpha * (score - mean) / f_norm with alpha = rows / max(rows with a score other than 0, 1)."""
-    w, s = _w(group), F.col(score)
-    n = F.count(s).over(w)
-    mean = F.when(n > 1, F.avg(s).over(w)).otherwise(0.0)
+    s = F.col(score)
     total = df.agg((F.count(F.lit(1)) / F.greatest(F.count_if(s != 0), F.lit(1))).alias("_alpha"))  # one row
-    return df.withColumn("_c", s - mean).join(F.broadcast(total)).withColumn(out, F.col("_alpha") * F.col("_c") / f_norm).drop("_alpha", "_c")
+    return mean_baseline(df, group, score, "_c").join(F.broadcast(total)).withColumn(out, F.col("_alpha") * F.col("_c") / f_norm).drop("_alpha", "_c")
 
 
 def mean_baseline(df: DataFrame, group: str = "uid", score: str = "score", out: str = "adv") -> DataFrame:
@@ -95,7 +102,7 @@ def mean_baseline(df: DataFrame, group: str = "uid", score: str = "score", out:
 
 def varied_groups(df: DataFrame, group: str = "uid", score: str = "score") -> DataFrame:
     """Rows of groups whose scores differ (population deviation above 0)."""
-    return df.withColumn("_s", F.stddev_pop(score).over(_w(group))).where("_s > 0").drop("_s")
+    return with_group(df, group, _s=F.stddev_pop(score)).where("_s > 0").drop("_s")
 
 
 def label_codes(df: DataFrame, label: str, out: str = "code") -> DataFrame:

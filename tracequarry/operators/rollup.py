@@ -6,9 +6,10 @@ Empty inputs give one row with zeros where the measure says so (``_rate``), null
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracequarry.operators.batch import with_row_number
+
 
 def rate(c: Column) -> Column:
     """Share of rows that are true; null counts as false; 0 without rows."""
@@ -34,16 +35,21 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((n < 2) | (vx <= 1e-15) | (vy <= 1e-15), 0.0).otherwise(F.coalesce(F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))), F.lit(0.0)))
 
 
-def best_of(n_draws: int, value: str, group: list[str], worst: bool = False) -> tuple[list[Column], Column]:
-    """Expected best (worst) of ``n_draws`` draws with replacement, in closed form: (window columns, aggregate).
-
-    Sorted ascending, the i-th of N values is the maximum with probability (i/N)^n - ((i-1)/N)^n.
+def best_of(df: DataFrame, draws: dict[str, tuple[int, bool]], value: str, group: str, order: str) -> DataFrame:
+    """(group, one column per entry of ``draws``): the expected best (or worst, if True) of n draws with
+    replacement, in closed form: sorted ascending, the i-th of N values is the largest with probability
+    (i/N)^n - ((i-1)/N)^n. Ranks come from bucketed row numbers, so a large group is not sorted in one task.
     """
-    order = F.desc(value) if worst else F.asc(value)
-    w = W.partitionBy(*group).orderBy(order)
-    i, n = F.row_number().over(w), F.count(value).over(W.partitionBy(*group))
-    p = F.pow(i / n, F.lit(n_draws)) - F.pow((i - 1) / n, F.lit(n_draws))
-    return [p.alias("_p")], F.sum(F.col(value) * F.col("_p"))
+    ranked = with_row_number(df.where(F.col(value).isNotNull()), value, order, out="_i", within=group)
+    sizes = df.groupBy(group).agg(F.count(value).alias("_n")).withColumnsRenamed({group: "_g"})
+    x = ranked.join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    n = F.col("_n")
+
+    def expected(k: int, worst: bool) -> Column:
+        i = n - F.col("_i") if worst else F.col("_i") + 1
+        return F.sum(F.col(value) * (F.pow(i / n, F.lit(k)) - F.pow((i - 1) / n, F.lit(k))))
+
+    return x.groupBy(group).agg(*[expected(k, worst).alias(name) for name, (k, worst) in draws.items()])
 
 
 def majority_value(df: DataFrame, group: list[str], pred: str, value: str, order: str) -> DataFrame:

@@ -79,9 +79,8 @@ def optimal_token_baseline(df: DataFrame, weight: Column, group: str = "uid", ke
         x = x.withColumn("_slot", F.sum(F.col(mask)).over(by_key.rowsBetween(W.unboundedPreceding, 0)))
         slot = "_slot"
     sizes = df.select(group, key).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    at = W.partitionBy(group, slot)
-    base = F.sum(F.col("_g") * F.col("_w") * m).over(at) / (F.sum(F.col("_w") * m).over(at) + 1e-8)
-    x = x.join(sizes, group).withColumn("base", F.when(F.col("_n") > 1, base).otherwise(0.0))
+    at = x.groupBy(group, slot).agg((F.sum(F.col("_g") * F.col("_w") * m) / (F.sum(F.col("_w") * m) + 1e-8)).alias("_b"))
+    x = x.join(at, [group, slot]).join(sizes, group).withColumn("base", F.when(F.col("_n") > 1, F.col("_b")).otherwise(0.0))
     return x.withColumn("adv", (F.col("_g") - F.col("base")) * m)
 
 

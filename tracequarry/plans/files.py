@@ -96,12 +96,12 @@ def newest(s, d):
     return s.createDataFrame([(found.rsplit("/", 2)[-2],)], "name string")
 
 
-@R.query("s18_queue_source", "SELECT row_id, (count(*) OVER () - row_number() OVER (ORDER BY row_id))::BIGINT AS remaining FROM fvqa_toy WHERE row_id % 10 = 0")
+@R.query("s18_queue_source", "SELECT row_id, (count(*) OVER () - row_number() OVER (ORDER BY row_id))::BIGINT AS remaining FROM fvqa_toy")
 def queue_source(s, d):
     """Items in order of arrival with the number that remains behind each."""
     from tracequarry.operators.batch import with_row_number
 
-    x = with_row_number(table(s, d, "fvqa_toy").where("row_id % 10 = 0").select("row_id"), "row_id")
+    x = with_row_number(table(s, d, "fvqa_toy").select("row_id"), "row_id")
     return x.select("row_id", (F.lit(x.count()) - 1 - F.col("i")).alias("remaining"))
 
 
@@ -134,10 +134,10 @@ def metrics_log(s, d):
     return readers.read_jsonl(s, path, "step int, label string, loss double")
 
 
-@R.query("k07_file_logger", "SELECT event_id AS step, json_object('value', value)::VARCHAR AS data FROM events WHERE event_id < 50")
+@R.query("k07_file_logger", "SELECT event_id AS step, json_object('value', value)::VARCHAR AS data FROM events")
 def file_logger(s, d):
     path = scratch(s)
-    table(s, d, "events").where("event_id < 50").select(F.col("event_id").alias("step"), F.to_json(F.struct("value")).alias("data")).write.json(path)
+    table(s, d, "events").select(F.col("event_id").alias("step"), F.to_json(F.struct("value")).alias("data")).write.json(path)
     return readers.read_jsonl(s, path, "step bigint, data string")
 
 

@@ -40,8 +40,8 @@ q("s04_adapted_rows", lambda s, d: table(s, d, "fvqa_toy").where("question is no
 q("s19_literal_rows", lambda s, d: s.createDataFrame([("a", 1), ("b", 2)], "k string, n int"), "SELECT * FROM (VALUES ('a', 1), ('b', 2)) t(k, n)")
 q(
     "s20_grown_dataset",
-    lambda s, d: table(s, d, "fvqa_toy").select("row_id", "question").unionByName(table(s, d, "fvqa_toy").where("row_id % 50 = 0 and length(question) <= 140").select((F.col("row_id") + 10_000_000).alias("row_id"), F.concat(F.lit("Again: "), "question").alias("question"))),
-    "SELECT row_id, question FROM fvqa_toy UNION ALL SELECT row_id + 10000000, 'Again: ' || question FROM fvqa_toy WHERE row_id % 50 = 0 AND length(question) <= 140",
+    lambda s, d: table(s, d, "fvqa_toy").select("row_id", "question").unionByName(table(s, d, "fvqa_toy").where("split = 'test' and length(question) <= 140").select((F.col("row_id") + 10_000_000).alias("row_id"), F.concat(F.lit("Again: "), "question").alias("question"))),
+    "SELECT row_id, question FROM fvqa_toy UNION ALL SELECT row_id + 10000000, 'Again: ' || question FROM fvqa_toy WHERE split = 'test' AND length(question) <= 140",
 )
 q("k09_flattened", lambda s, d: readers.flatten_struct(table(s, d, "fvqa_toy").select("row_id", "metadata")).withColumnsRenamed({"metadata/needs_search": "needs_search"}), "SELECT row_id, metadata.needs_search AS needs_search FROM fvqa_toy")
 q("k11_cache_key", lambda s, d: table(s, d, "toy_vqa").select("sample_id", readers.cache_key("sample_id").alias("key")), "SELECT sample_id, sha256('{\"sample_id\":\"' || sample_id || '\"}') AS key FROM toy_vqa")

@@ -19,8 +19,7 @@ SELECT source AS data_source, count(*) AS n, round(avg(score), 4) AS mean_score,
     round(avg(CASE WHEN n > 1 AND sp > 0 THEN 1.0 ELSE 0.0 END), 6) AS kept_ratio FROM a GROUP BY source""",
 )
 def flagship(s, d):
-    w = G._w("uid")
-    a = G.grpo(rollouts(s, d)).withColumn("kept", (F.stddev_pop("score").over(w) > 0).cast("double"))
+    a = G.with_group(G.grpo(rollouts(s, d)), "uid", kept=(F.stddev_pop("score") > 0).cast("double"))
     return a.groupBy(F.col("source").alias("data_source")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg(F.abs("adv")), 6).alias("mean_abs_adv"), F.round(F.avg(F.coalesce("kept", F.lit(0.0))), 6).alias("kept_ratio")
     )

@@ -120,14 +120,9 @@ g AS (SELECT source, uid, sum(score * (pow(i / n, 2) - pow((i - 1) / n, 2))) AS
 SELECT source, round(avg(best2), 6) AS best2, round(avg(best4), 6) AS best4, round(avg(worst4), 6) AS worst4 FROM g GROUP BY source""",
 )
 def best_of_n(s, d):
-    key = ["source", "uid"]
-    x = rollouts(s, d)
-    cols = []
-    for name, n, worst in (("best2", 2, False), ("best4", 4, False), ("worst4", 4, True)):
-        (p,), _ = A.best_of(n, "score", key, worst)
-        cols.append((F.col("score") * p).alias(name))
-    g = x.select(*key, *cols).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("best2", "best4", "worst4")])
-    return g.groupBy("source").agg(*[r6(F.avg(c), c) for c in ("best2", "best4", "worst4")])
+    x = rollouts(s, d).withColumn("g", F.concat_ws("|", "source", "uid"))
+    g = A.best_of(x, {"best2": (2, False), "best4": (4, False), "worst4": (4, True)}, "score", "g", "rid")
+    return g.groupBy(F.substring_index("g", "|", 1).alias("source")).agg(*[r6(F.avg(c), c) for c in ("best2", "best4", "worst4")])
 
 
 R.add(

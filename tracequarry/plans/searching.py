@@ -80,13 +80,13 @@ s AS (SELECT q.id AS q, c.id AS doc, round(CASE WHEN len(q.b) = 64 THEN 0.7 * (l
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
 )
 
-_KEYED = "SELECT sample_id AS k, row_id, latency, coalesce(final_correct, FALSE) AS ok FROM prompted_search_smoke WHERE sample_id IS NOT NULL AND row_id % 2 = {}"
-_ALIGN = f"WITH a AS ({_KEYED.format(0)}), b AS ({_KEYED.format(1)}), x AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY row_id DESC) = 1), y AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY row_id DESC) = 1), j AS (SELECT x.k, x.row_id AS a_row_id, y.row_id AS b_row_id, x.ok AS a_ok, y.ok AS b_ok, x.latency AS a_latency, y.latency AS b_latency FROM x JOIN y USING (k)) "
+_KEYED = "SELECT sample_id AS k, row_id, latency, coalesce(final_correct, FALSE) AS ok FROM prompted_search_smoke WHERE sample_id IS NOT NULL AND method {}"
+_ALIGN = f"WITH a AS ({_KEYED.format("= 'prompted_search'")}), b AS ({_KEYED.format("<> 'prompted_search'")}), x AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY row_id DESC) = 1), y AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY row_id DESC) = 1), j AS (SELECT x.k, x.row_id AS a_row_id, y.row_id AS b_row_id, x.ok AS a_ok, y.ok AS b_ok, x.latency AS a_latency, y.latency AS b_latency FROM x JOIN y USING (k)) "
 
 
 def aligned(s, d):
-    r = rollout_rows(s, d).where("sample_id is not null").select(F.col("sample_id").alias("k"), "row_id", "latency", F.coalesce("final_correct", F.lit(False)).alias("ok"))
-    return J.align_runs(r.where("row_id % 2 = 0"), r.where("row_id % 2 = 1"), "k", "row_id")
+    r = rollout_rows(s, d).where("sample_id is not null").select(F.col("sample_id").alias("k"), "method", "row_id", "latency", F.coalesce("final_correct", F.lit(False)).alias("ok"))
+    return J.align_runs(r.where("method = 'prompted_search'").drop("method"), r.where("method <> 'prompted_search'").drop("method"), "k", "row_id")
 
 
 R.add("j01_aligned_runs", lambda s, d: aligned(s, d).select("k", "a_row_id", "b_row_id", "a_ok", "b_ok"), _ALIGN + "SELECT k, a_row_id, b_row_id, a_ok, b_ok FROM j")
@@ -123,8 +123,8 @@ R.add(
 )
 R.add(
     "j14_validation_merge",
-    lambda s, d: rollouts(s, d).where("uid % 2 = 0").groupBy("uid").agg(F.round(F.avg("score"), 6).alias("a")).join(rollouts(s, d).where("uid % 3 = 0").groupBy("uid").agg(F.round(F.avg("score"), 6).alias("b")), "uid", "full"),
-    f"WITH {ROLLOUTS_SQL} SELECT uid, a, b FROM (SELECT uid, round(avg(score), 6) AS a FROM rollouts WHERE uid % 2 = 0 GROUP BY uid) FULL JOIN (SELECT uid, round(avg(score), 6) AS b FROM rollouts WHERE uid % 3 = 0 GROUP BY uid) USING (uid)",
+    lambda s, d: rollouts(s, d).where("pred = 'F'").groupBy("uid").agg(F.round(F.avg("score"), 6).alias("a")).join(rollouts(s, d).where("pred = 'O'").groupBy("uid").agg(F.round(F.avg("score"), 6).alias("b")), "uid", "full"),
+    f"WITH {ROLLOUTS_SQL} SELECT uid, a, b FROM (SELECT uid, round(avg(score), 6) AS a FROM rollouts WHERE pred = 'F' GROUP BY uid) FULL JOIN (SELECT uid, round(avg(score), 6) AS b FROM rollouts WHERE pred = 'O' GROUP BY uid) USING (uid)",
 )
 R.add(
     "j15_deep_equality",

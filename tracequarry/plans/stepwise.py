@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import textnorm as N
 from tracequarry.operators import stepreward as S
+from tracequarry.operators.grouprel import with_group
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.textual import collapse, strip
 from tracequarry.plans.views import STEPS_SQL, rollout_rows, steps
@@ -84,7 +85,7 @@ R.add(
 R.add("w38_overlong_penalty", lambda s, d: table(s, d, "documents").select("doc_id", r6(S.overlong_penalty(F.col("n_chars"), 2000, 500, 1.0), "penalty")), "SELECT doc_id, CASE WHEN n_chars IS NULL THEN 0.0 ELSE round(least(-(n_chars - 1500) / 500 * 1.0, 0), 6) END AS penalty FROM documents")
 R.add(
     "w44_resampling_weights",
-    lambda s, d: table(s, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 1e5).alias("x")).select("o_orderkey", F.round(F.pow("x", 2) / F.sum(F.pow("x", 2)).over(W.partitionBy("o_custkey")), 6).alias("w")),
+    lambda s, d: with_group(table(s, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 1e5).alias("x")), "o_custkey", t=F.sum(F.pow("x", 2))).select("o_orderkey", F.round(F.pow("x", 2) / F.col("t"), 6).alias("w")),
     "SELECT o_orderkey, round(pow(o_totalprice / 1e5, 2) / sum(pow(o_totalprice / 1e5, 2)) OVER (PARTITION BY o_custkey), 6) AS w FROM orders",
 )
 R.add(
