@@ -8,8 +8,8 @@ reaches ``BASELINE`` a missing terminator counts as a cut. Values that never hav
 queries, questions without a question mark) are told apart by their form; a query is also held against the
 question it was made from, where a last word that is the beginning of a question's word was cut.
 
-Plan: one scan of the needed nested columns, one ``mapInArrow`` that keeps only values with a sign of a cut,
-a partial aggregate of (source, field) counts and a join with those few rows; nothing else is shuffled.
+Plan: one scan of the needed nested columns, one ``mapInArrow`` whose result, the values with a sign of a cut and
+a few counts a batch, is staged; a partial aggregate of (source, field) counts and a join with those few rows.
 
 Defined results: null and empty values are complete; null steps and entries are skipped, positions count
 them; a null source is a source of its own; a null question leaves the checks that do not need it; repeated
@@ -21,11 +21,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.session import staged
+
 #: Share of properly ended values from which a missing terminator counts as a cut.
 BASELINE = 0.5
 
@@ -145,7 +146,10 @@ def query_ends_early(text: str, question: str | None) -> bool | None:
 
 def truncated_values(df: DataFrame, id_col: str = "row_id", source_col: str = "data_source", question_col: str = "question", steps_col: str = "steps", baseline: float = BASELINE) -> DataFrame:
     """(id_col, step_id, hit_pos, field, source): every value that was cut."""
-    judged, counts = _judge(df, id_col, source_col, question_col, steps_col)
+    return _cut(*_judge(df, id_col, source_col, question_col, steps_col), id_col, baseline)
+
+
+def _cut(judged: DataFrame, counts: DataFrame, id_col: str, baseline: float) -> DataFrame:
     usual = counts.groupBy("source", "field").agg((F.sum("ended") >= baseline * F.sum("n")).alias("usual"))
     sure = judged.where("sure")
     likely = judged.where("not sure").join(usual.where("usual").withColumnsRenamed({"source": "_s", "field": "_f"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f")), "left_semi")
@@ -154,9 +158,9 @@ def truncated_values(df: DataFrame, id_col: str = "row_id", source_col: str = "d
 
 def truncation_rates(df: DataFrame, id_col: str = "row_id", source_col: str = "data_source", question_col: str = "question", steps_col: str = "steps") -> DataFrame:
     """(source, field, n_values, n_cut, share): how often each source truncates, over non-empty values."""
-    _, counts = _judge(df, id_col, source_col, question_col, steps_col)
+    judged, counts = _judge(df, id_col, source_col, question_col, steps_col)
     total = counts.groupBy("source", "field").agg(F.sum("n").alias("n_values"), F.lit(0).cast("bigint").alias("n_cut"))
-    cut = truncated_values(df, id_col, source_col, question_col, steps_col).groupBy("source", "field").agg(F.lit(0).cast("bigint").alias("n_values"), F.count(F.lit(1)).alias("n_cut"))
+    cut = _cut(judged, counts, id_col, BASELINE).groupBy("source", "field").agg(F.lit(0).cast("bigint").alias("n_values"), F.count(F.lit(1)).alias("n_cut"))
     return total.unionByName(cut).groupBy("source", "field").agg(F.sum("n_values").alias("n_values"), F.sum("n_cut").alias("n_cut")).withColumn("share", F.round(F.try_divide("n_cut", "n_values"), 6))
 
 
@@ -181,42 +185,32 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool | None] = {}
-        for batch in batches:
+
+        def verdict(text: str) -> bool | None:
+            if text not in seen:
+                if len(seen) > 20_000:
+                    seen.clear()
+                seen[text] = ends_early(text)
+            return seen[text]
+
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             ids, sources, questions = (batch.column(i).to_pylist() for i in range(3))
-            lists = batch.column(3)
-            start = lists.offsets.to_numpy()
-            flat = lists.values
-            numbers, actions = flat.field(0).to_pylist(), flat.field(1).to_pylist()
-            snippets = flat.field(2)
-            snip_at, snip_size = snippets.offsets.to_numpy(), np.asarray(snippets.value_lengths().fill_null(0))
-            texts = snippets.values.to_pylist()
             out: list[tuple] = []
             counts: dict[tuple, list[int]] = {}
-            for r in range(batch.num_rows):
-                source = sources[r]
-                for k in range(start[r], start[r + 1]):
-                    if actions[k]:
-                        early = query_ends_early(actions[k], questions[r])
-                        c = counts.setdefault((source, "action_text"), [0, 0])
-                        c[0] += 1
-                        c[1] += early is False
-                        if early is not False:
-                            out.append((ids[r], source, numbers[k], -1, "action_text", early is True, 0, 0))
-                    for j in range(snip_size[k]):
-                        text = texts[snip_at[k] + j]
+            for key, source, question, steps in zip(ids, sources, questions, batch.column(3)):
+                for step in steps.as_py() or ():
+                    if step is None:
+                        continue
+                    values = [(-1, "action_text", step["action"])] + [(j, "snippet", t) for j, t in enumerate(step["snippets"] or ())]
+                    for place, field, text in values:
                         if not text:
                             continue
-                        if text in seen:
-                            early = seen[text]
-                        else:
-                            if len(seen) > 50_000:
-                                seen.clear()
-                            early = seen[text] = ends_early(text)
-                        c = counts.setdefault((source, "snippet"), [0, 0])
+                        early = query_ends_early(text, question) if place < 0 else verdict(text)
+                        c = counts.setdefault((source, field), [0, 0])
                         c[0] += 1
                         c[1] += early is False
                         if early is not False:
-                            out.append((ids[r], source, numbers[k], j, "snippet", early is True, 0, 0))
+                            out.append((key, source, step["step_id"], place, field, early is True, 0, 0))
             out += [(None, s, None, None, f, None, n, e) for (s, f), (n, e) in counts.items()]
             cols = list(zip(*out)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, arrow_types)], names=names)
@@ -226,6 +220,6 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     arrow_types, names = [f.type for f in arrow], [f.name for f in arrow]
-    every = rows.mapInArrow(run, schema)
+    every = staged(rows.mapInArrow(run, schema))
     judged = every.where("sure is not null").select(F.col("id").alias(id_col), "source", "step_id", "hit_pos", "field", "sure")
     return judged, every.where("sure is null").select("source", "field", "n", "ended")
