@@ -141,15 +141,25 @@ def visual_search(queries: DataFrame, corpus: DataFrame, k: int, bit_weight: flo
     """(q, doc, score, rank): 0.7 * share of equal bits + 0.3 * histogram intersection; (id, bits, hist) on both
     sides. Vectors of another length score 0 in their part."""
 
+    def by_length(column: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        places: dict[int, list[int]] = {}
+        for i, v in enumerate(column):
+            if v is not None and len(v):
+                places.setdefault(len(v), []).append(i)
+        return {n: (np.array(at), np.array([np.asarray(column.iloc[i], dtype=float) for i in at])) for n, at in places.items()}
+
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        bits_of, hist_of, docs = by_length(b.iloc[:, 1]), by_length(b.iloc[:, 2]), b.iloc[:, 0].to_numpy()
         out = []
         for qid, bits, hist in a.iloc[:, :3].itertuples(index=False):
             total = np.zeros(len(b))
-            if bits is not None and len(bits):
-                total += bit_weight * np.array([np.mean(np.asarray(bits) == np.asarray(x)) if x is not None and len(x) == len(bits) else 0.0 for x in b.iloc[:, 1]])
-            if hist is not None and len(hist):
-                total += (1 - bit_weight) * np.array([np.minimum(np.asarray(hist, dtype=float), np.asarray(x, dtype=float)).sum() if x is not None and len(x) == len(hist) else 0.0 for x in b.iloc[:, 2]])
-            out.append(_best(np.full(len(b), qid), b.iloc[:, 0].to_numpy(), np.round(np.nan_to_num(total), 9), k))
+            if bits is not None and len(bits) in bits_of:
+                at, m = bits_of[len(bits)]
+                total[at] += bit_weight * (m == np.asarray(bits, dtype=float)).mean(axis=1)
+            if hist is not None and len(hist) in hist_of:
+                at, m = hist_of[len(hist)]
+                total[at] += (1 - bit_weight) * np.nansum(np.minimum(m, np.asarray(hist, dtype=float)), axis=1)
+            out.append(_best(np.full(len(b), qid), docs, np.round(total, 9), k))
         return pd.concat(out) if out else _empty("q bigint, doc bigint, score double")
 
     return top_k(in_blocks(queries, corpus, score, "q bigint, doc bigint, score double"), k)

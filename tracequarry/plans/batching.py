@@ -89,7 +89,7 @@ q("t04_score_sort", lambda s, d: rollout_rows(s, d).orderBy(F.desc(F.coalesce("l
 q("t05_child_argmax", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max(F.struct("value", (-F.col("event_id")).alias("o"))).alias("m")).select("user_id", (-F.col("m.o")).alias("event_id")), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")
 q("t06_first_rows", lambda s, d: table(s, d, "fvqa_toy").orderBy("row_id").limit(100).select("row_id"), "SELECT row_id FROM fvqa_toy ORDER BY row_id LIMIT 100")
 q("t07_hash_split", lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) == 0, "test").otherwise("train").alias("part")), None)
-q("t08_stratified_split", lambda s, d: B.with_row_number(table(s, d, "fvqa_toy").where("data_source is not null"), "row_id", out="r0", within="data_source").withColumn("r", F.col("r0") + 1).join(F.broadcast(table(s, d, "fvqa_toy").groupBy("data_source").agg(F.count(F.lit(1)).alias("n"))), "data_source").select("row_id", F.expr("case when r <= least(40, floor(n * 0.8)) then 'train' when r <= least(40, floor(n * 0.8)) + 10 then 'test' else 'unused' end").alias("part")), "SELECT row_id, CASE WHEN r <= least(40, floor(n * 0.8)) THEN 'train' WHEN r <= least(40, floor(n * 0.8)) + 10 THEN 'test' ELSE 'unused' END AS part FROM (SELECT row_id, row_number() OVER (PARTITION BY data_source ORDER BY row_id) AS r, count(*) OVER (PARTITION BY data_source) AS n FROM fvqa_toy WHERE data_source IS NOT NULL)")
+q("t08_stratified_split", lambda s, d: B.with_row_number(table(s, d, "fvqa_toy").where("data_source is not null"), "row_id", out="r0", within="data_source").withColumn("r", F.col("r0") + 1).join(table(s, d, "fvqa_toy").groupBy("data_source").agg(F.count(F.lit(1)).alias("n")), "data_source").select("row_id", F.expr("case when r <= least(40, floor(n * 0.8)) then 'train' when r <= least(40, floor(n * 0.8)) + 10 then 'test' else 'unused' end").alias("part")), "SELECT row_id, CASE WHEN r <= least(40, floor(n * 0.8)) THEN 'train' WHEN r <= least(40, floor(n * 0.8)) + 10 THEN 'test' ELSE 'unused' END AS part FROM (SELECT row_id, row_number() OVER (PARTITION BY data_source ORDER BY row_id) AS r, count(*) OVER (PARTITION BY data_source) AS n FROM fvqa_toy WHERE data_source IS NOT NULL)")
 q("t09_source_split", lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.col("source").isin("run_notes", "rollout_log"), "held").otherwise("seed").alias("part")), "SELECT doc_id, CASE WHEN source IN ('run_notes', 'rollout_log') THEN 'held' ELSE 'seed' END AS part FROM documents")
 q("t10_equal_parts", lambda s, d: docs(s, d).where(F.col("i") < 7 * (docs(s, d).count() // 7)).select("doc_id", F.floor(F.col("i") / (docs(s, d).count() // 7)).cast("int").alias("part")), f"WITH {_D}, z AS (SELECT count(*) // 7 AS size FROM d) SELECT doc_id, (i // size)::INT AS part FROM d, z WHERE i < size * 7")
 q("t11_curriculum_order", lambda s, d: table(s, d, "fvqa_toy").join(F.broadcast(table(s, d, "source_catalog").select(F.col("source").alias("data_source"), "first_seen")), "data_source").select("row_id", "split", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("seen")).transform(lambda x: B.with_row_number(x, "seen", "row_id", out="turn", within="split")).select("row_id", F.col("turn") + 1).withColumnsRenamed({"(turn + 1)": "turn"}), "SELECT row_id, row_number() OVER (PARTITION BY split ORDER BY first_seen, row_id) AS turn FROM fvqa_toy JOIN source_catalog ON source = data_source")
