@@ -24,6 +24,7 @@ ignored; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tracequarry.session import staged
 
 WIDTH = 200
-INNER = 64
+INNER = 80
 #: Windows examined together in the second step.
 BLOCK = 8
 #: Characters hashed at once (about 60 bytes each while at work); a longer text is hashed alone.
@@ -164,7 +165,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             for own, text, starts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), width):
                 number, anchor, whole, first, end = anchor_runs(text, starts, width, inner, powers)
                 yield pa.RecordBatch.from_arrays(
@@ -172,6 +173,11 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["d", "anchor", "whole", "first", "n"],
                 )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode("utf-8"), 1) for t in batch.column(1).to_pylist()], type=pa.binary())], names=["d", "z"])
+
+    packed = src.where("d is not null").mapInArrow(pack, "d bigint, z binary")  # texts are moved twice at most, deflated
     run = src.mapInArrow(runs, "d bigint, anchor bigint, whole bigint, first int, n int")
     anchors = run.select("anchor", "d").groupBy("anchor").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y").select("anchor")
     kept = staged(run.join(anchors, "anchor", "left_semi"))
@@ -185,7 +191,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for row in range(batch.num_rows):
                 found = batch.column(1)[row].values
                 first, n = found.field("first").to_numpy(), found.field("n").to_numpy()
-                h = RollingHash(batch.column(2)[row].as_py(), powers)
+                h = RollingHash(zlib.decompress(batch.column(2)[row].as_py()).decode("utf-8"), powers)
                 of, s, m, core, union = split_blocks(h, h.all(inner), first, n, width, inner)
                 d = np.full(of.size, batch.column(0)[row].as_py(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -193,7 +199,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["core", "part", "d", "first", "n", "o", "whole", "b"],
                 )
 
-    block = staged(mixed.join(src, "d").mapInArrow(blocks, "core bigint, part bigint, d bigint, first int, n int, o int, whole bigint, b bigint"))
+    block = staged(mixed.join(packed, "d").mapInArrow(blocks, "core bigint, part bigint, d bigint, first int, n int, o int, whole bigint, b bigint"))
     parts = block.groupBy("core", "part").agg(F.min(F.struct("d", "first", "n")).alias("at"), F.max("b").alias("b"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +208,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for row in range(batch.num_rows):
                 found = batch.column(1)[row].values
                 first, n = found.field("first").to_numpy(), found.field("n").to_numpy()
-                h = RollingHash(batch.column(2)[row].as_py(), powers)
+                h = RollingHash(zlib.decompress(batch.column(2)[row].as_py()).decode("utf-8"), powers)
                 of = np.repeat(np.arange(n.size), n)
                 o = np.arange(of.size) - np.repeat(np.cumsum(n) - n, n)
                 start = first[of] + o
@@ -211,7 +217,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [pa.array(h.at(start, start + width).view(np.int64)), pa.array(found.field("key").to_numpy()[of]), pa.array(o.astype(np.int32)), pa.array(d), pa.array(found.field("b").to_numpy()[of])], names=["h", "part", "o", "a", "b"]
                 )
 
-    window = at_documents(several(parts, "core", "part"), "part").join(src, "d").mapInArrow(windows, "h bigint, part bigint, o int, a bigint, b bigint")
+    window = at_documents(several(parts, "core", "part"), "part").join(packed, "d").mapInArrow(windows, "h bigint, part bigint, o int, a bigint, b bigint")
     twice = window.groupBy("h").agg(F.min("a").alias("x"), F.max("b").alias("y")).where("x < y").select("h")
     one = F.struct(F.col("o").alias("s"), (F.col("o") + 1).alias("e"))
     shared_part = (
