@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracequarry.llm import leakage, neighbours, overlap, packing, spans, tokens
-from tracequarry.llm.words import words_of
+from tracequarry.llm.words import edits_within, words_of
 
 RANKS = tokens.read_ranks(f"{tokens.TOKENIZER_DIR}/{tokens.VOCABULARY}")
 
@@ -218,6 +218,19 @@ def test_index_search(held, train):
     assert got == [(i, j) for i, t in enumerate(train) for j, h in enumerate(held) if levenshtein(t, h) <= 2]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 5))
+def test_edits_within(a, b, limit):
+    assert edits_within(a, b, limit) == min(levenshtein(a, b), limit + 1)
+
+
+def test_long_questions_on_both_sides():
+    rng = np.random.default_rng(3)
+    train = [rng.integers(0, 50, n).astype(np.uint64) for n in (70, 200, 200, 5000)]
+    held = [np.delete(t, 10) for t in train] + [np.concatenate([t[:60], [99, 98, 97], t[60:]]).astype(np.uint64) for t in train]
+    assert overlap.match_block(train, held, 2) == [(i, i) for i in range(4)]
+
+
 def picture_rows(rng, n):
     rows = []
     for i in range(n):

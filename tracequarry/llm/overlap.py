@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.words import WordHashes, words_of
+from tracequarry.llm.words import WordHashes, edits_within, words_of
 
 EDITS = 2
 SHARD_QUESTIONS = 50_000
 BLOCK_QUESTIONS = 20_000
+#: Questions with more words are cut into equal pieces.
+LONG_QUESTION = 64
 
 
 class WordIndex:
@@ -109,6 +111,21 @@ class WordIndex:
                 lo[live, i, j], hi[live, i, j] = a, b
         return lo, hi
 
+    def stretch(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """lo, hi of the whole of each row (an empty interval where it does not occur)."""
+        symbol = self.symbols(words)
+        lo, hi = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        live, a, b = np.arange(len(words)), np.zeros(len(words), np.int64), np.full(len(words), self.n, np.int64)
+        for i in range(words.shape[1] - 1, -1, -1):
+            s = symbol[live, i]
+            ok = s >= 0
+            live, s, a, b = live[ok], s[ok], a[ok], b[ok]
+            a, b = self.back(s, a, b)
+            ok = b > a
+            live, a, b = live[ok], a[ok], b[ok]
+        lo[live], hi[live] = a, b
+        return lo, hi
+
     def locate(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the interval, document, offset within it) of every occurrence."""
         size = hi - lo
@@ -145,21 +162,7 @@ def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
     k = min(n, m)
     same = a[:k] == b[:k]
     head = k if same.all() else int(np.argmin(same))
-    a, b = a[head:], b[head:]
-    k = min(a.size, b.size)
-    same = a[::-1][:k] == b[::-1][:k]
-    tail = k if same.all() else int(np.argmin(same))
-    x, y = a[: a.size - tail].tolist(), b[: b.size - tail].tolist()
-    if not x or not y:
-        return max(len(x), len(y)) <= edits
-    row = list(range(len(y) + 1))
-    for i, u in enumerate(x, 1):
-        before, row[0] = row[0], i
-        for j in range(1, len(y) + 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (u != y[j - 1]))
-        if min(row) > edits:
-            return False
-    return row[-1] <= edits
+    return edits_within(a[head:].tolist(), b[head:].tolist(), edits) <= edits
 
 
 def match_block(train: list[np.ndarray], held: list[np.ndarray], edits: int) -> list[tuple[int, int]]:
@@ -174,15 +177,21 @@ def match_block(train: list[np.ndarray], held: list[np.ndarray], edits: int) ->
             near = np.flatnonzero(held_sizes <= m + edits)
             found.update((int(t), int(h)) for t in numbers for h in near if within_edits(train[t], held[h], edits))
             continue
-        step = max(1, 4_000_000 // int(m * (m + 1)))
+        step = max(1, 4_000_000 // int(m * (min(m, LONG_QUESTION) + 1)))
         for at in range(0, numbers.size, step):
             own = numbers[at : at + step]
             words = np.stack([train[t] for t in own])
-            lo, hi = index.intervals(words)
-            bounds = cheapest_pieces(hi - lo, edits + 1)
+            q = np.arange(own.size)
+            if m <= LONG_QUESTION:
+                lo, hi = index.intervals(words)
+                bounds = cheapest_pieces(hi - lo, edits + 1)
+            else:  # long pieces are rare wherever they are cut
+                bounds = np.tile(np.linspace(0, m, edits + 2).astype(np.int64), (own.size, 1))
             for p in range(edits + 1):
-                q = np.arange(own.size)
-                a, b = lo[q, bounds[:, p], bounds[:, p + 1]], hi[q, bounds[:, p], bounds[:, p + 1]]
+                if m <= LONG_QUESTION:
+                    a, b = lo[q, bounds[:, p], bounds[:, p + 1]], hi[q, bounds[:, p], bounds[:, p + 1]]
+                else:
+                    a, b = index.stretch(words[:, bounds[0, p] : bounds[0, p + 1]])
                 for part in _runs(b - a, 2_000_000):
                     of, document, offset = index.locate(a[part], b[part])
                     close = (np.abs(offset - bounds[part][of, p]) <= edits) & (np.abs(held_sizes[document] - m) <= edits)

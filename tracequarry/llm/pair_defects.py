@@ -18,6 +18,7 @@ that need it; null gold entries are skipped; repeated rows each give their row;
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 
 from tracequarry.llm.lookalikes import visual_form
 from tracequarry.llm.truncation import left_open
+from tracequarry.llm.words import edits_within
 from tracequarry.session import staged
 
 DEFECTS = ("empty", "copied_question", "truncated", "refusal", "other_language")
@@ -97,20 +99,6 @@ def is_sentence(text: str) -> bool:
     return len([w for w in words if w.lower() in _ANY_FUNCTION and w.lower() not in PARTICLES]) >= 2
 
 
-def edit_words(a: list[str], b: list[str], limit: int) -> int:
-    """Words inserted, removed or replaced, up to limit + 1."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        if min(row) > limit:
-            return limit + 1
-    return row[-1]
-
-
 def votes(question: str | None, answer: str | None, golds: list[str | None] | None, q_language: str | None) -> tuple[tuple[int, ...], ...]:
     """The votes of all labelling functions, by defect."""
     form = " ".join((visual_form(answer) or "").split())
@@ -131,8 +119,9 @@ def votes(question: str | None, answer: str | None, golds: list[str | None] | No
         once = words
         if len(words) > len(asked) + limit and words[: len(words) // 2] == words[(len(words) + 1) // 2 :]:
             once = words[: len(words) // 2]
-        near = edit_words(once, asked, limit) <= limit and len(asked) >= 3
         known = set(asked)
+        apart = (Counter(once) - Counter(asked)).total(), (Counter(asked) - Counter(once)).total()
+        near = len(asked) >= 3 and max(apart) <= limit and edits_within(once, asked, limit) <= limit
         own = [w for w in words if w not in known]
         covered = len(known & set(words)) / len(known)
         copied = (1 if near else -1, 1 if covered >= 0.8 and len(own) <= limit else -1, -1 if len(own) > limit or is_gold else (1 if covered >= 0.8 else 0))
