@@ -150,6 +150,14 @@ def test_leakage(spark):
     assert leakage.leaked_items(c.where("false"), i, "corpus_id", "snippet", "odoc_id", ["question", "answer"]).count() == 0
 
 
+def test_leakage_inside_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "CHUNK", 50)
+    text = " ".join(f"w{i}" for i in range(400))
+    c = spark.createDataFrame([(1, text)], CORPUS)
+    i = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 8)), None) for k in range(0, 393)], ITEMS)
+    assert leakage.leaked_items(c, i, "corpus_id", "snippet", "odoc_id", ["question", "answer"]).count() == 393
+
+
 def test_hamming_blocks_find_everything_within_the_radius():
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)]

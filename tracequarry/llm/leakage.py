@@ -98,14 +98,13 @@ def text_windows(texts: DataFrame, width: int, radius: int) -> DataFrame:
 
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words_of(text)
-                if len(w) < width:
-                    continue
-                keys.append(key)
-                words.extend(w)
-                starts.append(len(words))
-                if len(words) >= CHUNK:
-                    yield flush()
-                    keys, words, starts = [], [], [0]
+                for at in range(0, max(0, len(w) - width + 1), CHUNK):  # a very long text in overlapping pieces
+                    keys.append(key)
+                    words.extend(w[at : at + CHUNK + width - 1])
+                    starts.append(len(words))
+                    if len(words) >= CHUNK:
+                        yield flush()
+                        keys, words, starts = [], [], [0]
             if keys:
                 yield flush()
 
