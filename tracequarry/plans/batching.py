@@ -66,7 +66,7 @@ q(
     lambda s, d: B.with_row_number(table(s, d, "fvqa_toy"), "row_id", out="idx", within="split").select("row_id", "split", F.col("data_source"), F.concat(F.coalesce("question", F.lit("")), F.lit(" Let's think step by step.")).alias("content"), F.try_element_at("gold_answers", F.lit(1)).alias("ground_truth"), "idx"),
     "SELECT row_id, split, data_source, coalesce(question, '') || ' Let''s think step by step.' AS content, gold_answers[1] AS ground_truth, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS idx FROM fvqa_toy",
 )
-q("p09_search_qa_rows", lambda s, d: table(s, d, "fvqa_toy").select("row_id", F.concat(F.lit("searchR1_"), "data_source").alias("data_source"), F.coalesce(F.array_join("gold_answers", "|"), F.lit("")).alias("target")), "SELECT row_id, 'searchR1_' || data_source AS data_source, coalesce(array_to_string(gold_answers, '|'), '') AS target FROM fvqa_toy")
+q("p09_search_qa_rows", lambda s, d: table(s, d, "fvqa_toy").select("row_id", F.concat(F.lit("search_"), "data_source").alias("data_source"), F.coalesce(F.array_join("gold_answers", "|"), F.lit("")).alias("target")), "SELECT row_id, 'search_' || data_source AS data_source, coalesce(array_to_string(gold_answers, '|'), '') AS target FROM fvqa_toy")
 q("p10_pairwise_rows", lambda s, d: rollout_rows(s, d).where("size(gold_answers) > 0").select("row_id", "question", F.explode(F.array(F.col("gold_answers")[0], F.col("final_answer"))).alias("response")), f"SELECT row_id, question, unnest([gold_answers[1], final_answer]) AS response FROM {_P} WHERE len(gold_answers) > 0")
 q("p11_role_remap", lambda s, d: table(s, d, "toy_vqa").select("sample_id", F.posexplode(F.transform(F.expr("array(struct('human' as r, question as v), struct('gpt' as r, gold_answers[0] as v))"), lambda x: F.struct(F.when(x["r"] == "gpt", "assistant").when(x["r"] == "human", "user").otherwise(F.raise_error(F.lit("unknown role"))).alias("role"), x["v"].alias("content")))).alias("turn", "m")).select("sample_id", "turn", "m.role", "m.content"), "SELECT sample_id, 0::INT AS turn, 'user' AS role, question AS content FROM toy_vqa UNION ALL SELECT sample_id, 1, 'assistant', gold_answers[1] FROM toy_vqa")
 q("p12_multimodal_record", lambda s, d: table(s, d, "fvqa_toy").select("row_id", F.concat(F.lit("<image>\n"), "question").alias("prompt"), F.to_json(F.struct(F.col("data_source").alias("source"))).alias("extra"), F.coalesce(F.try_element_at("images", F.lit(1)), F.lit("")).alias("image_url")), "SELECT row_id, '<image>' || chr(10) || question AS prompt, CASE WHEN data_source IS NULL THEN '{}' ELSE '{\"source\":\"' || data_source || '\"}' END AS extra, coalesce(images[1], '') AS image_url FROM fvqa_toy")
