@@ -59,6 +59,40 @@ _NEAR = """WITH v AS (SELECT odoc_id AS id, image_dhash AS b, image_hist AS h FR
 s AS (SELECT x.id, y.id AS other, round(0.7 * (list_sum(list_transform(range(1, 65), lambda i: (x.b[i] = y.b[i])::INT)) / 64.0) + 0.3 * list_sum(list_transform(range(1, 25), lambda i: least(x.h[i], y.h[i]))), 9) AS sim
     FROM v x JOIN v y ON x.id <> y.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rn FROM s)"""
+
+
+def _overlaps_sql() -> str:
+    """Pairs by id, or by a word edit distance of at most 2 (furthest reaching rows on the diagonals -2..2)."""
+
+    def run(i: str, j: str) -> str:
+        left = f"greatest(0, least(len(a) - ({i}), len(b) - ({j})))"
+        same = f"list_transform(range({left}), lambda k: a[({i}) + k + 1] = b[({j}) + k + 1])"
+        return f"CASE WHEN list_contains({same}, FALSE) THEN list_position({same}, FALSE) - 1 ELSE {left} END"
+
+    def level(e: int) -> str:
+        cols = []
+        for d in range(-e, e + 1):
+            from_ = [f"f{e - 1}_{d - 1 + 9}" * (abs(d - 1) <= e - 1), f"f{e - 1}_{d + 9} + 1" * (abs(d) <= e - 1), f"f{e - 1}_{d + 1 + 9} + 1" * (abs(d + 1) <= e - 1)]
+            cols.append(f"least(greatest({', '.join(x for x in from_ if x)}), len(a), len(b) - ({d})) AS s_{d + 9}")
+        return ", ".join(cols)
+
+    steps = [f"e0 AS (SELECT *, {run('0', '0')} AS f0_9 FROM c)"]
+    for e in (1, 2):
+        steps.append(f"g{e} AS (SELECT * , {level(e)} FROM e{e - 1})")
+        steps.append(f"e{e} AS (SELECT * EXCLUDE ({', '.join(f's_{d + 9}' for d in range(-e, e + 1))}), {', '.join(f'CASE WHEN s_{d + 9} + {d} < 0 THEN -99 ELSE s_{d + 9} + ' + run(f's_{d + 9}', f's_{d + 9} + {d}') + f' END AS f{e}_{d + 9}' for d in range(-e, e + 1))} FROM g{e})")
+    ends = " OR ".join(f"(len(b) - len(a) = {d} AND f{e}_{d + 9} >= len(a))" for e in range(3) for d in range(-e, e + 1))
+    return (
+        f"WITH q AS (SELECT row_id, split, data_source, lower(regexp_replace(sample_id, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS sample, {_WORDS.format('question')} AS w FROM fvqa_toy),\n"
+        "t AS (SELECT DISTINCT w FROM q WHERE split = 'train' AND w IS NOT NULL), h AS (SELECT DISTINCT w FROM q WHERE split <> 'train' AND w IS NOT NULL),\n"
+        "c AS (SELECT t.w AS a, h.w AS b FROM t JOIN h ON abs(len(t.w) - len(h.w)) <= 2 AND len(list_intersect(t.w, h.w)) >= len(list_distinct(t.w)) - 2),\n"
+        + ",\n".join(steps)
+        + f",\nnear AS (SELECT a, b FROM e2 WHERE {ends}),\n"
+        "p AS (SELECT x.row_id AS r, y.row_id AS s FROM near JOIN q x ON x.w = a AND x.split = 'train' JOIN q y ON y.w = b AND y.split <> 'train'\n"
+        "UNION SELECT x.row_id, y.row_id FROM q x JOIN q y ON x.sample = y.sample AND x.split = 'train' AND y.split <> 'train'),\n"
+        "found AS (SELECT DISTINCT least(r, s) AS row_id_a, greatest(r, s) AS row_id_b FROM p)"
+    )
+
+
 _SPANS = """WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
 w AS (SELECT doc_id, i - 1 AS s, md5(substring(text, i, 200)) AS h FROM p),
 r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
@@ -71,6 +105,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _LEAKS + " SELECT DISTINCT corpus_id, odoc_id FROM found",
         "p3_report": _LEAKS + " SELECT odoc_id, split, count(*) AS n_rows FROM found GROUP BY odoc_id, split",
+        "p5_found": _overlaps_sql() + " SELECT * FROM found",
+        "p5_counts": _overlaps_sql() + " SELECT split, data_source, count(*) AS n_rows FROM fvqa_toy WHERE row_id IN (SELECT row_id_a FROM found UNION SELECT row_id_b FROM found) GROUP BY split, data_source",
         "p6_found": _NEAR + " SELECT DISTINCT least(id, other) AS odoc_id_a, greatest(id, other) AS odoc_id_b FROM k WHERE rn <= 5 AND sim >= 0.9",
         "p6_nearest": _NEAR + " SELECT id, other, round(sim, 6) AS sim FROM k WHERE rn <= 5 AND sim >= 0.9",
         "p10_found": _SPANS + " SELECT * FROM spans",
