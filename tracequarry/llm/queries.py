@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.llm.leakage import leak_report, leaked_items
-from tracequarry.llm.lookalikes import look_alike_pairs, visual_forms
+from tracequarry.llm.lookalikes import CYRILLIC, GREEK, look_alike_pairs, visual_forms
 from tracequarry.llm.neighbours import nearest_rows, similar_pairs
 from tracequarry.llm.overlap import overlap_counts, split_overlaps
 from tracequarry.llm.packing import pack_documents
@@ -61,6 +61,18 @@ s AS (SELECT x.id, y.id AS other, round(0.7 * (list_sum(list_transform(range(1,
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rn FROM s)"""
 
 
+def _form_sql(x: str) -> str:
+    """The visual form in SQL: widths, look-alike letters and spaces translated, hidden characters dropped, accents composed."""
+    spaces = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\t\n\r\x0b\x0c\x85"
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    narrow = "".join(map(chr, range(0x21, 0x7F)))
+    pairs = {**CYRILLIC, **GREEK}
+    source, target = wide + spaces + "".join(pairs), narrow + " " * len(spaces) + "".join(pairs.values())
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    hidden = r"[\x{00ad}\x{034f}\x{061c}\x{115f}\x{1160}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}\x{fe00}-\x{fe0f}\x{0000}-\x{0008}\x{000e}-\x{001f}\x{007f}]"
+    return f"nfc_normalize(translate(regexp_replace({x}, '{hidden}', '', 'g'), {quote(source)}, {quote(target)}))"
+
+
 def _overlaps_sql() -> str:
     """Pairs by id, or by a word edit distance of at most 2 (furthest reaching rows on the diagonals -2..2)."""
 
@@ -109,6 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_counts": _overlaps_sql() + " SELECT split, data_source, count(*) AS n_rows FROM fvqa_toy WHERE row_id IN (SELECT row_id_a FROM found UNION SELECT row_id_b FROM found) GROUP BY split, data_source",
         "p6_found": _NEAR + " SELECT DISTINCT least(id, other) AS odoc_id_a, greatest(id, other) AS odoc_id_b FROM k WHERE rn <= 5 AND sim >= 0.9",
         "p6_nearest": _NEAR + " SELECT id, other, round(sim, 6) AS sim FROM k WHERE rn <= 5 AND sim >= 0.9",
+        "p7_found": f"WITH g AS (SELECT row_id, final_answer, unnest(gold_answers) AS gold, unnest(range(len(gold_answers)))::INT AS gold_pos FROM prompted_search_smoke WHERE len(gold_answers) > 0) SELECT row_id, gold_pos FROM g WHERE final_answer <> gold AND {_form_sql('final_answer')} = {_form_sql('gold')}",
         "p10_found": _SPANS + " SELECT * FROM spans",
         "p10_share": _SPANS
         + """ SELECT d.doc_id, length(d.text) AS n_chars, coalesce(c.n, 0)::BIGINT AS shared_chars, round(CASE WHEN length(d.text) > 0 THEN coalesce(c.n, 0) / length(d.text) ELSE 0.0 END, 6) AS shared_share
