@@ -71,7 +71,7 @@ q("p10_pairwise_rows", lambda s, d: rollout_rows(s, d).where("size(gold_answers)
 q("p11_role_remap", lambda s, d: table(s, d, "toy_vqa").select("sample_id", F.posexplode(F.transform(F.expr("array(struct('human' as r, question as v), struct('gpt' as r, gold_answers[0] as v))"), lambda x: F.struct(F.when(x["r"] == "gpt", "assistant").when(x["r"] == "human", "user").otherwise(F.raise_error(F.lit("unknown role"))).alias("role"), x["v"].alias("content")))).alias("turn", "m")).select("sample_id", "turn", "m.role", "m.content"), "SELECT sample_id, 0::INT AS turn, 'user' AS role, question AS content FROM toy_vqa UNION ALL SELECT sample_id, 1, 'assistant', gold_answers[1] FROM toy_vqa")
 q("p12_multimodal_record", lambda s, d: table(s, d, "fvqa_toy").select("row_id", F.concat(F.lit("<image>\n"), "question").alias("prompt"), F.to_json(F.struct(F.col("data_source").alias("source"))).alias("extra"), F.coalesce(F.try_element_at("images", F.lit(1)), F.lit("")).alias("image_url")), "SELECT row_id, '<image>' || chr(10) || question AS prompt, CASE WHEN data_source IS NULL THEN '{}' ELSE '{\"source\":\"' || data_source || '\"}' END AS extra, coalesce(images[1], '') AS image_url FROM fvqa_toy")
 q("p13_vqa_adapter", lambda s, d: table(s, d, "offline_doc").select("odoc_id", F.coalesce(N.strip(F.col("question_id")), F.concat(F.lit("ds_"), "odoc_id")).alias("sample_id"), (F.coalesce("category", F.lit("")) != "no_search").alias("needs_search")), f"SELECT odoc_id, coalesce({strip('question_id')}, 'ds_' || odoc_id) AS sample_id, coalesce(category, '') <> 'no_search' AS needs_search FROM offline_doc")
-q("p14_answers_union", lambda s, d: table(s, d, "offline_doc").select("odoc_id", F.array_join(N.ordered_dedupe(F.concat(F.array("answer"), F.coalesce("candidate_answers", F.array().cast("array<string>")))), "|").alias("answers")), None)
+q("p14_answers_union", lambda s, d: table(s, d, "offline_doc").select("odoc_id", F.array_join(N.ordered_dedupe(F.concat(F.array("answer"), F.coalesce("candidate_answers", F.array().cast("array<string>")))), "|").alias("answers")), f"WITH a AS (SELECT odoc_id, list_filter(list_transform(list_concat([answer], coalesce(candidate_answers, []::VARCHAR[])), lambda x: {strip('x')}), lambda x: x IS NOT NULL AND x <> '') AS l FROM offline_doc) SELECT odoc_id, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: lower(y)), lower(x[1])) THEN acc ELSE list_concat(acc, x) END), '|') AS answers FROM a")
 q("p15_sample_lists", lambda s, d: table(s, d, "fvqa_toy").select("row_id", F.array_join(F.filter(F.transform("gold_answers", N.strip), lambda x: x != ""), "|").alias("golds")), f"SELECT row_id, array_to_string(list_filter(list_transform(gold_answers, lambda x: {strip('x')}), lambda x: x <> ''), '|') AS golds FROM fvqa_toy")
 q("p18_column_partition", lambda s, d: rollout_rows(s, d).select("row_id", "sample_id", "data_source"), f"SELECT row_id, sample_id, data_source FROM {_P}")
 q("p19_answer_only_override", lambda s, d: rollout_rows(s, d).select("row_id", F.map_concat(F.expr("map_filter(coalesce(tool_stats, map()), (k, v) -> k not in ('format_penalty', 'search_penalty'))"), F.expr("map('format_penalty', 0, 'search_penalty', 0)")).alias("m")).select("row_id", F.size("m").alias("n"), F.col("m")["format_penalty"].alias("fp")), f"SELECT row_id, (coalesce(cardinality(tool_stats), 0) + 2)::INT AS n, 0 AS fp FROM {_P}")

@@ -9,7 +9,7 @@ from tracequarry.functions import textnorm as N
 from tracequarry.operators import stepreward as S
 from tracequarry.operators.grouprel import with_group
 from tracequarry.plans.registry import Registry
-from tracequarry.plans.textual import collapse, strip
+from tracequarry.plans.textual import collapse, qa
 from tracequarry.plans.views import STEPS_SQL, rollout_rows, steps
 from tracequarry.session import table
 
@@ -68,7 +68,7 @@ R.add(
 R.add(
     "w35_support_test",
     lambda s, d: steps(s, d).join(rollout_rows(s, d).select("row_id", "gold_answers"), "row_id").select("row_id", "pos", F.coalesce(F.exists("gold_answers", lambda g: (F.length(N.qa_normalize(g)) >= 3) & N.qa_normalize(F.col("evidence")).contains(N.qa_normalize(g))), F.lit(False)).alias("supported")),
-    None,
+    f"WITH {STEPS_SQL} SELECT s.row_id, s.pos, coalesce(len(list_filter(gold_answers, lambda g: coalesce(length({qa('g')}) >= 3 AND contains({qa('s.evidence')}, {qa('g')}), FALSE))) > 0, FALSE) AS supported FROM steps s JOIN {_P} USING (row_id)",
 )
 R.add(
     "w36_ablation_variants",
