@@ -57,7 +57,7 @@ q("b24_prompt_copies", lambda s, d: table(s, d, "toy_vqa").select("sample_id", F
 q("p01_select", lambda s, d: table(s, d, "fvqa_toy").select("row_id", "split"), "SELECT row_id, split FROM fvqa_toy")
 q("p02_pop", lambda s, d: table(s, d, "source_catalog").drop("kind"), "SELECT source, first_seen FROM source_catalog")
 q("p03_rename", lambda s, d: table(s, d, "source_catalog").withColumnsRenamed({"kind": "sort"}), "SELECT source, kind AS sort, first_seen FROM source_catalog")
-q("p04_take_rows", lambda s, d: B.take(docs(s, d), s.createDataFrame([(0, 5), (1, 2), (2, 5), (3, 900)], "pos bigint, i bigint")).select("pos", "doc_id"), f"WITH {_D} SELECT pos, doc_id FROM (VALUES (0, 5), (1, 2), (2, 5), (3, 900)) w(pos, i) JOIN d USING (i)")
+q("p04_take_rows", lambda s, d: B.take(docs(s, d), s.createDataFrame([(0, 5), (1, 2), (2, 5), (3, 900)], "pos bigint, i bigint")).select("pos", "doc_id"), f"WITH {_D} SELECT pos::BIGINT AS pos, doc_id FROM (VALUES (0, 5), (1, 2), (2, 5), (3, 900)) w(pos, i) JOIN d USING (i)")
 q("p05_slice", lambda s, d: B.python_slice(docs(s, d), 10, -10, 7).select("i", "doc_id"), f"WITH {_D} SELECT i, doc_id FROM d WHERE i >= 10 AND i < (SELECT count(*) FROM d) - 10 AND (i - 10) % 7 = 0")
 q("p06_length_filter", lambda s, d: table(s, d, "documents").where(F.coalesce(F.size(N.split_tokens(F.col("text"))), F.lit(201)) <= 200).where("text is not null").select("doc_id"), f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND len(list_filter(string_split_regex({strip('text')}, '[\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+'), lambda x: x <> '')) <= 200")
 q("p07_nonempty_label", lambda s, d: table(s, d, "offline_doc").where("length(category) > 0").select("odoc_id", "category"), "SELECT odoc_id, category FROM offline_doc WHERE length(category) > 0")
@@ -79,7 +79,7 @@ q("p21_selected_steps", lambda s, d: rollout_rows(s, d).where("size(steps) >= 2
 q("p22_prompt_variants", lambda s, d: table(s, d, "toy_vqa").select("sample_id", "question", F.explode(F.expr("array('direct', 'search')")).alias("mode")).select("sample_id", "mode", F.concat(F.when(F.col("mode") == "search", "You must search first. <image> ").otherwise("Answer directly. <image> "), "question").alias("prompt")), "SELECT sample_id, mode, CASE WHEN mode = 'search' THEN 'You must search first. <image> ' ELSE 'Answer directly. <image> ' END || question AS prompt FROM toy_vqa, (VALUES ('direct'), ('search')) m(mode)")
 q("p23_weighted_expansion", lambda s, d: rollout_rows(s, d).where("latency > 0").select("row_id", F.greatest(F.lit(1), F.bround(F.col("latency") * 2).cast("int")).alias("n")).select("row_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy")), f"SELECT row_id, unnest(range(greatest(1, round_even(latency * 2, 0)::INT)))::INT AS copy FROM {_P} WHERE latency > 0")
 q("p24_find_and_jump", lambda s, d: rollout_rows(s, d).where(F.replace(F.col("rollout_id"), F.lit("-"), F.lit("")).contains("ro_0")).groupBy("data_source").agg(F.min_by("rollout_id", "row_id").alias("first_match")), f"SELECT data_source, arg_min(rollout_id, row_id) AS first_match FROM {_P} WHERE contains(replace(rollout_id, '-', ''), 'ro_0') GROUP BY data_source")
-q("p25_package_counts", lambda s, d: table(s, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull() | (F.length("text") == 0)).alias("missing")), "SELECT source, lang, count(*) AS n, count_if(text IS NULL OR length(text) = 0) AS missing FROM documents GROUP BY source, lang")
+q("p25_package_counts", lambda s, d: table(s, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull() | (F.length("text") == 0)).alias("missing")), "SELECT source, lang, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR length(text) = 0) AS missing FROM documents GROUP BY source, lang")
 q("p26_single_row", lambda s, d: docs(s, d).where("i = 17").select("doc_id", "n_chars"), f"WITH {_D} SELECT doc_id, n_chars FROM d WHERE i = 17")
 
 q("t01_stable_top_k", lambda s, d: table(s, d, "documents").orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(20).select("doc_id", "n_chars"), "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20")
