@@ -101,6 +101,20 @@ def test_truncated_values(spark):
     assert T.truncated_values(df.where("false")).count() == 0
 
 
+def test_a_source_that_cuts_most_values(spark):
+    cut, whole, fact, open_ = "The hall was bui", "The hall was built in 1914.", "Opened: 1998 | Type: tram depot", "The hall (built in"
+    step = lambda *texts: [(0, "crop", None, [("t", x) for x in texts])]
+    rows = [(1, "bad", None, step(cut, cut, cut, whole)), (2, "good", None, step(*[whole] * 9)), (3, "tiny", None, step(cut)), (4, "facts", None, step(fact, fact, cut))]
+    df = spark.createDataFrame(rows, f"row_id bigint, data_source string, question string, steps {STEP}")
+    assert sorted((r["row_id"], r["hit_pos"]) for r in T.truncated_values(df).collect()) == [(1, 0), (1, 1), (1, 2), (3, 0), (4, 2)]
+    rates = {r["source"]: (r["n_values"], r["n_cut"]) for r in T.truncation_rates(df).collect()}
+    assert rates == {"bad": (4, 3), "good": (9, 0), "tiny": (1, 1), "facts": (3, 1)}
+    alone = spark.createDataFrame([(1, "bad", None, step(open_, "It stands near the mill. The hall was bui", cut, cut))], df.schema)
+    assert [r["hit_pos"] for r in T.truncated_values(alone).orderBy("hit_pos").collect()][:2] == [0, 1]
+    plain = spark.createDataFrame([(1, "plain", None, step(*["The hall near Ashford"] * 4, fact))], df.schema)
+    assert T.truncated_values(plain).count() == 0  # no source ends a sentence: fact lines do not count as ended
+
+
 @pytest.mark.parametrize(
     "a, b, same",
     [

@@ -2,11 +2,13 @@
 
 Method: a structural completeness check. A stack automaton reads the quotes, brackets and markup of a value
 and tells what is left open; further signs are a broken multibyte sequence or escape at the end, a cut mark,
-an abbreviation at the end, and a missing terminator. What a missing terminator means depends on the source:
-the share of values that end properly is counted per source and field over all rows, and only where it
-reaches ``BASELINE`` a missing terminator counts as a cut. Values that never have one (fact lines, keyword
-queries, questions without a question mark) are told apart by their form; a query is also held against the
-question it was made from, where a last word that is the beginning of a question's word was cut.
+an abbreviation at the end, and a missing terminator. A value that ends earlier sentences of its own and not its
+last one was cut. What a missing terminator means elsewhere depends on the source: the share of sentences that
+show a terminator is counted per source and field over all rows, and where it, or that of the field over all
+sources, reaches ``BASELINE`` a missing terminator counts as a cut; so a source that cuts most of its values is
+measured by the others. Values that never have one (fact lines, keyword queries, questions without a question
+mark) are told apart by their form and do not count; a query is also held against the question it was made from,
+where a last word that is the beginning of a question's word was cut.
 
 Plan: one scan of the needed nested columns, one ``mapInArrow`` whose result, the values with a sign of a cut and
 a few counts a batch, is staged; a partial aggregate of (source, field) counts and a join with those few rows.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.session import staged
 
-#: Share of properly ended values from which a missing terminator counts as a cut.
+#: Share of sentences with a terminator from which a missing one counts as a cut.
 BASELINE = 0.5
 
 # Signs, opening and closing characters, abbreviations and words that ask.
@@ -45,6 +47,7 @@ _ASKED = re.compile(r"\b\d{4}(?: (?:verkaufte|erbte|verließ|erwarb|bezog))?$",
 
 _MARKS = re.compile(r"""["“”«»()\[\]{}]|</?[A-Za-z][^<>]*>|<""")
 _ENDED = re.compile(r"[.!?。！？…][\"”»'’)\]*_]*$")
+_INNER = re.compile(r"""(\w{3,})[.!?][\"”»'’)\]*_]*\s+[\"“«(\[¿¡*_]*([^\W\d_])""")
 _CUT_MARK = re.compile(r"(?:\.\.\.|…)$")
 _BROKEN = re.compile(r"(?:�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&[A-Za-z#0-9]{0,8}|%[0-9a-fA-F]?)$")
 _FACTS = re.compile(r"^[^|:]{1,40}: [^|]+\|")
@@ -104,11 +107,18 @@ def ends_early(text: str) -> bool | None:
     core = bare.rstrip("*_")
     if _ENDED.search(core):
         return bool(_ABBREVIATED.search(core)) or left_open(core)
+    if left_open(core):
+        return True
     if asks_in_full(bare):
         return False
     return None
 
 
+def ends_inner_sentence(text: str) -> bool:
+    """True if a sentence before the last one has its terminator."""
+    return any(m[2].isupper() and m[1].lower() not in ABBREVIATIONS for m in _INNER.finditer(text))
+
+
 def words_of(text: str) -> list[str]:
     return _QUESTION_WORD.findall(text.lower())
 
@@ -150,7 +160,11 @@ def truncated_values(df: DataFrame, id_col: str = "row_id", source_col: str = "d
 
 
 def _cut(judged: DataFrame, counts: DataFrame, id_col: str, baseline: float) -> DataFrame:
-    usual = counts.groupBy("source", "field").agg((F.sum("ended") >= baseline * F.sum("n")).alias("usual"))
+    # few rows: sources x fields; a source below the baseline is measured by its field over all sources
+    own = counts.groupBy("source", "field").agg(F.sum("sentences").alias("sentences"), F.sum("ended").alias("ended"))
+    field = own.groupBy(F.col("field").alias("_g")).agg(F.sum("sentences").alias("_sentences"), F.sum("ended").alias("_ended"))
+    reaches = lambda ended, n: F.col(ended) >= baseline * F.col(n)
+    usual = own.join(field, F.col("field") == F.col("_g")).select("source", "field", (reaches("ended", "sentences") | reaches("_ended", "_sentences")).alias("usual"))
     sure = judged.where("sure")
     likely = judged.where("not sure").join(usual.where("usual").withColumnsRenamed({"source": "_s", "field": "_f"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f")), "left_semi")
     return sure.unionByName(likely).select(id_col, "step_id", "hit_pos", "field", "source")
@@ -165,7 +179,8 @@ def truncation_rates(df: DataFrame, id_col: str = "row_id", source_col: str = "d
 
 
 def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps_col: str) -> tuple[DataFrame, DataFrame]:
-    """The values with a sign of a cut (sure or not), and per scanned batch the number of values and of ended ones."""
+    """The values with a sign of a cut (sure or not), and per scanned batch the number of values, of sentences among
+    them and of those that show a terminator."""
     element = df.schema[steps_col].dataType.elementType
     step_type = element["step_id"].dataType
     rows = df.select(
@@ -181,7 +196,7 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
         ).alias("steps"),
     ).where(F.size("steps") > 0)
     id_type, src_type = df.schema[id_col].dataType.simpleString(), df.schema[source_col].dataType.simpleString()
-    schema = f"id {id_type}, source {src_type}, step_id {step_type.simpleString()}, hit_pos int, field string, sure boolean, n bigint, ended bigint"
+    schema = f"id {id_type}, source {src_type}, step_id {step_type.simpleString()}, hit_pos int, field string, sure boolean, n bigint, sentences bigint, ended bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool | None] = {}
@@ -206,13 +221,16 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
                         if not text:
                             continue
                         early = query_ends_early(text, question) if place < 0 else verdict(text)
-                        c = counts.setdefault((source, field), [0, 0])
+                        ended = early is False and bool(_ENDED.search(text.rstrip().rstrip("*_")))
+                        inner = early is None and ends_inner_sentence(text)
+                        c = counts.setdefault((source, field), [0, 0, 0])
                         c[0] += 1
-                        c[1] += early is False
+                        c[1] += ended or early is None
+                        c[2] += ended or inner
                         if early is not False:
-                            out.append((key, source, step["step_id"], place, field, early is True, 0, 0))
-            out += [(None, s, None, None, f, None, n, e) for (s, f), (n, e) in counts.items()]
-            cols = list(zip(*out)) or [[]] * 8
+                            out.append((key, source, step["step_id"], place, field, early is True or inner, 0, 0, 0))
+            out += [(None, s, None, None, f, None, *c) for (s, f), c in counts.items()]
+            cols = list(zip(*out)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, arrow_types)], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -222,4 +240,4 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
     arrow_types, names = [f.type for f in arrow], [f.name for f in arrow]
     every = staged(rows.mapInArrow(run, schema))
     judged = every.where("sure is not null").select(F.col("id").alias(id_col), "source", "step_id", "hit_pos", "field", "sure")
-    return judged, every.where("sure is null").select("source", "field", "n", "ended")
+    return judged, every.where("sure is null").select("source", "field", "n", "sentences", "ended")
