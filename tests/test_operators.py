@@ -3,13 +3,15 @@
 import json
 import math
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracequarry.functions import pyfn as Y
 from tracequarry.functions import textnorm as N
-from tracequarry.operators import balance, batch, grouprel, losses, retrieval, rollup, seqscan, shred, stepreward
+from tracequarry.operators import balance, batch, grouprel, losses, retrieval, rollup, seqscan, shred, stepreward, typedpool
 from tracequarry.sources import readers
 from tracequarry.streaming import queues
 
@@ -292,3 +294,51 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.newest_file(spark, str(tmp_path / "*.json")).endswith("arr.json")
     assert readers.load_or_compute(spark, f"{tmp_path}/memo", lambda: df.select("split")).count() == 1
     assert len(df.select(readers.cache_key("split")).first()[0]) == 64
+
+
+# --- the typed pool
+
+
+POOL = "key bigint, tool string, items int, size int, step int, action string, evidence string, answer string, semantic string, image string"
+
+
+def brute_counterfactuals(rows, k):
+    rows = [dict(zip(typedpool.FIELDS, r)) for r in rows]
+    for r in rows:
+        r["tokens"], r["size"] = typedpool.entity_tokens(r["action"], r["evidence"]), max(1, r["size"])
+    pool = {}
+    for r in sorted(rows, key=lambda r: r["key"]):
+        pool.setdefault((r["tool"], r["step"], r["action"]), r)
+    out = {}
+    for a in rows:
+        c = [b for b in pool.values() if b["tool"] == a["tool"] and (b["step"], b["action"]) != (a["step"], a["action"])]
+        c.sort(key=lambda b: (not typedpool.hard_negative(a["tool"], a, b), a["items"] != b["items"], abs(a["size"] - b["size"]), b["key"]))
+        out[a["key"]] = [b["key"] for b in c[:k]] + [None] * (k - len(c))
+    return out
+
+
+def test_typed_pool_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["hall", "mint", "crane", "tower", "of", "mill"] + [f"name{i}" for i in range(40)]
+    text = lambda n: rng.choice([None] + [" ".join(rng.choices(words, k=n)) for _ in range(9)])
+    tools = ["text_search"] * 5 + ["image_search", "crop", "select", "stop", None]
+    rows = [(i, rng.choice(tools), rng.randrange(4), rng.randrange(12), rng.randrange(2), text(2), text(3), rng.choice([None] * 9 + ["x", "y"]), rng.choice([None, "s"]), rng.choice([None, "p"])) for i in range(300)]
+    rows += [(900, "ocr", 1, 5, 0, "only one", "mint", None, None, None), (901, "ocr", 2, 5, 1, "other", "hall", None, None, None)]
+    monkeypatch.setattr(typedpool, "BLOCK", 40)
+    monkeypatch.setattr(typedpool, "FEW", 30)
+    got = {}
+    for r in typedpool.typed_counterfactuals(spark.createDataFrame(rows, POOL), 3).orderBy("key", "rank").collect():
+        got.setdefault(r["key"], []).append(r["other"])
+        assert r["masked"] == (r["other"] is None)
+    assert got == brute_counterfactuals(rows, 3)
+    assert got[900] == [901, None, None]  # another item count is ranked, not dropped; the rest is masked
+    assert typedpool.typed_counterfactuals(spark.createDataFrame([], POOL), 3).count() == 0
+    want = brute_counterfactuals(rows, 3)
+    unique = {(r[1], r[4], r[5]): r for r in reversed(rows)}.values()
+    for few in (0, 30, 10_000):  # looked up, and met outwards
+        monkeypatch.setattr(typedpool, "FEW", few)
+        for tool in {r[1] for r in rows}:
+            frame = lambda own: typedpool._rows(pd.DataFrame([r for r in own if r[1] == tool], columns=typedpool.FIELDS).assign(size=lambda x: x["size"].clip(lower=1)))  # noqa: B023, E731
+            block = typedpool.Block(frame(unique))
+            for q in frame(rows):
+                assert [x[3] for x in block.best(q, 3)] == [k for k in want[q["key"]] if k is not None]

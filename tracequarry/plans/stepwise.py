@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import textnorm as N
 from tracequarry.operators import stepreward as S
 from tracequarry.operators.grouprel import with_group
+from tracequarry.operators.typedpool import typed_counterfactuals
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.textual import collapse, qa
 from tracequarry.plans.views import STEPS_SQL, rollout_rows, steps
@@ -122,6 +123,15 @@ R.add(
     f"""WITH {STEPS_SQL}, o AS (SELECT row_id * 100 + pos AS key, tool_type AS tool, len(obs) AS items, length(coalesce(evidence, '')) AS size FROM steps WHERE obs IS NOT NULL)
 SELECT key, other, rank FROM (SELECT a.key, b.key AS other, row_number() OVER (PARTITION BY a.key ORDER BY abs(a.size - b.size), b.key)::INT AS rank FROM o a JOIN o b ON a.tool = b.tool AND a.items = b.items AND a.key <> b.key) WHERE rank <= 3""",
 )
+def pooled(s, d):
+    """Every step as the typed pool takes it."""
+    x = table(s, d, "prompted_search_smoke").select("row_id", F.posexplode("steps").alias("pos", "s")).where("s is not null")
+    of = lambda name: F.try_element_at("s.metadata", F.lit(name)).alias(name.removesuffix("_id"))
+    return x.select((F.col("row_id") * 100 + F.col("pos")).alias("key"), F.col("s.tool_type").alias("tool"), F.coalesce(F.when(F.col("s.raw_observation").isNotNull(), F.size("s.raw_observation")), F.lit(1)).alias("items"), F.length(F.coalesce("s.evidence_summary", F.lit(""))).alias("size"), F.col("s.step_id").alias("step"), F.col("s.action_text").alias("action"), F.col("s.evidence_summary").alias("evidence"), of("answer"), of("semantic_id"), of("image_id"))
+
+
+# j08_counterfactuals is what its SQL says; this one ranks the whole pool and pads.
+R.add("j08_typed_pool", lambda s, d: typed_counterfactuals(pooled(s, d), 3))
 R.add(
     "g04_tool_dispatch",
     lambda s, d: steps(s, d).select("row_id", "pos", F.when(F.col("tool_type").isin("text_search", "image_search"), F.concat(F.lit("retrieved "), F.coalesce(F.when(F.col("obs").isNotNull(), F.size("obs")), F.lit(0)))).when(F.col("tool_type") == "crop", F.lit("region")).when(F.col("tool_type") == "stop", F.coalesce("action_text", F.lit("No new observation."))).otherwise(F.lit("unknown tool")).alias("observation")),
