@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import pyfn as Y
 from tracequarry.functions import textnorm as N
-from tracequarry.operators import balance, batch, grouprel, losses, retrieval, rollup, seqscan, shred, stepreward, typedpool
+from tracequarry.operators import balance, batch, grouprel, losses, relabel, retrieval, rollup, seqscan, shred, stepreward, typedpool
 from tracequarry.sources import readers
 from tracequarry.streaming import queues
 
@@ -342,3 +343,52 @@ def test_typed_pool_against_brute_force(spark, monkeypatch):
             block = typedpool.Block(frame(unique))
             for q in frame(rows):
                 assert [x[3] for x in block.best(q, 3)] == [k for k in want[q["key"]] if k is not None]
+
+
+def test_offline_relabel_against_a_loop(spark):
+    words = lambda t: re.findall("[A-Za-z0-9_]+", (t or "").lower())
+
+    def logp(context, target):
+        known, want = set(words(context)), words(target)
+        hit = sum(w in known for w in want)
+        return math.log(0.05 + 0.9 * hit / len(want)) - 0.02 * (len(want) - hit) if want else 0.0
+
+    found = [("image_search", "image://a", "1. mint of Olm"), ("text_search", "mint Olm", "1. the answer Trund Marsk"), ("stop", "Trund Marsk", "final: Trund Marsk")]
+    lost = [("text_search", "mint Klas", "1. Klas Riatu hall"), ("text_search", "Klas Riatu Trund", "1. Klas mill"), ("ocr", "sign", None)]
+    third = [("text_search", "mint Olm mill", "1. Marsk mill"), ("crop", "crop[0]", "")]
+    rollouts = [(1, "Who built the mint?", ["Trund Marsk", None], found), (2, "Who kept the mill?", ["Klas"], lost), (3, None, ["Marsk"], third), (4, "Where?", None, [("stop", "Klas", None)])]
+    rows = [(r, i, q, (golds or [""])[0], r * 1000 + i, t, 1, len(e or ""), i, a, e, None, None, None) for r, q, golds, own in rollouts for i, (t, a, e) in enumerate(own)]
+    df = spark.createDataFrame(rows, f"row bigint, pos int, question string, target string, {POOL}")
+    steps = relabel.relabelled_steps(df, F.lit(0.5)).cache()
+    got = {(r["row"], r["pos"]): r for r in steps.collect()}
+    assert len(got) == len(rows)
+    others = brute_counterfactuals([r[4:] for r in rows], 2)
+    evidence, want = {r[4]: r[10] or "" for r in rows}, {}
+    for r, question, golds, own in rollouts:
+        head, g, d = f"Question: {question or ''}\n", [], []
+        for i, (tool, action, e) in enumerate(own):
+            head += f"Action[{i}:{tool}]: {action}\nObservation[{i}]: "
+            replaced = [evidence[k] if k is not None else relabel.MASKED.get(tool, relabel._MASKED_ELSE) for k in others[r * 1000 + i]]
+            gain = lambda target: logp(head + (e or ""), target) - sum(logp(head + x, target) for x in replaced) / 2  # noqa: B023, E731
+            local, future = gain((golds or [""])[0]), gain(own[i + 1][1]) if i + 1 < len(own) else 0.0
+            g.append(max(-2, min(2, 0.0 if abs(local) < 0.02 else local if local > 0 else 0.25 * local)))
+            d.append(max(0, min(2, 0.0 if abs(future) < 0.02 else future)))
+            head += (e or "") + "\n"
+        for i, (tool, _, _) in enumerate(own):
+            ret = g[i] + (0.5 * d[i] * max(g[i + 1], 0) if i + 1 < len(own) else 0)
+            want[r, i] = (g[i], d[i], ret, 0.4 * ret + 0.1 - 0.05 * stepreward.TOOL_COSTS[tool])
+    for k, w in want.items():
+        assert all(abs(got[k][c] - x) < 1e-9 for c, x in zip(("g", "d", "ret", "total"), w)), k
+    edges = relabel.edge_rows(steps, spark.createDataFrame([(r, g) for r, _, g, _ in rollouts], "row bigint, golds array<string>")).cache()
+    by = {r["row"]: r for r in edges.collect()}
+    assert set(by) == {1, 2, 3, 4} and by[1]["answer1"] and not by[1]["answer0"] and by[2]["answer0"] and by[4]["tool1"] is None
+    for r in by.values():
+        k = r["row"]
+        ok = want[k, 0][1] > 0.02 and want.get((k, 1), (0,))[0] > 0
+        assert (r["eligible"], r["selected"]) == (ok, ok and not r["answer0"])
+    assert any(r["selected"] for r in by.values())
+    total = relabel.edge_summary(edges).first()
+    assert total["n"] == 4 and total["selected_n"] == sum(r["selected"] for r in by.values()) and abs(total["g0_mean"] - sum(want[k, 0][0] for k in by) / 4) < 1e-6
+    figures = {(r["figure"], r["a"], r["b"]): r["v"] for r in relabel.reward_figures(steps).collect()}
+    assert figures["edge_matrix", "0", "1"] == round(max(want[k, 0][1] for k in by), 6) and figures["edge_matrix", "1", "0"] == 0
+    assert abs(figures["reward_by_tool", "ocr", None] - want[2, 2][3]) < 1e-6

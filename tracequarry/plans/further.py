@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import pyfn as Y
 from tracequarry.functions import scorers
 from tracequarry.functions import textnorm as N
+from tracequarry.operators import relabel as L
 from tracequarry.operators import retrieval as J
 from tracequarry.operators import rollup as A
 from tracequarry.operators import stepreward as S
@@ -160,5 +161,28 @@ def edge_rows(s, d):
     return x.groupBy("row_id").agg(r6(at(0, "total"), "r0"), r6(at(1, "total"), "r1"), r6(at(2, "total"), "r2"), F.coalesce(at(1, "g") > 0, F.lit(False)).alias("future_credit"))
 
 
+def relabelled(s, d):
+    """Every non-null step of every rollout, relabelled; probe answers of the gate as without a model."""
+    x = rollout_rows(s, d).select("row_id", "question", "final_answer", "final_correct", "gold_answers", F.posexplode(F.filter("steps", lambda x: x.isNotNull())).alias("pos", "s"))
+    of = lambda name: F.try_element_at("s.metadata", F.lit(name)).alias(name.removesuffix("_id"))
+    said = F.coalesce("final_answer", F.lit(""))
+    target = F.coalesce(F.try_element_at("gold_answers", F.lit(1)), said)
+    x = x.select(
+        F.col("row_id").alias("row"), "pos", "question", target.alias("target"), F.when(F.col("final_correct"), F.array(target, target, target)).otherwise(F.array(said, F.lit("unknown"), F.substring(F.coalesce("question", F.lit("")), 1, 16))).alias("probes"),
+        (F.col("row_id") * 1000 + F.col("pos")).alias("key"), F.col("s.tool_type").alias("tool"), F.coalesce(F.when(F.col("s.raw_observation").isNotNull(), F.size("s.raw_observation")), F.lit(1)).alias("items"), F.length(F.coalesce("s.evidence_summary", F.lit(""))).alias("size"),
+        F.col("s.step_id").alias("step"), F.col("s.action_text").alias("action"), F.col("s.evidence_summary").alias("evidence"), of("answer"), of("semantic_id"), of("image_id"),
+    )
+    return L.relabelled_steps(x, Y.gate(F.col("probes"), F.col("action"), F.coalesce(F.col("tool") == "stop", F.lit(False))))
+
+
+def offline_relabel(s, d):
+    return L.edge_rows(relabelled(s, d), rollout_rows(s, d).select(F.col("row_id").alias("row"), F.col("gold_answers").alias("golds")))
+
+
+# g07_edge_rows, a27_edge_summary and a36_figure_aggregates are what their SQL says; these score every step.
+q("g07_offline_relabel", lambda s, d: (e := offline_relabel(s, d)).select(F.col("row").alias("row_id"), *[r6(F.col(c), c) if t == "double" else c for c, t in e.dtypes if c != "row"]))
+q("g07_relabel_summary", lambda s, d: L.edge_summary(offline_relabel(s, d)))
+q("a36_reward_figures", lambda s, d: L.reward_figures(relabelled(s, d)))
+
 q("st13_event_time_counts", lambda s, d: table(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 q("w41_weighted_token_rates", lambda s, d: tokens(s, d).groupBy(F.col("pos") % 4).agg(r6(A.rate(F.col("mask") == 1), "rate")).withColumnsRenamed({"(pos % 4)": "slot"}), f"WITH {TOKENS_SQL} SELECT pos % 4 AS slot, round(avg(mask), 6) AS rate FROM tokens GROUP BY 1")
