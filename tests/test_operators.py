@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import pyfn as Y
 from tracequarry.functions import textnorm as N
 from tracequarry.operators import balance, batch, grouprel, losses, relabel, retrieval, rollup, seqscan, shred, stepreward, typedpool
+from tracequarry.plans import further
 from tracequarry.sources import readers
 from tracequarry.streaming import queues
 
@@ -392,3 +393,10 @@ def test_offline_relabel_against_a_loop(spark):
     figures = {(r["figure"], r["a"], r["b"]): r["v"] for r in relabel.reward_figures(steps).collect()}
     assert figures["edge_matrix", "0", "1"] == round(max(want[k, 0][1] for k in by), 6) and figures["edge_matrix", "1", "0"] == 0
     assert abs(figures["reward_by_tool", "ocr", None] - want[2, 2][3]) < 1e-6
+
+
+def test_spans_of_whole_actions(spark, tmp_path):
+    own = [[5, 6, 7, 8], None, [5, 6, 7, 9, 9], [], [5, 6, 7, 8], [4]]
+    spark.createDataFrame([(1, [(t,) for t in own])], "row_id bigint, steps array<struct<action_tokens:array<int>>>").write.parquet(f"{tmp_path}/prompted_search_smoke.parquet")
+    got = sorted(values(further.spans_in_tokens(spark, str(tmp_path)), "k", "span_start", "span_end"))
+    assert got == [(0, 0, 4), (1, 4, 9), (2, 9, 13), (3, 13, 14)]

@@ -77,7 +77,7 @@ def spans_in_tokens(s, d):
     def find(tokens: pd.Series, needles: pd.Series) -> pd.Series:
         return pd.Series([[list(x) for x in Y.action_spans([int(v) for v in t], [[int(v) for v in n] for n in m])] for t, m in zip(tokens, needles)])
 
-    r = rollout_rows(s, d).where("size(steps) > 0").select("row_id", F.filter(F.transform("steps", lambda x: F.slice(F.coalesce(x["action_tokens"], F.array().cast("array<int>")), 1, 3)), lambda a: F.size(a) > 0).alias("needles")).where("size(needles) > 0")
+    r = rollout_rows(s, d).where("size(steps) > 0").select("row_id", F.filter(F.transform("steps", lambda x: F.coalesce(x["action_tokens"], F.array().cast("array<int>"))), lambda a: F.size(a) > 0).alias("needles")).where("size(needles) > 0")
     r = r.withColumn("tokens", F.flatten("needles"))
     return r.select("row_id", F.posexplode(find("tokens", "needles")).alias("k", "span")).select("row_id", "k", F.col("span")[0].alias("span_start"), F.col("span")[1].alias("span_end"))
 
