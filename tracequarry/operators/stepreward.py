@@ -51,10 +51,10 @@ def step_total(df: DataFrame, ret: str, gate: Column, tool: str, alpha: float, b
     return df.withColumn(out, alpha * F.col(ret) + beta * gate - gamma * tool_cost(F.col(tool)))
 
 
-def spread_over_tokens(df: DataFrame, key: str, start: Column, end: Column, total: Column, length: int) -> DataFrame:
+def spread_over_tokens(df: DataFrame, key: str, start: Column, end: Column, total: Column, length: int | Column) -> DataFrame:
     """(key, pos, reward): each span's total divided evenly over its positions within [0, length); spans may
-    overlap and add up; empty spans give nothing."""
-    s, e = F.greatest(start, F.lit(0)), F.least(end, F.lit(length))
+    overlap and add up; empty spans give nothing. ``length`` is the number of tokens of the span's rollout."""
+    s, e = F.greatest(start, F.lit(0)), F.least(end, length if isinstance(length, Column) else F.lit(length))
     x = df.select(key, s.alias("s"), e.alias("e"), total.alias("t")).where("e > s")
     return x.select(key, F.explode(F.sequence("s", F.col("e") - 1)).alias("pos"), (F.col("t") / (F.col("e") - F.col("s"))).alias("r")).groupBy(key, "pos").agg(F.sum("r").alias("reward"))
 

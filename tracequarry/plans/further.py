@@ -19,7 +19,7 @@ from tracequarry.plans.registry import Registry
 from tracequarry.plans.searching import _B, asked, bm25
 from tracequarry.plans.stepwise import _COST
 from tracequarry.plans.textual import collapse, strip
-from tracequarry.plans.views import STEPS_SQL, TOKENS_SQL, rollout_rows, steps, tokens
+from tracequarry.plans.views import STEPS_SQL, TOKENS_SQL, rollout_rows, spanned_steps, steps, tokens
 from tracequarry.session import table
 from tracequarry.sources import readers
 
@@ -88,6 +88,8 @@ q(
     lambda s, d: steps(s, d).where("tool_type in ('text_search', 'image_search')").join(rollout_rows(s, d).where("coalesce(final_correct, false)").select("row_id"), "row_id", "left_semi").transform(lambda x: S.spread_over_tokens(x, "row_id", F.try_element_at("action_span", F.lit(1)), F.try_element_at("action_span", F.lit(2)), F.lit(0.5), 64)).select("row_id", "pos", r6(F.col("reward"), "bonus")),
     f"WITH {STEPS_SQL}, c AS (SELECT row_id, greatest(action_span[1], 0) AS s, least(action_span[2], 64) AS e FROM steps JOIN (SELECT row_id FROM {_P} WHERE final_correct) USING (row_id) WHERE tool_type IN ('text_search', 'image_search')) SELECT row_id, pos::INT AS pos, round(sum(0.5 / (e - s)), 6) AS bonus FROM (SELECT *, unnest(range(s, e)) AS pos FROM c WHERE e > s) GROUP BY row_id, pos",
 )
+# w34_success_shaping is cut at position 64 as its SQL is; this one ends with the rollout.
+q("w34_rollout_shaping", lambda s, d: S.spread_over_tokens(spanned_steps(s, d).where("final_correct and tool_type in ('text_search', 'image_search')"), "row_id", F.col("first"), F.col("last"), F.lit(0.5), F.col("n_tokens")).select("row_id", "pos", r6(F.col("reward"), "bonus")))
 q(
     "f20_format_and_accuracy",
     lambda s, d: rollout_rows(s, d).where("not contains(final_answer, '<')").select("row_id", r6(scorers.scorers["format_and_accuracy"](F.concat(F.lit("<think>t</think> \\boxed{1} <answer>"), "final_answer", F.lit("</answer>")), F.array("final_answer")), "score")),

@@ -11,7 +11,7 @@ from tracequarry.operators.grouprel import with_group
 from tracequarry.operators.typedpool import typed_counterfactuals
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.textual import collapse, qa
-from tracequarry.plans.views import STEPS_SQL, rollout_rows, steps
+from tracequarry.plans.views import STEPS_SQL, rollout_rows, spanned_steps, steps
 from tracequarry.session import table
 
 R = Registry()
@@ -36,6 +36,8 @@ R.add(
     lambda s, d: S.spread_over_tokens(steps(s, d), "row_id", F.try_element_at("action_span", F.lit(1)), F.try_element_at("action_span", F.lit(2)), S.tool_cost(F.col("tool_type")), 40).select("row_id", "pos", r6(F.col("reward"), "reward")),
     _SPAN + "c AS (SELECT key, greatest(s0, 0) AS s, least(e0, 40) AS e, t FROM sp) SELECT key AS row_id, pos::INT AS pos, round(sum(t / (e - s)), 6) AS reward FROM (SELECT *, unnest(range(s, e)) AS pos FROM c WHERE e > s) GROUP BY key, pos",
 )
+# w27_span_rewards is cut at position 40 as its SQL is; this one ends with the rollout.
+R.add("w27_rollout_rewards", lambda s, d: S.spread_over_tokens(spanned_steps(s, d), "row_id", F.col("first"), F.col("last"), S.tool_cost(F.col("tool_type")), F.col("n_tokens")).select("row_id", "pos", r6(F.col("reward"), "reward")))
 _G = "(CASE WHEN success THEN 1.0 ELSE -0.5 END)"
 R.add(
     "w28_step_totals",

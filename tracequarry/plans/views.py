@@ -47,3 +47,11 @@ def steps(s: SparkSession, d: str) -> DataFrame:
 
 def rollout_rows(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "prompted_search_smoke")
+
+
+def spanned_steps(s: SparkSession, d: str) -> DataFrame:
+    """(row_id, final_correct, n_tokens, tool_type, first, last): the span of every non-null step; n_tokens, the tokens of
+    the rollout, are the greatest end of its spans."""
+    end = lambda x: F.try_element_at(x["action_span"], F.lit(2))
+    raw = rollout_rows(s, d).select("row_id", "final_correct", F.array_max(F.transform("steps", end)).alias("n_tokens"), F.explode("steps").alias("s")).where("s is not null")
+    return raw.select("row_id", "final_correct", "n_tokens", "s.tool_type", F.try_element_at("s.action_span", F.lit(1)).alias("first"), F.try_element_at("s.action_span", F.lit(2)).alias("last"))
