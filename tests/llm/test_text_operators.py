@@ -101,6 +101,14 @@ def test_truncated_values(spark):
     assert T.truncated_values(df.where("false")).count() == 0
 
 
+def test_a_query_cut_after_a_year():
+    question = "Welche Halle steht neben der Mühle, die Olm Vent im Jahr 1872 verkaufte?"
+    assert T.query_ends_early("Welche Halle steht neben der Mühle, die Olm Vent im Jahr 1872", question) is True
+    assert T.query_ends_early(question[:-1], question) is False
+    assert T.query_ends_early("Which building was sold in 1872", Q) is False
+    assert T.query_ends_early("Was it mapped?", "Was it mapped? And by whom?") is False
+
+
 def test_a_source_that_cuts_most_values(spark):
     cut, whole, fact, open_ = "The hall was bui", "The hall was built in 1914.", "Opened: 1998 | Type: tram depot", "The hall (built in"
     step = lambda *texts: [(0, "crop", None, [("t", x) for x in texts])]

@@ -129,10 +129,11 @@ def query_ends_early(text: str, question: str | None) -> bool | None:
     whole = (question or "").strip()
     if not bare or bare == whole:
         return False
+    low, full = bare.lower(), whole.lower()
     sure = ends_early(text)
-    if sure is not None:
+    # a question that reads as complete can still be the beginning of a longer one
+    if sure or sure is False and not (full.startswith(low) and asks_in_full(bare)):
         return sure
-    low, full = bare.lower(), whole.lower()
     if full.startswith(low):
         return bool(words_of(full[len(low) :])) or full[len(low) :].strip(" ?!.") != ""
     parts = bare.split()
