@@ -45,6 +45,28 @@ def test_pair_labels_repeat_and_empty(spark):
     assert P.broken_pairs(pairs(spark, [])).count() == 0
 
 
+def test_sound_pairs_can_reach_a_cutoff(spark):
+    golds = ["The hall of the mill that was never"]
+    v, unaided = (dict(zip(P.DEFECTS, P.votes(Q, golds[0], golds, "en", use_gold=u))) for u in (True, False))
+    assert max(v["truncated"]) < 1 and unaided["truncated"][0] == 1 and unaided["truncated"][4] == 1
+    assert P.known_sound(Q, golds[0], golds, "en") == (True, True)
+    assert P.known_sound(Q, "The answer is Trund Marsk Hall, because it is near.", ["Trund Marsk Hall"], "en") == (True, True)
+    assert P.known_sound(Q, "Die Antwort lautet Trund Marsk Hall, weil die Mole auf dem Bild dazu gehört.", ["Trund Marsk Hall"], "en") == (True, False)
+    for answer, gold in (("The answer is Trund Marsk Hall, because it", "Trund Marsk Hall"), ("The answer is Hallow, because it is near.", "Hall"), (Q, "Klas Riatu"), (None, "x")):
+        assert P.known_sound(Q, answer, [gold], "en") == (False, False)
+    assert P.known_sound(Q, "Trund", ["Trund", "Trund Hall"], "en") == (False, False)
+    # sound pairs that look cut raise the cutoff: they are many, so the pattern is no sign of a defect
+    chosen = []
+    pick = P.choose_cutoff
+    P.choose_cutoff = lambda posterior, sound: chosen.append(sound) or pick(posterior, sound)
+    try:
+        P.pair_labels(pairs(spark, [(i, Q, golds, golds[0]) for i in range(50)] + SOUND[:50])).count()
+    finally:
+        P.choose_cutoff = pick
+    by = dict(zip(P.DEFECTS, chosen))
+    assert any(p // 81 == 2 and n == 50 for p, n in by["truncated"].items())
+
+
 def test_very_long_answer():
     v = P.votes(Q, "word " * 50_000, ["x"], "en")
     assert len(P.encode(v).__str__()) > 0

@@ -4,8 +4,10 @@ Method: for every kind of defect several noisy labelling functions vote for (+1)
 (0). An expectation-maximization label model per defect estimates from all rows how often each function votes
 which way on defective and on sound pairs, and gives each vote pattern a posterior. A defect is kept where its
 posterior exceeds its cutoff; several may be kept (``pair_labels``), the most specific one is reported by
-``broken_pairs``. Cutoffs are validated on pairs known to be sound, those whose answer is a gold answer:
-the least cutoff of a grid that flags at most ``MAX_FALSE`` of them.
+``broken_pairs``. Cutoffs are validated on pairs known to be sound: those whose answer is a gold answer, voted on as
+if that were not known (but for those that begin a longer gold answer), and complete sentences that contain a gold answer which their question lacks (for
+``other_language`` only if the sentence is not clearly of another language). The least cutoff of a grid that flags at
+most ``MAX_FALSE`` of them is taken.
 
 Plan: one ``mapInArrow`` turns rows into (id, votes code); its small result is staged once. Vote patterns are
 counted by partial aggregates (at most 3**5 rows per defect, whatever the input), the model is fitted on these
@@ -99,14 +101,14 @@ def is_sentence(text: str) -> bool:
     return len([w for w in words if w.lower() in _ANY_FUNCTION and w.lower() not in PARTICLES]) >= 2
 
 
-def votes(question: str | None, answer: str | None, golds: list[str | None] | None, q_language: str | None) -> tuple[tuple[int, ...], ...]:
-    """The votes of all labelling functions, by defect."""
+def votes(question: str | None, answer: str | None, golds: list[str | None] | None, q_language: str | None, use_gold: bool = True) -> tuple[tuple[int, ...], ...]:
+    """The votes of all labelling functions, by defect; without ``use_gold`` as if the answer were no gold answer."""
     form = " ".join((visual_form(answer) or "").split())
     low = form.lower()
     bare = _TAG.sub(" ", low)
     words = _PLAIN_WORD.findall(bare)
     gold_forms = [" ".join((visual_form(g) or "").split()).lower() for g in golds or [] if g]
-    is_gold = low in gold_forms and bool(low)
+    is_gold = use_gold and low in gold_forms and bool(low)
     kernel = bare.strip(" \t.,;:!?-–—_*'\"()[]{}<>/\\|")
 
     stand_in = not words or kernel in STAND_INS
@@ -153,6 +155,24 @@ def votes(question: str | None, answer: str | None, golds: list[str | None] | No
     return empty, copied, truncated, refusal, other
 
 
+def known_sound(question: str | None, answer: str | None, golds: list[str | None] | None, q_language: str | None) -> tuple[bool, bool]:
+    """(sound, and of the question's language as far as one can tell): known without the label model."""
+    if not answer or not golds:
+        return False, False
+    form = " ".join((visual_form(answer) or "").split())
+    if answer in golds:
+        # that it is a gold answer is all that tells the beginning of a longer one from a cut answer
+        longer = any(len(g) > len(form) and g.lower().startswith(form.lower()) for g in (" ".join((visual_form(x) or "").split()) for x in golds if x))
+        return not longer, not longer
+    if not is_sentence(form) or not _ENDED.search(form) or _CUT_MARK.search(form) or left_open(form):
+        return False, False
+    said, asked = (f" {' '.join(_PLAIN_WORD.findall((visual_form(t) or '').lower()))} " for t in (answer, question))
+    inside = [f" {' '.join(_PLAIN_WORD.findall((visual_form(g) or '').lower()))} " for g in golds if g]
+    if not any(g.strip() and g in said and g not in asked for g in inside):
+        return False, False
+    return True, language_of(form)[0] in (None, q_language)
+
+
 def encode(v: tuple[tuple[int, ...], ...]) -> int:
     code = 0
     for group in v:
@@ -161,10 +181,10 @@ def encode(v: tuple[tuple[int, ...], ...]) -> int:
     return code
 
 
-def pattern_of(defect: str):
+def pattern_of(defect: str, code: str = "code"):
     """Column: the pattern of one defect's votes within a code."""
     later = sum(VOTERS[d] for d in DEFECTS[DEFECTS.index(defect) + 1 :])
-    return ((F.col("code") / F.lit(3**later)).cast("bigint") % F.lit(3 ** VOTERS[defect])).cast("int")
+    return ((F.col(code) / F.lit(3**later)).cast("bigint") % F.lit(3 ** VOTERS[defect])).cast("int")
 
 
 def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 60, strength: float = 0.2) -> dict[int, float]:
@@ -206,37 +226,41 @@ def choose_cutoff(posterior: dict[int, float], sound: dict[int, int]) -> float:
 def pair_labels(df: DataFrame, id_col: str = "row_id", question_col: str = "question", answer_col: str = "final_answer", gold_col: str = "gold_answers") -> DataFrame:
     """(id_col, defect, posterior): every defect of a pair whose posterior exceeds the defect's cutoff."""
     src = df.select(df[id_col], df[question_col], df[answer_col], df[gold_col])
-    schema = T.StructType([T.StructField(id_col, src.schema[0].dataType), T.StructField("code", T.LongType()), T.StructField("sound", T.BooleanType())])
+    schema = T.StructType([T.StructField(id_col, src.schema[0].dataType), T.StructField("code", T.LongType()), T.StructField("sound_code", T.LongType()), T.StructField("same_language", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str | None, str | None] = {None: None}
-        memo: dict[tuple, int] = {}
+        memo: dict[tuple, tuple[int, int | None, bool]] = {}
         for batch in batches:
-            codes, sound = [], []
+            found = []
             for question, answer, golds in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 key = (question, answer, tuple(golds or ()))
-                code = memo.get(key)
-                if code is None:
+                if key not in memo:
                     if question not in languages:
                         if len(languages) > 50_000:
                             languages = {None: None}
                         languages[question] = language_of(question)[0]
-                    code = encode(votes(question, answer, golds, languages[question]))
                     if len(memo) > 50_000:
                         memo.clear()
-                    memo[key] = code
-                codes.append(code)
-                sound.append(bool(answer) and bool(golds) and answer in golds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, type=pa.int64()), pa.array(sound, type=pa.bool_())], names=[id_col, "code", "sound"])
+                    sound, same = known_sound(question, answer, golds, languages[question])
+                    unaided = encode(votes(question, answer, golds, languages[question], use_gold=False)) if sound else None
+                    memo[key] = encode(votes(question, answer, golds, languages[question])), unaided, same
+                found.append(memo[key])
+            codes, unaided, same = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, type=pa.int64()), pa.array(unaided, type=pa.int64()), pa.array(same, type=pa.bool_())], names=[id_col, "code", "sound_code", "same_language"])
 
     coded = staged(src.mapInArrow(run, schema))
-    table = F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), pattern_of(d).alias("pattern")) for d in DEFECTS])).alias("v")
-    counted = coded.select(table, "sound").groupBy("v.defect", "v.pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("sound").alias("n_sound")).collect()  # at most 3**5 per defect
+    patterns = lambda code: F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), pattern_of(d, code).alias("pattern")) for d in DEFECTS])).alias("v")
+    table = patterns("code")
+    counts = lambda x: x.groupBy("v.defect", "v.pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3**5 per defect
+    counted = counts(coded.select(table))
+    checked = counts(coded.where("sound_code is not null").select(patterns("sound_code"), "same_language").where("v.defect <> 'other_language' or same_language"))
     flagged = []
     for d in DEFECTS:
         own = {r["pattern"]: r["n"] for r in counted if r["defect"] == d}
-        posterior = fit_label_model(own, VOTERS[d])
-        cutoff = choose_cutoff(posterior, {r["pattern"]: r["n_sound"] for r in counted if r["defect"] == d})
+        sound = {r["pattern"]: r["n"] for r in checked if r["defect"] == d}
+        posterior = fit_label_model({p: 0 for p in sound} | own, VOTERS[d])  # patterns of sound pairs only do not weigh
+        cutoff = choose_cutoff(posterior, sound)
         flagged += [(d, p, float(q)) for p, q in posterior.items() if q > cutoff]
     spark = df.sparkSession
     lookup = spark.createDataFrame(flagged, "defect string, pattern int, posterior double")  # bounded as above
