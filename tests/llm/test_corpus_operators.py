@@ -47,14 +47,57 @@ def test_round_trip(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=120))
-def test_packing_invariants(lengths):
-    bins = packing.harmonic_bins(np.array(lengths, dtype=np.int64), 50)
-    load: dict[int, int] = {}
+@given(st.lists(st.integers(1, 50), max_size=120), st.booleans())
+def test_packing_invariants(lengths, fill):
+    bins = packing.harmonic_bins(np.array(lengths, dtype=np.int64), 50, fill)
+    held: dict[int, list[int]] = {}
     for b, n in zip(bins, lengths):
-        load[int(b)] = load.get(int(b), 0) + n
-    assert all(v <= 50 for v in load.values()) and len(load) <= 2 * sum(lengths) / 50 + 1
-    assert sorted(load) == list(range(len(load)))
+        held.setdefault(int(b), []).append(n)
+    assert all(sum(v) <= 50 for v in held.values()) and sorted(held) == list(range(len(held)))
+    short = []
+    for v in held.values():  # k items of the container's class k, the smallest in it; one container of a class may hold fewer
+        k = 50 // max(v)
+        count = sum(50 // n == k for n in v)
+        assert count <= k and (fill or count == len(v))
+        short += [k] * (count < k)
+    assert len(short) == len(set(short))
+    if fill:  # no space that a smaller class could still have taken
+        later = {b: max(held[b]) for b in held}
+        for b, v in held.items():
+            assert all(not (50 // n > 50 // later[b] and n <= 50 - sum(v)) for c in held if c > b for n in held[c])
+
+
+def greedy_bins(lengths, capacity):
+    """Always the longest item that fits, container by container."""
+    left, out, number = sorted(range(len(lengths)), key=lambda i: -lengths[i]), {}, 0
+    while left:
+        space, rest = capacity, []
+        for i in left:
+            if lengths[i] <= space:
+                space -= lengths[i]
+                out[i] = number
+            else:
+                rest.append(i)
+        left, number = rest, number + 1
+    return [out[i] for i in range(len(lengths))]
+
+
+def test_packing_is_by_class_and_not_greedy():
+    lengths = [34, 50, 20, 50, 34, 20, 60]
+    assert packing.harmonic_bins(np.array(lengths), 100).tolist() == [1, 1, 2, 2, 0, 2, 0]
+    assert packing.harmonic_bins(np.array(lengths), 100, fill=False).tolist() == [1, 1, 3, 2, 2, 3, 0]
+    assert greedy_bins(lengths, 100) == [0, 1, 2, 1, 2, 2, 0]
+    rng = random.Random(3)
+    groups = lambda bins: {frozenset(i for i, b in enumerate(bins) if b == x) for x in set(bins)}
+    differ = 0
+    for _ in range(50):
+        lengths = [rng.randint(1, 60) for _ in range(60)]
+        differ += groups(packing.harmonic_bins(np.array(lengths), 100).tolist()) != groups(greedy_bins(lengths, 100))
+    assert differ == 50
+    # a class keeps its containers whatever other classes arrive between its items
+    a = packing.harmonic_bins(np.array([40, 45, 36, 50]), 100).tolist()
+    b = packing.harmonic_bins(np.array([40, 90, 45, 80, 36, 50]), 100).tolist()
+    assert a == [0, 0, 1, 1] and [b[i] - b[0] for i in (0, 2, 4, 5)] == a
 
 
 def test_packing_rejects_bad_lengths():

@@ -1,12 +1,14 @@
 """Filling fixed-capacity containers with documents (problem 9).
 
-Method: harmonic packing. An item of n tokens belongs to class k = floor(capacity / n), so k items of the
-class always fit. Each worker fills the containers of each class with the fixed number k of documents,
-independently of every other worker: one ``mapInArrow``, fused with the token count, without a shuffle.
-Plain harmonic bins leave up to 1/(k+1) of a container free, so each class container then takes smaller
-items of the same worker that still fit (largest first, from counts per length); the items of a class are
-taken in order of size, and items used as filler leave their own class. Items longer than the capacity are
-cut into full pieces and a rest; the rest is an ordinary item.
+Method: harmonic packing. An item of n tokens belongs to class k = floor(capacity / n), so any k items of the
+class fit together. Each worker fills the containers of each class with the fixed number k of its items, in the order in
+which they arrive, independently of every other class and worker: one ``mapInArrow``, fused with the token count,
+without a shuffle. Only the last container of a class may hold fewer than k of it.
+
+Plain harmonic containers leave up to 1/(k+1) of their space free. In a second step that space takes items of smaller
+classes (those of larger k) of the same worker, the longest that fits first; the number of its own class in a container
+stays k. Items used so leave their class before its containers are formed. Items longer than the capacity are cut into full
+pieces and a rest; the rest is an ordinary item.
 
 Defined results: null and empty texts are left out; every other document occurs once (or once per piece);
 no container exceeds the capacity; ties between equal lengths are broken by input order. A null id keeps
@@ -31,21 +33,24 @@ CAPACITY = 2048
 RUN_ITEMS = 500_000
 
 
-def harmonic_bins(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+def harmonic_bins(lengths: np.ndarray, capacity: int = CAPACITY, fill: bool = True) -> np.ndarray:
     """Container number of each item. Items must be 1..capacity long.
 
-    Classes are filled from the largest items down, k of class k to a bin; the space left takes smaller
-    items, always the longest that fits.
+    Class by class from the longest items, k consecutive items of class k to a container; with ``fill`` the space left
+    takes items of smaller classes.
     """
     lengths = np.asarray(lengths, dtype=np.int64)
     if lengths.size and (lengths.min() < 1 or lengths.max() > capacity):
         raise ValueError("an item must have between 1 and capacity tokens")
-    order = np.argsort(-lengths, kind="stable")
-    start = np.searchsorted(-lengths[order], -np.arange(capacity + 2), side="left")  # first place of each length
-    left = np.bincount(lengths, minlength=capacity + 2).astype(np.int64)
-    taken = np.zeros(capacity + 2, dtype=np.int64)
-    # below[n]: the longest length <= n that still has items, kept as a union-find over emptied lengths
-    below = np.arange(capacity + 2)
+    out = np.full(lengths.size, -1, dtype=np.int64)
+    classes = capacity // lengths
+    by_class = np.argsort(classes, kind="stable")
+    kinds, first = np.unique(classes[by_class], return_index=True)
+    by_length = np.argsort(lengths, kind="stable")
+    start = np.searchsorted(lengths[by_length], np.arange(capacity + 2))  # first place of each length
+    free = np.diff(start, append=lengths.size)  # the items of a length that no container took as filler are its first ones
+    below = np.arange(capacity + 2)  # the longest length <= n that still has items: union-find over used lengths
+    below[1:][free[1:] == 0] -= 1
 
     def longest(n: int) -> int:
         root = n
@@ -55,32 +60,23 @@ def harmonic_bins(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             below[n], n = root, below[n]
         return int(root)
 
-    for n in range(1, capacity + 2):
-        if left[n] == 0:
-            below[n] = n - 1
-    out = np.empty(lengths.size, dtype=np.int64)
     number = 0
-
-    def take(n: int) -> None:
-        out[order[start[n] + taken[n]]] = number
-        taken[n] += 1
-        left[n] -= 1
-        if left[n] == 0:
-            below[n] = n - 1
-
-    while (head := longest(capacity)) > 0:
-        k = capacity // head  # the class: k of its items always fit
-        space = capacity
-        for _ in range(k):
-            n = longest(min(space, head))
-            if n == 0 or capacity // n != k:
-                break
-            take(n)
-            space -= n
-        while space > 0 and (n := longest(space)) > 0:  # the space a class leaves takes smaller items
-            take(n)
-            space -= n
-        number += 1
+    for k, a, b in zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), lengths.size]):
+        own = by_class[a:b]
+        own = own[out[own] < 0]
+        bins = -(-own.size // k)
+        of = np.arange(own.size) // k
+        out[own] = number + of
+        if fill:
+            smaller = capacity // (k + 1)  # the longest item of the classes that follow
+            for j, space in enumerate((capacity - np.bincount(of, lengths[own], bins).astype(np.int64)).tolist()):
+                while (n := longest(min(space, smaller))) > 0:
+                    free[n] -= 1
+                    out[by_length[start[n] + free[n]]] = number + j
+                    space -= n
+                    if free[n] == 0:
+                        below[n] = n - 1
+        number += bins
     return out
 
 
