@@ -8,7 +8,7 @@ from tracequarry.llm import pair_defects as P
 from tracequarry.llm import truncation as T
 
 Q = "In which harbour crane did Siamdo Shian keep the mirrored sketch that Klas Riatu repaired in 1793?"
-SOUND = [(100 + i, Q, ["Trund Marsk Hall"], "Trund Marsk Hall") for i in range(200)] + [(400 + i, Q, ["1776"], "The answer is 1777, because the mirrored hall in the picture belongs to it.") for i in range(100)]
+SOUND = [(100 + i, Q, ["Trund Marsk Hall"], "Trund Marsk Hall") for i in range(200)] + [(400 + i, Q, [str(1700 + i)], f"The answer is {1700 + i}, because the mirrored hall in the picture belongs to it.") for i in range(100)]
 CASES = [
     (1, Q, ["Trund Marsk"], None, "empty"),
     (2, Q, ["Trund Marsk"], " ​<answer> </answer>", "empty"),
@@ -45,26 +45,44 @@ def test_pair_labels_repeat_and_empty(spark):
     assert P.broken_pairs(pairs(spark, [])).count() == 0
 
 
-def test_sound_pairs_can_reach_a_cutoff(spark):
-    golds = ["The hall of the mill that was never"]
-    v, unaided = (dict(zip(P.DEFECTS, P.votes(Q, golds[0], golds, "en", use_gold=u))) for u in (True, False))
-    assert max(v["truncated"]) < 1 and unaided["truncated"][0] == 1 and unaided["truncated"][4] == 1
-    assert P.known_sound(Q, golds[0], golds, "en") == (True, True)
-    assert P.known_sound(Q, "The answer is Trund Marsk Hall, because it is near.", ["Trund Marsk Hall"], "en") == (True, True)
-    assert P.known_sound(Q, "Die Antwort lautet Trund Marsk Hall, weil die Mole auf dem Bild dazu gehört.", ["Trund Marsk Hall"], "en") == (True, False)
+def test_known_sound():
+    assert P.known_sound(Q, "The answer is Trund Marsk Hall, because it is near.", ["Trund Marsk Hall"]) and P.known_sound(Q, "Hall", ["Hall"])
     for answer, gold in (("The answer is Trund Marsk Hall, because it", "Trund Marsk Hall"), ("The answer is Hallow, because it is near.", "Hall"), (Q, "Klas Riatu"), (None, "x")):
-        assert P.known_sound(Q, answer, [gold], "en") == (False, False)
-    assert P.known_sound(Q, "Trund", ["Trund", "Trund Hall"], "en") == (False, False)
-    # sound pairs that look cut raise the cutoff: they are many, so the pattern is no sign of a defect
-    chosen = []
-    pick = P.choose_cutoff
-    P.choose_cutoff = lambda posterior, sound: chosen.append(sound) or pick(posterior, sound)
-    try:
-        P.pair_labels(pairs(spark, [(i, Q, golds, golds[0]) for i in range(50)] + SOUND[:50])).count()
-    finally:
-        P.choose_cutoff = pick
-    by = dict(zip(P.DEFECTS, chosen))
-    assert any(p // 81 == 2 and n == 50 for p, n in by["truncated"].items())
+        assert not P.known_sound(Q, answer, [gold])
+    assert not P.known_sound(Q, "Trund", ["Trund", "Trund Hall"])
+
+
+def test_labelled_pairs_are_of_both_kinds():
+    de = "Welche Mole hat Klas Riatu im Jahr 1793 gezeichnet und wem hat er sie verkauft?"
+    rows = [(Q, "The answer is Trund Marsk Hall, because it is near.", ["Trund Marsk Hall"]), (Q, "Wrong", ["Hall"]), (de, "Die Antwort ist Olm Vent, weil er auf dem Bild ist.", ["Olm Vent"]), (de, "Olm Vent", ["Olm Vent"])]
+    kinds = {}
+    for kind, pair in P.labelled_pairs(rows):
+        kinds.setdefault(kind, []).append(pair)
+    assert set(kinds) == {None, *P.DEFECTS} and len(kinds[None]) == 3
+    assert all(answer not in golds for _, answer, golds in kinds[None])  # sound ones are voted on without their gold answer
+    assert {P.language_of(a) for q, a, _ in kinds["other_language"] if q == Q} == {"de"}
+
+
+def test_cutoffs_need_both_kinds():
+    post = {0: 0.1, 1: 0.6, 2: 0.96}
+    assert P.choose_cutoff(post, {0: 99, 1: 1}, {2: 10}, 0.05) in (0.7, 0.8, 0.9)  # between the sound and the defective ones
+    assert P.choose_cutoff(post, {0: 100}, {1: 5, 2: 5}, 0.05) == 0.5  # nothing sound reaches them: take all
+    assert P.choose_cutoff(post, {0: 50, 1: 50}, {1: 1, 2: 9}, 0.05) >= 0.7  # a frequent sound pattern is not worth its few defects
+
+
+def test_label_model_differs_from_majority():
+    """Three functions that vote at random outvote two good ones; the model learns whom to trust."""
+    counts: dict[int, int] = {}
+    code = lambda v: sum((x + 1) * 3 ** (len(v) - 1 - j) for j, x in enumerate(v))
+    for bad, n in ((False, 900), (True, 100)):
+        for noise in range(8):
+            good = 1 if bad else -1
+            v = (good, good, *(1 if noise >> j & 1 else -1 for j in range(3)))
+            counts[code(v)] = counts.get(code(v), 0) + n
+    post, share = P.fit_label_model(counts, 5)
+    sound_outvoted, bad_outvoted = (-1, -1, 1, 1, 1), (1, 1, -1, -1, -1)
+    assert sum(sound_outvoted) > 0 > sum(bad_outvoted)  # the majority is wrong on both
+    assert post[code(sound_outvoted)] < 0.01 and post[code(bad_outvoted)] > 0.99 and abs(share - 0.1) < 0.01
 
 
 def test_very_long_answer():
@@ -75,10 +93,9 @@ def test_very_long_answer():
 def test_label_model_separates():
     sound, bad = [0, 0, 0], [2, 2, 2]
     code = lambda v: v[0] * 9 + v[1] * 3 + v[2]
-    post = P.fit_label_model({code(sound): 900, code(bad): 40, code([2, 0, 0]): 10}, 3)
-    assert post[code(bad)] > 0.95 and post[code(sound)] < 0.01 and post[code([2, 0, 0])] < 0.5
-    assert P.fit_label_model({}, 3) == {}
-    assert P.choose_cutoff({5: 0.85}, {5: 10, 0: 90}) == 0.9
+    post, share = P.fit_label_model({code(sound): 900, code(bad): 40, code([2, 0, 0]): 10}, 3)
+    assert post[code(bad)] > 0.95 and post[code(sound)] < 0.01 and 0.03 < share < 0.07
+    assert P.fit_label_model({}, 3) == ({}, 0.0)
 
 
 @pytest.mark.parametrize(

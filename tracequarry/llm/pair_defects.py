@@ -1,17 +1,21 @@
 """Broken prompt and response pairs (problem 1).
 
 Method: for every kind of defect several noisy labelling functions vote for (+1), against (-1) or abstain
-(0). An expectation-maximization label model per defect estimates from all rows how often each function votes
-which way on defective and on sound pairs, and gives each vote pattern a posterior. A defect is kept where its
-posterior exceeds its cutoff; several may be kept (``pair_labels``), the most specific one is reported by
-``broken_pairs``. Cutoffs are validated on pairs known to be sound: those whose answer is a gold answer, voted on as
-if that were not known (but for those that begin a longer gold answer), and complete sentences that contain a gold answer which their question lacks (for
-``other_language`` only if the sentence is not clearly of another language). The least cutoff of a grid that flags at
-most ``MAX_FALSE`` of them is taken.
+(0). They read form, structure and closed-class words only; but for one function of ``cut_gold`` none knows whether the
+answer is a gold answer. An expectation-maximization label model per defect estimates from all rows how often each function
+votes which way on defective and on sound pairs, and gives each vote pattern a posterior; a function that is often wrong
+weighs little, whatever its vote. A defect is kept where its posterior exceeds its cutoff; several may be kept
+(``pair_labels``), the most specific one is reported by ``broken_pairs``.
+
+Cutoffs are validated on labelled pairs of both kinds: a bounded sample (``VALIDATION`` rows, by hash) of pairs known to be
+sound - the answer is a gold answer, or a complete sentence with a gold answer which its question lacks - and the same pairs
+damaged in known ways (emptied, cut, answered with their question, with a sentence of another language, or with a refusal).
+Sound answers are voted on without the gold answers they equal. The cutoff with the best F1 at the estimated share of
+defective pairs is taken.
 
 Plan: one ``mapInArrow`` turns rows into (id, votes code); its small result is staged once. Vote patterns are
-counted by partial aggregates (at most 3**5 rows per defect, whatever the input), the model is fitted on these
-counts on the driver, and the posteriors come back as a lookup over patterns. No shuffle of rows.
+counted by partial aggregates (at most 3**6 rows per defect, whatever the input), the model is fitted on these
+counts on the driver, and the posteriors come back as a lookup over patterns. The sample is a top-n by hash. No shuffle of rows.
 
 Defined results: a null or blank answer is ``empty``; a null question or gold list only silences the functions
 that need it; null gold entries are skipped; repeated rows each give their row; other columns are ignored.
@@ -20,11 +24,14 @@ that need it; null gold entries are skipped; repeated rows each give their row;
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,41 +41,47 @@ from tracequarry.llm.truncation import left_open
 from tracequarry.llm.words import edits_within
 from tracequarry.session import staged
 
-DEFECTS = ("empty", "copied_question", "truncated", "refusal", "other_language")
-VOTERS = {"empty": 3, "copied_question": 3, "truncated": 5, "refusal": 4, "other_language": 4}
-CUTOFF_GRID = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
-MAX_FALSE = 0.001
-
-# Stand-ins for a missing value, name particles, function words and phrases of the languages.
-STAND_INS = frozenset("none null nil nan na n/a undefined missing tbd empty blank unknown unbekannt keine kein aucun aucune ninguno ninguna nulo vide leer vacío sin respuesta".split()) - {"sin", "respuesta"}
-PARTICLES = frozenset("the of de du des la le les l el los las del von der die das van di da site und et y and".split())
+#: Defects in the order in which one of several is reported; each has a label model. The two ways of being cut leave different
+#: signs, so a sentence and a gold answer that stop early have a model each; both are reported as ``truncated``.
+DEFECTS = ("empty", "copied_question", "cut_sentence", "cut_gold", "refusal", "other_language")
+VOTERS = {"empty": 3, "copied_question": 4, "cut_sentence": 4, "cut_gold": 3, "refusal": 6, "other_language": 4}
+REPORTED = {"cut_sentence": "truncated", "cut_gold": "truncated"}
+CUTOFF_GRID = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
+#: Bound of the sample of rows from which labelled pairs are made.
+VALIDATION = 2_000
+
+# Stand-ins for a missing value, particles of names, closed-class words of the languages (articles, pronouns,
+# prepositions, conjunctions, auxiliaries, question words).
+STAND_INS = frozenset("none null nil nan na n/a undefined missing tbd empty blank unknown unbekannt keine kein aucun aucune ninguno ninguna nulo vide leer vacío".split())
+PARTICLES = frozenset("the of de du des la le les l el los las del von der die das van di da et y and".split())
 FUNCTION_WORDS = {
-    "en": "the is are was were be been and or but not this that these those there it its by for with from about because answer in on at to of an as near says same also right should points names clearly which who what when how many before after did does has have had next result second image picture photo page".split(),
-    "fr": "le la les un une des du de est sont était et ou mais ne pas ce cette ces il elle je que qui dans sur pour par avec parce car réponse c'était d'après résultats recherche même deuxième résultat cite non juste côté où quand quel quelle chez avant arrive lui appartient photo son sa au aux s'agit suis certain".split(),
-    "de": "der die das ein eine einen einer ist sind war und oder aber nicht dies dieser diese es ich sie wer wie was in im auf für von vom mit weil denn antwort lautet laut den dem des zu zur zum gehört bild treffer zweite nennt dieselbe namen gleich daneben ganz sicher belege sprechen deutlich bevor wurde hat wählte neben".split(),
-    "es": "el la los las un una unos es son era fue y o pero no este esta estos esto que quién qué cuál en por para con de del porque ya según resultados búsqueda segundo resultado nombra misma mismo respuesta trata al lado está todo seguro indicios sobre apuntan foto le pertenece antes llegara".split(),
-    "it": "il lo la gli le un uno una è sono era e o ma non questo questa si tratta di del della dei che chi cosa nella nel perché dato secondo risultato ricerca risposta fotografia vede anche muro casa riporta stesso nome con per dalla".split(),
-    "nl": "de het een is zijn was en of maar niet dit deze die dat ik wie wat in op voor van met omdat want antwoord volgens zoekresultaten gaat om huis dat ernaast staat gebouw foto daar al heel lang bij hoort hetzelfde naar".split(),
-    "pt": "o a os as um uma é são era e ou mas não este esta isto que quem qual em no na por para com do da porque pois segundo resultados resposta trata-se mesmo nome foto ao lado casa".split(),
-    "sv": "och är var inte det den en ett som på för med av att eftersom svaret enligt resultaten handlar om bilden huset".split(),
-    "pl": "jest są był i lub ale nie to ta ten że kto co na dla z od ponieważ odpowiedź według wyników chodzi o zdjęciu budynek".split(),
+    "en": "the a an is are was were be been has have had do does did can could will would should must not no and or but if because that this these those there it its he she they we you i my your his her their who whom whose which what when where why how in on at by for with from of to as than about after before between into over under until while so".split(),
+    "fr": "le la les l un une des du de d est sont était été être a ont avait peut ne n pas et ou mais si car parce que qu qui quoi dont où quand comment pourquoi quel quelle quels quelles ce cet cette ces c il elle ils elles on nous vous je j me m se s lui leur son sa ses mon ma mes dans sur sous pour par avec sans chez entre vers avant après au aux en y plus".split(),
+    "de": "der die das den dem des ein eine einen einem einer eines ist sind war waren wird wurde wurden hat haben hatte kann nicht kein keine und oder aber wenn weil denn dass ob als wie wer wen wem was wann wo warum welche welcher welches welchem welchen dies diese dieser dieses es er sie wir ihr ich mir mich sich sein seine ihre in im an am auf aus bei beim mit nach von vom vor zu zum zur für über unter um durch neben bevor nur auch".split(),
+    "es": "el la los las lo un una unos unas es son era fue ser está están ha han había puede no ni y e o u pero si porque que qué quien quién cual cuál cuándo dónde cómo por para con sin de del al a en entre sobre hasta desde antes después este esta estos estas esto ese esa eso se me te le les nos yo él ella ellos su sus mi tu ya más muy también según".split(),
+    "it": "il lo la i gli le l un uno una è sono era ha hanno non e o ma se perché che chi cosa quale quando dove come di del della dello dei degli delle da dal dalla in nel nella a al alla su sul sulla con per tra fra questo questa si mi ti ci suo sua anche più dato".split(),
+    "nl": "de het een is zijn was waren heeft had kan niet geen en of maar als omdat want dat die dit deze wie wat welke wanneer waar waarom hoe in op aan bij met naar van voor over onder om door uit te er ze hij wij je ik mijn hun ook al nog".split(),
+    "pt": "o a os as um uma uns é são era foi ser está tem não nem e ou mas se porque pois que quem qual quando onde como de do da dos das em no na nos nas por pelo pela para com sem entre sobre até este esta isto ele ela eu me seu sua já mais também".split(),
+    "sv": "och är var inte det den de ett en som på i för med av att om eller men när vad vem vilken hur har hade kan till från under över mellan han hon jag vi du sin också eftersom".split(),
+    "pl": "jest są był była nie i oraz lub albo ale bo że to ta ten te kto co który która kiedy gdzie jak w we na do z ze od po za o przez przy dla pod nad się jego jej ja on ona już też".split(),
 }
-_REFUSES = re.compile(
-    r"\b(?:can(?:not|'t)|could not|couldn't|unable to|am not able to|won't be able to) (?:\w+ ){0,2}(?:help|answer|determine|identify|say|tell|provide|assist|respond|share|discuss|give)"
-    r"|not something i can|nothing i can say|decline to|refuse to|not (?:allowed|permitted) to|do(?:es)? not allow me|don't allow me|do not have (?:access|information|enough)|don't have (?:access|information)|no answer can be given|won't guess|would rather not|prefer not to"
-    r"|peux pas (?:vous )?(?:aider|répondre|identifier|dire)|impossible de|pas autorisée? à|pas accès à|préfère ne|ne (?:puis|saurais)|refuse de|ne suis pas en mesure|aucune réponse"
-    r"|kann (?:ich )?(?:\w+ ){0,4}nicht (?:\w+ )?(?:beantworten|helfen|sagen|identifizieren|nennen)|nicht (?:beantworten|helfen|weiterhelfen)|darf ich (?:\w+ ){0,3}(?:keine|nicht)|keine (?:auskunft|antwort|informationen|angaben)|nicht in der lage|muss (?:ich )?ablehnen|lehne (?:ich|es) ab"
-    r"|no puedo (?:\w+ )?(?:ayudar|responder|contestar|identificar|decir)|prefiero no|no dispongo|no se me permite|imposible (?:responder|contestar)|no tengo (?:acceso|información)|no estoy autorizad|me niego"
-)
-_REGRETS = re.compile(
-    r"\b(?:i'm sorry|i am sorry|sorry, but|unfortunately|i must|as an (?:ai|assistant)|my guidelines|thank you for asking|please ask|désolée?|malheureusement|es tut mir leid|leider|lo siento|lamentablemente|lamento|me resulta|dazu liegen|il m'est)\b"
+# Words that negate, that speak of being able or willing to answer, of regret, of contrast, and of oneself.
+NEGATIONS = frozenset(
+    "not no nor nothing never cannot can't couldn't won't wouldn't don't doesn't didn't isn't unable impossible decline refuse pas rien aucun aucune jamais impossible refuse nicht kein keine keinen keinerlei nichts nie ablehnen ablehne verweigere unmöglich no ni nada nunca ningún ninguna imposible niego rechazo".split()
 )
-_HEDGES = re.compile(
-    r"fully sure|entirely sure|not certain|not sure|pas certain|pas (?:tout à fait )?sûr|nicht ganz sicher|del todo seguro|sorry for the detour|points? to|mènent|sprechen (?:deutlich )?für|apuntan a"
-)
-_OFFERS = re.compile(
-    r"answer is|it should be|this was|names \S|says \"|points? to \S|réponse est|s'agit de|c'était|mènent clairement à|antwort lautet|handelt sich um|war das|sprechen deutlich für|respuesta es|se trata de|fue \S|apuntan a|antwoord is|risposta è|tratta di|gaat het om"
+ABLE = frozenset(
+    "can able allow allowed permitted access information answer answers respond help assist say tell determine identify guess discuss provide share given peux peut puis autorisé autorisée accès information informations réponse répondre aider dire identifier parler kann können darf dürfen zugriff auskunft antwort antworten informationen angaben beantworten helfen weiterhelfen sagen puedo puede permite permitido acceso información respuesta responder contestar ayudar decir hablar identificar".split()
 )
+REGRETS = frozenset("sorry unfortunately apologies apologize regret afraid thank désolé désolée malheureusement regrette pardon leider leid entschuldigung bedaure siento lamento lamentablemente desgraciadamente perdón disculpa".split())
+CONTRASTS = frozenset("but however yet mais cependant pourtant aber jedoch doch sondern pero sino aunque".split())
+SELVES = frozenset("i me my we i'm je j me m moi nous ich mir mich wir yo me mí mi nos puedo dispongo tengo prefiero lamento siento".split())
+# Refusals in the four languages, the labelled examples of that kind.
+REFUSALS = {
+    "en": ["I'm sorry, but I can't help with that.", "I cannot answer this question.", "Unfortunately I do not have enough information to respond.", "I am not allowed to talk about this person.", "I must refuse to identify anyone here."],
+    "fr": ["Je suis désolé, je ne peux pas répondre.", "Je n'ai aucune information à ce sujet.", "Il m'est impossible de vous aider.", "Je ne suis pas autorisé à répondre à cette question."],
+    "de": ["Es tut mir leid, das kann ich nicht beantworten.", "Dazu habe ich keine Informationen.", "Leider darf ich dazu nichts sagen.", "Ich kann Ihnen dabei nicht helfen."],
+    "es": ["Lo siento, no puedo responder a eso.", "No tengo información sobre este tema.", "Me es imposible contestar.", "No se me permite decir nada de esta persona."],
+}
 _ENDED = re.compile(r"[.!?。！？]['\"”»)\]*_]*$")
 _CUT_MARK = re.compile(r"(?:\.\.\.|…)['\"”»)]*$")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -78,17 +91,34 @@ _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 _ANY_FUNCTION = frozenset(w for v in _SETS.values() for w in v)
 
 
-def language_of(text: str) -> tuple[str | None, int]:
-    """(language or script, number of its function words); None if there is no clear one."""
-    letters = [c for c in text if c.isalpha()]
-    if letters and sum("Ѐ" <= c <= "ӿ" for c in letters) > 0.3 * len(letters):
-        return "cyrillic", 9
+@lru_cache(maxsize=10_000)
+def _script(ch: str) -> str:
+    return unicodedata.name(ch, "?").split()[0]
+
+
+def script_of(text: str) -> str | None:
+    """Another script than Latin if three letters in ten are of it (names may stay Latin), else Latin."""
+    count = Counter(_script(c) for c in text if c.isalpha())
+    if not count:
+        return None
+    other = Counter({k: n for k, n in count.items() if k != "LATIN"}).most_common(1)
+    return other[0][0] if other and other[0][1] >= 0.3 * count.total() else "LATIN"
+
+
+def split_words(text: str) -> list[str]:
+    """Words in lower case; both parts of an elision besides the whole."""
     words = _WORD.findall(text.lower().replace("’", "'"))
-    words += [p for w in words if "'" in w for p in (w.split("'")[0] + "'", w.split("'", 1)[1])]
+    return words + [p for w in words if "'" in w for p in w.split("'") if p]
+
+
+def language_of(text: str) -> str | None:
+    """The language by closed-class words, another script than Latin by its name; None if neither is clear."""
+    script = script_of(text)
+    if script not in (None, "LATIN"):
+        return script
+    words = split_words(text)
     score = sorted(((sum(w in s for w in words), k) for k, s in _SETS.items()), reverse=True)
-    if score[0][0] >= 2 and score[0][0] > score[1][0]:
-        return score[0][1], score[0][0]
-    return None, score[0][0]
+    return score[0][1] if score[0][0] >= 2 and score[0][0] > score[1][0] else None
 
 
 def is_sentence(text: str) -> bool:
@@ -101,21 +131,25 @@ def is_sentence(text: str) -> bool:
     return len([w for w in words if w.lower() in _ANY_FUNCTION and w.lower() not in PARTICLES]) >= 2
 
 
-def votes(question: str | None, answer: str | None, golds: list[str | None] | None, q_language: str | None, use_gold: bool = True) -> tuple[tuple[int, ...], ...]:
-    """The votes of all labelling functions, by defect; without ``use_gold`` as if the answer were no gold answer."""
-    form = " ".join((visual_form(answer) or "").split())
+def _form(text: str | None) -> str:
+    return " ".join((visual_form(text) or "").split())
+
+
+def _sides(x: bool) -> int:
+    return 1 if x else -1
+
+
+def votes(question: str | None, answer: str | None, golds: list[str | None] | None, q_language: str | None) -> tuple[tuple[int, ...], ...]:
+    """The votes of all labelling functions, by defect."""
+    form = _form(answer)
     low = form.lower()
     bare = _TAG.sub(" ", low)
     words = _PLAIN_WORD.findall(bare)
-    gold_forms = [" ".join((visual_form(g) or "").split()).lower() for g in golds or [] if g]
-    is_gold = use_gold and low in gold_forms and bool(low)
     kernel = bare.strip(" \t.,;:!?-–—_*'\"()[]{}<>/\\|")
+    empty = (_sides(not words), _sides(not words or kernel in STAND_INS), _sides(len(kernel.split()) <= 1 and len(kernel) < 10 and not any(c.isdigit() for c in kernel)))
 
-    stand_in = not words or kernel in STAND_INS
-    empty = (1 if not words else -1, 1 if stand_in else -1, 1 if len(low) < 12 and stand_in else (-1 if len(words) > 2 or is_gold else 0))
-
-    asked = _PLAIN_WORD.findall((visual_form(question) or "").lower())
-    copied = (0, 0, 0)
+    asked = _PLAIN_WORD.findall(_form(question).lower())
+    copied = (0, 0, 0, 0)
     if asked and words:
         limit = max(2, len(asked) // 5)
         once = words
@@ -124,53 +158,102 @@ def votes(question: str | None, answer: str | None, golds: list[str | None] | No
         known = set(asked)
         apart = (Counter(once) - Counter(asked)).total(), (Counter(asked) - Counter(once)).total()
         near = len(asked) >= 3 and max(apart) <= limit and edits_within(once, asked, limit) <= limit
-        own = [w for w in words if w not in known]
+        own = sum(w not in known for w in words)
         covered = len(known & set(words)) / len(known)
-        copied = (1 if near else -1, 1 if covered >= 0.8 and len(own) <= limit else -1, -1 if len(own) > limit or is_gold else (1 if covered >= 0.8 else 0))
-
-    sentence = is_sentence(form) and not is_gold
-    ended, mark = bool(_ENDED.search(form)), bool(_CUT_MARK.search(form))
-    prefix = bool(words) and not is_gold and any(g.startswith(low.rstrip(".… ")) and len(g) > len(low.rstrip(".… ")) for g in gold_forms if low.rstrip(".… "))
-    truncated = (
-        (1 if mark or not ended else -1) if sentence else 0,
-        1 if prefix else (-1 if is_gold else 0),
-        1 if mark and words else (-1 if ended or not sentence and not prefix else 0),
-        1 if sentence and left_open(form) else (-1 if sentence and ended and not mark else 0),
-        -1 if not words or (copied[0] == 1) else (1 if prefix or (sentence and not ended) else 0),
-    )
-
-    declines, regrets, hedges, offers = (bool(p.search(low)) for p in (_REFUSES, _REGRETS, _HEDGES, _OFFERS))
-    refusal = (1 if declines else -1, 1 if regrets else 0, -1 if hedges or is_gold or not sentence else 0, -1 if offers and not declines else (1 if declines and not hedges and ended else 0))
-
-    language, strength = language_of(form) if sentence else (None, 0)
-    q_words = _SETS.get(q_language or "", frozenset())
-    told = [w for w in _WORD.findall(low) if w in q_words]
-    differs = language is not None and q_language is not None and language != q_language
-    other = (
-        (1 if differs else -1) if language and q_language else 0,
-        1 if language == "cyrillic" and q_language not in (None, "cyrillic") else 0,
-        (1 if q_language and len(words) >= 4 and len(told) <= 1 and ended else -1) if sentence else -1,
-        -1 if copied[0] == 1 or not words or is_gold or not ended else (1 if differs and strength >= 3 else 0),
-    )
-    return empty, copied, truncated, refusal, other
-
-
-def known_sound(question: str | None, answer: str | None, golds: list[str | None] | None, q_language: str | None) -> tuple[bool, bool]:
-    """(sound, and of the question's language as far as one can tell): known without the label model."""
+        copied = (_sides(near), _sides(covered >= 0.8), _sides(own <= limit), _sides(abs(len(once) - len(asked)) <= limit))
+
+    sentence = is_sentence(form)
+    ended, mark = bool(_ENDED.search(form)), bool(_CUT_MARK.search(form) or form.endswith("\ufffd"))
+    trunk = low.rstrip(".…\ufffd ")
+    gold_forms = [_form(g).lower() for g in golds or [] if g]
+    rests = [g[len(trunk) :] for g in gold_forms if trunk and g.startswith(trunk) and len(g) > len(trunk)]  # of longer gold answers
+    cut_sentence, cut_gold = (0,) * VOTERS["cut_sentence"], (0,) * VOTERS["cut_gold"]
+    tail = _WORD.findall(low)[-1:]
+    if words and sentence:
+        cut_sentence = (_sides(mark or not ended), _sides(mark), _sides(left_open(form)), _sides(not ended and bool(tail) and (tail[0] in _ANY_FUNCTION or len(tail[0]) <= 2)))
+    if words and gold_forms and not sentence:
+        cut_gold = (_sides(bool(rests) and low not in gold_forms), _sides(any(x[0].isalnum() for x in rests)), _sides(all(len(trunk) < len(g) for g in gold_forms)))
+
+    refusal = (0,) * VOTERS["refusal"]
+    if words and sentence:
+        told = split_words(low)
+        clauses = [set(split_words(c)) for c in re.split(r"[.,;:!?]| (?:" + "|".join(sorted(CONTRASTS)) + ") ", low)]
+        denies = any(c & NEGATIONS and c & ABLE for c in clauses)
+        at = next((i for i, w in enumerate(told) if w in NEGATIONS), None)
+        after = _PLAIN_WORD.findall(form)
+        names = [w for w in after[1:] if (w[0].isupper() or w[0].isdigit()) and w.lower() not in asked]
+        turn = at is not None and any(w in CONTRASTS for w in told[at + 1 :])
+        refusal = (
+            _sides(denies),
+            _sides(any(w in REGRETS for w in told)),
+            _sides(not names),
+            _sides(any(c & NEGATIONS and c & SELVES for c in clauses)),
+            _sides(not (turn and names)),
+            _sides(ended and len(words) <= 20),
+        )
+
+    other = (0,) * VOTERS["other_language"]
+    if words and sentence and q_language:
+        told, own = split_words(form), _SETS.get(q_language, frozenset())
+        language = language_of(form)
+        only_own = sum(w in own and not any(w in s for k, s in _SETS.items() if k != q_language) for w in told)
+        only_other = max(sum(w in s and w not in own for w in told) for k, s in _SETS.items() if k != q_language)
+        script = script_of(form)
+        other = (
+            0 if language is None else _sides(language != q_language),
+            _sides(script is not None and script != (script_of(question or "") or script)),
+            0 if len(told) < 4 else _sides(sum(w in own for w in told) < 0.1 * len(told)),
+            0 if not only_own + only_other else _sides(only_other > only_own),
+        )
+    return empty, copied, cut_sentence, cut_gold, refusal, other
+
+
+def known_sound(question: str | None, answer: str | None, golds: list[str | None] | None) -> bool:
+    """Sound for another reason than the votes: a gold answer, or a complete sentence with one which the question lacks."""
     if not answer or not golds:
-        return False, False
-    form = " ".join((visual_form(answer) or "").split())
-    if answer in golds:
-        # that it is a gold answer is all that tells the beginning of a longer one from a cut answer
-        longer = any(len(g) > len(form) and g.lower().startswith(form.lower()) for g in (" ".join((visual_form(x) or "").split()) for x in golds if x))
-        return not longer, not longer
+        return False
+    form = _form(answer)
+    if answer in golds:  # a gold answer that begins a longer one tells nothing about cut answers
+        return not any(len(g) > len(form) and g.lower().startswith(form.lower()) for g in (_form(x) for x in golds if x))
     if not is_sentence(form) or not _ENDED.search(form) or _CUT_MARK.search(form) or left_open(form):
-        return False, False
-    said, asked = (f" {' '.join(_PLAIN_WORD.findall((visual_form(t) or '').lower()))} " for t in (answer, question))
-    inside = [f" {' '.join(_PLAIN_WORD.findall((visual_form(g) or '').lower()))} " for g in golds if g]
-    if not any(g.strip() and g in said and g not in asked for g in inside):
-        return False, False
-    return True, language_of(form)[0] in (None, q_language)
+        return False
+    said, asked = (f" {' '.join(_PLAIN_WORD.findall(_form(t).lower()))} " for t in (answer, question))
+    inside = [f" {' '.join(_PLAIN_WORD.findall(_form(g).lower()))} " for g in golds if g]
+    return any(g.strip() and g in said and g not in asked for g in inside)
+
+
+def labelled_pairs(rows: list[tuple[str | None, str | None, list[str | None] | None]]) -> list[tuple[str | None, tuple]]:
+    """(defect or None, (question, answer, golds)): the sound pairs among the rows, and the same pairs damaged."""
+    sound = [r for r in rows if known_sound(*r)]
+    out: list[tuple[str | None, tuple]] = []
+    sentences: dict[str | None, list[str]] = {}
+    for question, answer, _ in sound:
+        if is_sentence(_form(answer)):
+            sentences.setdefault(language_of(answer), []).append(answer)
+    for n, (question, answer, golds) in enumerate(sound):
+        language = language_of(question or "")
+        same = not is_sentence(_form(answer)) or language_of(answer) in (None, language)
+        if same:
+            out.append((None, (question, answer, [g for g in golds if g != answer])))
+        seed = xxhash.xxh64_intdigest(f"{question} {answer}")
+        out.append(("empty", (question, ("", " - ", "<answer></answer>", "N/A", "null", "\u200b")[seed % 6], golds)))
+        if len(answer) >= 8:
+            end = max(4, int(len(answer) * (0.3 + 0.6 * (seed % 97) / 97)))
+            if is_sentence(_form(answer)):
+                out.append(("cut_sentence", (question, answer[:end].rstrip() + ("", "", "...")[n % 3], golds)))
+            else:
+                out.append(("cut_gold", (question, answer[: min(end, len(answer) - 2)], golds)))
+        if question:
+            asked = question.split()
+            changed = (question, question.lower(), question.upper(), question.rstrip("?"), " ".join(asked[:-2] + asked[-1:]))
+            out.append(("copied_question", (question, changed[seed % 5], golds)))
+            foreign = [k for k in sentences if k not in (None, language)]
+            if language and foreign:
+                pool = sentences[sorted(foreign)[seed % len(foreign)]]
+                out.append(("other_language", (question, pool[seed % len(pool)], golds)))
+        known = REFUSALS.get(language or "en", REFUSALS["en"])
+        out.append(("refusal", (question, known[seed % len(known)], golds)))
+    return out
 
 
 def encode(v: tuple[tuple[int, ...], ...]) -> int:
@@ -187,50 +270,79 @@ def pattern_of(defect: str, code: str = "code"):
     return ((F.col(code) / F.lit(3**later)).cast("bigint") % F.lit(3 ** VOTERS[defect])).cast("int")
 
 
-def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 60, strength: float = 0.2) -> dict[int, float]:
-    """Posterior of each vote pattern by expectation-maximization.
+def fit_label_model(
+    counts: dict[int, int], voters: int, sound: dict[int, int] | None = None, defective: dict[int, int] | None = None, rounds: int = 100, strength: float = 0.01
+) -> tuple[dict[int, float], float]:
+    """(posterior of each vote pattern, share of defective pairs) by expectation-maximization.
 
     A function that abstains says nothing; of its votes, the share "for" on defective and on sound pairs is
-    estimated. ``strength`` is the weight of the prior belief (functions are mostly right, defects are rare)
-    relative to the number of rows, so that the two classes cannot trade places.
+    estimated. ``strength`` is the weight of the prior belief (functions are mostly right, defects are rare; the shares
+    on labelled ``sound`` and ``defective`` pairs, where given) relative to the number of rows, so that the two classes
+    cannot trade places. Patterns in which all abstain say nothing about the share of defective pairs.
     """
     patterns = np.array(sorted(counts))
     if patterns.size == 0:
-        return {}
+        return {}, 0.0
     n = np.array([counts[p] for p in patterns], dtype=float)
     digits = np.stack([(patterns // 3 ** (voters - 1 - j)) % 3 for j in range(voters)], axis=1)
     against, favour = (digits == 0).astype(float), (digits == 2).astype(float)
-    prior = np.array([0.05, 0.9])  # share "for" among votes on sound and on defective pairs
+    n[(favour + against).sum(axis=1) == 0] = 0
+    # share "for" among votes on sound and on defective pairs; the first function of a model is its plainest sign
+    prior = np.array([[0.05] * voters, [0.9] + [0.5] * (voters - 1)])
+    for c, labelled in enumerate((sound, defective)):
+        m = np.array([(labelled or {}).get(p, 0) for p in patterns.tolist()], dtype=float)
+        prior[c] = (m @ favour + 4 * prior[c]) / (m @ (favour + against) + 4)
     rare, total = 0.03, n.sum()
-    p, share = np.repeat(prior[:, None], voters, axis=1), rare
+    p, share = prior.copy(), rare
     post = np.zeros(patterns.size)
     for _ in range(rounds):
         log = favour @ np.log(p.T) + against @ np.log(1 - p.T) + np.log([1 - share, share])
         post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         for c, w in ((0, n * (1 - post)), (1, n * post)):
-            weight = strength * total * (rare if c else 1 - rare)
+            weight = strength * total * (rare if c else 1 - rare) + 1e-9
             p[c] = (w @ favour + weight * prior[c]) / (w @ (favour + against) + weight)
-        share = (float((n * post).sum()) + strength * total * rare) / (total * (1 + strength))
-    return dict(zip(patterns.tolist(), post.tolist()))
+        share = (float((n * post).sum()) + strength * total * rare + 1e-9) / (total * (1 + strength) + 1e-9)
+    return dict(zip(patterns.tolist(), post.tolist())), share
 
 
-def choose_cutoff(posterior: dict[int, float], sound: dict[int, int]) -> float:
-    """The least cutoff that flags at most MAX_FALSE of the pairs known to be sound."""
-    total = sum(sound.values()) or 1
+def choose_cutoff(posterior: dict[int, float], sound: dict[int, int], defective: dict[int, int], share: float) -> float:
+    """The cutoff of the grid with the best F1 on labelled pairs of both kinds, weighed by the share of defective pairs;
+    of equal ones that next to even odds."""
+    n, m = sum(sound.values()) or 1, sum(defective.values()) or 1
+    score = {}
     for cutoff in CUTOFF_GRID:
-        if sum(k for p, k in sound.items() if posterior.get(p, 0.0) > cutoff) <= MAX_FALSE * total:
-            return cutoff
-    return CUTOFF_GRID[-1]
+        hit = share * sum(k for p, k in defective.items() if posterior.get(p, 0.0) > cutoff) / m
+        false = (1 - share) * sum(k for p, k in sound.items() if posterior.get(p, 0.0) > cutoff) / n
+        score[cutoff] = round(2 * hit / (hit + false + share), 4) if hit else 0.0
+    return min((c for c in CUTOFF_GRID if score[c] == max(score.values())), key=lambda c: abs(c - 0.5))
+
+
+def fit_cutoffs(counted: dict[str, dict[int, int]], sample: list[tuple[str | None, str | None, list[str | None] | None]]) -> dict[str, tuple[dict[int, float], float]]:
+    """By defect: posteriors of the vote patterns and the cutoff."""
+    labelled = []
+    languages: dict[str | None, str | None] = {}
+    for kind, (question, answer, golds) in labelled_pairs(sample):
+        if question not in languages:
+            languages[question] = language_of(question or "")
+        labelled.append((kind, votes(question, answer, golds, languages[question])))
+    out = {}
+    for i, d in enumerate(DEFECTS):
+        code = lambda v, i=i: sum((x + 1) * 3 ** (len(v[i]) - 1 - j) for j, x in enumerate(v[i]))
+        sound, bad = Counter(code(v) for kind, v in labelled if kind is None), Counter(code(v) for kind, v in labelled if kind == d)
+        # patterns of labelled pairs only do not weigh
+        posterior, share = fit_label_model({p: 0 for p in (*sound, *bad)} | counted.get(d, {}), VOTERS[d], sound, bad)
+        out[d] = posterior, choose_cutoff(posterior, sound, bad, share)
+    return out
 
 
 def pair_labels(df: DataFrame, id_col: str = "row_id", question_col: str = "question", answer_col: str = "final_answer", gold_col: str = "gold_answers") -> DataFrame:
     """(id_col, defect, posterior): every defect of a pair whose posterior exceeds the defect's cutoff."""
     src = df.select(df[id_col], df[question_col], df[answer_col], df[gold_col])
-    schema = T.StructType([T.StructField(id_col, src.schema[0].dataType), T.StructField("code", T.LongType()), T.StructField("sound_code", T.LongType()), T.StructField("same_language", T.BooleanType())])
+    schema = T.StructType([T.StructField(id_col, src.schema[0].dataType), T.StructField("code", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str | None, str | None] = {None: None}
-        memo: dict[tuple, tuple[int, int | None, bool]] = {}
+        memo: dict[tuple, int] = {}
         for batch in batches:
             found = []
             for question, answer, golds in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
@@ -239,32 +351,26 @@ def pair_labels(df: DataFrame, id_col: str = "row_id", question_col: str = "ques
                     if question not in languages:
                         if len(languages) > 50_000:
                             languages = {None: None}
-                        languages[question] = language_of(question)[0]
+                        languages[question] = language_of(question)
                     if len(memo) > 50_000:
                         memo.clear()
-                    sound, same = known_sound(question, answer, golds, languages[question])
-                    unaided = encode(votes(question, answer, golds, languages[question], use_gold=False)) if sound else None
-                    memo[key] = encode(votes(question, answer, golds, languages[question])), unaided, same
+                    memo[key] = encode(votes(question, answer, golds, languages[question]))
                 found.append(memo[key])
-            codes, unaided, same = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, type=pa.int64()), pa.array(unaided, type=pa.int64()), pa.array(same, type=pa.bool_())], names=[id_col, "code", "sound_code", "same_language"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.int64())], names=[id_col, "code"])
 
     coded = staged(src.mapInArrow(run, schema))
-    patterns = lambda code: F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), pattern_of(d, code).alias("pattern")) for d in DEFECTS])).alias("v")
-    table = patterns("code")
-    counts = lambda x: x.groupBy("v.defect", "v.pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3**5 per defect
-    counted = counts(coded.select(table))
-    checked = counts(coded.where("sound_code is not null").select(patterns("sound_code"), "same_language").where("v.defect <> 'other_language' or same_language"))
-    flagged = []
-    for d in DEFECTS:
-        own = {r["pattern"]: r["n"] for r in counted if r["defect"] == d}
-        sound = {r["pattern"]: r["n"] for r in checked if r["defect"] == d}
-        posterior = fit_label_model({p: 0 for p in sound} | own, VOTERS[d])  # patterns of sound pairs only do not weigh
-        cutoff = choose_cutoff(posterior, sound)
-        flagged += [(d, p, float(q)) for p, q in posterior.items() if q > cutoff]
-    spark = df.sparkSession
-    lookup = spark.createDataFrame(flagged, "defect string, pattern int, posterior double")  # bounded as above
-    return coded.select(id_col, table).select(id_col, "v.defect", "v.pattern").join(F.broadcast(lookup), ["defect", "pattern"]).select(id_col, "defect", F.round("posterior", 6).alias("posterior"))
+    table = F.explode(F.array(*[F.struct(F.lit(d).alias("model"), pattern_of(d).alias("pattern")) for d in DEFECTS])).alias("v")
+    counted: dict[str, dict[int, int]] = {}
+    for r in coded.select(table).groupBy("v.model", "v.pattern").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 3**6 per defect
+        counted.setdefault(r["model"], {})[r["pattern"]] = r["n"]
+    question, answer, golds = (F.col(f"`{c}`") for c in (question_col, answer_col, gold_col))
+    may_be_sound = F.exists(golds, lambda g: F.coalesce(F.contains(answer, g), F.lit(False)) & (F.length(g) > 0))
+    order = F.xxhash64(question, answer)
+    sample = src.where(may_be_sound).select(order.alias("o"), question.alias("q"), answer.alias("a"), golds.alias("g")).orderBy("o", "q", "a").limit(VALIDATION).collect()
+    fitted = fit_cutoffs(counted, list(dict.fromkeys((r["q"], r["a"], tuple(r["g"])) for r in sample)))
+    flagged = [(d, REPORTED.get(d, d), p, float(q)) for d, (posterior, cutoff) in fitted.items() for p, q in posterior.items() if q > cutoff]
+    lookup = df.sparkSession.createDataFrame(flagged, "model string, defect string, pattern int, posterior double")  # bounded as above
+    return coded.select(id_col, table).select(id_col, "v.model", "v.pattern").join(F.broadcast(lookup), ["model", "pattern"]).select(id_col, "defect", F.round("posterior", 6).alias("posterior"))
 
 
 def broken_pairs(df: DataFrame, id_col: str = "row_id", **columns: str) -> DataFrame:
@@ -273,5 +379,6 @@ def broken_pairs(df: DataFrame, id_col: str = "row_id", **columns: str) -> DataF
 
     Rows must have unique ids (a repeated id is one pair).
     """
-    rank = F.array_position(F.array(*[F.lit(d) for d in DEFECTS]), F.col("defect"))
+    order = dict.fromkeys(REPORTED.get(d, d) for d in DEFECTS)
+    rank = F.array_position(F.array(*[F.lit(d) for d in order]), F.col("defect"))
     return pair_labels(df, id_col, **columns).groupBy(id_col).agg(F.min(F.struct(rank.alias("r"), "defect")).alias("m")).select(id_col, "m.defect")
