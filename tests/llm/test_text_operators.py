@@ -98,6 +98,9 @@ def test_label_model_separates():
     assert P.fit_label_model({}, 3) == ({}, 0.0)
 
 
+ENDS = frozenset({"9999"})
+
+
 @pytest.mark.parametrize(
     "text, cut",
     [
@@ -107,7 +110,7 @@ def test_label_model_separates():
     ],
 )
 def test_structure(text, cut):
-    assert T.ends_early(text) is cut
+    assert T.ends_early(text, ENDS) is cut
 
 
 @pytest.mark.parametrize(
@@ -117,7 +120,7 @@ def test_structure(text, cut):
     ],
 )
 def test_queries(text, cut):
-    assert T.query_ends_early(text, Q) is cut
+    assert T.query_ends_early(text, Q, ENDS) is cut
 
 
 STEP = "array<struct<step_id:int,tool_type:string,action_text:string,raw_observation:array<struct<title:string,snippet:string>>>>"
@@ -140,12 +143,16 @@ def test_truncated_values(spark):
     assert T.truncated_values(df.where("false")).count() == 0
 
 
-def test_a_query_cut_after_a_year():
+def test_a_query_cut_after_a_year(spark):
     question = "Welche Halle steht neben der Mühle, die Olm Vent im Jahr 1872 verkaufte?"
-    assert T.query_ends_early("Welche Halle steht neben der Mühle, die Olm Vent im Jahr 1872", question) is True
-    assert T.query_ends_early(question[:-1], question) is False
-    assert T.query_ends_early("Which building was sold in 1872", Q) is False
-    assert T.query_ends_early("Was it mapped?", "Was it mapped? And by whom?") is False
+    ends = T.question_ends(spark.createDataFrame([(question,), (Q,), ("no mark 12",), (None,), ("Is it old ??",)], "q string"), "q")
+    assert ends == {"verkaufte", "9999", "old"}
+    assert T.query_ends_early("Welche Halle steht neben der Mühle, die Olm Vent im Jahr 1872", question, ends) is True
+    assert T.query_ends_early(question[:-1], question, ends) is False
+    assert T.query_ends_early("Welcher Turm steht neben der Mole, die Klas im Jahr 1790 verkaufte", question, ends) is False
+    assert T.query_ends_early("Welcher Turm steht neben der Mole, die Klas im Jahr", question, ends) is None
+    assert T.query_ends_early("Which building was sold in 1872", Q, ends) is False
+    assert T.query_ends_early("Was it mapped?", "Was it mapped? And by whom?", ends) is False
 
 
 def test_a_source_that_cuts_most_values(spark):

@@ -1,17 +1,20 @@
 """Texts cut off by field limits (problem 2).
 
-Method: a structural completeness check. A stack automaton reads the quotes, brackets and markup of a value
+Method: a structural completeness check. A stack automaton reads the quotes, brackets and markup of every value
 and tells what is left open; further signs are a broken multibyte sequence or escape at the end, a cut mark,
 an abbreviation at the end, and a missing terminator. A value that ends earlier sentences of its own and not its
 last one was cut. What a missing terminator means elsewhere depends on the source: the share of sentences that
-show a terminator is counted per source and field over all rows, and where it, or that of the field over all
-sources, reaches ``BASELINE`` a missing terminator counts as a cut; so a source that cuts most of its values is
-measured by the others. Values that never have one (fact lines, keyword queries, questions without a question
-mark) are told apart by their form and do not count; a query is also held against the question it was made from,
-where a last word that is the beginning of a question's word was cut.
+show a terminator is counted per source and field over all rows, and a missing terminator counts as a cut unless these
+counts, and those of the field over all sources, show beyond chance (upper confidence limit) that sentences end with one less
+often than ``BASELINE``; so a source that cuts most of its values is measured by the others. Values that never have one (fact lines, keyword queries, questions without a question
+mark) are told apart by their form and do not count. A question without its mark is complete if it ends as questions with a
+mark do: the last words of all terminated questions are counted (digits alike), and those that end at least ``END_SHARE`` of
+them form the profile. A query is also held against the question it was made from, where a last word that is the beginning
+of a question's word was cut.
 
 Plan: one scan of the needed nested columns, one ``mapInArrow`` whose result, the values with a sign of a cut and
-a few counts a batch, is staged; a partial aggregate of (source, field) counts and a join with those few rows.
+a few counts a batch, is staged; a partial aggregate of (source, field) counts and a join with those few rows. The profile of
+last words is an aggregate over the questions, of which at most 1 / END_SHARE rows reach the driver.
 
 Defined results: null and empty values are complete; null steps and entries are skipped, positions count
 them; a null source is a source of its own; a null question leaves the checks that do not need it; repeated
@@ -24,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.session import staged
@@ -32,18 +35,19 @@ from tracequarry.session import staged
 #: Share of sentences with a terminator from which a missing one counts as a cut.
 BASELINE = 0.5
 
-# Signs, opening and closing characters, abbreviations and words that ask.
+#: Share of the terminated questions that a last word must end to belong to the profile.
+END_SHARE = 0.01
+#: Standard errors between a share and its confidence limit.
+LIMIT = 1.0
+
+# Abbreviations, opening and closing characters, words that ask and verbs that begin a question.
 ABBREVIATIONS = ("approx", "ca", "env", "aprox", "no", "nr", "núm", "num", "bzw", "vgl", "cf", "vs")
 CLOSERS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
-# How a question begins, and the verbs that may follow its year.
-_ASKS = re.compile(
-    r"^(?:who|which|when|where|why|how|whose|whom|what(?! an? )|is|are|was|were|did|does|in which|for [^,]+, who|at which|"
-    r"wer|was|welche[rsmn]?|wann|wo|warum|wie|ist|sind|in welche[rm]|für [^,]+, wer|"
-    r"qui|que|quels?|quelles?|quand|où|pourquoi|comment|combien|dans quel(?:le)?|chez [^,]+, qui|à quel(?:le)?|"
-    r"quién|qué|cuál|cuándo|dónde|por qué|cómo|cuántos?|en qué|a qué)\b",
-    re.I,
+ASK_WORDS = frozenset(
+    "who which when where why how whose whom what wer wen wem was welche welcher welches welchen welchem wann wo warum wie qui que quel quelle quels quelles quand où pourquoi comment combien quién quiénes qué cuál cuándo dónde cómo cuánto cuántos".split()
 )
-_ASKED = re.compile(r"\b\d{4}(?: (?:verkaufte|erbte|verließ|erwarb|bezog))?$", re.I)
+ASK_VERBS = frozenset("is are was were did does do has have can could will ist sind war waren hat haben kann wird est sont es son está están".split())
+_INVERSION = re.compile(r"\w-(?:t-)?(?:il|elle|ils|elles|on)\b", re.I)
 
 _MARKS = re.compile(r"""["“”«»()\[\]{}]|</?[A-Za-z][^<>]*>|<""")
 _ENDED = re.compile(r"[.!?。！？…][\"”»'’)\]*_]*$")
@@ -88,17 +92,33 @@ def is_fact_line(text: str) -> bool:
     return bool(_FACTS.match(text))
 
 
-def asks_in_full(text: str) -> bool:
-    """A question that only lacks its mark: it begins as one and ends as the questions here do, with a year."""
+def asks(sentence: str) -> bool:
+    """Begins as a question: with a word that asks, after a preposition or a first phrase as well, or with a verb."""
+    words = words_of(sentence)
+    if not words:
+        return False
+    if words[0] in ASK_WORDS and words[1:2] not in (["a"], ["an"]) or words[0] in ASK_VERBS or words[1:2] and words[1] in ASK_WORDS:
+        return True
+    after = words_of(sentence.partition(",")[2])
+    return bool(after) and after[0] in ASK_WORDS or bool(_INVERSION.search(sentence))
+
+
+def end_shape(text: str) -> str:
+    """The last word in lower case, digits alike."""
+    words = words_of(text)
+    return re.sub(r"\d", "9", words[-1]) if words else ""
+
+
+def asks_in_full(text: str, ends: frozenset[str]) -> bool:
+    """A question that only lacks its mark: it begins as one and ends as terminated questions do."""
     tail = text.rstrip(" *_")
-    sentence = re.sub(r"\s+", " ", re.split(r"(?<=[.!?]) +(?=[^\W\d_]|¿)", tail)[-1]).strip(" *_¿")
-    asks = bool(_ASKS.match(sentence)) or "est-elle" in sentence or "est-il" in sentence or (tail.startswith("¿") and len(re.findall(r"[.!?]", tail)) == 0)
-    return asks and bool(_ASKED.search(sentence))
+    sentence = re.sub(r"\s+", " ", re.split(r"(?<=[.!?]) +(?=[^\W\d_]|¿)", tail)[-1]).strip(" *_")
+    return (sentence.startswith("¿") or asks(sentence)) and end_shape(sentence) in ends
 
 
-def ends_early(text: str) -> bool | None:
+def ends_early(text: str, ends: frozenset[str] = frozenset()) -> bool | None:
     """True: a sure sign of a cut. False: properly ended, or of a form without terminator. None: only the
-    terminator is missing."""
+    terminator is missing. ``ends`` is the profile of last words of questions."""
     bare = text.rstrip()
     if not bare or is_fact_line(bare):
         return False
@@ -109,7 +129,7 @@ def ends_early(text: str) -> bool | None:
         return bool(_ABBREVIATED.search(core)) or left_open(core)
     if left_open(core):
         return True
-    if asks_in_full(bare):
+    if asks_in_full(bare, ends):
         return False
     return None
 
@@ -123,16 +143,16 @@ def words_of(text: str) -> list[str]:
     return _QUESTION_WORD.findall(text.lower())
 
 
-def query_ends_early(text: str, question: str | None) -> bool | None:
+def query_ends_early(text: str, question: str | None, ends: frozenset[str] = frozenset()) -> bool | None:
     """The same for a search query, held against the question it serves."""
     bare = text.rstrip()
     whole = (question or "").strip()
     if not bare or bare == whole:
         return False
     low, full = bare.lower(), whole.lower()
-    sure = ends_early(text)
+    sure = ends_early(text, ends)
     # a question that reads as complete can still be the beginning of a longer one
-    if sure or sure is False and not (full.startswith(low) and asks_in_full(bare)):
+    if sure or sure is False and not (full.startswith(low) and asks_in_full(bare, ends)):
         return sure
     if full.startswith(low):
         return bool(words_of(full[len(low) :])) or full[len(low) :].strip(" ?!.") != ""
@@ -164,7 +184,14 @@ def _cut(judged: DataFrame, counts: DataFrame, id_col: str, baseline: float) ->
     # few rows: sources x fields; a source below the baseline is measured by its field over all sources
     own = counts.groupBy("source", "field").agg(F.sum("sentences").alias("sentences"), F.sum("ended").alias("ended"))
     field = own.groupBy(F.col("field").alias("_g")).agg(F.sum("sentences").alias("_sentences"), F.sum("ended").alias("_ended"))
-    reaches = lambda ended, n: F.col(ended) >= baseline * F.col(n)
+
+    def reaches(ended: str, n: str) -> Column:
+        """The share ended / n may be the baseline or more: its upper confidence limit (Wilson) is not below."""
+        size, share = F.nullif(F.col(n).cast("double"), F.lit(0.0)), F.try_divide(F.col(ended), F.col(n))
+        z = LIMIT * LIMIT
+        high = (share + z / (2 * size) + LIMIT * F.sqrt(share * (1 - share) / size + z / (4 * size * size))) / (1 + z / size)
+        return F.coalesce(high >= baseline, F.lit(False))
+
     usual = own.join(field, F.col("field") == F.col("_g")).select("source", "field", (reaches("ended", "sentences") | reaches("_ended", "_sentences")).alias("usual"))
     sure = judged.where("sure")
     likely = judged.where("not sure").join(usual.where("usual").withColumnsRenamed({"source": "_s", "field": "_f"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f")), "left_semi")
@@ -179,6 +206,14 @@ def truncation_rates(df: DataFrame, id_col: str = "row_id", source_col: str = "d
     return total.unionByName(cut).groupBy("source", "field").agg(F.sum("n_values").alias("n_values"), F.sum("n_cut").alias("n_cut")).withColumn("share", F.round(F.try_divide("n_cut", "n_values"), 6))
 
 
+def question_ends(df: DataFrame, question_col: str) -> frozenset[str]:
+    """The profile: last words (digits alike) of at least END_SHARE of the questions that show their mark."""
+    last = F.regexp_extract(df[question_col], r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*[?][^\p{L}\p{N}_]*$", 1)
+    counts = df.select(F.regexp_replace(F.lower(last), r"\p{N}", "9").alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return frozenset(r["w"] for r in counts.join(total, F.col("n") >= END_SHARE * F.col("total")).select("w").collect())  # at most 1 / END_SHARE
+
+
 def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps_col: str) -> tuple[DataFrame, DataFrame]:
     """The values with a sign of a cut (sure or not), and per scanned batch the number of values, of sentences among
     them and of those that show a terminator."""
@@ -199,6 +234,8 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
     id_type, src_type = df.schema[id_col].dataType.simpleString(), df.schema[source_col].dataType.simpleString()
     schema = f"id {id_type}, source {src_type}, step_id {step_type.simpleString()}, hit_pos int, field string, sure boolean, n bigint, sentences bigint, ended bigint"
 
+    ends = question_ends(df, question_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool | None] = {}
 
@@ -206,7 +243,7 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
             if text not in seen:
                 if len(seen) > 20_000:
                     seen.clear()
-                seen[text] = ends_early(text)
+                seen[text] = ends_early(text, ends)
             return seen[text]
 
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -221,7 +258,7 @@ def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps
                     for place, field, text in values:
                         if not text:
                             continue
-                        early = query_ends_early(text, question) if place < 0 else verdict(text)
+                        early = query_ends_early(text, question, ends) if place < 0 else verdict(text)
                         ended = early is False and bool(_ENDED.search(text.rstrip().rstrip("*_")))
                         inner = early is None and ends_inner_sentence(text)
                         c = counts.setdefault((source, field), [0, 0, 0])
