@@ -185,6 +185,38 @@ def test_forms_are_stable():
     assert L.visual_form(None) is None and L.visual_form("Мoсквa") == "Москва"
 
 
+def test_viterbi_differs_from_the_table():
+    """Fitted scores choose the script whose words look like the token; the letter table would write all of it in Latin."""
+    scores = L.Scores()
+    for text in ["СССР построил завод", "весь народ СССР вырос", "Россия и СССР", "сорт", "сорок", "хор", "вор поёт"] * 30 + ["the cope of the hall", "a copper coin", "cot"] * 3:
+        scores.add(text)
+    form = L.VisualForms(scores)
+    table = str.maketrans({**L.CYRILLIC, **L.GREEK})
+    assert "сор".translate(table) == "cop" == L.visual_form("сор") and form("сор") == "сор"  # plain scores prefer Latin
+    for text in ("cop", "сор", "сoр", "соp"):  # whatever was written
+        assert form(text) == "сор"
+    assert form("Нall") == "Hall" and form("hall") == form("hаll") == "hall"
+    assert form("ϹοϜ") == form("CoϜ") != form("Co")
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_equal_shapes_get_equal_forms_under_any_scores(seed):
+    import random
+
+    rng = random.Random(seed)
+    scores = L.Scores()
+    for _ in range(50):
+        scores.add("".join(rng.choice("abcdефгжαβγδxyzхуcор") for _ in range(6)))
+    form = L.VisualForms(scores)
+    shapes = {}
+    for other, latin in {**L.CYRILLIC, **L.GREEK}.items():
+        shapes.setdefault(latin, [latin]).append(other)
+    for _ in range(50):
+        word = [rng.choice(sorted(shapes)) for _ in range(5)]
+        a, b = ("".join(rng.choice(shapes[c]) for c in word) for _ in range(2))
+        assert form(a) == form(b) and form(form(a)) == form(a)
+
+
 def test_look_alike_pairs(spark):
     rows = [(1, "Hall", ["Нall", "Hall", None, "HALL"]), (2, None, ["x"]), (3, "x", None), (4, "", ["﻿"]), (5, "a\xa0b", ["a b"]), (5, "a\xa0b", ["a b"])]
     df = spark.createDataFrame(rows, "row_id bigint, final_answer string, gold_answers array<string>").withColumn("gold_pos", F.lit(9))

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tracequarry.llm.lookalikes import visual_form
 from tracequarry.llm.truncation import left_open
-from tracequarry.llm.words import edits_within
+from tracequarry.llm.words import edits_within, hashed_sample
 from tracequarry.session import staged
 
 #: Defects in the order in which one of several is reported; each has a label model. The two ways of being cut leave different
@@ -365,8 +365,8 @@ def pair_labels(df: DataFrame, id_col: str = "row_id", question_col: str = "ques
         counted.setdefault(r["model"], {})[r["pattern"]] = r["n"]
     question, answer, golds = (F.col(f"`{c}`") for c in (question_col, answer_col, gold_col))
     may_be_sound = F.exists(golds, lambda g: F.coalesce(F.contains(answer, g), F.lit(False)) & (F.length(g) > 0))
-    order = F.xxhash64(question, answer)
-    sample = src.where(may_be_sound).select(order.alias("o"), question.alias("q"), answer.alias("a"), golds.alias("g")).orderBy("o", "q", "a").limit(VALIDATION).collect()
+    sound = src.where(may_be_sound).select(question.alias("q"), answer.alias("a"), golds.alias("g"))
+    sample = hashed_sample(sound, F.xxhash64("q", "a"), VALIDATION).collect()
     fitted = fit_cutoffs(counted, list(dict.fromkeys((r["q"], r["a"], tuple(r["g"])) for r in sample)))
     flagged = [(d, REPORTED.get(d, d), p, float(q)) for d, (posterior, cutoff) in fitted.items() for p, q in posterior.items() if q > cutoff]
     lookup = df.sparkSession.createDataFrame(flagged, "model string, defect string, pattern int, posterior double")  # bounded as above

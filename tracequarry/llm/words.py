@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 find_words = re.compile(r"[^\W_]+").findall
 
@@ -14,6 +16,14 @@ def words_of(text: str | None) -> list[str]:
     return find_words(text.lower()) if text else []
 
 
+def hashed_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least hashes ``key`` among a share that holds about four times as many, so that
+    few rows leave the scan whatever the number of its partitions. For fitting only: the same rows at every run."""
+    keep = max(1, rows.count() // (4 * most))
+    names = rows.columns
+    return rows.withColumn("_key", key).where(F.pmod("_key", F.lit(keep)) == 0).orderBy("_key").limit(most).select(*names)
+
+
 class WordHashes(dict):
     """word -> stable 64-bit hash, remembered per worker (bounded)."""
 
