@@ -201,7 +201,7 @@ def test_leakage_inside_a_very_long_text(spark, monkeypatch):
     assert leakage.leaked_items(c, i, "corpus_id", "snippet", "odoc_id", ["question", "answer"]).count() == 393
 
 
-def test_hamming_blocks_find_everything_within_the_radius():
+def test_hamming_keys_find_everything_within_the_radius():
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)]
     from tracequarry.llm.words import WordHashes
@@ -210,14 +210,67 @@ def test_hamming_blocks_find_everything_within_the_radius():
     base = [rng.choice(vocabulary) for _ in range(400)]
     a = leakage.fingerprints(hashes.array(base), 8)
     assert a.size == 393 and a[5] == leakage.fingerprints(hashes.array(base[5:13]), 8)[0]
-    for radius in (1, 3):
-        bits = 64 // (radius + 1)
+    for radius in (0, 1, 2, 3):
+        masks = leakage.hamming_keys(radius)
         for _ in range(200):
-            x, y = rng.choice(a), rng.choice(a)
-            if int(x ^ y).bit_count() <= radius:
-                blocks = lambda v: {(i, (int(v) >> (i * bits)) & ((1 << bits) - 1)) for i in range(radius + 1)}
-                assert blocks(x) & blocks(y)
-    assert leakage.share_window("a b c d e f g h".split(), "a b c d e f g x".split(), 8, 0.7) and not leakage.share_window("a b".split(), "c d".split(), 2, 0.7)
+            x = rng.getrandbits(64)
+            y = x
+            for _ in range(rng.randint(0, radius)):
+                y ^= 1 << rng.randrange(64)
+            u, v = (leakage.key_values(np.array([z], np.uint64), masks)[0] for z in (x, y))
+            assert (u == v).any() and [i for i, m in enumerate(masks) if not (x ^ y) & m] == np.flatnonzero(u == v).tolist()
+
+
+def test_key_filter_loses_nothing(spark):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-(2**63), 2**63 - 1, 5000)
+    keys = leakage.KeyFilter.of(spark.createDataFrame([(int(x),) for x in v], "v bigint"))
+    assert keys.holds(v.view(np.uint64)).all() and keys.holds(rng.integers(0, 2**63, 5000).astype(np.uint64)).mean() < 0.05
+    assert not leakage.KeyFilter.of(spark.createDataFrame([], "v bigint")).holds(v.view(np.uint64)).any()
+
+
+def test_leakage_below_equality(spark):
+    """A similarity below 1 takes windows whose words are in another order, which equality leaves out."""
+    base = "one two three one two four one two"
+    other = "one two four one two three one two"  # the same words and pairs
+    assert leakage.shingle_similarity(base.split(), other.split()) == 1.0
+    c, i = spark.createDataFrame([(1, other), (2, base), (3, "five " * 8)], CORPUS), spark.createDataFrame([(7, base, None)], ITEMS)
+    run = lambda least: sorted(r["corpus_id"] for r in leakage.leaked_items(c, i, "corpus_id", "snippet", "odoc_id", ["question", "answer"], least=least).collect())
+    assert run(1.0) == [2] and run(0.99) == [1, 2]
+
+
+def brute_near(corpus, items, least=0.8):
+    out = set()
+    for c, t in corpus:
+        w = words_of(t)
+        eights = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+        for o, *texts in items:
+            for x in map(words_of, texts):
+                if not eights & {tuple(x[i : i + 8]) for i in range(len(x) - 7)}:
+                    continue
+                if any(leakage.near_similarity(w[i : i + len(x)], x) >= least for i in range(max(0, len(w) - len(x)) + 1)):
+                    out.add((c, o))
+    return out
+
+
+def test_near_items_against_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 60))), None if i % 3 else " ".join(rng.choice(words) for _ in range(30))) for i in range(40)]
+    corpus = []
+    for c in range(160):
+        own = words_of(rng.choice([t for x in items for t in x[1:] if t]))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        if rng.random() < 0.5:
+            own = own[rng.randint(0, 2) : len(own) - rng.randint(0, 3)]
+        corpus.append((c, " ".join([rng.choice(words) for _ in range(rng.choice([0, 3, 40]))] + own + [rng.choice(words) for _ in range(rng.choice([0, 5, 90]))])))
+    corpus += [(900, None), (901, ""), (902, "w1 w2")]
+    c, i = spark.createDataFrame(corpus, CORPUS), spark.createDataFrame(items, ITEMS)
+    got = {(r["corpus_id"], r["odoc_id"]) for r in leakage.near_items(c, i, "corpus_id", "snippet", "odoc_id", ["question", "answer"]).collect()}
+    want = brute_near(corpus, items)
+    assert got == want and 40 < len(want) < 160
+    assert leakage.near_items(c.where("false"), i, "corpus_id", "snippet", "odoc_id", ["question", "answer"]).count() == 0
 
 
 def brute_overlaps(rows):

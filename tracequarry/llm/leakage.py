@@ -1,17 +1,19 @@
 """Evaluation texts leaking into training text (problem 3).
 
 Method: every window of ``width`` words of the held-out texts and of the corpus gets a 64-bit SimHash of its
-weighted shingles (words and neighbouring pairs). The fingerprint is cut into ``radius + 1`` blocks; two
-fingerprints within the radius agree in one block at least, so an equi-join per block finds all of them
-(multi-index Hamming search). Candidate texts are then compared exactly: the weighted-shingle similarity of
-the best pair of windows must reach ``least``; at 1 the words are the same in the same order.
+weighted shingles (words and neighbouring pairs). A window is as large as the least passage that counts. The fingerprint
+is cut into blocks, and every choice of as many of them as must agree within ``radius`` is a key: two fingerprints within
+the radius agree in one key at least, so an equi-join by key finds all of them (multi-index Hamming search). Candidates
+are then compared exactly: the weighted-shingle similarity of the two windows must reach ``least``; at 1 the words must
+also be the same in the same order. ``near_items`` compares item-sized windows around the candidates: a held-out text of n
+words leaks nearly if n consecutive words of the corpus text (or all of a shorter one) reach the similarity in five-word
+shingles weighted by their letters.
 
-Repeated texts are compared once: corpus and items are reduced to distinct texts before the windows are made,
-and the result is brought back to all rows that hold them.
-
-Plan: distinct texts (partial aggregates), one ``mapInArrow`` per side for fingerprints, one equi-join by
-(block, value) that AQE may split where a window is frequent, distinct candidate text pairs, exact check in
-``mapInArrow``, joins back by text key. No broadcast is forced; no group is collected.
+Plan: the held side is reduced to distinct texts; its keys fill a Bloom filter of bounded size (``FILTER_BITS`` at most,
+built in slices of which each is one task, so the driver sees the filter and never the keys). The corpus is scanned once and
+not shuffled: only windows with a key in the filter leave the scan, with the words that the check needs. A filter too small
+for the held side lets more windows through and loses none. Then an equi-join by key that AQE may split where a window is
+frequent, the exact check in ``mapInArrow``, and a join back to the items by a 128-bit text key. No group is collected.
 
 Defined results: null, empty and short texts (fewer words than the window) match nothing; question and answer
 of an item are separate texts; repeated rows each count; ids may be null and are passed on; other columns are
@@ -20,21 +22,29 @@ ignored; an empty side gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm.spans import mix
 from tracequarry.llm.words import WordHashes, words_of
+from tracequarry.session import staged
 
 WIDTH = 8
 RADIUS = 1
 #: Words fingerprinted at once (about 600 bytes each while at work).
 CHUNK = 20_000
+#: Bits of the filter a key, and in all (32 MB); slices in which it is built.
+BITS_A_KEY, FILTER_BITS, SLICES = 16, 1 << 28, 16
+#: Words of a shingle, and of an item, in the search for near copies; longer items are compared in pieces.
+SHINGLE, LONGEST, NEAR = 5, 64, 0.8
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -70,70 +80,206 @@ def shingle_similarity(a: list[str], b: list[str]) -> float:
     return sum((x & y).values()) / union if union else 0.0
 
 
-def share_window(a: list[str], b: list[str], width: int, least: float = 1.0) -> bool:
-    """True if a window of a and one of b reach the similarity; at 1 they must be equal."""
-    if least >= 1.0:
-        own = {tuple(a[i : i + width]) for i in range(len(a) - width + 1)}
-        return any(tuple(b[i : i + width]) in own for i in range(len(b) - width + 1))
-    return any(shingle_similarity(a[i : i + width], b[j : j + width]) >= least for i in range(len(a) - width + 1) for j in range(len(b) - width + 1))
+def near_similarity(a: list[str], b: list[str], shingle: int = SHINGLE) -> float:
+    """Weighted Jaccard similarity of the shingles of ``shingle`` words, weighted by their letters."""
+    x, y = (Counter(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) for w in (a, b))
+    weight = lambda c: sum(n * sum(map(len, k)) for k, n in c.items())
+    union = weight(x | y)
+    return weight(x & y) / union if union else 0.0
+
+
+def hamming_keys(radius: int) -> list[int]:
+    """Masks of the keys: any two fingerprints within the radius agree on all bits of one of them.
+
+    Of ``blocks`` blocks at least ``blocks - radius`` agree. Keys keep about half of the bits, so that they select.
+    """
+    blocks = 2 * radius if radius > 1 else radius + 1
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks)]
+    return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def key_values(f: np.ndarray, masks: list[int]) -> np.ndarray:
+    """[window, key]: a hash of the masked fingerprint and the key's number."""
+    with np.errstate(over="ignore"):
+        return np.stack([mix((f & np.uint64(m)) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(i + 1)) for i, m in enumerate(masks)], axis=1)
+
+
+def first_key(xor: Column, masks: list[int]) -> Column:
+    """Number of the first key on which two fingerprints agree, so that a pair is met once."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.coalesce(*[F.when(xor.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(signed)])
+
+
+class KeyFilter:
+    """Bloom filter over key values: two bits each."""
 
+    def __init__(self, slices: dict[int, bytes], bits: int):
+        self.bits = np.uint64(bits)
+        size = bits // 8 // SLICES
+        self.map = np.frombuffer(b"".join(slices.get(i, b"\0" * size) for i in range(SLICES)), dtype=np.uint8)
 
-def text_windows(texts: DataFrame, width: int, radius: int) -> DataFrame:
-    """(k, f, block, v): the distinct fingerprints of each text (key k, text t), once per block."""
+    @staticmethod
+    def places(v: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return v % bits, (v >> np.uint64(32)) % bits
+
+    def holds(self, v: np.ndarray) -> np.ndarray:
+        out = np.ones(v.shape, bool)
+        for at in self.places(v, self.bits):
+            out &= (self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> KeyFilter:
+        """The filter of a table with a bigint column v."""
+        bits = 1 << max(16, math.ceil(math.log2(max(1, keys.count()) * BITS_A_KEY)))
+        bits = min(bits, FILTER_BITS)
+        size = bits // SLICES
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(np.concatenate(cls.places(batch.column(0).to_numpy().view(np.uint64), np.uint64(bits))))
+                yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(size)).astype(np.int32)), pa.array(at.astype(np.int64))], names=["slice", "at"])
+
+        def fill(own: pd.DataFrame) -> pd.DataFrame:
+            n = int(own["slice"].iloc[0])
+            on = np.zeros(size, np.uint8)
+            on[own["at"].to_numpy() - n * size] = 1
+            return pd.DataFrame({"slice": [n], "map": [np.packbits(on, bitorder="little").tobytes()]})
+
+        # distinct bits: a slice has at most ``size`` rows
+        spots = keys.select("v").mapInArrow(places, "slice int, at bigint").distinct()
+        return cls({r["slice"]: bytes(r["map"]) for r in spots.groupBy("slice").applyInPandas(fill, "slice int, map binary").collect()}, bits)
+
+
+def text_windows(texts: DataFrame, width: int, masks: list[int], around: int = 0, keep: KeyFilter | None = None) -> DataFrame:
+    """(k, f, w, at, key, v): the distinct windows of each text t with key k, once per Hamming key.
+
+    w are the words from ``around`` before the window to ``around`` after it, ``at`` the place of the window in them. Windows
+    of which ``keep`` holds no key are left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(keep) if keep is not None else None  # bounded by FILTER_BITS
+    key_type = texts.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        held = shared.value if shared is not None else None
         for batch in batches:
-            keys, words, starts = [], [], [0]
+            owners, words, starts, ends = [], [], [0], []
 
             def flush() -> pa.RecordBatch:
                 h = hashes.array(words)
                 f = fingerprints(h, width)
                 at = np.asarray(starts)
                 of = np.searchsorted(at, np.arange(f.size), side="right") - 1
-                ok = np.arange(f.size) + width <= at[of + 1]
-                k = np.asarray(keys, dtype=np.int64)[of[ok]]
-                own = np.unique(np.stack([k, f[ok].view(np.int64)]), axis=1)
-                return pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], names=["k", "f"])
+                place = np.flatnonzero(np.arange(f.size) + width <= at[of + 1])
+                v = key_values(f[place], masks)
+                row, key = np.nonzero(held.holds(v)) if held is not None else np.nonzero(np.ones(v.shape, bool))
+                place, v = place[row], v[row, key]
+                exact = window_hashes(h, width)[place]
+                _, first = np.unique(np.stack([np.asarray(owners)[of[place]], f[place].view(np.int64), exact.view(np.int64), key]), axis=1, return_index=True)
+                place, v, key = place[first], v[first], key[first]
+                low = np.maximum(at[of[place]], place - around)
+                high = np.minimum(at[of[place] + 1], place + width + around)
+                cols = [
+                    batch.column(0).take(pa.array(np.asarray(owners, dtype=np.int64)[of[place]])), pa.array(f[place].view(np.int64)), pa.array([" ".join(words[x:y]) for x, y in zip(low, high)], type=pa.string()),
+                    pa.array((place - low).astype(np.int32)), pa.array(key.astype(np.int32)), pa.array(v.view(np.int64)),
+                ]
+                return pa.RecordBatch.from_arrays(cols, names=["k", "f", "w", "at", "key", "v"])
 
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for n, text in enumerate(batch.column(1).to_pylist()):
                 w = words_of(text)
                 for at in range(0, max(0, len(w) - width + 1), CHUNK):  # a very long text in overlapping pieces
-                    keys.append(key)
-                    words.extend(w[at : at + CHUNK + width - 1])
+                    owners.append(n)
+                    words.extend(w[max(0, at - around) : at + CHUNK + width - 1 + around])
                     starts.append(len(words))
                     if len(words) >= CHUNK:
                         yield flush()
-                        keys, words, starts = [], [], [0]
-            if keys:
+                        owners, words, starts = [], [], [0]
+            if owners:
                 yield flush()
 
-    blocks, bits = radius + 1, 64 // (radius + 1)
-    value = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("f", i * bits).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))).alias("v")) for i in range(blocks)]
-    return texts.select("k", "t").mapInArrow(run, "k bigint, f bigint").withColumn("b", F.explode(F.array(*value))).select("k", "f", "b.block", "b.v")
+    return texts.select("k", "t").mapInArrow(run, f"k {key_type}, f bigint, w string, at int, key int, v bigint")
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every window, in which the order of the words counts."""
+    out = np.zeros(h.size - width + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + out.size])
+    return out
+
+
+def _text_key(column: str) -> Column:
+    return F.unhex(F.md5(column))
+
+
+def _candidates(corpus: DataFrame, items: DataFrame, corpus_id: str, corpus_text: str, item_id: str, item_texts: list[str], width: int, radius: int, around: int) -> tuple[DataFrame, DataFrame]:
+    """(c_id, cw, cat, ik, iw, iat) of the window pairs within the radius, and (i_id, ik) of the items."""
+    rows = corpus.select(corpus[corpus_id].alias("k"), corpus[corpus_text].alias("t")).where("length(t) > 0")
+    held = items.select(items[item_id].alias("i_id"), F.explode(F.array(*[items[c] for c in item_texts])).alias("t")).where("length(t) > 0").withColumn("k", _text_key("t"))
+    masks = hamming_keys(radius)
+    b = staged(text_windows(held.groupBy("k").agg(F.min("t").alias("t")), width, masks, around))
+    a = text_windows(rows, width, masks, around, KeyFilter.of(b))
+    near = a.select(F.col("k").alias("c_id"), F.col("f").alias("cf"), F.col("w").alias("cw"), F.col("at").alias("cat"), "key", "v").join(
+        b.select(F.col("k").alias("ik"), F.col("f").alias("if"), F.col("w").alias("iw"), F.col("at").alias("iat"), "key", "v"), ["key", "v"]
+    )
+    xor = F.col("cf").bitwiseXOR(F.col("if"))
+    return near.where((F.bit_count(xor) <= radius) & (first_key(xor, masks) == F.col("key"))).select("c_id", "cw", "cat", "ik", "iw", "iat"), held.select("i_id", F.col("k").alias("ik")).distinct()
+
+
+def _verified(near: DataFrame, items: DataFrame, same, corpus_id: str, item_id: str) -> DataFrame:
+    id_type = near.schema["c_id"].dataType.simpleString()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple, bool] = {}
+        for batch in batches:
+            ok = []
+            for key in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5))):
+                if key not in memo:
+                    if len(memo) > 100_000:
+                        memo.clear()
+                    memo[key] = same(key[0].split(" "), key[1], key[2].split(" "), key[3])
+                ok.append(memo[key])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["c_id", "ik"]).filter(pa.array(ok, type=pa.bool_()))
+
+    found = near.mapInArrow(verify, f"c_id {id_type}, ik binary").distinct()
+    return found.join(items, "ik").select(F.col("c_id").alias(corpus_id), F.col("i_id").alias(item_id)).distinct()
 
 
 def leaked_items(
     corpus: DataFrame, items: DataFrame, corpus_id: str, corpus_text: str, item_id: str, item_texts: list[str], width: int = WIDTH, radius: int = RADIUS, least: float = 1.0
 ) -> DataFrame:
-    """(corpus_id, item_id): the corpus rows and the items of which they hold a passage."""
-    rows = corpus.select(corpus[corpus_id].alias("c_id"), corpus[corpus_text].alias("t")).where("length(t) > 0").withColumn("k", F.xxhash64("t"))
-    held = items.select(items[item_id].alias("i_id"), F.explode(F.array(*[items[c] for c in item_texts])).alias("t")).where("length(t) > 0").withColumn("k", F.xxhash64("t"))
-    texts = rows.groupBy("k").agg(F.min("t").alias("t"))
-    asked = held.groupBy("k").agg(F.min("t").alias("t"))
-    a = text_windows(texts, width, radius).withColumnsRenamed({"k": "ck", "f": "cf"})
-    b = text_windows(asked, width, radius).withColumnsRenamed({"k": "ik", "f": "if"})
-    near = a.join(b, ["block", "v"]).where(F.bit_count(F.col("cf").bitwiseXOR(F.col("if"))) <= radius).select("ck", "ik").distinct()
-    both = near.join(texts.select(F.col("k").alias("ck"), F.col("t").alias("ct")), "ck").join(asked.select(F.col("k").alias("ik"), F.col("t").alias("it")), "ik").select("ck", "ik", "ct", "it")
+    """(corpus_id, item_id): the corpus rows and the items of which they hold a passage of ``width`` words."""
+    near, held = _candidates(corpus, items, corpus_id, corpus_text, item_id, item_texts, width, radius, 0)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [share_window(words_of(i), words_of(c), width, least) for c, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["ck", "ik"]).filter(pa.array(same, type=pa.bool_()))
+    def same(a: list[str], _: int, b: list[str], __: int) -> bool:
+        return shingle_similarity(a, b) >= least - 1e-12 and (least < 1.0 or a == b)
+
+    return _verified(near, held, same, corpus_id, item_id)
+
+
+def near_window(text: list[str], at: int, item: list[str], least: float) -> bool:
+    """True if some window of the text as long as the item reaches the similarity; that aligned with ``at`` is tried first."""
+    last = max(0, len(text) - len(item))
+    return any(near_similarity(text[i : i + len(item)], item) >= least for i in sorted(range(last + 1), key=lambda i: abs(i - at)))
+
+
+def near_items(corpus: DataFrame, items: DataFrame, corpus_id: str, corpus_text: str, item_id: str, item_texts: list[str], least: float = NEAR) -> DataFrame:
+    """(corpus_id, item_id): the corpus rows that hold an item-sized window similar to a text of the item.
+
+    Candidates share a window of ``WIDTH`` words within ``RADIUS``; items of more than ``LONGEST`` words count by their pieces of
+    that size around the candidate.
+    """
+    near, held = _candidates(corpus, items, corpus_id, corpus_text, item_id, item_texts, WIDTH, RADIUS, LONGEST)
+
+    def same(a: list[str], at: int, b: list[str], held_at: int) -> bool:
+        low = max(0, min(held_at - (LONGEST - WIDTH) // 2, len(b) - LONGEST))
+        item = b[low : low + LONGEST]
+        return near_window(a, at - (held_at - low), item, least)
 
-    found = both.mapInArrow(verify, "ck bigint, ik bigint")
-    pairs = found.join(rows.select("c_id", F.col("k").alias("ck")), "ck").join(held.select("i_id", F.col("k").alias("ik")).distinct(), "ik")
-    return pairs.select(F.col("c_id").alias(corpus_id), F.col("i_id").alias(item_id)).distinct()
+    return _verified(near, held, same, corpus_id, item_id)
 
 
 def leak_report(pairs: DataFrame, items: DataFrame, item_id: str, split_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm.leakage import leak_report, leaked_items
+from tracequarry.llm.leakage import leak_report, leaked_items, near_items
 from tracequarry.llm.lookalikes import CYRILLIC, GREEK, look_alike_pairs, visual_forms
 from tracequarry.llm.neighbours import nearest_rows, similar_pairs
 from tracequarry.llm.overlap import overlap_counts, split_overlaps
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": lambda s, d: truncated_values(table(s, d, "prompted_search_smoke")).drop("source"),
         "p2_rates": lambda s, d: truncation_rates(table(s, d, "prompted_search_smoke")),
         "p3_found": leaks,
+        "p3_near": lambda s, d: near_items(table(s, d, "text_corpus"), held_items(s, d), "corpus_id", "snippet", "odoc_id", ["question", "answer"]),
         "p3_report": lambda s, d: leak_report(leaks(s, d), held_items(s, d), "odoc_id", "split"),
         "p5_found": lambda s, d: split_overlaps(table(s, d, "fvqa_toy")),
         "p5_counts": lambda s, d: overlap_counts(split_overlaps(table(s, d, "fvqa_toy")), table(s, d, "fvqa_toy")),
