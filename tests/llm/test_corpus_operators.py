@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracequarry.llm import leakage, neighbours, overlap, packing, spans, tokens
+from tracequarry.llm import keyfilter, leakage, neighbours, overlap, packing, spans, tokens
 from tracequarry.llm.words import edits_within, words_of
 
 RANKS = tokens.read_ranks(f"{tokens.TOKENIZER_DIR}/{tokens.VOCABULARY}")
@@ -224,9 +224,9 @@ def test_hamming_keys_find_everything_within_the_radius():
 def test_key_filter_loses_nothing(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(-(2**63), 2**63 - 1, 5000)
-    keys = leakage.KeyFilter.of(spark.createDataFrame([(int(x),) for x in v], "v bigint"))
+    keys = keyfilter.KeyFilter.of(spark.createDataFrame([(int(x),) for x in v], "v bigint"))
     assert keys.holds(v.view(np.uint64)).all() and keys.holds(rng.integers(0, 2**63, 5000).astype(np.uint64)).mean() < 0.05
-    assert not leakage.KeyFilter.of(spark.createDataFrame([], "v bigint")).holds(v.view(np.uint64)).any()
+    assert not keyfilter.KeyFilter.of(spark.createDataFrame([], "v bigint")).holds(v.view(np.uint64)).any()
 
 
 def test_leakage_below_equality(spark):
@@ -319,7 +319,23 @@ def test_overlaps_in_many_shards_and_long_questions(spark):
 def test_index_search(held, train):
     arr = lambda rows: [np.array(r, dtype=np.uint64) for r in rows]
     got = overlap.match_block(arr(train), arr(held), 2)
-    assert got == [(i, j) for i, t in enumerate(train) for j, h in enumerate(held) if levenshtein(t, h) <= 2]
+    assert got == [(i, j) for i, t in enumerate(train) for j, h in enumerate(held) if levenshtein(t, h) <= 2 and max(len(t), len(h)) > 2]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=3, max_size=9), st.lists(st.tuples(st.integers(0, 8), st.sampled_from("abcdefghxyz"), st.sampled_from("ird")), max_size=2))
+def test_texts_within_the_distance_share_a_rare_word(a, edits):
+    b = list(a)
+    for at, w, kind in edits:
+        if kind == "i":
+            b.insert(at, w)
+        elif b:
+            b[min(at, len(b) - 1) : min(at, len(b) - 1) + 1] = [w] if kind == "r" else []
+    from tracequarry.llm.words import WordHashes
+
+    hashes = WordHashes()
+    for common in ({}, {"a": 9, "b": 5, "c": 1}):
+        assert set(overlap.rare_tokens(a, hashes, common, 3)) & set(overlap.rare_tokens(b, hashes, common, 3))
 
 
 @settings(max_examples=200, deadline=None)

@@ -10,9 +10,16 @@ and the word edit distance decides. Nothing within the distance is lost.
 
 Copies are compared once: rows are reduced to distinct word sequences, results brought back to all rows.
 
-Plan: partial aggregates to distinct questions, a cogroup of (shard, block) keys that carries each training
-block to each shard once, equi-joins back to rows. Shards and blocks have fixed sizes, so a task's memory does
-not depend on the input.
+Which shards a question meets: of two texts within ``edits`` word edits the ``edits + 1`` rarest words of each, in any common
+order, have one in common (unless both have at most ``edits`` words, then they always match). The evaluation questions are
+sharded by these words, so a training question goes to at most ``edits + 1`` shards however many there are, and the work grows
+with the number of questions, not with its square; a filter of the evaluation side's words keeps it from shards that cannot
+hold a match. The order is by counts in a bounded sample (``ORDER_SAMPLE`` questions,
+``COMMON`` words), then by hash; it decides how even the shards are, not what is found.
+
+Plan: words and keys in the JVM, staged once; partial aggregates to distinct questions; a cogroup of (shard, part, block) keys,
+in which a shard with more than ``SHARD_QUESTIONS`` is split into parts and training is streamed past it in blocks of fixed
+size, so a task's memory does not depend on the input; equi-joins back to rows by 128-bit text keys.
 
 Defined results: a null id equals nothing, ids are compared without case and outer blanks; a null question
 equals nothing, a question without words has zero words; a row without split is neither training nor
@@ -22,6 +29,7 @@ evaluation; repeated rows each count; other columns are ignored; an empty side g
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.words import WordHashes, edits_within, words_of
+from tracequarry.llm.keyfilter import KeyFilter
+from tracequarry.llm.words import WordHashes, edits_within, hashed_sample
+from tracequarry.session import staged
 
 EDITS = 2
-SHARD_QUESTIONS = 50_000
-BLOCK_QUESTIONS = 20_000
+SHARD_QUESTIONS = 5000
+BLOCK_QUESTIONS = 50_000
+#: Bounds of the sample and of the words that order the words of a question.
+ORDER_SAMPLE, COMMON = 20_000, 5_000
+#: Tasks among which pairs of texts too short to differ are spread.
+SHORT_PARTS = 32
 #: Questions with more words are cut into equal pieces.
 LONG_QUESTION = 64
 
@@ -166,16 +180,24 @@ def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
 
 
 def match_block(train: list[np.ndarray], held: list[np.ndarray], edits: int) -> list[tuple[int, int]]:
-    """(training number, held number) of all pairs within the distance."""
+    """(training number, held number) of all pairs within the distance, but for pairs of which both have at most ``edits``
+    words: those always are."""
     index = WordIndex(held)
     sizes = np.fromiter((t.size for t in train), dtype=np.int64, count=len(train))
     found: set[tuple[int, int]] = set()
     held_sizes = np.fromiter((h.size for h in held), dtype=np.int64, count=len(held))
     for m in np.unique(sizes):
         numbers = np.flatnonzero(sizes == m)
-        if m <= edits:  # too short for the pieces: compared with all held texts that are short enough
-            near = np.flatnonzero(held_sizes <= m + edits)
-            found.update((int(t), int(h)) for t in numbers for h in near if within_edits(train[t], held[h], edits))
+        if m <= edits:  # too short for the pieces: compared with the texts that share a word and are short enough
+            words = np.unique(np.concatenate([train[t] for t in numbers])) if m else np.zeros(0, np.uint64)
+            near = np.flatnonzero((held_sizes <= m + edits) & (held_sizes > edits))
+            holders: dict[int, set[int]] = {}
+            for h in near:
+                for w in held[h][np.isin(held[h], words)].tolist():
+                    holders.setdefault(w, set()).add(int(h))
+            for t in numbers:
+                near_t = set().union(*(holders.get(w, set()) for w in train[t].tolist()))
+                found.update((int(t), h) for h in near_t if within_edits(train[t], held[h], edits))
             continue
         step = max(1, 4_000_000 // int(m * (min(m, LONG_QUESTION) + 1)))
         for at in range(0, numbers.size, step):
@@ -207,42 +229,83 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
         yield np.flatnonzero(group == g)
 
 
+def common_words(texts: DataFrame) -> dict[str, int]:
+    """Counts of the most frequent words of a bounded sample of texts (column words)."""
+    count: Counter = Counter()
+    for (words,) in hashed_sample(texts.select("words"), F.xxhash64("words"), ORDER_SAMPLE).collect():
+        count.update(set(words.split()))
+    return dict(count.most_common(COMMON))
+
+
+def rare_tokens(words: list[str], hashes: WordHashes, common: dict[str, int], most: int) -> list[int]:
+    """Hashes of the rarest words; a word that occurs again is another one."""
+    seen: Counter = Counter()
+    order = []
+    for w in words:
+        n = seen[w]
+        seen[w] += 1
+        order.append((common.get(w, 0) >> (2 * n), (hashes[w] + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+    return [h for _, h in sorted(order)[:most]]
+
+
 def near_questions(train: DataFrame, held: DataFrame, edits: int = EDITS, shard: int = SHARD_QUESTIONS, block: int = BLOCK_QUESTIONS) -> DataFrame:
-    """(tk, hk): keys of the word sequences (columns k, words) within ``edits`` word edits of each other."""
-    n_held, n_train = held.count(), train.count()
-    shards, blocks = max(1, math.ceil(n_held / shard)), max(1, math.ceil(n_train / block))
-    tasks = shards * blocks
-    spread = max(1, 2 * tasks)
-    of = lambda n: F.pmod(F.xxhash64("k", F.lit(7)), F.lit(n)).cast("int")
-    t = train.select("k", "words", of(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    h = held.select("k", "words", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), of(shards).alias("shard"))
+    """(tk, hk): keys of the distinct word sequences (columns k, words) within ``edits`` word edits of each other."""
+    key_type = train.schema["k"].dataType.simpleString()
+    shards = max(1, math.ceil((edits + 1) * held.count() / shard))
+    common = common_words(held)
+
+    def tokens(x: DataFrame, held_tokens: KeyFilter | None = None) -> DataFrame:
+        shared = x.sparkSession.sparkContext.broadcast(held_tokens) if held_tokens is not None else None  # of bounded size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                own = [rare_tokens(w.split(), hashes, common, edits + 1) for w in batch.column(1).to_pylist()]
+                flat = np.fromiter((h for x in own for h in x), dtype=np.uint64)
+                ends = np.cumsum([0, *map(len, own)])
+                if shared is not None:
+                    keep = shared.value.holds(flat)
+                    flat, ends = flat[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["k", "words", "tokens"])
+
+        return x.select("k", "words").mapInArrow(run, f"k {key_type}, words string, tokens array<bigint>")
+
+    routed = lambda x: x.select("k", "words", F.explode(F.array_distinct(F.transform("tokens", lambda v: F.pmod(v, F.lit(shards)).cast("int")))).alias("shard"))
+    own = staged(tokens(held))
+    h, t = routed(own), staged(routed(tokens(train, KeyFilter.of(own.select(F.explode("tokens").alias("v"))))))
+    # one row a shard: the parts of its held side and the blocks of its training side
+    size = lambda x, c, most: x.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(c))
+    sizes = staged(size(h, "parts", shard).join(size(t, "blocks", block), "shard"))
+    of = lambda n: F.pmod(F.xxhash64("k", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    h = h.join(sizes, "shard").select("k", "words", "shard", of("parts").alias("part"), every("blocks").alias("block"))
+    t = t.join(sizes, "shard").select("k", "words", "shard", every("parts").alias("part"), of("blocks").alias("block"))
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
         pairs = match_block([hashes.array(w.split()) for w in a["words"]], [hashes.array(w.split()) for w in b["words"]], edits) if len(a) and len(b) else []
-        left, right = a["k"].to_numpy(), b["k"].to_numpy()
         x = np.asarray(pairs, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"tk": left[x[:, 0]] if len(x) else np.zeros(0, np.int64), "hk": right[x[:, 1]] if len(x) else np.zeros(0, np.int64)})
+        return pd.DataFrame({"tk": a["k"].to_numpy()[x[:, 0]], "hk": b["k"].to_numpy()[x[:, 1]]})
 
-    keys = ["shard", "block"]
-    return t.repartition(spread, *keys).groupBy(*keys).cogroup(h.repartition(spread, *keys).groupBy(*keys)).applyInPandas(match, "tk bigint, hk bigint")
+    keys = ["shard", "part", "block"]
+    schema = f"tk {key_type}, hk {key_type}"
+    found = t.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInPandas(match, schema)
+    # texts of at most ``edits`` words each are never farther apart
+    few = lambda x, k: x.where(F.size(F.filter(F.split("words", " "), lambda w: w != "")) <= edits).select(F.col("k").alias(k))
+    salt = F.lit(SHORT_PARTS)
+    short = few(train, "tk").withColumn("s", F.pmod(F.xxhash64("tk"), salt)).join(few(held, "hk").withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), (salt - 1).cast("bigint")))), "s").select("tk", "hk")
+    return found.unionByName(short).distinct()
 
 
 def split_overlaps(df: DataFrame, id_col: str = "row_id", sample_col: str = "sample_id", question_col: str = "question", split_col: str = "split", train: str = "train", edits: int = EDITS) -> DataFrame:
     """(row_id_a, row_id_b), smaller first: a training row and another whose ids are equal or whose questions are
     within ``edits`` words."""
-    src = df.select(
-        df[id_col].alias("id"), F.lower(F.regexp_replace(df[sample_col], r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("sample"), df[question_col].alias("question"), (df[split_col] == train).alias("train")
-    ).where("train is not null")
-
-    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [" ".join(words_of(q)) if q is not None else None for q in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, type=pa.string()), batch.column(3)], names=["id", "words", "train"])
-
-    asked = src.where("question is not null").mapInArrow(normal, f"id {src.schema[0].dataType.simpleString()}, words string, train boolean").withColumn("k", F.xxhash64("words"))
+    words = F.array_join(F.regexp_extract_all(F.lower(df[question_col]), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+    src = df.select(df[id_col].alias("id"), F.lower(F.regexp_replace(df[sample_col], r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("sample"), words.alias("words"), (df[split_col] == train).alias("train")).where("train is not null")
+    asked = staged(src.where("words is not null").select("id", "words", "train", F.unhex(F.md5("words")).alias("k")))
     a, b = asked.where("train"), asked.where("not train")
-    distinct = lambda x: x.groupBy("k").agg(F.min("words").alias("words"))
+    distinct = lambda x: staged(x.groupBy("k").agg(F.min("words").alias("words")))
     near = near_questions(distinct(a), distinct(b), edits)
     by_question = near.join(a.select(F.col("k").alias("tk"), F.col("id").alias("x")), "tk").join(b.select(F.col("k").alias("hk"), F.col("id").alias("y")), "hk").select("x", "y")
     ids = src.where("sample is not null")
