@@ -14,7 +14,8 @@ Equal vectors are one class with its smallest ids; a class of any size costs as
 
 Plan: classes are staged once; split planes come from a kd-tree of a bounded sample (``SAMPLE`` classes) and
 only route, every class is indexed; a query class goes to the cells its stopping radius reaches, in blocks of
-fixed size, so memory of a task is fixed; the best k+1 rows of each class are merged by a window with a group
+fixed size that are numbered within each cell, so memory of a task is fixed and a member is sent to as many tasks as its own
+cell has query blocks; the best k+1 rows of each class are merged by a window with a group
 limit before the shuffle.
 
 Defined results: rows with a null, short, long or holed vector take no part; a histogram that does not sum to 1
@@ -38,12 +39,16 @@ from tracequarry.session import staged
 
 BITS, BINS = 64, 24
 BIT_WEIGHT, HIST_WEIGHT = 0.7, 0.3
-DIMS = 16
-CONFIDENCE = 0.98
+DIMS = 24
+CONFIDENCE = 0.99
 SAMPLE = 20_000
-CELL = 16_384
-QUERIES = 16_384
-LEAF = 128
+CELL = 65_536
+QUERIES = 65_536
+LEAF = 256
+#: Queries that are searched together.
+GROUP = 256
+#: Leaves verified between two stopping tests.
+STEP = 128
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -74,6 +79,16 @@ def similarity(b1: np.ndarray, h1: np.ndarray, b2: np.ndarray, h2: np.ndarray) -
     return np.round(BIT_WEIGHT * (equal / BITS) + HIST_WEIGHT * np.minimum(h1, h2).sum(axis=1), 9)
 
 
+def sparse_nonzero(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a contiguous mask with few true values: eight of them are tested at once."""
+    flat = mask.ravel()
+    whole = flat.size // 8 * 8
+    at = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = (at[:, None] * 8 + np.arange(8)).ravel()
+    at = np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])])
+    return np.divmod(at, mask.shape[1])
+
+
 class KdTree:
     """Balanced kd-tree: points reordered by leaf, a bounding box per leaf."""
 
@@ -96,12 +111,15 @@ class KdTree:
         self.low = np.array([self.points[a:b].min(axis=0) for a, b in self.bounds]).reshape(-1, points.shape[1])
         self.high = np.array([self.points[a:b].max(axis=0) for a, b in self.bounds]).reshape(-1, points.shape[1])
 
-    def box_distance(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of each query to each leaf's box."""
-        out = np.zeros((len(q), len(self.bounds)))
+    def box_distance(self, q: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Squared distance of each query to the boxes of some leaves."""
+        low, high, q = self.low[leaves].astype(np.float32), self.high[leaves].astype(np.float32), q.astype(np.float32)
+        out = np.zeros((len(q), leaves.size), np.float32)
         for d in range(q.shape[1]):
-            gap = np.maximum(np.maximum(self.low[:, d] - q[:, d, None], q[:, d, None] - self.high[:, d]), 0)
-            out += gap * gap
+            gap = np.maximum(low[:, d] - q[:, d, None], q[:, d, None] - high[:, d])
+            np.maximum(gap, 0, out=gap)
+            gap *= gap
+            out += gap
         return out
 
 
@@ -117,30 +135,43 @@ def search(q_bits, q_hist, bits, hist, ids: list[np.ndarray], k: int, least: flo
     flat = np.concatenate([ids[i] for i in tree.order]) if len(ids) else np.zeros(0, np.int64)
     begin = np.cumsum(sizes) - sizes
     factor = chi_square_quantile(confidence, DIMS)
-    squares = (tree.points**2).sum(axis=1)
+    # [q, 1] . [-2 m, |m|^2] = |q - m|^2 - |q|^2: one product gives the distances
+    member = np.concatenate([-2 * tree.points, (tree.points**2).sum(axis=1)[:, None]], axis=1).astype(np.float32)
     points = project(q_bits, q_hist, matrix)
-    groups = KdTree(points)  # queries close to each other go together
+    groups = KdTree(points, GROUP)  # queries close to each other go together
+    first_leaf = np.array([x for x, _ in tree.bounds])
+    leaf_size = np.array([y - x for x, y in tree.bounds])
     worst = 1 - least + 1e-9
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     keep = k + 1
-    for a, b in groups.bounds:
+    for g, (a, b) in enumerate(groups.bounds):
         own = groups.order[a:b]
+        # boxes of the leaves against the box of the group, then against the queries
+        gap = np.maximum(np.maximum(tree.low - groups.high[g], groups.low[g] - tree.high), 0)
+        near = np.flatnonzero((gap**2).sum(axis=1) <= factor * worst)
+        if not near.size:
+            continue
         p, qb, qh = points[own], q_bits[own], q_hist[own]
         bound = np.full(own.size, worst)
         best_s, best_i = np.full((own.size, keep), -1.0), np.full((own.size, keep), np.iinfo(np.int64).max)
-        far = tree.box_distance(p)
-        reach = far <= factor * worst
+        far = tree.box_distance(p, near)
+        sequence = np.argsort(far.min(axis=0), kind="stable")
+        q32 = np.concatenate([p, np.ones((own.size, 1))], axis=1).astype(np.float32)
         p2 = (p**2).sum(axis=1)
-        for leaf in np.argsort(far.min(axis=0), kind="stable"):
-            live = np.flatnonzero(reach[:, leaf] & (far[:, leaf] <= factor * bound))
+        for at in range(0, sequence.size, STEP):
+            step = sequence[at : at + STEP]
+            live = np.flatnonzero((far[:, step] <= (factor * bound)[:, None]).any(axis=1))
             if not live.size:
+                if far[:, step[0]].min() > factor * bound.max():
+                    break  # all leaves that follow are farther
                 continue
-            x, y = tree.bounds[leaf]
-            d = p2[live, None] + squares[x:y] - 2 * (p[live] @ tree.points[x:y].T)
-            r, c = np.nonzero(d <= (factor * bound[live])[:, None] + 1e-9)
+            leaves = near[step]
+            column = np.repeat(first_leaf[leaves], leaf_size[leaves]) + np.arange(leaf_size[leaves].sum()) - np.repeat(np.cumsum(leaf_size[leaves]) - leaf_size[leaves], leaf_size[leaves])
+            limit = (factor * bound[live] - p2[live] + 1e-4).astype(np.float32)
+            r, c = sparse_nonzero(q32[live] @ member[column].T <= limit[:, None])
             if not r.size:
                 continue
-            r, c = live[r], c + x
+            r, c = live[r], column[c]
             close = BIT_WEIGHT * differing(qb[r], bits[c]) / BITS <= worst
             r, c = r[close], c[close]
             s = similarity(qb[r], qh[r], bits[c], hist[c])
@@ -215,7 +246,7 @@ def _hist(column: pd.Series) -> np.ndarray:
 
 
 def packed_vectors(df: DataFrame, id_col: str, bits_col: str, hist_col: str) -> DataFrame:
-    """(id, bits, hist, c) of the rows whose vectors are whole."""
+    """(id, bits, hist) of the rows whose vectors are whole."""
     whole = (F.size(bits_col) == BITS) & (F.size(hist_col) == BINS) & ~F.exists(bits_col, lambda x: x.isNull()) & ~F.exists(hist_col, lambda x: x.isNull() | F.isnan(x.cast("double")))
     src = df.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(bits_col).cast("array<int>").alias("b"), F.col(hist_col).cast("array<double>").alias("h"))
 
@@ -226,16 +257,16 @@ def packed_vectors(df: DataFrame, id_col: str, bits_col: str, hist_col: str) ->
             hist = np.asarray(batch.column(2).flatten(), dtype="<f8").reshape(n, BINS) + 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), pa.array([h.tobytes() for h in hist], type=pa.binary())], names=["id", "bits", "hist"])
 
-    return src.mapInArrow(run, "id bigint, bits bigint, hist binary").withColumn("c", F.xxhash64("bits", "hist"))
+    return src.mapInArrow(run, "id bigint, bits bigint, hist binary")
 
 
 def nearest_rows(df: DataFrame, id_col: str, bits_col: str, hist_col: str, k: int = 5, least: float = 0.9) -> DataFrame:
     """(id, other, sim): the k most similar other rows of every row, as far as they reach ``least``."""
     spark = df.sparkSession
     rows = packed_vectors(df, id_col, bits_col, hist_col)
-    small = Window.partitionBy("c").orderBy("id")
+    small = Window.partitionBy("bits", "hist").orderBy("id")
     first = rows.withColumn("rn", F.row_number().over(small)).where(F.col("rn") <= k + 1)
-    classes = staged(first.groupBy("c").agg(F.min("bits").alias("bits"), F.min("hist").alias("hist"), F.array_sort(F.collect_list("id")).alias("ids")))
+    classes = staged(first.groupBy("bits", "hist").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     n = classes.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / CELL)))
     matrix = projection()
@@ -251,25 +282,31 @@ def nearest_rows(df: DataFrame, id_col: str, bits_col: str, hist_col: str, k: in
             order = np.argsort(number, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(p)))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("bits"), batch.column("hist"), batch.column("ids"), pa.array(cells.cell(p).astype(np.int32)), lists], names=["c", "bits", "hist", "ids", "cell", "to"])
-
-    routed = classes.mapInArrow(route, "c bigint, bits bigint, hist binary, ids array<bigint>, cell int, to array<int>")
-    blocks = max(1, math.ceil(n / QUERIES))
-    members = routed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "bits", "hist", "ids")
-    queries = routed.select(F.explode("to").alias("cell"), F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("block"), "c", "bits", "hist")
-    spread = 2 * blocks * 2**depth
+            yield pa.RecordBatch.from_arrays([batch.column("bits"), batch.column("hist"), batch.column("ids"), pa.array(cells.cell(p).astype(np.int32)), lists], names=["bits", "hist", "ids", "cell", "to"])
+
+    # a class is named by its first id: ids are unique
+    routed = staged(classes.mapInArrow(route, "bits bigint, hist binary, ids array<bigint>, cell int, to array<int>").withColumn("c", F.col("ids")[0]))
+    reach = {r["cell"]: r["n"] for r in routed.select(F.explode("to").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
+    blocks = {cell: math.ceil(m / QUERIES) for cell, m in reach.items()}
+    of_cell = spark.createDataFrame(sorted(blocks.items()), "cell int, blocks int")
+    members = routed.select("cell", F.col("bits").alias("bits"), F.col("hist").alias("hist"), F.col("ids").alias("ids")).join(of_cell, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "bits", "hist", "ids")
+    queries = routed.select(F.explode("to").alias("cell"), "c", F.col("bits").alias("q_bits"), F.col("hist").alias("q_hist"))
+    queries = queries.join(of_cell, "cell").select("cell", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "c", "q_bits", "q_hist")
+    spread = 2 * max(1, sum(blocks.values()))
 
     def match(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(m):
             return pd.DataFrame({"c": np.zeros(0, np.int64), "sim": np.zeros(0), "other": np.zeros(0, np.int64)})
-        number, sim, other = search(q["bits"].to_numpy(), _hist(q["hist"]), m["bits"].to_numpy(), _hist(m["hist"]), [np.asarray(x, dtype=np.int64) for x in m["ids"]], k, least)
+        number, sim, other = search(q["q_bits"].to_numpy(), _hist(q["q_hist"]), m["bits"].to_numpy(), _hist(m["hist"]), [np.asarray(x, dtype=np.int64) for x in m["ids"]], k, least)
         return pd.DataFrame({"c": q["c"].to_numpy()[number], "sim": sim, "other": other})
 
     keys = ["cell", "block"]
     found = queries.repartition(spread, *keys).groupBy(*keys).cogroup(members.repartition(spread, *keys).groupBy(*keys)).applyInPandas(match, "c bigint, sim double, other bigint")
     best = Window.partitionBy("c").orderBy(F.desc("sim"), "other")
     top = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("rn", "other", "sim"))).alias("near"))
-    own = rows.select("id", "c").join(top, "c").select("id", F.explode(F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)).alias("x"))
+    # a class is met by its vector, all of it
+    near = classes.select("bits", "hist", F.col("ids")[0].alias("c")).join(top, "c").select("bits", "hist", "near")
+    own = rows.join(near, ["bits", "hist"]).select("id", F.explode(F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)).alias("x"))
     return own.select("id", "x.other", "x.sim")
 
 
