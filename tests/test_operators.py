@@ -411,3 +411,47 @@ def test_rewards_reach_the_end_of_long_rollouts(spark, tmp_path):
     assert [reward[1, p] for p in (39, 41, 71, 73)] == [0.125, 0.125, 0.5, 0.0]  # crossing and past position 40
     bonus = dict(values(further.R.run["w34_rollout_shaping"](spark, str(tmp_path)), "pos", "bonus"))
     assert set(bonus) == set(range(38)) | set(range(42, 72)) and bonus[65] == round(0.5 / 28, 6) and bonus[71] == 0.25
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tracequarry import session
+
+    assert session.is_local("local") and session.is_local("local[8]") and session.is_local("local[2,3]")
+    assert not any(map(session.is_local, ("local-cluster[3,2,1024]", "spark://host:7077", "yarn", "k8s://x")))
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    class Jsc:
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return Nothing()
+
+    class Context:
+        master, _jsc = "yarn", Jsc()
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_staged_tables_are_removed(spark):
+    import os
+
+    from tracequarry import session
+
+    kept = session.staged(spark.range(3))
+    with session.released(spark):
+        x = session.staged(spark.range(5))
+        assert x.count() == 5
+        path = x.inputFiles()[0].removeprefix("file://").removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and kept.count() == 3
