@@ -406,10 +406,10 @@ def test_rewards_reach_the_end_of_long_rollouts(spark, tmp_path):
     own = [("text_search", [0, 38]), ("crop", [38, 42]), None, ("image_search", [42, 70]), ("text_search", [70, 72]), ("stop", [72, 74])]
     schema = "row_id bigint, final_correct boolean, steps array<struct<tool_type:string,action_span:array<int>>>"
     spark.createDataFrame([(1, True, own), (2, None, own), (3, True, None)], schema).write.parquet(f"{tmp_path}/prompted_search_smoke.parquet")
-    reward = {(r, p): v for r, p, v in values(stepwise.R.run["w27_rollout_rewards"](spark, str(tmp_path)), "row_id", "pos", "reward")}
+    reward = {(r, p): v for r, p, v in values(stepwise.R.run["w27_span_rewards"](spark, str(tmp_path)), "row_id", "pos", "reward")}
     assert set(reward) == {(r, p) for r in (1, 2) for p in range(74)}
     assert [reward[1, p] for p in (39, 41, 71, 73)] == [0.125, 0.125, 0.5, 0.0]  # crossing and past position 40
-    bonus = dict(values(further.R.run["w34_rollout_shaping"](spark, str(tmp_path)), "pos", "bonus"))
+    bonus = dict(values(stepwise.R.run["w34_success_shaping"](spark, str(tmp_path)), "pos", "bonus"))
     assert set(bonus) == set(range(38)) | set(range(42, 72)) and bonus[65] == round(0.5 / 28, 6) and bonus[71] == 0.25
 
 

@@ -125,14 +125,40 @@ def typed_parameter(text: str, kind: str):
 
 
 def xml_calls(text: str, types: dict[str, str]) -> list[dict]:
-    """Calls written as ``<function=name><parameter=key>value</parameter></function>``."""
+    """Calls written as ``<function=name><parameter=key>value</parameter></function>`` in ``<tool_call>`` tags; tags left open
+    end with the text, and without call tags the whole text is searched."""
     out = []
-    for name, body in re.findall(r"(?s)<function=([^>]+)>(.*?)</function>", text):
-        pairs = re.findall(r"(?s)<parameter=([^>]+)>\n?(.*?)\n?</parameter>", body)
-        out.append({"name": name.strip(), "arguments": {k: typed_parameter(v, types.get(k, "string")) for k, v in pairs}})
+    for body in re.findall(r"(?s)<tool_call>(.*?)(?:</tool_call>|$)", text) or [text]:
+        for call in re.findall(r"(?s)<function=(.*?)(?:</function>|$)", body):
+            name, closed, rest = call.partition(">")
+            if not closed:
+                continue
+            pairs = [p.partition(">") for p in re.findall(r"(?s)<parameter=(.*?)(?:</parameter>|$)", rest)]
+            values = {k: typed_parameter(v.removeprefix("\n").removesuffix("\n"), types.get(k, "string")) for k, closed, v in pairs if closed}
+            out.append({"name": name, "arguments": json.dumps(values, ensure_ascii=False)})
     return out
 
 
+def channel_calls(text: str) -> list[dict]:
+    """Calls on the commentary channel of role-tagged text: after ``to=functions.name`` the JSON message up to the call mark,
+    as it is. What is said on the analysis channel is no call."""
+    head = "<|channel|>analysis<|message|>"
+    while (at := text.find(head)) >= 0 and (end := text.find("<|end|>", at)) >= 0:
+        start = at - len("<|start|>assistant") if text[:at].endswith("<|start|>assistant") else at
+        text = text[:start] + text[end + len("<|end|>") :]
+    out = []
+    for part in text.split("<|start|>assistant<|channel|>")[1:]:
+        message, called, _ = part.partition("<|call|>")
+        to, typed, arguments = message.partition(" <|constrain|>json<|message|>")
+        channel, named, name = to.partition(" to=functions.")
+        if called and typed and named and name and "<" not in channel + name:
+            out.append({"name": name, "arguments": arguments})
+    return out
+
+
+DIALECTS = {"tagged": tool_calls, "channel": channel_calls, "xml": xml_calls}
+
+
 def action_spans(tokens: list[int], needles: list[list[int]]) -> list[tuple[int, int]]:
     """Leftmost occurrence of each needle that begins at an unused place, in order; missing ones are (-1, -1)."""
     used, out = set(), []
@@ -237,10 +263,13 @@ def agent_answer(c: Column) -> Column:
     return run(c)
 
 
-def parsed_calls(c: Column) -> Column:
+def parsed_calls(c: Column, dialect: str = "tagged", types: dict[str, str] | None = None) -> Column:
+    """The calls of a turn in one of DIALECTS; ``types`` are those of the parameters (xml only)."""
+    parse = DIALECTS[dialect]
+
     @F.pandas_udf("array<struct<name:string,arguments:string>>")
     def run(s: pd.Series) -> pd.Series:
-        return _map(tool_calls)(s)
+        return _map(lambda t: parse(t, types or {}) if dialect == "xml" else parse(t))(s)
 
     return run(c)
 

@@ -89,16 +89,41 @@ def keep_groups(lengths: Sequence[int], groups: Sequence, k: int) -> list[list[i
     return [sorted(i for r in part for i in runs[r]) for part in differencing([sum(workload(lengths[i]) for i in r) for r in runs], k, equal_size=True)]
 
 
+def balance_batch(lengths: Sequence[int], k: int, groups: Sequence | None = None, minibatch: int | None = None) -> list[list[int]]:
+    """k parts of equal size for k workers, in the order in which each works.
+
+    Plain: parts of equal size and similar workload. ``minibatch``: each run of so many items is balanced on its own, so that
+    a worker's part is in minibatches. ``groups``: runs of equal group stay whole, the number of runs must divide. But for
+    groups, small items stand at both ends of a part.
+    """
+    work = [workload(n) for n in lengths]
+    if groups is not None:
+        return keep_groups(lengths, groups, k)
+    if minibatch:
+        if len(lengths) % minibatch:
+            raise ValueError(f"{len(lengths)} items do not divide into minibatches of {minibatch}")
+        parts: list[list[int]] = [[] for _ in range(k)]
+        for at in range(0, len(lengths), minibatch):
+            for j, own in enumerate(differencing(work[at : at + minibatch], k, equal_size=True)):
+                parts[j] += [at + i for i in own]
+    else:
+        parts = differencing(work, k, equal_size=True)
+    ranked = [sorted(p, key=lambda i: (work[i], i)) for p in parts]
+    return [p[::2] + p[1::2][::-1] for p in ranked]
+
+
 def by_batch(df: DataFrame, batch: str, item: str, value: str, parts: Callable[[list[int]], list[list[int]]]) -> DataFrame:
-    """(batch, item, part): items of every batch, in order of item, assigned by a core above."""
+    """(batch, item, part, place): items of every batch, in order of item, assigned by a core above; ``place`` is that within
+    the part. An item that is in no part, or in two, raises."""
     src = df.select(batch, item, value)
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item).reset_index(drop=True)
-        part = pd.Series(0, index=pdf.index, dtype="int32")
-        for p, members in enumerate(parts(pdf[value].astype(int).tolist())):
-            part.iloc[members] = p
-        return pdf[[batch, item]].assign(part=part)
+        found = [(i, p, at) for p, members in enumerate(parts(pdf[value].astype(int).tolist())) for at, i in enumerate(members)]
+        if sorted(i for i, _, _ in found) != list(range(len(pdf))):
+            raise ValueError("every item must be in one part")
+        found.sort()
+        return pdf[[batch, item]].assign(part=[p for _, p, _ in found], place=[at for _, _, at in found])
 
-    return src.groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {item} {kinds[item]}, part int")
+    return src.groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {item} {kinds[item]}, part int, place int")

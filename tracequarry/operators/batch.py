@@ -10,32 +10,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracequarry.session import staged
 
-def with_row_number(df: DataFrame, *order: str, out: str = "i", within: str | None = None) -> DataFrame:
-    """Row numbers from 0 in the given order (per value of ``within``, if given) without a window over all rows.
 
-    The first order column must be numeric, nulls first. Rows fall into buckets between approximate quantiles
-    (literals, so every evaluation makes the same buckets), are numbered within their bucket, and each bucket
-    starts at the count of the buckets before it. A hot value of ``within`` is spread over the buckets as well.
+def ordered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows with their part and their place in it (``_part``, ``_at``), parts and places in the given order.
+
+    One range shuffle on all order columns, so that ties in the first of them are spread by the next; the result is staged,
+    because range bounds are sampled and must not differ between evaluations.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = F.col(order[0])
-    cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= first)), F.lit(0)) if cuts else F.lit(0)
-    x = df.withColumn("_p", F.when(first.isNull(), 0).otherwise(bucket))
-    group = ["_p"] + ([within] if within else [])
-    x = x.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1)
-    sizes = df.withColumn("_p", F.when(first.isNull(), 0).otherwise(bucket)).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = (W.partitionBy(within) if within else W.partitionBy()).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row per bucket (and group)
-    names = {g: f"_j{g}" for g in group}
-    starts = starts.withColumnsRenamed(names)
-    same = None
-    for g, j in names.items():
-        c = F.col(g).eqNullSafe(F.col(j))
-        same = c if same is None else same & c
-    return x.join(starts, same).withColumn(out, F.col("_s") + F.col("_r")).drop("_p", "_r", "_s", *names.values())
+    x = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return staged(x.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"))
+
+
+def _with_starts(x: DataFrame, total: Column, out: str, kind: str) -> DataFrame:
+    """The total of all earlier parts beside each row; a row per part reaches the driver."""
+    sums = sorted((r["_part"], r["t"]) for r in x.groupBy("_part").agg(total.alias("t")).collect())
+    starts, run = [], 0
+    for part, t in sums:
+        starts.append((part, run))
+        run += t or 0
+    return x.join(F.broadcast(x.sparkSession.createDataFrame(starts, f"_part bigint, {out} {kind}")), "_part")
+
+
+def with_row_number(df: DataFrame, *order: str | Column, out: str = "i", within: str | None = None) -> DataFrame:
+    """Row numbers from 0 in the given order, nulls first (per value of ``within``, if given), without a window: places in
+    range parts and the sizes of the parts before. A hot value of ``within`` is spread over the parts as well."""
+    x = ordered(df, *([within] if within else []), *order)
+    x = _with_starts(x, F.count(F.lit(1)), "_s", "bigint").withColumn(out, F.col("_s") + F.col("_at")).drop("_part", "_at", "_s")
+    if not within:
+        return x
+    first = x.groupBy(F.col(within).alias("_w")).agg(F.min(out).alias("_f"))
+    return x.join(first, F.col(within).eqNullSafe(F.col("_w"))).withColumn(out, F.col(out) - F.col("_f")).drop("_w", "_f")
+
+
+def running_sum(df: DataFrame, value: str, *order: str | Column, out: str = "total") -> DataFrame:
+    """Sum of an integer column from the first row to each row in the given order; null counts as 0."""
+    x = _with_starts(ordered(df, *order), F.sum(value), "_s", "bigint")
+    own = F.sum(F.coalesce(value, F.lit(0))).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn(out, F.col("_s") + own).drop("_part", "_at", "_s")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: exact quantiles, interpolated between neighbouring values; nulls left out; null without values."""
+    x = with_row_number(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), "v")
+    n = x.count()
+
+    def at(share: float) -> Column:
+        place = share * max(0, n - 1)
+        low = int(place)
+        pick = lambda i: F.max(F.when(F.col("i") == min(i, n - 1), F.col("v")))
+        return pick(low) + (pick(low + 1) - pick(low)) * (place - low)
+
+    return x.agg(*[at(q).alias(name) for name, q in shares.items()])
 
 
 def repeat(df: DataFrame, k: int, interleave: bool = True, i: str = "i", n: int | None = None) -> DataFrame:
@@ -81,6 +109,48 @@ def unpad(df: DataFrame, pad: int, i: str = "i", n: int | None = None) -> DataFr
     return df.where(F.col(i) < n - pad)
 
 
+def pad_edge(df: DataFrame, n: int, first: bool, i: str = "i") -> DataFrame:
+    """n copies of the first row before all others, or of the last row after them."""
+    if first:
+        return df.withColumn(i, F.col(i) + n).unionByName(df.where(F.col(i) == 0).withColumn(i, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))))
+    last = df.count() - 1
+    return df.unionByName(df.where(F.col(i) == last).withColumn(i, F.explode(F.sequence(F.lit(last + 1), F.lit(last + n)))))
+
+
+def equal_parts(df: DataFrame, parts: int, i: str = "i", out: str = "part") -> DataFrame:
+    """Parts of equal size of consecutive rows; the rows that remain are dropped."""
+    size = df.count() // parts
+    return df.where(F.col(i) < parts * size).withColumn(out, F.floor(F.col(i) / F.lit(max(1, size))).cast("int"))
+
+
+def percent_slice(df: DataFrame, low: float, high: float, i: str = "i") -> DataFrame:
+    """Rows from low to high percent of their number, both rounded down."""
+    n = df.count()
+    return df.where((F.col(i) >= int(n * low / 100)) & (F.col(i) < int(n * high / 100)))
+
+
+def collate(df: DataFrame, columns: list[str], size: int, i: str = "i", out: str = "batch") -> DataFrame:
+    """One row per batch of ``size`` consecutive rows: an array per column, in order."""
+    g = df.groupBy(F.floor(F.col(i) / size).alias(out)).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("_o"), *columns))).alias("_t"))
+    return g.select(out, *[F.col(f"_t.{c}").alias(c) for c in columns])
+
+
+def union_by_position(a: DataFrame, b: DataFrame, i: str = "i") -> DataFrame:
+    """Columns of two batches of the same size by row position; a column of both must hold the same values (null equals
+    null, NaN equals NaN), else it raises, as does another size."""
+    x = a.join(b.select(F.col(i).alias("_i"), F.struct(*[c for c in b.columns if c != i]).alias("_b")), F.col(i) == F.col("_i"), "full")
+    whole = F.when(F.col(i).isNotNull() & F.col("_i").isNotNull(), F.col(i)).otherwise(F.raise_error(F.lit("the batches differ in size")))
+    out = [whole.alias(i)]
+    for c in [*a.columns, *[c for c in b.columns if c not in a.columns]]:
+        if c == i:
+            continue
+        if c in a.columns and c in b.columns:
+            out.append(F.when(F.col(c).eqNullSafe(F.col(f"_b.{c}")), F.col(c)).otherwise(F.raise_error(F.lit(f"column {c} differs"))).alias(c))
+        else:
+            out.append(F.col(c if c in a.columns else f"_b.{c}").alias(c))
+    return x.select(*out)
+
+
 def python_slice(df: DataFrame, start: int | None, stop: int | None, step: int, i: str = "i", n: int | None = None) -> DataFrame:
     """Rows of [start:stop:step] with Python's meaning of negative bounds; step must be positive."""
     if step < 1:

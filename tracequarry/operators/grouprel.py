@@ -8,9 +8,10 @@ follow the named estimator: see each function.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracequarry.operators.batch import with_row_number
+
 EPS = 1e-6
 
 
@@ -108,7 +109,7 @@ def varied_groups(df: DataFrame, group: str = "uid", score: str = "score") -> Da
 def label_codes(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     """Codes 0.. of the sorted distinct labels. The labels are ranked alone and joined back."""
     codes = df.select(label).where(F.col(label).isNotNull()).distinct()
-    codes = codes.withColumn(out, (F.row_number().over(W.orderBy(label)) - 1).cast("int"))
+    codes = with_row_number(codes, label, out=out).withColumn(out, F.col(out).cast("int"))
     return df.join(codes, label, "left")
 
 

@@ -11,7 +11,7 @@ Null texts have no terms; null vectors are left out; an empty side gives an empt
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from tracequarry.functions.textnorm import ascii_tokens
 
 QUERY_BLOCK = 2_000
 CORPUS_BLOCK = 50_000
+#: Queries that are sent to the corpus instead of being met in blocks (about 10 MB of texts or vectors).
+SENT_QUERIES = 10_000
 
 
 def top_k(scored: DataFrame, k: int, query: str = "q", doc: str = "doc", score: str = "score") -> DataFrame:
@@ -32,8 +34,28 @@ def top_k(scored: DataFrame, k: int, query: str = "q", doc: str = "doc", score:
 
 
 def in_blocks(queries: DataFrame, corpus: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """cogroup of every (query block, corpus block); the first column of each side is its id."""
+    """The scores of every query against every corpus row; the first column of each side is its id.
+
+    Up to ``SENT_QUERIES`` queries are sent to the corpus, which is scanned once and not shuffled; each batch returns its k best.
+    More are met in a cogroup of every (query block, corpus block).
+    """
     q_id, c_id = queries.columns[0], corpus.columns[0]
+    few = queries.limit(SENT_QUERIES + 1).toPandas()
+    if len(few) <= SENT_QUERIES:
+        shared = corpus.sparkSession.sparkContext.broadcast([few.iloc[at : at + QUERY_BLOCK] for at in range(0, len(few), QUERY_BLOCK)])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += len(batch)
+                if n >= CORPUS_BLOCK:
+                    yield from (score(q, pd.concat(held)) for q in shared.value)
+                    held, n = [], 0
+            if n:
+                yield from (score(q, pd.concat(held)) for q in shared.value)
+
+        return corpus.mapInPandas(run, schema)
     n, m = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(corpus.count() / CORPUS_BLOCK))
     q = queries.withColumn("qb", F.pmod(F.xxhash64(q_id), F.lit(n)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     c = corpus.withColumn("cb", F.pmod(F.xxhash64(c_id), F.lit(m)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -176,6 +198,14 @@ def align_runs(a: DataFrame, b: DataFrame, key: str, order: str) -> DataFrame:
     return x.join(last_wins(b, key, order).select(key, *[F.col(c).alias(f"b_{c}") for c in b.columns if c != key]), key)
 
 
+def best_ranks(relevant: DataFrame, scored: DataFrame) -> DataFrame:
+    """(q, rank) of the best relevant document of each query: 1 and the number of documents that score higher, or equally
+    with a smaller id. Both sides are (q, doc, score); relevant documents are few, all others are only counted."""
+    best = relevant.groupBy("q").agg(F.max(F.struct("score", (-F.col("doc")).alias("o"))).alias("b")).select("q", F.col("b.score").alias("_s"), (-F.col("b.o")).alias("_d"))
+    ahead = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("doc") < F.col("_d")))
+    return scored.join(best, "q").groupBy("q").agg((F.count_if(ahead) + 1).alias("rank"))
+
+
 def rank_metrics(ranked: DataFrame, query: str = "q", rank: str = "rank", n_docs: int | None = None) -> DataFrame:
     """One row: top1, top3, top5, MRR, mean rank; a null rank is a miss (rank ``n_docs`` + 1, reciprocal 0)."""
     r = F.col(rank)

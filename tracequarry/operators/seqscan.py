@@ -1,12 +1,16 @@
 """Operators along the tokens of a rollout.
 
 Two interchangeable shapes: *long* (one row per token: rollout, position) for statistics across rollouts, and
-*wide* (arrays) for recurrences, which run inside one row as higher-order functions without a shuffle.
+*wide* (arrays) for recurrences, which are one pass over a row's arrays in Arrow batches, without a shuffle.
 Null values count as missing; an empty array gives an empty array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,26 +27,62 @@ def to_long(df: DataFrame, key: str, columns: list[str], pos: str = "pos") -> Da
     return df.select(key, F.posexplode(F.arrays_zip(*columns)).alias(pos, "_t")).select(key, pos, *[F.col(f"_t.{c}").alias(c) for c in columns])
 
 
+def _scan(step: Callable[..., float], *arrays: Column, backwards: bool) -> Column:
+    """One pass over arrays of equal length: ``step`` makes a function of the values at one place, called place by place."""
+
+    @F.pandas_udf("array<double>")
+    def run(*columns: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(*columns):
+            if any(x is None for x in row):
+                out.append(None)
+                continue
+            values = [np.nan_to_num(np.asarray(x, dtype=np.float64)).tolist() for x in row]
+            places = range(len(values[0]))
+            take, got = step(), [0.0] * len(values[0])
+            for i in reversed(places) if backwards else places:
+                got[i] = take(*(v[i] for v in values))
+            out.append(got)
+        return pd.Series(out, dtype=object)
+
+    return run(*[F.transform(a, lambda x: x.cast("double")) for a in arrays])
+
+
 def discounted_returns(reward: Column, mask: Column, gamma: float) -> Column:
-    """G_t = r_t + gamma * G_{t+1}, reset to 0 after a position outside the mask; arrays in, array out."""
-    start = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-    step = lambda acc, x: F.struct(((x["r"] + gamma * acc["g"]) * x["m"]).cast("double").alias("g"), F.array_append(acc["out"], (x["r"] + gamma * acc["g"]).cast("double")).alias("out"))
-    return F.reverse(F.aggregate(F.reverse(F.transform(F.arrays_zip(reward.alias("r"), mask.alias("m")), lambda z: F.struct(z["r"].cast("double").alias("r"), z["m"].cast("double").alias("m")))), start, step)["out"])
+    """G_t = r_t + gamma * G_{t+1}, reset to 0 after a position outside the mask; arrays in, array out. A null element counts as
+    0, a null array gives null. One backward pass in an Arrow batch: time in proportion to the length."""
+
+    def step():
+        g = 0.0
+
+        def take(r: float, m: float) -> float:
+            nonlocal g
+            now = r + gamma * g
+            g = now * m
+            return now
+
+        return take
+
+    return _scan(step, reward, mask, backwards=True)
 
 
 def gae(reward: Column, value: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages before whitening: outside the mask both the next value and the running advantage are
-    held, not updated."""
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
+    held, not updated. Nulls as in ``discounted_returns``."""
+
+    def step():
+        v, a = 0.0, 0.0
 
-    def step(acc, x):
-        a = x["r"] + gamma * acc["v"] - x["v"] + gamma * lam * acc["a"]
-        a = F.when(x["m"] != 0, a).otherwise(acc["a"]).cast("double")
-        v = F.when(x["m"] != 0, x["v"]).otherwise(acc["v"]).cast("double")
-        return F.struct(v.alias("v"), a.alias("a"), F.array_append(acc["out"], a).alias("out"))
+        def take(r: float, own: float, m: float) -> float:
+            nonlocal v, a
+            if m:
+                a = r + gamma * v - own + gamma * lam * a
+                v = own
+            return a
 
-    rows = F.transform(F.arrays_zip(reward.alias("r"), value.alias("v"), mask.alias("m")), lambda z: F.struct(z["r"].cast("double").alias("r"), z["v"].cast("double").alias("v"), z["m"].alias("m")))
-    return F.reverse(F.aggregate(F.reverse(rows), start, step)["out"])
+        return take
+
+    return _scan(step, reward, value, mask, backwards=True)
 
 
 def suffix_sum(df: DataFrame, value: Column, key: str = "rid", pos: str = "pos", out: str = "ret") -> DataFrame:
@@ -101,6 +141,15 @@ def kl_estimate(logp: Column, ref: Column, kind: str) -> Column:
 
 def adaptive_coefficient(kls: Column, start: float, target: float, horizon: float, n: float) -> Column:
     """The coefficient after each step: multiplied by 1 + clip(kl / target - 1, +-0.2) * n / horizon. Arrays in step order."""
-    change = lambda k: 1 + F.greatest(F.least(k / target - 1, F.lit(0.2)), F.lit(-0.2)) * (n / horizon)
-    begin = F.struct(F.lit(float(start)).alias("b"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(kls, begin, lambda acc, k: F.struct((acc["b"] * change(k)).cast("double").alias("b"), F.array_append(acc["out"], (acc["b"] * change(k)).cast("double")).alias("out")))["out"]
+
+    def step():
+        b = float(start)
+
+        def take(kl: float) -> float:
+            nonlocal b
+            b *= 1 + max(min(kl / target - 1, 0.2), -0.2) * (n / horizon)
+            return b
+
+        return take
+
+    return _scan(step, kls, backwards=False)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import textnorm as N
 from tracequarry.operators import batch as B
+from tracequarry.operators import sampling as P
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.textual import strip
 from tracequarry.plans.views import TOKENS_SQL, rollout_rows, tokens
@@ -37,11 +38,11 @@ q("b04_fold", lambda s, d: B.fold(docs(s, d), "doc_id", 4).select("i", F.array_j
 q("b05_chunk", lambda s, d: B.chunks(docs(s, d), 4).select("doc_id", "chunk"), f"WITH {_D} SELECT doc_id, (i // ((SELECT count(*) FROM d) // 4))::INT AS chunk FROM d")
 q("b06_split", lambda s, d: B.split(docs(s, d), 128).select("doc_id", "chunk"), f"WITH {_D} SELECT doc_id, (i // 128)::INT AS chunk FROM d")
 q("b07_pad_to_divisor", lambda s, d: B.pad_to_divisor(docs(s, d), 128).select("i", "doc_id"), f"WITH {_D}, n AS (SELECT count(*) AS n FROM d) SELECT i, doc_id FROM d UNION ALL SELECT n + j, doc_id FROM n, range(128) t(j) JOIN d ON true WHERE j < (128 - n % 128) % 128 AND d.i = j % n")
-q("b07_unpad", lambda s, d: B.unpad(B.pad_to_divisor(docs(s, d), 128), -docs(s, d).count() % 128).select("i", "doc_id"), f"WITH {_D} SELECT i, doc_id FROM d")
-q("b08_pad_first_last", lambda s, d: docs(s, d).withColumn("at", F.col("i") + 2).unionByName(docs(s, d).where("i = 0").withColumn("at", F.explode(F.expr("array(0L, 1L)")))).select("at", "doc_id"), f"WITH {_D} SELECT i + 2 AS at, doc_id FROM d UNION ALL SELECT unnest([0, 1])::BIGINT, doc_id FROM d WHERE i = 0")
+q("b07_unpad", lambda s, d: (lambda x, n: B.unpad(B.pad_to_divisor(x, 128, n=n), -n % 128, n=n + -n % 128))(x := docs(s, d), x.count()).select("i", "doc_id"), f"WITH {_D} SELECT i, doc_id FROM d")
+q("b08_pad_first_last", lambda s, d: B.pad_edge(docs(s, d), 2, first=True, i="i").select(F.col("i").alias("at"), "doc_id"), f"WITH {_D} SELECT i + 2 AS at, doc_id FROM d UNION ALL SELECT unnest([0, 1])::BIGINT, doc_id FROM d WHERE i = 0")
 q("b09_reorder", lambda s, d: B.take(docs(s, d), docs(s, d).select("i", F.xxhash64("doc_id").alias("pos"))).select("i", "doc_id"), f"WITH {_D} SELECT i, doc_id FROM d")
-q("b10_mini_batches", lambda s, d: docs(s, d).select("doc_id", F.floor(F.col("i") / 50).cast("int").alias("batch"), F.explode(F.expr("array(0, 1)")).alias("epoch")), f"WITH {_D} SELECT doc_id, (i // 50)::INT AS batch, unnest([0, 1])::INT AS epoch FROM d")
-q("b11_collate", lambda s, d: table(s, d, "fvqa_toy").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.size(F.array_agg("row_id")).alias("m")), "SELECT split, count(*) AS n, len(list(row_id))::INT AS m FROM fvqa_toy GROUP BY split")
+q("b10_mini_batches", lambda s, d: P.epoch_batches(table(s, d, "documents").select("doc_id"), 50, 2, 5, "doc_id"), "SELECT doc_id, epoch::INT AS epoch, ((row_number() OVER (PARTITION BY epoch ORDER BY md5('5|' || epoch || '|' || doc_id), doc_id) - 1) // 50)::INT AS batch FROM documents, range(2) t(epoch)")
+q("b11_collate", lambda s, d: B.collate(B.with_row_number(table(s, d, "fvqa_toy").select("row_id", "question"), "row_id"), ["row_id", "question"], 32).select("batch", F.array_join("row_id", ",").alias("ids"), F.size("question").alias("n")), "SELECT i // 32 AS batch, string_agg(row_id::VARCHAR, ',' ORDER BY i) AS ids, count(*)::INT AS n FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i FROM fvqa_toy) GROUP BY 1")
 _IDS = "CASE WHEN len(image_dhash) IS NULL THEN NULL ELSE {} END"
 for _cut, _sql in (("left", "x[greatest(len(x) - 39, 1):]"), ("right", "x[1:40]"), ("middle", "list_concat(x[1:20], x[greatest(len(x) - 19, 1):])")):
     q(
@@ -84,15 +85,23 @@ q("p26_single_row", lambda s, d: docs(s, d).where("i = 17").select("doc_id", "n_
 
 q("t01_stable_top_k", lambda s, d: table(s, d, "documents").orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(20).select("doc_id", "n_chars"), "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20")
 q("t02_group_top_two", lambda s, d: table(s, d, "documents").withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc_nulls_last("n_chars"), "doc_id"))).where("r <= 2").select("source", "doc_id", "r"), "SELECT source, doc_id, r::INT AS r FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS r FROM documents) WHERE r <= 2")
-q("t03_hash_sample", lambda s, d: table(s, d, "documents").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(50).select("doc_id"), None)
+q("t03_seeded_sample", lambda s, d: P.random_subset(table(s, d, "documents").select("doc_id"), 50, 42, "doc_id"), "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")
 q("t04_score_sort", lambda s, d: rollout_rows(s, d).orderBy(F.desc(F.coalesce("latency", F.lit(0.0))), "row_id").limit(25).select("row_id", F.coalesce("latency", F.lit(0.0)).alias("score")), f"SELECT row_id, coalesce(latency, 0.0) AS score FROM {_P} ORDER BY score DESC, row_id LIMIT 25")
 q("t05_child_argmax", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max(F.struct("value", (-F.col("event_id")).alias("o"))).alias("m")).select("user_id", (-F.col("m.o")).alias("event_id")), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")
-q("t06_first_rows", lambda s, d: table(s, d, "fvqa_toy").orderBy("row_id").limit(100).select("row_id"), "SELECT row_id FROM fvqa_toy ORDER BY row_id LIMIT 100")
-q("t07_hash_split", lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) == 0, "test").otherwise("train").alias("part")), None)
+q("t06_random_subset", lambda s, d: P.random_subset(table(s, d, "fvqa_toy").select("row_id", "question"), 100, 7, "row_id"), "SELECT row_id, question FROM fvqa_toy ORDER BY md5('7|' || row_id), row_id LIMIT 100")
+_U = "(('0x' || substr(md5('7|' || doc_id), 1, 8))::UBIGINT / 4294967296.0)"
+q("t07_random_split", lambda s, d: P.random_split(table(s, d, "documents").select("doc_id"), {"test": 0.1, "validation": 0.2, "train": 0.7}, 7, "doc_id"), f"SELECT doc_id, CASE WHEN {_U} < 0.1 THEN 'test' WHEN {_U} < 0.1 + 0.2 THEN 'validation' ELSE 'train' END AS part FROM documents")
 q("t08_stratified_split", lambda s, d: B.with_row_number(table(s, d, "fvqa_toy").where("data_source is not null"), "row_id", out="r0", within="data_source").withColumn("r", F.col("r0") + 1).join(table(s, d, "fvqa_toy").groupBy("data_source").agg(F.count(F.lit(1)).alias("n")), "data_source").select("row_id", F.expr("case when r <= least(40, floor(n * 0.8)) then 'train' when r <= least(40, floor(n * 0.8)) + 10 then 'test' else 'unused' end").alias("part")), "SELECT row_id, CASE WHEN r <= least(40, floor(n * 0.8)) THEN 'train' WHEN r <= least(40, floor(n * 0.8)) + 10 THEN 'test' ELSE 'unused' END AS part FROM (SELECT row_id, row_number() OVER (PARTITION BY data_source ORDER BY row_id) AS r, count(*) OVER (PARTITION BY data_source) AS n FROM fvqa_toy WHERE data_source IS NOT NULL)")
 q("t09_source_split", lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.col("source").isin("run_notes", "rollout_log"), "held").otherwise("seed").alias("part")), "SELECT doc_id, CASE WHEN source IN ('run_notes', 'rollout_log') THEN 'held' ELSE 'seed' END AS part FROM documents")
-q("t10_equal_parts", lambda s, d: docs(s, d).where(F.col("i") < 7 * (docs(s, d).count() // 7)).select("doc_id", F.floor(F.col("i") / (docs(s, d).count() // 7)).cast("int").alias("part")), f"WITH {_D}, z AS (SELECT count(*) // 7 AS size FROM d) SELECT doc_id, (i // size)::INT AS part FROM d, z WHERE i < size * 7")
-q("t11_curriculum_order", lambda s, d: table(s, d, "fvqa_toy").join(F.broadcast(table(s, d, "source_catalog").select(F.col("source").alias("data_source"), "first_seen")), "data_source").select("row_id", "split", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("seen")).transform(lambda x: B.with_row_number(x, "seen", "row_id", out="turn", within="split")).select("row_id", F.col("turn") + 1).withColumnsRenamed({"(turn + 1)": "turn"}), "SELECT row_id, row_number() OVER (PARTITION BY split ORDER BY first_seen, row_id) AS turn FROM fvqa_toy JOIN source_catalog ON source = data_source")
+q("t10_equal_parts", lambda s, d: B.equal_parts(docs(s, d), 7).select("doc_id", "part"), f"WITH {_D}, z AS (SELECT count(*) // 7 AS size FROM d) SELECT doc_id, (i // size)::INT AS part FROM d, z WHERE i < size * 7")
+q("t11_curriculum_order", lambda s, d: table(s, d, "fvqa_toy").join(table(s, d, "source_catalog").select(F.col("source").alias("data_source"), "first_seen"), "data_source").select("row_id", "split", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("seen")).transform(lambda x: B.with_row_number(x, "seen", "row_id", out="turn", within="split")).select("row_id", F.col("turn") + 1).withColumnsRenamed({"(turn + 1)": "turn"}), "SELECT row_id, row_number() OVER (PARTITION BY split ORDER BY first_seen, row_id) AS turn FROM fvqa_toy JOIN source_catalog ON source = data_source")
+q("t11_seeded_sampler", lambda s, d: P.seeded_order(table(s, d, "fvqa_toy").select("row_id"), 3, "row_id", out="turn"), "SELECT row_id, row_number() OVER (ORDER BY md5('3|' || row_id), row_id) - 1 AS turn FROM fvqa_toy")
+q(
+    "t12_resampled_rows",
+    lambda s, d: P.resample(table(s, d, "orders").select("o_orderkey", F.floor(F.pow(F.col("o_totalprice") / 1000, 2)).alias("w")), "w", 2000, 11, "o_orderkey").select("draw", "o_orderkey"),
+    """WITH l AS (SELECT o_orderkey, w, (sum(w) OVER (ORDER BY o_orderkey))::BIGINT AS e FROM (SELECT o_orderkey, floor(pow(o_totalprice / 1000, 2))::BIGINT AS w FROM orders) WHERE w > 0),
+n AS (SELECT range AS draw, floor(('0x' || substr(md5('11|' || range), 1, 8))::UBIGINT / 4294967296.0 * (SELECT max(e) FROM l))::BIGINT AS p FROM range(2000)) SELECT draw, o_orderkey FROM n JOIN l ON p >= e - w AND p < e""",
+)
 q("u01_bag_union", lambda s, d: table(s, d, "toy_vqa").select("sample_id", "question").unionByName(table(s, d, "fvqa_toy").select("sample_id", "question")), "SELECT sample_id, question FROM toy_vqa UNION ALL SELECT sample_id, question FROM fvqa_toy")
 q("u02_oversampling", lambda s, d: table(s, d, "fvqa_toy").select("row_id", F.explode(F.sequence(F.lit(1), F.when(F.col("split") == "train", 1).otherwise(3))).alias("copy")), "SELECT row_id, unnest(range(1, CASE WHEN split = 'train' THEN 2 ELSE 4 END))::INT AS copy FROM fvqa_toy")
 q("u03_column_tolerant_union", lambda s, d: table(s, d, "toy_vqa").select("sample_id", "question").unionByName(table(s, d, "fvqa_toy").select("sample_id", "split"), allowMissingColumns=True), "SELECT sample_id, question, NULL AS split FROM toy_vqa UNION ALL SELECT sample_id, NULL, split FROM fvqa_toy")
@@ -101,7 +110,7 @@ q("u05_key_difference", lambda s, d: table(s, d, "fvqa_toy").select("sample_id")
 q("u07_longest_first", lambda s, d: table(s, d, "text_corpus").select("answer").where("answer is not null").distinct().select("answer", F.length("answer").alias("n")).orderBy(F.desc("n"), "answer"), "SELECT DISTINCT answer, length(answer)::INT AS n FROM text_corpus WHERE answer IS NOT NULL")
 q("u08_distinct_values", lambda s, d: table(s, d, "documents").select("source", "lang").distinct(), "SELECT DISTINCT source, lang FROM documents")
 q("s09_filtered_first_wins", lambda s, d: table(s, d, "fvqa_toy").where("split = 'train' and sample_id is not null").withColumn("r", F.row_number().over(W.partitionBy("sample_id").orderBy("row_id"))).where("r = 1").select("sample_id", "row_id"), "SELECT sample_id, min(row_id) AS row_id FROM fvqa_toy WHERE split = 'train' AND sample_id IS NOT NULL GROUP BY sample_id")
-q("s14_percent_slice", lambda s, d: docs(s, d).where(F.col("i") < F.lit(int(docs(s, d).count() * 0.75))).select("doc_id"), f"WITH {_D} SELECT doc_id FROM d WHERE i < floor((SELECT count(*) FROM d) * 0.75)")
+q("s14_percent_slice", lambda s, d: B.percent_slice(docs(s, d), 0, 75).select("doc_id"), f"WITH {_D} SELECT doc_id FROM d WHERE i < floor((SELECT count(*) FROM d) * 0.75)")
 q("k02_jsonable", lambda s, d: table(s, d, "source_catalog").select(F.to_json(F.struct("source", "kind", F.concat(F.lit("<"), F.octet_length(F.encode("source", "utf-8")), F.lit(" bytes>")).alias("blob"))).alias("line")), "SELECT '{\"source\":\"' || source || '\",\"kind\":\"' || kind || '\",\"blob\":\"<' || octet_length(source::BLOB) || ' bytes>\"}' AS line FROM source_catalog")
 q("k03_union_header", lambda s, d: table(s, d, "toy_vqa").select("sample_id", "question").unionByName(table(s, d, "source_catalog").select("source"), allowMissingColumns=True).na.fill(""), "SELECT sample_id, question, '' AS source FROM toy_vqa UNION ALL SELECT '', '', source FROM source_catalog")
 q("f51_loss_mask", lambda s, d: tokens(s, d).select("rid", "pos", F.when((F.col("mask") == 1) & (F.col("pos") > 0), 1).otherwise(0).alias("loss_mask")), f"WITH {TOKENS_SQL} SELECT rid, pos, (mask = 1 AND pos > 0)::INT AS loss_mask FROM tokens")

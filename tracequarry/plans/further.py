@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracequarry.functions import hooks as H
 from tracequarry.functions import pyfn as Y
 from tracequarry.functions import scorers
 from tracequarry.functions import textnorm as N
+from tracequarry.operators import agent as G
 from tracequarry.operators import relabel as L
 from tracequarry.operators import retrieval as J
 from tracequarry.operators import rollup as A
 from tracequarry.operators import stepreward as S
 from tracequarry.plans.registry import Registry
-from tracequarry.plans.searching import _B, asked, bm25
+from tracequarry.plans.searching import _B, bm25
 from tracequarry.plans.stepwise import _COST
-from tracequarry.plans.textual import collapse, strip
+from tracequarry.plans.textual import collapse, redacted, strip
 from tracequarry.plans.views import STEPS_SQL, TOKENS_SQL, rollout_rows, spanned_steps, steps, tokens
 from tracequarry.session import table
 from tracequarry.sources import readers
@@ -41,9 +43,50 @@ q("s04_adapted_rows", lambda s, d: table(s, d, "fvqa_toy").where("question is no
 q("s19_literal_rows", lambda s, d: s.createDataFrame([("a", 1), ("b", 2)], "k string, n int"), "SELECT * FROM (VALUES ('a', 1), ('b', 2)) t(k, n)")
 q(
     "s20_grown_dataset",
-    lambda s, d: table(s, d, "fvqa_toy").select("row_id", "question").unionByName(table(s, d, "fvqa_toy").where("split = 'test' and length(question) <= 140").select((F.col("row_id") + 10_000_000).alias("row_id"), F.concat(F.lit("Again: "), "question").alias("question"))),
+    lambda s, d: H.grow(table(s, d, "fvqa_toy").select("row_id", "question"), lambda x: x.join(table(s, d, "fvqa_toy").where("split = 'test'").select("row_id"), "row_id", "left_semi").select((F.col("row_id") + 10_000_000).alias("row_id"), F.concat(F.lit("Again: "), "question").alias("question")), F.length("question") <= 147),
     "SELECT row_id, question FROM fvqa_toy UNION ALL SELECT row_id + 10000000, 'Again: ' || question FROM fvqa_toy WHERE split = 'test' AND length(question) <= 140",
 )
+_REWARD = """
+def reward(data_source, solution_str, ground_truth, extra_info, bonus=0.0):
+    hit = solution_str in (ground_truth if ground_truth is not None else [])
+    return {"score": (1.0 if hit else 0.0) + bonus, "chars": len(solution_str)}
+
+
+def rewards(data_sources, solution_strs, ground_truths):
+    return [None if a is None else 1.0 if a in (t if t is not None else []) else -1.0 for a, t in zip(solution_strs, ground_truths)]
+"""
+
+
+def user_function(name, **fixed):
+    """A function of a file outside the package, as a user would give it."""
+    with tempfile.TemporaryDirectory() as folder:  # read by the driver only
+        path = f"{folder}/reward.py"
+        with open(path, "w") as f:
+            f.write(_REWARD)
+        return H.load_function(path, name, **fixed)
+
+
+_SAME = "coalesce(list_contains(gold_answers, final_answer), FALSE)"
+q(
+    "h01_custom_reward",
+    lambda s, d: rollout_rows(s, d).select("row_id", H.custom_reward(user_function("reward", bonus=0.5), F.col("data_source"), F.col("final_answer"), F.col("gold_answers")).alias("r")).select("row_id", "r.score", F.get_json_object("r.extra", "$.chars").cast("int").alias("chars")),
+    f"SELECT row_id, CASE WHEN final_answer IS NULL THEN NULL ELSE {_SAME}::INT + 0.5::DOUBLE END AS score, length(final_answer)::INT AS chars FROM {_P}",
+)
+q(
+    "h02_batched_reward",
+    lambda s, d: rollout_rows(s, d).select("row_id", H.batched_reward(user_function("rewards"), F.col("data_source"), F.col("final_answer"), F.col("gold_answers")).alias("score")),
+    f"SELECT row_id, CASE WHEN final_answer IS NULL THEN NULL WHEN {_SAME} THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM {_P}",
+)
+q(
+    "h03_sampler_order",
+    lambda s, d: H.sampled(table(s, d, "fvqa_toy").select("row_id", "question"), lambda x: -F.coalesce(F.length("question"), F.lit(0)), "row_id").select("row_id", "turn"),
+    "SELECT row_id, row_number() OVER (ORDER BY coalesce(length(question), 0) DESC, row_id) - 1 AS turn FROM fvqa_toy",
+)
+q(
+    "h04_mapped_rows",
+    lambda s, d: H.map_rows(table(s, d, "toy_vqa").select("sample_id", "question"), lambda row, i: {"place": i, "line": f"{i}: {row['question']}"}, "place bigint, line string", "sample_id"),
+    "SELECT row_number() OVER (ORDER BY sample_id) - 1 AS place, (row_number() OVER (ORDER BY sample_id) - 1) || ': ' || question AS line FROM toy_vqa",
+)
 q("k09_flattened", lambda s, d: readers.flatten_struct(table(s, d, "fvqa_toy").select("row_id", "metadata")).withColumnsRenamed({"metadata/needs_search": "needs_search"}), "SELECT row_id, metadata.needs_search AS needs_search FROM fvqa_toy")
 q("k11_cache_key", lambda s, d: table(s, d, "toy_vqa").select("sample_id", readers.cache_key("sample_id").alias("key")), "SELECT sample_id, sha256('{\"sample_id\":\"' || sample_id || '\"}') AS key FROM toy_vqa")
 q(
@@ -56,14 +99,18 @@ q(
 def media_segments(s, d):
     """Prompts cut at their placeholders."""
     @F.pandas_udf("array<struct<kind:string,value:string>>")
-    def cut(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: None if t is None else [{"kind": k, "value": v} for k, v in Y.media_segments(t, 1, 0)])
+    def cut(x: pd.Series, images: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"kind": k, "value": v} for k, v in Y.media_segments(t, n, 0)] for t, n in zip(x, images)], dtype=object)
 
-    rows = table(s, d, "toy_vqa").select("sample_id", F.explode(cut(F.concat(F.lit("<image>"), "question"))).alias("m"))
-    return rows.select("sample_id", "m.kind", "m.value")
+    rows = table(s, d, "fvqa_toy").where("question is not null").select("row_id", F.posexplode(cut(F.concat(F.lit("<image>"), "question", F.when(F.col("row_id") % 2 == 0, "<image> again").otherwise("")), 1 + (F.col("row_id") % 2 == 0).cast("int"))).alias("at", "m"))
+    return rows.select("row_id", "at", "m.kind", "m.value")
 
 
-q("p16_media_segments", media_segments, "SELECT sample_id, 'image' AS kind, '0' AS value FROM toy_vqa UNION ALL SELECT sample_id, 'text', question FROM toy_vqa")
+q(
+    "p16_media_segments",
+    media_segments,
+    "WITH x AS (SELECT row_id, question, CASE WHEN question = '' THEN [{'kind': 'image', 'value': '0'}] ELSE [{'kind': 'image', 'value': '0'}, {'kind': 'text', 'value': question}] END || CASE WHEN row_id % 2 = 0 THEN [{'kind': 'image', 'value': '1'}, {'kind': 'text', 'value': ' again'}] ELSE [] END AS m FROM fvqa_toy WHERE question IS NOT NULL) SELECT row_id, unnest(range(len(m)))::INT AS at, unnest(m).kind AS kind, unnest(m).value AS value FROM x",
+)
 q(
     "a09_train_metrics",
     lambda s, d: rollout_rows(s, d).select("method", "latency", F.coalesce(F.col("final_correct").cast("double"), F.lit(0.0)).alias("r"), F.coalesce(F.length("final_answer"), F.lit(0)).alias("n")).groupBy("method").agg(r6(F.avg("r"), "reward_mean"), F.max("r").alias("reward_max"), F.min("r").alias("reward_min"), r6(F.avg("n"), "length_mean"), F.max("n").alias("length_max"), r6(A.rate(F.col("n") >= 100), "clip_ratio")),
@@ -83,13 +130,6 @@ def spans_in_tokens(s, d):
 
 
 q("w25_action_spans", spans_in_tokens)
-q(
-    "w34_success_shaping",
-    lambda s, d: steps(s, d).where("tool_type in ('text_search', 'image_search')").join(rollout_rows(s, d).where("coalesce(final_correct, false)").select("row_id"), "row_id", "left_semi").transform(lambda x: S.spread_over_tokens(x, "row_id", F.try_element_at("action_span", F.lit(1)), F.try_element_at("action_span", F.lit(2)), F.lit(0.5), 64)).select("row_id", "pos", r6(F.col("reward"), "bonus")),
-    f"WITH {STEPS_SQL}, c AS (SELECT row_id, greatest(action_span[1], 0) AS s, least(action_span[2], 64) AS e FROM steps JOIN (SELECT row_id FROM {_P} WHERE final_correct) USING (row_id) WHERE tool_type IN ('text_search', 'image_search')) SELECT row_id, pos::INT AS pos, round(sum(0.5 / (e - s)), 6) AS bonus FROM (SELECT *, unnest(range(s, e)) AS pos FROM c WHERE e > s) GROUP BY row_id, pos",
-)
-# w34_success_shaping is cut at position 64 as its SQL is; this one ends with the rollout.
-q("w34_rollout_shaping", lambda s, d: S.spread_over_tokens(spanned_steps(s, d).where("final_correct and tool_type in ('text_search', 'image_search')"), "row_id", F.col("first"), F.col("last"), F.lit(0.5), F.col("n_tokens")).select("row_id", "pos", r6(F.col("reward"), "bonus")))
 q(
     "f20_format_and_accuracy",
     lambda s, d: rollout_rows(s, d).where("not contains(final_answer, '<')").select("row_id", r6(scorers.scorers["format_and_accuracy"](F.concat(F.lit("<think>t</think> \\boxed{1} <answer>"), "final_answer", F.lit("</answer>")), F.array("final_answer")), "score")),
@@ -97,7 +137,8 @@ q(
 )
 q(
     "f28_redacted_observations",
-    lambda s, d: steps(s, d).join(rollout_rows(s, d).select("row_id", "gold_answers"), "row_id").where("size(obs) > 0").select("row_id", "pos", F.to_json(F.transform("obs", lambda o: F.struct(N.redact(o["snippet"], F.col("gold_answers"), "[REDACTED_ANSWER]").alias("snippet")))).alias("clean")),
+    lambda s, d: steps(s, d).join(rollout_rows(s, d).select("row_id", "gold_answers"), "row_id").where("size(obs) > 0").select("row_id", "pos", F.posexplode("obs").alias("hit", "o"), "gold_answers").select("row_id", "pos", "hit", N.redact(F.col("o.snippet"), F.col("gold_answers"), "[REDACTED_ANSWER]").alias("clean")),
+    f"WITH {STEPS_SQL}, o AS (SELECT s.row_id, s.pos, unnest(range(len(obs)))::INT AS hit, unnest(obs) AS o, gold_answers FROM steps s JOIN {_P} USING (row_id) WHERE len(obs) > 0) SELECT row_id, pos, hit, {redacted('o.snippet', 'gold_answers', '[REDACTED_ANSWER]')} AS clean FROM o",
 )
 q("f29_answer_fields_dropped", lambda s, d: steps(s, d).where("size(obs) > 0").select("row_id", "pos", F.array_join(F.transform("obs", lambda o: F.coalesce(o.dropFields("answer")["title"], F.lit(""))), "|").alias("titles")), f"WITH {STEPS_SQL} SELECT row_id, pos, array_to_string(list_transform(obs, lambda o: coalesce(o.title, '')), '|') AS titles FROM steps WHERE len(obs) > 0")
 q("f37_text_by_priority", lambda s, d: table(s, d, "text_corpus").select("corpus_id", F.coalesce(*[F.nullif(N.strip(F.col(c)), F.lit("")) for c in ("snippet", "title", "answer")]).alias("v")), f"SELECT corpus_id, coalesce({', '.join(f'nullif({strip(c)}, {chr(39) * 2})' for c in ('snippet', 'title', 'answer'))}) AS v FROM text_corpus")
@@ -131,20 +172,46 @@ def tool_matches(s, d):
 
 
 q("j16_tool_matching", tool_matches)
-q("b20_balanced_order", lambda s, d: table(s, d, "documents").where("n_chars is not null").select("doc_id", F.pmod(F.row_number().over(W.partitionBy(F.floor(F.col("doc_id") / 64)).orderBy(F.desc("n_chars"), "doc_id")) - 1, F.lit(8)).alias("worker")), "SELECT doc_id, ((row_number() OVER (PARTITION BY doc_id // 64 ORDER BY n_chars DESC, doc_id) - 1) % 8)::INT AS worker FROM documents WHERE n_chars IS NOT NULL")
 q("b21_introspection", lambda s, d: table(s, d, "documents").agg(F.count(F.lit(1)).alias("rows"), F.count("text").alias("texts"), F.sum(F.octet_length("text")).alias("bytes")), "SELECT count(*) AS rows, count(text) AS texts, sum(strlen(text))::BIGINT AS bytes FROM documents")
 
 
+_KNOWN = {"lighthouse": "the old lighthouse", "mill": "a mill"}
+
+
+def policy(s, d):
+    """Samples with the first action of a policy, of every kind the rules know."""
+    x = table(s, d, "fvqa_toy").where("row_id % 100 = 0").select(F.col("row_id").alias("q"), "question", "gold_answers", F.col("metadata.needs_search").alias("needs_search"))
+    kind = F.floor(F.col("q") / 100) % 6
+    tool = F.when(kind == 0, "text_search").when(kind == 1, "stop").when(kind == 2, "zoom").when(kind == 3, "image_search").when(kind == 4, "stop").otherwise("stop")
+    action = F.when(kind == 0, " Query ").when(kind == 1, "").when(kind == 2, "left").when(kind == 3, F.substring(F.coalesce("question", F.lit("")), 1, 40)).when(kind == 4, "final answer").otherwise("Paris")
+    return x.withColumn("policy_tool", tool).withColumn("policy_action", action)
+
+
 def scripted_rollout(s, d):
-    """Retrieve, answer with the first document that has an answer, compare with the gold answers."""
-    top = J.top_k(bm25(s, d, True), 3).join(table(s, d, "text_corpus").where("answer is not null").select(F.col("corpus_id").alias("doc"), "answer"), "doc")
-    said = top.groupBy("q").agg(F.min_by("answer", "rank").alias("answer"))
-    gold = table(s, d, "fvqa_toy").select(F.col("row_id").alias("q"), "gold_answers")
-    return asked(s, d).select("q").join(said, "q", "left").join(gold, "q").select("q", "answer", N.exact_match(F.col("answer"), F.col("gold_answers"), N.alnum_normalize).alias("correct"))
+    """Decide, repair, retrieve, answer, stop; the answers are compared with the gold answers."""
+    actions = G.decided(policy(s, d), _KNOWN)
+    docs = table(s, d, "text_corpus").select("corpus_id", F.concat_ws(" ", "title", "snippet").alias("text"))
+    top = J.substring_search(actions.where(F.col("tool").isin(*G.SEARCHES)).select("q", "action"), docs, 3)
+    found = top.join(table(s, d, "text_corpus").select(F.col("corpus_id").alias("doc"), "answer"), "doc").select("q", "rank", "doc", "answer")
+    x = G.answered(actions, found, "q")
+    return x.select("q", "tool", "action", "invalid", "answer", F.array_join(F.transform("steps", lambda t: F.concat(t["tool"], F.lit(":"), F.size(t["docs"]))), ",").alias("trace"), N.exact_match(F.col("answer"), F.col("gold_answers"), N.alnum_normalize).alias("correct"))
 
 
 _AL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-q("g01_scripted_rollout", scripted_rollout, _B.rstrip() + f", r AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc) AS rank FROM s WHERE score > 0), f AS (SELECT q, arg_min(t.answer, rank) AS answer FROM r JOIN text_corpus t ON corpus_id = doc WHERE rank <= 3 AND t.answer IS NOT NULL GROUP BY q) SELECT q.q, f.answer, coalesce(len(list_filter(gold_answers, lambda g: coalesce({_AL.format('g')} = {_AL.format('f.answer')}, FALSE))) > 0, FALSE) AS correct FROM q LEFT JOIN f USING (q) JOIN fvqa_toy v ON v.row_id = q.q")
+_TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+q(
+    "g01_scripted_rollout",
+    scripted_rollout,
+    f"""WITH p AS (SELECT row_id AS q, coalesce(question, '') AS question, gold_answers, metadata.needs_search AS needs, (row_id // 100) % 6 AS k FROM fvqa_toy WHERE row_id % 100 = 0),
+a AS (SELECT *, CASE WHEN contains(lower(question), 'lighthouse') THEN 'the old lighthouse' WHEN contains(lower(question), 'mill') THEN 'a mill' ELSE 'unknown' END AS direct FROM p),
+c AS (SELECT *, CASE WHEN NOT coalesce(needs, direct = 'unknown') AND direct <> 'unknown' THEN ['stop', direct, '0'] WHEN k = 0 THEN ['text_search', question, '0'] WHEN k = 1 AND coalesce(needs, direct = 'unknown') THEN ['text_search', question, '0'] WHEN k = 2 THEN ['text_search', question, '1']
+WHEN k = 3 THEN ['image_search', CASE WHEN lower(trim(left(question, 40))) IN ('', 'query', 'answer', 'final answer', 'visual query', 'current image') THEN question ELSE trim(left(question, 40)) END, '0'] WHEN k IN (1, 4) THEN ['stop', 'unknown', '1'] ELSE ['stop', 'Paris', '0'] END AS c FROM a),
+t AS (SELECT q, gold_answers, direct, c[1] AS tool, c[2] AS action, c[3]::INT AS invalid FROM c), d AS (SELECT corpus_id AS doc, concat_ws(' ', title, snippet) AS text, answer FROM text_corpus),
+s AS (SELECT q, doc, answer, len(list_filter(list_distinct({_TOK.format('action')}), lambda w: contains(lower(text), w))) AS score FROM t CROSS JOIN d WHERE tool <> 'stop'),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY coalesce(score, 0) DESC, doc) AS rank FROM s), f AS (SELECT q, count(*) AS n, arg_min(answer, rank) FILTER (WHERE answer IS NOT NULL) AS said FROM r WHERE rank <= 3 GROUP BY q),
+o AS (SELECT t.*, coalesce(n, 0) AS n, CASE WHEN tool = 'stop' THEN action ELSE coalesce(said, direct) END AS answer FROM t LEFT JOIN f USING (q))
+SELECT q, tool, action, invalid, answer, CASE WHEN tool = 'stop' THEN 'stop:0' ELSE tool || ':' || n || ',stop:0' END AS trace, coalesce(len(list_filter(gold_answers, lambda g: coalesce({_AL.format('g')} = {_AL.format('answer')}, FALSE))) > 0, FALSE) AS correct FROM o""",
+)
 q(
     "g02_direct_answers",
     lambda s, d: rollout_rows(s, d).select("row_id", F.size(N.split_tokens(F.col("question"))).alias("prompt_tokens"), F.lit(0).alias("num_tools"), F.coalesce("final_answer", F.lit("unknown")).alias("answer")),

@@ -20,19 +20,42 @@ def lengths(s, d):
     return table(s, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 64).alias("batch"), (F.coalesce("n_chars", F.lit(0)) + 1).alias("n"))
 
 
-R.add("f14_last_boxed", lambda s, d: rollout_rows(s, d).select("row_id", Y.boxed(F.concat(F.lit("so \\boxed{x} and \\boxed{{"), F.regexp_replace("final_answer", "[{}]", ""), F.lit("} y}"))).alias("v")), f"SELECT row_id, '{{' || regexp_replace(final_answer, '[{{}}]', '', 'g') || '}} y' AS v FROM {_P}")
-R.add("f17_plain_latex", lambda s, d: rollout_rows(s, d).select("row_id", Y.latex(F.concat(F.lit("x = \\tfrac"), F.col("row_id") % 9 + 1, F.lit("7 \\text{ km}"))).alias("v")), f"SELECT row_id, '\\frac{{' || (row_id % 9 + 1) || '}}{{7}}' AS v FROM {_P}")
+_BOXED = "'so \\boxed{x} and \\boxed{' || CASE WHEN row_id % 3 = 0 THEN question ELSE '{' || coalesce(final_answer, '') || '} y' END || CASE WHEN row_id % 5 = 0 THEN '' ELSE '}' END"
+R.add(
+    "f14_last_boxed",
+    lambda s, d: rollout_rows(s, d).where("not contains(final_answer, '{') and not contains(final_answer, '}')").select("row_id", Y.boxed(F.expr(_BOXED.replace("\\", "\\\\"))).alias("v")),
+    f"WITH t AS (SELECT row_id, {_BOXED} AS t FROM {_P} WHERE NOT contains(final_answer, '{{') AND NOT contains(final_answer, '}}')) SELECT row_id, CASE WHEN row_id % 5 = 0 OR t IS NULL THEN NULL ELSE regexp_extract(t, '\\\\boxed\\{{([^\\\\]*)\\}}$', 1) END AS v FROM t",
+)
+_TEX = "CASE row_id % 5 WHEN 0 THEN 'x = \\tfrac' || (row_id % 9 + 1) || '7 \\text{ km}' WHEN 1 THEN (row_id % 97) || '/' || (row_id % 89 + 1) WHEN 2 THEN '\\sqrt' || (row_id % 9) || ' + .5' WHEN 3 THEN (row_id % 360) || '^\\circ' ELSE '\\left( ' || row_id || ' \\right)' END"
+R.add(
+    "f17_plain_latex",
+    lambda s, d: rollout_rows(s, d).select("row_id", Y.latex(F.expr(_TEX.replace("\\", "\\\\"))).alias("v")),
+    f"SELECT row_id, CASE row_id % 5 WHEN 0 THEN '\\frac{{' || (row_id % 9 + 1) || '}}{{7}}' WHEN 1 THEN '\\frac{{' || (row_id % 97) || '}}{{' || (row_id % 89 + 1) || '}}' WHEN 2 THEN '\\sqrt{{' || (row_id % 9) || '}}+0.5' WHEN 3 THEN (row_id % 360)::VARCHAR ELSE '(' || row_id || ')' END AS v FROM {_P}",
+)
 R.add("f34_agent_answer", lambda s, d: rollout_rows(s, d).where("length(trim(final_answer)) > 0").select("row_id", Y.agent_answer(F.concat(F.lit("thinking {\"tool\": \"x\"} "), F.to_json(F.struct(F.lit("stop").alias("action"), F.col("final_answer").alias("answer"))))).alias("v")), None)
 R.add(
     "f35_tool_calls",
     lambda s, d: steps(s, d).where("action_text is not null").select("row_id", "pos", F.explode(Y.parsed_calls(F.concat(F.lit("<tool_call>"), F.to_json(F.struct(F.col("tool_type").alias("name"), F.struct(F.col("pos").alias("at")).alias("arguments"))), F.lit("</tool_call><tool_call>bad</tool_call>")))).alias("c")).where("c.name is not null").select("row_id", "pos", "c.name", "c.arguments"),
     f"SELECT row_id, pos, s.tool_type AS name, '{{\"at\": ' || pos || '}}' AS arguments FROM (SELECT row_id, unnest(steps) AS s, unnest(range(len(steps)))::INT AS pos FROM {_P} WHERE len(steps) > 0) WHERE s.action_text IS NOT NULL AND s.tool_type IS NOT NULL",
 )
+R.add(
+    "f35_channel_calls",
+    lambda s, d: steps(s, d).where("tool_type is not null").select("row_id", "pos", F.explode(Y.parsed_calls(F.concat(F.lit("<|channel|>analysis<|message|>call <|start|>assistant<|channel|>commentary to=functions.no <|constrain|>json<|message|>{}<|call|><|end|><|start|>assistant<|channel|>commentary to=functions."), F.col("tool_type"), F.lit(" <|constrain|>json<|message|>{\"at\": "), F.col("pos"), F.lit("}<|call|>")), "channel")).alias("c")).select("row_id", "pos", "c.name", "c.arguments"),
+    f"SELECT row_id, pos, s.tool_type AS name, '{{\"at\": ' || pos || '}}' AS arguments FROM (SELECT row_id, unnest(steps) AS s, unnest(range(len(steps)))::INT AS pos FROM {_P} WHERE len(steps) > 0) WHERE s.tool_type IS NOT NULL",
+)
+R.add(
+    "f35_xml_calls",
+    lambda s, d: steps(s, d).where("tool_type is not null").select("row_id", "pos", F.explode(Y.parsed_calls(F.concat(F.lit("text <tool_call>\n<function="), F.col("tool_type"), F.lit(">\n<parameter=at>\n"), F.col("pos"), F.lit("\n</parameter>\n<parameter=far>\n"), F.col("pos") % 2 == 0, F.lit("\n</parameter>\n<parameter=none>\nnull\n</parameter>\n</function>\n</tool_call>")), "xml", {"at": "integer", "far": "bool"})).alias("c")).select("row_id", "pos", "c.name", "c.arguments"),
+    f"SELECT row_id, pos, s.tool_type AS name, '{{\"at\": ' || pos || ', \"far\": ' || (pos % 2 = 0) || ', \"none\": null}}' AS arguments FROM (SELECT row_id, unnest(steps) AS s, unnest(range(len(steps)))::INT AS pos FROM {_P} WHERE len(steps) > 0) WHERE s.tool_type IS NOT NULL",
+)
 R.add("w33_gate_reward", lambda s, d: steps(s, d).join(rollout_rows(s, d).select("row_id", "gold_answers"), "row_id").select("row_id", "pos", Y.gate(F.col("gold_answers"), F.col("action_text"), F.coalesce(F.col("tool_type") == "stop", F.lit(False))).alias("gate")), None)
-R.add("b15_balanced_parts", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.differencing(v, min(4, len(v)))).groupBy("batch", "part").agg(F.count(F.lit(1)).alias("items")), None)
-R.add("b16_greedy_parts", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.greedy(v, 4)), None)
-R.add("b17_micro_batches", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.micro_batches(v, max(20000, max(v)))), None)
-R.add("b19_group_parts", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.keep_groups(v[: len(v) // 8 * 8], [i // 4 for i in range(len(v) // 8 * 8)], 2) if len(v) >= 8 else [list(range(len(v)))]), None)
+R.add("b15_balanced_parts", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.differencing(v, min(4, len(v)))).drop("place"), None)
+R.add("b16_greedy_parts", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.greedy(v, 4)).drop("place"), None)
+R.add("b17_micro_batches", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.micro_batches(v, 20000)).drop("place"), None)
+# groups of four; two parts where the groups divide, else one
+R.add("b19_group_parts", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.keep_groups(v, [i // 4 for i in range(len(v))], 2 - -(-len(v) // 4) % 2)).drop("place"), None)
+# workers of a batch as its size divides
+R.add("b20_balanced_order", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc_id", "n", lambda v: K.balance_batch(v, next(k for k in (8, 4, 2, 1) if len(v) % k == 0))), None)
 _EV = "SELECT user_id, event_id, event_type, value, ts FROM events"
 R.add("st01_queue_replay", lambda s, d: Q.queue_replay(table(s, d, "events").select("user_id", "event_id"), "user_id", "event_id", 16), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 16")
 R.add("st02_queue_statistics", lambda s, d: Q.queue_statistics(table(s, d, "events"), "user_id", 64), "SELECT user_id, count(*) AS produced, least(count(*), 64) AS size, greatest(count(*) - 64, 0) AS dropped FROM events GROUP BY user_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracequarry.operators import rollup as A
+from tracequarry.operators.batch import exact_quantiles
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.views import ROLLOUTS_SQL, STEPS_SQL, TOKENS_SQL, rollout_rows, rollouts, steps, tokens
 from tracequarry.session import table
@@ -157,7 +158,7 @@ R.add(
 )
 R.add(
     "a21_batch_statistics",
-    lambda s, d: rollout_rows(s, d).agg(r6(F.avg("latency"), "mean"), F.max("latency").alias("max"), F.min("latency").alias("min"), *[r6(F.percentile("latency", F.lit(p / 100)), f"p{p}") for p in (50, 95, 99)], r6(A.rate(F.col("invalid_action") > 0), "partial"), F.countDistinct("data_source").alias("versions")),
+    lambda s, d: rollout_rows(s, d).agg(r6(F.avg("latency"), "mean"), F.max("latency").alias("max"), F.min("latency").alias("min"), r6(A.rate(F.col("invalid_action") > 0), "partial"), F.countDistinct("data_source").alias("versions")).join(exact_quantiles(rollout_rows(s, d), "latency", {f"p{p}": p / 100 for p in (50, 95, 99)}).select(*[r6(F.col(f"p{p}"), f"p{p}") for p in (50, 95, 99)])),
     f"SELECT round(avg(latency), 6) AS mean, max(latency) AS max, min(latency) AS min, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99, round(avg(coalesce((invalid_action > 0)::INT, 0)), 6) AS partial, count(DISTINCT data_source) AS versions FROM {_P}",
 )
 R.add(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracequarry.operators import retrieval as J
+from tracequarry.operators.batch import union_by_position, with_row_number
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.views import ROLLOUTS_SQL, rollout_rows, rollouts
 from tracequarry.session import table
@@ -59,9 +60,10 @@ SELECT count(*) AS n, round(avg(coalesce((rank <= 1)::INT, 0)), 6) AS top1, roun
 )
 def retrieval_metrics(s, d):
     c = corpus(s, d)
-    ranked = J.top_k(bm25(s, d, True), 2**31 - 1).join(c.select(F.col("corpus_id").alias("doc"), F.col("sample_id").alias("sid")), "doc")
+    scored = bm25(s, d, True)
     q = asked(s, d).select("q", F.col("sample_id").alias("sid"))
-    best = q.join(ranked.select("q", "sid", "rank"), ["q", "sid"]).groupBy("q").agg(F.min("rank").alias("rank"))
+    relevant = scored.join(q.join(c.select(F.col("corpus_id").alias("doc"), F.col("sample_id").alias("sid")), "sid").select("q", "doc"), ["q", "doc"])
+    best = J.best_ranks(relevant, scored)
     return J.rank_metrics(q.join(best, "q", "left"), n_docs=c.count())
 
 
@@ -97,8 +99,8 @@ R.add(
 )
 R.add(
     "j02_positional_union",
-    lambda s, d: table(s, d, "orders").select("o_orderkey", "o_custkey").join(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey"),
-    "SELECT a.o_orderkey, a.o_custkey, b.o_totalprice FROM orders a JOIN orders b USING (o_orderkey)",
+    lambda s, d: (lambda x: union_by_position(x.select("i", "o_orderkey", "o_custkey"), x.select("i", "o_orderkey", "o_totalprice")).drop("i"))(with_row_number(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", "o_custkey", "o_totalprice")),
+    "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
 )
 R.add(
     "j03_edge_lookup",

@@ -10,7 +10,7 @@ from tracequarry.operators import stepreward as S
 from tracequarry.operators.grouprel import with_group
 from tracequarry.operators.typedpool import typed_counterfactuals
 from tracequarry.plans.registry import Registry
-from tracequarry.plans.textual import collapse, qa
+from tracequarry.plans.textual import collapse, qa, redacted
 from tracequarry.plans.views import STEPS_SQL, rollout_rows, spanned_steps, steps
 from tracequarry.session import table
 
@@ -30,14 +30,18 @@ def ev(s, d):
 
 _COST = "CASE tool_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.TOOL_COSTS.items()) + " ELSE 1.0 END"
 R.add("w26_propagated_returns", lambda s, d: S.propagated(ev(s, d), "g", F.lit(0.5), 0.5).select("event_id", r6(F.col("ret"), "ret")), f"WITH {_EV} SELECT event_id, round(g + coalesce(0.5 * 0.5 * greatest(lead(g) OVER (PARTITION BY key ORDER BY pos), 0), 0), 6) AS ret FROM ev")
-_SPAN = f"WITH {STEPS_SQL}, sp AS (SELECT row_id AS key, action_span[1] AS s0, action_span[2] AS e0, {_COST}::DOUBLE AS t FROM steps), "
+_SPAN = f"""WITH {STEPS_SQL}, z AS (SELECT row_id, final_correct, list_max(list_transform(steps, lambda x: x.action_span[2])) AS n FROM {_P}),
+sp AS (SELECT row_id AS key, tool_type, final_correct, greatest(action_span[1], 0) AS s, least(action_span[2], n) AS e, {_COST}::DOUBLE AS t FROM steps JOIN z USING (row_id)), """
 R.add(
     "w27_span_rewards",
-    lambda s, d: S.spread_over_tokens(steps(s, d), "row_id", F.try_element_at("action_span", F.lit(1)), F.try_element_at("action_span", F.lit(2)), S.tool_cost(F.col("tool_type")), 40).select("row_id", "pos", r6(F.col("reward"), "reward")),
-    _SPAN + "c AS (SELECT key, greatest(s0, 0) AS s, least(e0, 40) AS e, t FROM sp) SELECT key AS row_id, pos::INT AS pos, round(sum(t / (e - s)), 6) AS reward FROM (SELECT *, unnest(range(s, e)) AS pos FROM c WHERE e > s) GROUP BY key, pos",
+    lambda s, d: S.spread_over_tokens(spanned_steps(s, d), "row_id", F.col("first"), F.col("last"), S.tool_cost(F.col("tool_type")), F.col("n_tokens")).select("row_id", "pos", r6(F.col("reward"), "reward")),
+    _SPAN + "c AS (SELECT * FROM sp WHERE e > s) SELECT key AS row_id, pos::INT AS pos, round(sum(t / (e - s)), 6) AS reward FROM (SELECT *, unnest(range(s, e)) AS pos FROM c) GROUP BY key, pos",
+)
+R.add(
+    "w34_success_shaping",
+    lambda s, d: S.spread_over_tokens(spanned_steps(s, d).where("final_correct and tool_type in ('text_search', 'image_search')"), "row_id", F.col("first"), F.col("last"), F.lit(0.5), F.col("n_tokens")).select("row_id", "pos", r6(F.col("reward"), "bonus")),
+    _SPAN + "c AS (SELECT * FROM sp WHERE e > s AND final_correct AND tool_type IN ('text_search', 'image_search')) SELECT key AS row_id, pos::INT AS pos, round(sum(0.5 / (e - s)), 6) AS bonus FROM (SELECT *, unnest(range(s, e)) AS pos FROM c) GROUP BY key, pos",
 )
-# w27_span_rewards is cut at position 40 as its SQL is; this one ends with the rollout.
-R.add("w27_rollout_rewards", lambda s, d: S.spread_over_tokens(spanned_steps(s, d), "row_id", F.col("first"), F.col("last"), S.tool_cost(F.col("tool_type")), F.col("n_tokens")).select("row_id", "pos", r6(F.col("reward"), "reward")))
 _G = "(CASE WHEN success THEN 1.0 ELSE -0.5 END)"
 R.add(
     "w28_step_totals",
@@ -149,7 +153,8 @@ SELECT sample_id, step, tool, action, len(list_filter(string_split({collapse('ac
 R.add(
     "g05_nonleaky_corpus",
     lambda s, d: table(s, d, "text_corpus").select("corpus_id", N.truncate_chars(N.redact(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), F.concat(F.lit("Answer: "), F.col("answer"))), F.array("answer")), 200).alias("evidence"), N.contains_answer(F.col("snippet"), F.array("answer")).alias("leaked")),
-    None,
+    f"""WITH t AS (SELECT corpus_id, answer, snippet, concat_ws(' ', coalesce(title, ''), coalesce(snippet, ''), 'Answer: ' || answer) AS x FROM text_corpus)
+SELECT corpus_id, CASE WHEN length(e) > 200 THEN rtrim(left(e, 197)) || '...' ELSE e END AS evidence, leaked FROM (SELECT corpus_id, {redacted('x', '[answer]')} AS e, coalesce(contains(lower(snippet), lower(answer)), FALSE) AS leaked FROM t)""",
 )
 R.add(
     "g06_diagnostic_index",

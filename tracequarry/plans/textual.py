@@ -21,6 +21,14 @@ def collapse(x: str) -> str:
     return strip(f"regexp_replace({x}, '{_WS}+', ' ', 'g')")
 
 
+def redacted(x: str, answers: str, mark: str = "[hidden]") -> str:
+    """Clauses, then answers (longest first), masked."""
+    x = f"regexp_replace(regexp_replace({x}, '(?i)\\banswer\\s*:\\s*[^.。\\n]+[.。]?', 'Answer: {mark}. ', 'g'), '(?i)\\bground[_ ]?truth\\s*:\\s*[^.。\\n]+[.。]?', 'Ground truth: {mark}. ', 'g')"
+    own = f"list_filter(list_transform({answers}, lambda a: {strip('a')}), lambda a: a <> '')"
+    longest = f"list_transform(list_sort(list_transform({own}, lambda a: {{'n': -length(a), 'a': a}})), lambda s: regexp_replace(s.a, '([\\\\\\[\\](){{}}.*+?^$|/-])', '\\\\\\1', 'g'))"
+    return collapse(f"CASE WHEN len({own}) > 0 THEN regexp_replace({x}, '(?i)(?:' || array_to_string({longest}, '|') || ')', '{mark}', 'g') ELSE {x} END")
+
+
 def articles(x: str) -> str:
     one = r"'(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'"
     return f"regexp_replace(regexp_replace({x}, {one}), {one})"
@@ -251,7 +259,7 @@ def observation_summary(s, d):
 R.add(
     "f36_answer_list",
     lambda s, d: rollout_rows(s, d).select("row_id", F.array_join(N.answer_list(F.when(F.col("row_id") % 2 == 0, F.to_json(G())).otherwise(A())), "|").alias("v")),
-    None,
+    f"SELECT row_id, array_to_string(list_filter(list_transform(CASE WHEN row_id % 2 = 0 THEN coalesce(gold_answers, []) WHEN final_answer LIKE '[%]' AND json_valid(final_answer) THEN (final_answer::JSON)::VARCHAR[] ELSE [final_answer] END, lambda x: {strip('x')}), lambda x: x <> ''), '|') AS v FROM {_P}",
 )
 over("f38_metric_key", lambda: [N.metric_key(F.concat(F.lit("val//"), F.col("data_source"), F.lit("/acc@"), F.col("row_id") % 5, F.lit("#é"))).alias("v")], "regexp_replace(regexp_replace(replace('val//' || data_source || '/acc@' || (row_id % 5) || '#é', '@', '_at_'), '/{2,}', '/', 'g'), '[^a-zA-Z0-9_./ -]', '_', 'g') AS v")
 over("f39_search_attempt", lambda: [(F.regexp_replace(F.lower("question"), f"{_WS}", "").contains("sketch") & F.regexp_replace(F.lower("question"), f"{_WS}", "").contains("in17")).alias("v")], f"contains(regexp_replace(lower(question), '{_WS}', '', 'g'), 'sketch') AND contains(regexp_replace(lower(question), '{_WS}', '', 'g'), 'in17') AS v")
@@ -298,5 +306,5 @@ over("u06_ordered_dedupe", lambda: [F.array_join(N.ordered_dedupe(F.concat(G(),
 R.add(
     "f27_redact",
     lambda s, d: rollout_rows(s, d).select("row_id", N.redact(F.concat(F.lit("Note. Answer: "), A(), F.lit(". then "), F.col("question"), F.lit(" ground_truth : x. "), A()), F.array_append(G(), A())).alias("v")),
-    None,
+    f"SELECT row_id, {redacted("'Note. Answer: ' || final_answer || '. then ' || question || ' ground_truth : x. ' || final_answer", 'CASE WHEN gold_answers IS NOT NULL THEN list_append(gold_answers, final_answer) END')} AS v FROM {_P}",
 )

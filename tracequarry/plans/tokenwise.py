@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracequarry.operators import losses as L
+from tracequarry.operators import sampling as P
 from tracequarry.operators import seqscan as S
+from tracequarry.operators.batch import with_row_number
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.views import ROLLOUTS_SQL, TOKENS_SQL, rollouts, tokens
 
@@ -175,16 +177,20 @@ def kl_cov(s, d):
     m = t.agg(F.avg("reward").alias("ma"), F.avg("logp").alias("ml"), F.ceil(0.01 * F.count(F.lit(1))).cast("int").alias("k"))
     k = m.first()["k"]
     c = t.join(F.broadcast(m)).withColumn("cov", F.round((F.col("reward") - F.col("ma")) * (F.col("logp") - F.col("ml")), 9))
-    return c.orderBy(F.desc("cov"), "rid", "pos").limit(k).select("rid", "pos")
+    return with_row_number(c, F.desc("cov"), "rid", "pos").where(F.col("i") < k).select("rid", "pos")
 
 
-@R.query("l07_clip_cov")
+@R.query(
+    "l07_clip_cov",
+    f"""WITH {TOKENS_SQL}, m AS (SELECT avg(reward) AS ma, avg(logp) AS ml, greatest(floor(0.01 * count(*)), 1) AS k FROM tokens WHERE mask <> 0),
+c AS (SELECT rid, pos, k, row_number() OVER (ORDER BY md5('42|' || rid || '|' || pos)) AS rn FROM tokens, m WHERE mask <> 0 AND round((reward - ma) * (logp - ml), 9) BETWEEN -0.002 AND -0.0005) SELECT rid, pos FROM c WHERE rn <= k""",
+)
 def clip_cov(s, d):
-    """A hash-chosen share of the tokens inside a band of covariance (the random subset of the estimator)."""
+    """As many tokens as 1 % of all, at random, of those inside a band of covariance."""
     t = tokens(s, d).where("mask <> 0")
-    m = t.agg(F.avg("reward").alias("ma"), F.avg("logp").alias("ml"))
-    c = t.join(F.broadcast(m)).withColumn("cov", (F.col("reward") - F.col("ma")) * (F.col("logp") - F.col("ml"))).where("cov between -0.002 and -0.0005")
-    return c.where(F.pmod(F.xxhash64("rid", "pos", F.lit(42)), F.lit(1000)) < 20).select("rid", "pos")
+    m = t.agg(F.avg("reward").alias("ma"), F.avg("logp").alias("ml"), F.greatest(F.floor(0.01 * F.count(F.lit(1))), F.lit(1)).alias("k"))
+    c = t.join(F.broadcast(m)).withColumn("cov", F.round((F.col("reward") - F.col("ma")) * (F.col("logp") - F.col("ml")), 9)).where("cov between -0.002 and -0.0005")
+    return P.seeded_order(c, 42, "rid", "pos").where("i < k").select("rid", "pos")
 
 
 _OFF = f"WITH {TOKENS_SQL}, t AS (SELECT *, logp AS rollout_logp, greatest(least(old_logp - logp, 20), -20) AS dl FROM tokens), m AS (SELECT * FROM t WHERE mask <> 0), "

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracequarry.operators.batch import running_sum
 from tracequarry.session import ensure_checkpoint_dir
 
 
@@ -60,7 +61,7 @@ def version_spans(df: DataFrame, first: str, last: str) -> DataFrame:
 def accumulate_until(df: DataFrame, step: str, prompts: Column, target: int) -> DataFrame:
     """(step, prompts, total, ready): batches in order until their prompts reach the target. One row per batch."""
     per = df.groupBy(step).agg(prompts.alias("prompts"))
-    x = per.withColumn("total", F.sum("prompts").over(W.orderBy(step)))  # a row per training step
+    x = running_sum(per, "prompts", step)
     return x.withColumn("ready", F.col("total") >= target).where(F.col("total") - F.col("prompts") < target)
 
 
