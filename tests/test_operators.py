@@ -176,7 +176,7 @@ def test_python_cores():
     assert Y.plain_latex("\\dfrac12") == "\\frac{1}{2}" and Y.plain_latex("3/4") == "\\frac{3}{4}" and Y.plain_latex("x = \\sqrt3") == "\\sqrt{3}"
     assert Y.final_answer_of('{"action": "stop", "answer": "Paris"}') == "Paris" and Y.final_answer_of("<answer></answer>") == "unknown"
     assert Y.tool_calls('<tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call><tool_call>x</tool_call>') == [{"name": "f", "arguments": '{"a": 1}'}]
-    assert Y.xml_calls("<function=f>\n<parameter=n>\n3\n</parameter></function>", {"n": "integer"}) == [{"name": "f", "arguments": {"n": 3}}]
+    assert Y.xml_calls("<function=f>\n<parameter=n>\n3\n</parameter></function>", {"n": "integer"}) == [{"name": "f", "arguments": "{\"n\": 3}"}]
     assert Y.typed_parameter("__import__('os')", "object") == "__import__('os')"
     assert Y.action_spans([1, 2, 3, 1, 2], [[1, 2], [1, 2], [9]]) == [(0, 2), (3, 5), (-1, -1)]
     call = {"name": "f", "parameters": {"a": 1}}

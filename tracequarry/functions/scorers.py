@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracequarry.functions import pyfn as Y
 from tracequarry.functions import textnorm as N
 
 
@@ -59,12 +61,35 @@ def format_and_accuracy(answer: Column, golds: Column, weight: float = 0.1) -> C
     return (1 - weight) * exact(N.last_tag(answer), golds) + weight * F.coalesce(shaped, F.lit(0.0))
 
 
+@scorers.register("math_line")
+def math_line(answer: Column, golds: Column) -> Column:
+    """1 or -1: the answer line against the first gold answer."""
+    return N.math_score(answer, F.try_element_at(golds, F.lit(1)))
+
+
+@scorers.register("math_box")
+def math_box(answer: Column, golds: Column) -> Column:
+    """1 or -1: the last box among the last 100 characters is the first gold answer, as it is."""
+    box = Y.boxed(F.right(answer, F.lit(100)))
+    return F.when(box == F.try_element_at(golds, F.lit(1)), 1.0).otherwise(-1.0)
+
+
+@scorers.register("first_token_f1")
+def first_token_f1(answer: Column, golds: Column) -> Column:
+    return N.token_f1(answer, F.try_element_at(golds, F.lit(1)))
+
+
+@scorers.register("zero")
+def zero(answer: Column, golds: Column) -> Column:
+    return F.lit(0.0)
+
+
 def dispatch(source: Column, answer: Column, golds: Column, rules: dict[str, str]) -> Column:
-    """Score by source with the named scorer of the first matching rule (exact name, or prefix ending in *); a
-    source without a rule raises."""
+    """Score by source with the named scorer of the first matching rule (exact name, or a pattern with * for
+    any characters); a source without a rule raises."""
     out = F.raise_error(F.concat(F.lit("no scorer for source "), F.coalesce(source, F.lit("null")))).cast("double")
     for pattern, name in reversed(rules.items()):
-        hit = source.startswith(pattern[:-1]) if pattern.endswith("*") else source == pattern
+        hit = source.rlike("(?s)^" + ".*".join(map(re.escape, pattern.split("*"))) + "$") if "*" in pattern else source == pattern
         out = F.when(hit, scorers[name](answer, golds)).otherwise(out)
     return out
 

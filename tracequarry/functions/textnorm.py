@@ -122,6 +122,17 @@ def final_answer_normalize(c: Column) -> Column:
     return strip(F.when(bare.rlike("^[0-9]+$"), bare).otherwise(x))
 
 
+def math_answer(solution: Column) -> Column:
+    """Normal form of the last ``Answer: ...`` line among the last 300 characters; "[INVALID]" without one."""
+    line = F.try_element_at(F.regexp_extract_all(F.right(solution, F.lit(300)), F.lit(r"(?i)Answer\s*:\s*([^\n]+)")), F.lit(-1))
+    return final_answer_normalize(F.coalesce(line, F.when(solution.isNotNull(), F.lit("[INVALID]"))))
+
+
+def math_score(solution: Column, truth: Column) -> Column:
+    """1 if the answer line and the truth have one normal form, else -1."""
+    return F.when(math_answer(solution) == final_answer_normalize(truth), 1.0).otherwise(-1.0)
+
+
 def count_of(c: Column, piece: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     return ((F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))) / len(piece)).cast("int")

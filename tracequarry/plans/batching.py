@@ -111,6 +111,4 @@ q("u07_longest_first", lambda s, d: table(s, d, "text_corpus").select("answer").
 q("u08_distinct_values", lambda s, d: table(s, d, "documents").select("source", "lang").distinct(), "SELECT DISTINCT source, lang FROM documents")
 q("s09_filtered_first_wins", lambda s, d: table(s, d, "fvqa_toy").where("split = 'train' and sample_id is not null").withColumn("r", F.row_number().over(W.partitionBy("sample_id").orderBy("row_id"))).where("r = 1").select("sample_id", "row_id"), "SELECT sample_id, min(row_id) AS row_id FROM fvqa_toy WHERE split = 'train' AND sample_id IS NOT NULL GROUP BY sample_id")
 q("s14_percent_slice", lambda s, d: B.percent_slice(docs(s, d), 0, 75).select("doc_id"), f"WITH {_D} SELECT doc_id FROM d WHERE i < floor((SELECT count(*) FROM d) * 0.75)")
-q("k02_jsonable", lambda s, d: table(s, d, "source_catalog").select(F.to_json(F.struct("source", "kind", F.concat(F.lit("<"), F.octet_length(F.encode("source", "utf-8")), F.lit(" bytes>")).alias("blob"))).alias("line")), "SELECT '{\"source\":\"' || source || '\",\"kind\":\"' || kind || '\",\"blob\":\"<' || octet_length(source::BLOB) || ' bytes>\"}' AS line FROM source_catalog")
-q("k03_union_header", lambda s, d: table(s, d, "toy_vqa").select("sample_id", "question").unionByName(table(s, d, "source_catalog").select("source"), allowMissingColumns=True).na.fill(""), "SELECT sample_id, question, '' AS source FROM toy_vqa UNION ALL SELECT '', '', source FROM source_catalog")
 q("f51_loss_mask", lambda s, d: tokens(s, d).select("rid", "pos", F.when((F.col("mask") == 1) & (F.col("pos") > 0), 1).otherwise(0).alias("loss_mask")), f"WITH {TOKENS_SQL} SELECT rid, pos, (mask = 1 AND pos > 0)::INT AS loss_mask FROM tokens")

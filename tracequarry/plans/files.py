@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.functions import textnorm as N
+from tracequarry.functions.hooks import grow
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.views import rollout_rows
 from tracequarry.session import ensure_checkpoint_dir, table
 from tracequarry.sources import readers
+from tracequarry.streaming import queues as Q
 
 R = Registry()
 _P = "prompted_search_smoke"
@@ -72,9 +74,31 @@ def json_array(s, d):
 @R.query("s10_step_files", "SELECT (row_id % 5)::INT AS step, row_id, regexp_replace(question, '[0-9]', '*', 'g') AS question FROM fvqa_toy")
 def step_files(s, d):
     path = scratch(s)
-    readers.write_generations(table(s, d, "fvqa_toy").select((F.col("row_id") % 5).alias("step"), "row_id", "question"), path)
-    x = s.read.schema("row_id bigint, question string, step int").json(path)
-    return x.select("step", "row_id", F.regexp_replace("question", "[0-9]", "*").alias("question"))
+    readers.write_step_files(table(s, d, "fvqa_toy").select((F.col("row_id") % 5).cast("int").alias("step"), "row_id", "question"), path)
+    return readers.read_step_files(s, path, "row_id bigint, question string", mask="[0-9]")
+
+
+@R.query("k02_json_lines", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE '<' || strlen(text) || ' bytes>' END AS blob, lang FROM documents")
+def json_lines(s, d):
+    """JSON lines in which binary values are told by their size."""
+    path = scratch(s)
+    readers.write_jsonl(table(s, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("blob"), "lang"), path)
+    return readers.read_jsonl(s, path, "doc_id bigint, blob string, lang string")
+
+
+@R.query("k03_csv_file", "SELECT sample_id, replace(coalesce(question, ''), chr(13), '') AS question, '' AS source FROM toy_vqa UNION ALL SELECT '', '', source FROM source_catalog")
+def csv_file(s, d):
+    """A CSV file whose header is the union of the columns of its parts."""
+    path = scratch(s)
+    readers.write_csv([table(s, d, "toy_vqa").select("sample_id", "question"), table(s, d, "source_catalog").select("source")], path)
+    return readers.read_csv_rows(s, path, "sample_id string, question string, source string").na.fill("")
+
+
+@R.query("s06_strict_objects", "SELECT line_id FROM agentic_rollout_smoke WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'")
+def strict_objects(s, d):
+    """Numbered lines that hold an object; another line raises, as the strict reader does."""
+    good = table(s, d, "agentic_rollout_smoke").withColumn("v", F.try_parse_json("raw")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    return readers.require_objects(good.select("line_id", "raw"), "line_id", "raw").select("line_id")
 
 
 @R.query("s11_last_metrics", "SELECT * FROM (VALUES ('step', 2.0::DOUBLE), ('val/acc', 0.75), ('val/f1', 0.5)) t(key, value)")
@@ -157,3 +181,53 @@ def memoised(s, d):
     make = lambda: rollout_rows(s, d).groupBy("data_source").agg(F.count(F.lit(1)).alias("n"))
     readers.load_or_compute(s, path, make)
     return readers.load_or_compute(s, path, make)
+
+
+def event_stream(s, d):
+    """The events as a stream of files."""
+    return s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+def drained(df, path: str, name: str, mode: str = "update") -> None:
+    """Runs a streaming query over all that is there; each micro-batch is appended with its number."""
+    write = lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{path}/rows")
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state-{name}").trigger(availableNow=True).start().awaitTermination()
+
+
+_QUEUE = "SELECT user_id, least(count(*), 32)::INT AS size, count(*) AS produced, greatest(count(*) - 32, 0) AS dropped, min(event_id) FILTER (WHERE r <= 32) AS oldest FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) GROUP BY user_id"
+
+
+@R.query("st01_queue_stream", _QUEUE)
+def queue_stream(s, d):
+    """The bounded queue as a streaming operator; the last state of every queue."""
+    path = scratch(s)
+    drained(Q.bounded_queue(event_stream(s, d), "user_id", "event_id", 32), path, "queue")
+    return Q.last_state(s.read.parquet(f"{path}/rows"), "user_id", "produced")
+
+
+@R.query("st10_metric_stream", "SELECT event_id AS step, event_type AS label, round(value, 6) AS value FROM events")
+def metric_stream(s, d):
+    """Metrics appended per micro-batch as JSON lines, read again."""
+    path = scratch(s)
+    rows = event_stream(s, d).select(F.col("event_id").alias("step"), F.col("event_type").alias("label"), F.round("value", 6).alias("value"))
+    Q.append_metrics(rows, f"{path}/log", path.rsplit("-", 1)[-1]).awaitTermination()
+    return readers.read_jsonl(s, f"{path}/log", "step bigint, label string, value double")
+
+
+@R.query("st11_grown_stream", "SELECT event_id, value FROM events UNION ALL SELECT event_id + 10000000, value / 2 FROM events WHERE event_type = 'error'")
+def grown_stream(s, d):
+    """Every micro-batch and the rows a generator makes of it."""
+    path = scratch(s)
+    half = lambda x: x.where("event_type = 'error'").select((F.col("event_id") + 10_000_000).alias("event_id"), (F.col("value") / 2).alias("value"))
+    drained(grow(event_stream(s, d).select("event_id", "event_type", "value"), half), path, "grown", "append")
+    return s.read.parquet(f"{path}/rows").select("event_id", "value")
+
+
+@R.query("st13_late_data_stream", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def late_data_stream(s, d):
+    """Event-time counts per day with a watermark; the last update of every window."""
+    path = scratch(s)
+    stream = event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    drained(Q.windowed_counts(stream, "ts", "event_type", "1 day", "2 days"), path, "days")
+    last = s.read.parquet(f"{path}/rows").groupBy("start", "event_type").agg(F.max_by("n", "_batch").alias("n"))
+    return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")

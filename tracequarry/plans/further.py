@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import hooks as H
 from tracequarry.functions import pyfn as Y
-from tracequarry.functions import scorers
+from tracequarry.functions.scorers import scorers
 from tracequarry.functions import textnorm as N
 from tracequarry.operators import agent as G
 from tracequarry.operators import relabel as L
@@ -20,7 +20,7 @@ from tracequarry.operators import stepreward as S
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.searching import _B, bm25
 from tracequarry.plans.stepwise import _COST
-from tracequarry.plans.textual import collapse, redacted, strip
+from tracequarry.plans.textual import collapse, qa, redacted, strip
 from tracequarry.plans.views import STEPS_SQL, TOKENS_SQL, rollout_rows, spanned_steps, steps, tokens
 from tracequarry.session import table
 from tracequarry.sources import readers
@@ -132,8 +132,8 @@ def spans_in_tokens(s, d):
 q("w25_action_spans", spans_in_tokens)
 q(
     "f20_format_and_accuracy",
-    lambda s, d: rollout_rows(s, d).where("not contains(final_answer, '<')").select("row_id", r6(scorers.scorers["format_and_accuracy"](F.concat(F.lit("<think>t</think> \\boxed{1} <answer>"), "final_answer", F.lit("</answer>")), F.array("final_answer")), "score")),
-    f"SELECT row_id, 1.0::DOUBLE AS score FROM {_P} WHERE NOT contains(final_answer, '<')",
+    lambda s, d: rollout_rows(s, d).where("final_answer is not null and not contains(final_answer, '<')").select("row_id", r6(scorers["format_and_accuracy"](F.concat(F.when(F.col("row_id") % 3 == 0, "").otherwise("<think>t</think> "), F.lit("\\boxed{1} <answer>"), "final_answer", F.lit("</answer>")), F.col("gold_answers")), "score")),
+    f"SELECT row_id, round(0.9 * coalesce(len(list_filter(gold_answers, lambda g: coalesce({qa('g')} = {qa('final_answer')}, FALSE))) > 0, FALSE)::INT + 0.1 * (row_id % 3 <> 0)::INT, 6)::DOUBLE AS score FROM {_P} WHERE final_answer IS NOT NULL AND NOT contains(final_answer, '<')",
 )
 q(
     "f28_redacted_observations",

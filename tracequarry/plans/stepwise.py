@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracequarry.functions import textnorm as N
+from tracequarry.functions.hooks import Toolbox
 from tracequarry.operators import stepreward as S
 from tracequarry.operators.grouprel import with_group
 from tracequarry.operators.typedpool import typed_counterfactuals
@@ -138,9 +139,19 @@ def pooled(s, d):
 
 # j08_counterfactuals is what its SQL says; this one ranks the whole pool and pads.
 R.add("j08_typed_pool", lambda s, d: typed_counterfactuals(pooled(s, d), 3))
+def toolbox():
+    """The tools of a step: what was retrieved, a region, the final answer."""
+    tools = Toolbox()
+    for name in ("text_search", "image_search"):
+        tools.register(name, lambda a: F.concat(F.lit("retrieved "), F.coalesce(F.when(F.col("obs").isNotNull(), F.size("obs")), F.lit(0))))
+    tools.register("crop", lambda a: F.lit("region"))
+    tools.register("stop", lambda a: F.coalesce(a, F.lit("No new observation.")))
+    return tools
+
+
 R.add(
     "g04_tool_dispatch",
-    lambda s, d: steps(s, d).select("row_id", "pos", F.when(F.col("tool_type").isin("text_search", "image_search"), F.concat(F.lit("retrieved "), F.coalesce(F.when(F.col("obs").isNotNull(), F.size("obs")), F.lit(0)))).when(F.col("tool_type") == "crop", F.lit("region")).when(F.col("tool_type") == "stop", F.coalesce("action_text", F.lit("No new observation."))).otherwise(F.lit("unknown tool")).alias("observation")),
+    lambda s, d: steps(s, d).select("row_id", "pos", toolbox().observe(F.col("tool_type"), F.col("action_text")).alias("observation")),
     f"WITH {STEPS_SQL} SELECT row_id, pos, CASE WHEN tool_type IN ('text_search', 'image_search') THEN 'retrieved ' || coalesce(len(obs), 0) WHEN tool_type = 'crop' THEN 'region' WHEN tool_type = 'stop' THEN coalesce(action_text, 'No new observation.') ELSE 'unknown tool' END AS observation FROM steps",
 )
 R.add(

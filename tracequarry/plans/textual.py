@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracequarry.functions import textnorm as N
+from tracequarry.functions.scorers import dispatch, scorers
 from tracequarry.plans.registry import Registry
 from tracequarry.plans.views import rollout_rows
 from tracequarry.session import table
@@ -152,6 +153,19 @@ over(
     strip(r'''regexp_extract_all(right('Answer: 1' || chr(10) || 'Answer:  ' || final_answer, 300), '(?i)Answer\s*:\s*([^\n]+)', 1)[-1]''') + " AS v",
 )
 
+_SOLVED = "'So x = 2. Answer: 7' || chr(10) || CASE row_id % 3 WHEN 0 THEN 'answer : ' || final_answer WHEN 1 THEN 'Answer: ' || gold_answers[1] ELSE 'no line' END"
+R.add(
+    "f16_math_scores",
+    lambda s, d: rollout_rows(s, d).where("size(gold_answers) > 0 and gold_answers[0] is not null and final_answer is not null and not contains(final_answer, '\\n')").select(
+        "row_id",
+        scorers["math_line"](F.concat(F.lit("So x = 2. Answer: 7\n"), F.expr("case row_id % 3 when 0 then 'answer : ' || final_answer when 1 then 'Answer: ' || gold_answers[0] else 'no line' end")), G()).alias("line"),
+        scorers["math_box"](F.concat(F.lit("\\boxed{1} then \\boxed{"), F.regexp_replace("final_answer", "[{}]", ""), F.lit("}")), G()).alias("box"),
+    ),
+    f"""WITH x AS (SELECT row_id, gold_answers[1] AS gold, final_answer, regexp_extract_all(right({_SOLVED}, 300), '(?i)Answer\\s*:\\s*([^\n]+)', 1)[-1] AS said FROM {_P} WHERE len(gold_answers) > 0 AND gold_answers[1] IS NOT NULL AND final_answer IS NOT NULL AND NOT contains(final_answer, chr(10))),
+n AS (SELECT *, {_final_sql("coalesce(said, '[INVALID]')")} AS a, {_final_sql('gold')} AS g FROM x), z AS (SELECT *, {strip("CASE WHEN regexp_matches(replace(a, ',', ''), '^[0-9]+$') THEN replace(a, ',', '') ELSE a END")} AS p, {strip("CASE WHEN regexp_matches(replace(g, ',', ''), '^[0-9]+$') THEN replace(g, ',', '') ELSE g END")} AS q FROM n)
+SELECT row_id, CASE WHEN p = q THEN 1.0 ELSE -1.0 END::DOUBLE AS line, CASE WHEN length(final_answer) < 85 AND regexp_replace(final_answer, '[{{}}]', '', 'g') = gold THEN 1.0 ELSE -1.0 END::DOUBLE AS box FROM z""",
+)
+
 _TURN = {
     "answer": "'<reason>r</reason> <answer>' || final_answer || '</answer>'",
     "image": "'<reason>r</reason><search><img></search>'",
@@ -217,10 +231,7 @@ over(
 over(
     "f26_score_dispatch",
     lambda: [
-        F.round(
-            F.when(F.col("data_source").isin("fvqa_index", "qa_pages"), N.exact_match(A(), G()).cast("double")).when(F.col("data_source").startswith("wiki"), N.substring_match(A(), G()).cast("double")).when(F.col("data_source").contains("_"), N.token_f1(A(), F.try_element_at(G(), F.lit(1)))).otherwise(F.lit(0.0)),
-            6,
-        ).alias("score")
+        F.round(dispatch(F.coalesce("data_source", F.lit("none")), A(), G(), {"fvqa_index": "exact", "qa_pages": "exact", "wiki*": "substring", "*_*": "first_token_f1", "*": "zero"}), 6).alias("score"),
     ],
     f"""round(CASE WHEN data_source IN ('fvqa_index', 'qa_pages') THEN {_EX.format(f"coalesce({qa('g')} = {qa('final_answer')}, FALSE)")}::INT::DOUBLE WHEN starts_with(data_source, 'wiki') THEN {_EX.format(f"coalesce(contains({qa('final_answer')}, {qa('g')}), FALSE)")}::INT::DOUBLE
 WHEN contains(data_source, '_') THEN (WITH w AS (SELECT list_filter(string_split({ev('final_answer')}, ' '), lambda t: t <> '') AS a, list_filter(string_split({ev('gold_answers[1]')}, ' '), lambda t: t <> '') AS b),

@@ -89,6 +89,28 @@ def write_generations(df: DataFrame, folder: str, step: str = "step") -> None:
     df.write.mode("append").partitionBy(step).json(folder)
 
 
+def write_step_files(df: DataFrame, folder: str, step: str = "step") -> None:
+    """One JSON lines file per step, named ``<step>.jsonl``, written in parallel: a folder per step whose only file is moved."""
+    spark = df.sparkSession
+    df.repartition(step).write.mode("overwrite").partitionBy(step).json(f"{folder}/_parts")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/_parts")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for own in fs.listStatus(root):  # one entry a step
+        if own.isDirectory():
+            name = own.getPath().getName().split("=", 1)[1]
+            files = [f.getPath() for f in fs.listStatus(own.getPath()) if f.getPath().getName().startswith("part-")]
+            fs.rename(files[0], jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.jsonl"))
+    fs.delete(root, True)
+
+
+def require_objects(df: DataFrame, number: str, text: str) -> DataFrame:
+    """(number, v): the JSON object of every line; a line that holds none raises with its number. Blank lines are skipped."""
+    x = df.where(F.length(F.trim(text)) > 0).select(number, F.try_parse_json(text).alias("v"))
+    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    return x.select(number, F.when(whole, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("no JSON object in line "), F.col(number).cast("string"))).cast("variant")).alias("v"))
+
+
 def flatten_struct(df: DataFrame, separator: str = "/") -> DataFrame:
     """Nested fields as top-level columns named by their path."""
     out = []

@@ -36,6 +36,12 @@ def bounded_queue(stream: DataFrame, key: str, seq: str, capacity: int) -> DataF
     return stream.select(key, seq).groupBy(key).applyInPandasWithState(step, schema, "items string, produced bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+def last_state(updates: DataFrame, key: str, produced: str) -> DataFrame:
+    """The latest of the updates of each key: that which has seen most; other columns but the batch number are kept."""
+    cols = [c for c in updates.columns if c not in (key, "_batch")]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*cols), produced).alias("_s")).select(key, *[F.col(f"_s.{c}").alias(c) for c in cols])
+
+
 def queue_replay(df: DataFrame, key: str, seq: str, capacity: int) -> DataFrame:
     """Rows still in each queue after all have arrived: the last ``capacity`` by sequence."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(seq)))).where(F.col("_r") <= capacity).drop("_r")
