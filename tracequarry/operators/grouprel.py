@@ -37,10 +37,18 @@ def group_stats(df: DataFrame, group: str = "uid", score: str = "score", eps: fl
 def grpo(df: DataFrame, group: str = "uid", score: str = "score", normalize: bool = True, eps: float = EPS, out: str = "adv") -> DataFrame:
     """(score - mean) / (std + eps) with the sample deviation; a single row has mean 0 and std 1. Without
     ``normalize`` only the mean is subtracted."""
-    s, n = F.col(score), F.col("_n")
-    x = with_group(df, group, _n=F.count(s), _m=F.avg(s), _d=F.stddev_samp(s))
-    centred = s - F.when(n > 1, F.col("_m")).otherwise(0.0)
-    return x.withColumn(out, centred / (F.when(n > 1, F.col("_d")).otherwise(1.0) + eps) if normalize else centred).drop("_n", "_m", "_d")
+    return grpo_scores(df, {out: score}, group, normalize, eps)
+
+
+def grpo_scores(df: DataFrame, scores: dict[str, str], group: str = "uid", normalize: bool = True, eps: float = EPS, **aggregates: Column) -> DataFrame:
+    """``grpo`` of several score columns (by output column), and further statistics of the group, in one aggregate and join."""
+    own = {f"_{k}{i}": f(c) for i, c in enumerate(scores.values()) for k, f in (("n", F.count), ("m", F.avg), ("d", F.stddev_samp))}
+    x = with_group(df, group, **own, **aggregates)
+    for i, (out, score) in enumerate(scores.items()):
+        n = F.col(f"_n{i}")
+        centred = F.col(score) - F.when(n > 1, F.col(f"_m{i}")).otherwise(0.0)
+        x = x.withColumn(out, centred / (F.when(n > 1, F.col(f"_d{i}")).otherwise(1.0) + eps) if normalize else centred)
+    return x.drop(*own)
 
 
 def grpo_floored(df: DataFrame, group: str = "uid", score: str = "score", normalize: bool = True, eps: float = EPS, out: str = "adv") -> DataFrame:

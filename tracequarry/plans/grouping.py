@@ -19,7 +19,7 @@ SELECT source AS data_source, count(*) AS n, round(avg(score), 4) AS mean_score,
     round(avg(CASE WHEN n > 1 AND sp > 0 THEN 1.0 ELSE 0.0 END), 6) AS kept_ratio FROM a GROUP BY source""",
 )
 def flagship(s, d):
-    a = G.with_group(G.grpo(rollouts(s, d)), "uid", kept=(F.stddev_pop("score") > 0).cast("double"))
+    a = G.grpo_scores(rollouts(s, d), {"adv": "score"}, kept=(F.stddev_pop("score") > 0).cast("double"))
     return a.groupBy(F.col("source").alias("data_source")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg(F.abs("adv")), 6).alias("mean_abs_adv"), F.round(F.avg(F.coalesce("kept", F.lit(0.0))), 6).alias("kept_ratio")
     )
@@ -84,7 +84,7 @@ SELECT rid, pos, round((x - mean) / sqrt(var + 1e-8) * mask, 6) AS adv FROM v, m
 )
 def gdpo(s, d):
     r = rollouts(s, d).withColumn("r2", (F.col("rid") % 11).cast("double"))
-    r = G.grpo(G.grpo(r, score="score", out="a1"), score="r2", out="a2").select("rid", (0.7 * F.col("a1") + 0.3 * F.col("a2")).alias("x"))
+    r = G.grpo_scores(r, {"a1": "score", "a2": "r2"}).select("rid", (0.7 * F.col("a1") + 0.3 * F.col("a2")).alias("x"))
     t = tokens(s, d).select("rid", "pos", "mask").join(r, "rid")
     return G.whiten(t, "x", "mask").select("rid", "pos", F.round(F.col("white") * F.col("mask"), 6).alias("adv"))
 
