@@ -33,7 +33,7 @@ R.add(
     lambda s, d: rollout_rows(s, d).select("row_id", Y.latex(F.expr(_TEX.replace("\\", "\\\\"))).alias("v")),
     f"SELECT row_id, CASE row_id % 5 WHEN 0 THEN '\\frac{{' || (row_id % 9 + 1) || '}}{{7}}' WHEN 1 THEN '\\frac{{' || (row_id % 97) || '}}{{' || (row_id % 89 + 1) || '}}' WHEN 2 THEN '\\sqrt{{' || (row_id % 9) || '}}+0.5' WHEN 3 THEN (row_id % 360)::VARCHAR ELSE '(' || row_id || ')' END AS v FROM {_P}",
 )
-R.add("f34_agent_answer", lambda s, d: rollout_rows(s, d).where("length(trim(final_answer)) > 0").select("row_id", Y.agent_answer(F.concat(F.lit("thinking {\"tool\": \"x\"} "), F.to_json(F.struct(F.lit("stop").alias("action"), F.col("final_answer").alias("answer"))))).alias("v")), f"SELECT row_id, CASE WHEN lower({strip('final_answer')}) IN ('', 'query', 'answer', 'final answer', 'visual query', 'current image') THEN 'unknown' ELSE {strip('final_answer')} END AS v FROM {_P} WHERE length(trim(final_answer)) > 0")
+R.add("f34_agent_answer", lambda s, d: rollout_rows(s, d).where("length(trim(final_answer)) > 0").select("row_id", Y.agent_answer(F.concat(F.lit("thinking {\"tool\": \"x\"} "), F.to_json(F.struct(F.lit("stop").alias("action"), F.col("final_answer").alias("answer"))))).alias("v")), f"SELECT row_id, CASE WHEN lower({strip('final_answer')}) IN ('', 'query', 'answer', 'final answer', 'visual query', 'current image') THEN 'unknown' ELSE {strip('final_answer')} END AS v FROM {_P} WHERE length(trim(final_answer, ' ')) > 0")
 R.add(
     "f35_tool_calls",
     lambda s, d: steps(s, d).where("action_text is not null").select("row_id", "pos", F.explode(Y.parsed_calls(F.concat(F.lit("<tool_call>"), F.to_json(F.struct(F.col("tool_type").alias("name"), F.struct(F.col("pos").alias("at")).alias("arguments"))), F.lit("</tool_call><tool_call>bad</tool_call>")))).alias("c")).where("c.name is not null").select("row_id", "pos", "c.name", "c.arguments"),
