@@ -166,6 +166,13 @@ def test_shared_spans_production_width(spark):
     assert span_rows(spark, []) == set()
 
 
+def test_shared_spans_of_texts_hashed_in_pieces(spark):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abé😀 ") for _ in range(rng.randint(30, 90))) for _ in range(4)]
+    docs = [(i, "".join(rng.choice(pool)[rng.randint(0, 9) :] for _ in range(rng.randint(2, 9)))) for i in range(12)] + [(50, "ab" * 200), (51, "ab" * 90)]
+    assert max(len(t) for _, t in docs) > 4 * 64 and span_rows(spark, docs, width=20, inner=7, chunk=64) == brute_spans(docs, 20)
+
+
 def test_shared_share(spark):
     df = spark.createDataFrame([(1, "x" * 250), (2, "x" * 200), (3, None), (4, "")], "doc_id bigint, text string")
     got = {r["doc_id"]: (r["n_chars"], r["shared_chars"], r["shared_share"]) for r in spans.shared_share(df).collect()}

@@ -14,7 +14,8 @@ than the corpus itself, so windows are counted in two exact steps:
    fixed distances from its anchor, and blocks are counted in the same way, by the text that all windows of
    a block have in common and by the block's whole text; in what then is left, single windows are counted.
 
-The last joins bring the intervals back to all documents holding the run. No group is collected: groups by
+Texts are moved for the second step only, deflated, and only those of documents with an open run or block (a filter of bounded
+size drops the others before the shuffle). The last joins bring the intervals back to all documents holding the run. No group is collected: groups by
 hash keep two documents, groups by document are bounded by the document's own length.
 
 Defined results: null texts and texts shorter than the window give no rows; repetition inside one document
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm.keyfilter import KeyFilter
 from tracequarry.session import staged
 
 WIDTH = 200
 INNER = 80
 #: Windows examined together in the second step.
 BLOCK = 8
-#: Characters hashed at once (about 60 bytes each while at work); a longer text is hashed alone.
+#: Characters hashed at once (about 60 bytes each while at work); a longer text is hashed in pieces that overlap by a window.
 CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -102,21 +104,38 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def chunks(ids: list, texts: list, width: int) -> Iterator[tuple[list, str, np.ndarray]]:
-    """(ids, joined text, starts) of up to CHUNK characters."""
+def chunks(ids: list, texts: list, width: int, chunk: int = CHUNK) -> Iterator[tuple[list, str, np.ndarray, int]]:
+    """(ids, joined text, starts, offset in a long text) of up to about ``chunk`` characters."""
     own_ids, own, starts, size = [], [], [0], 0
     for key, text in zip(ids, texts):
         if key is None or text is None or len(text) < width:
             continue
-        if size and size + len(text) > CHUNK:
-            yield own_ids, "".join(own), np.asarray(starts)
+        if size and size + len(text) > chunk:
+            yield own_ids, "".join(own), np.asarray(starts), 0
             own_ids, own, starts, size = [], [], [0], 0
+        if len(text) > chunk + width - 1:
+            for at in range(0, len(text) - width + 1, chunk):
+                piece = text[at : at + chunk + width - 1]
+                yield [key], piece, np.asarray([0, len(piece)]), at
+            continue
         own_ids.append(key)
         own.append(text)
         size += len(text)
         starts.append(size)
     if own:
-        yield own_ids, "".join(own), np.asarray(starts)
+        yield own_ids, "".join(own), np.asarray(starts), 0
+
+
+def pieces(text: str, first: np.ndarray, n: np.ndarray, width: int, powers: Powers, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, int, RollingHash]]:
+    """(numbers of runs, offset, hashes of the text from there on that these runs need): one piece but for long texts."""
+    most = int(n.max(initial=0)) + 2 * width
+    for at in range(0, max(1, len(text)), chunk):
+        own = np.flatnonzero((first >= at) & (first < at + chunk)) if len(text) > chunk else np.arange(first.size)
+        if own.size:
+            low = max(0, at - width) if len(text) > chunk else 0  # blocks begin up to a window before their run
+            yield own, low, RollingHash(text[low : at + chunk + most] if len(text) > chunk else text, powers)
+        if len(text) <= chunk:
+            return
 
 
 def anchor_runs(text: str, starts: np.ndarray, width: int, inner: int, powers: Powers):
@@ -156,7 +175,7 @@ def split_blocks(h: RollingHash, inner_hash: np.ndarray, first: np.ndarray, n: n
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, inner: int = INNER) -> DataFrame:
+def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, inner: int = INNER, chunk: int = CHUNK) -> DataFrame:
     """(id_col, span_start, span_end): maximal runs of characters lying in a stretch of ``width`` characters
     that occurs verbatim in another document."""
     if width - inner < BLOCK:
@@ -166,24 +185,30 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            for own, text, starts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), width):
+            for own, text, starts, offset in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), width, chunk):
                 number, anchor, whole, first, end = anchor_runs(text, starts, width, inner, powers)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(own, dtype=np.int64)[number]), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first.astype(np.int32)), pa.array((end - first).astype(np.int32))],
+                    [pa.array(np.asarray(own, dtype=np.int64)[number]), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first + offset).astype(np.int32)), pa.array((end - first).astype(np.int32))],
                     names=["d", "anchor", "whole", "first", "n"],
                 )
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode("utf-8"), 1) for t in batch.column(1).to_pylist()], type=pa.binary())], names=["d", "z"])
+    def packed(of: DataFrame) -> DataFrame:
+        """(d, z): the deflated texts of the documents of a table; others are dropped before the shuffle (all but a few)."""
+        wanted = df.sparkSession.sparkContext.broadcast(KeyFilter.of(of.select(F.xxhash64("d").alias("v"))))  # of bounded size
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+                batch = batch.filter(pa.array(wanted.value.holds(batch.column(2).to_numpy().view(np.uint64))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode("utf-8"), 1) for t in batch.column(1).to_pylist()], type=pa.binary())], names=["d", "z"])
+
+        return src.where("d is not null").select("d", "t", F.xxhash64("d").alias("v")).mapInArrow(pack, "d bigint, z binary")
 
-    packed = src.where("d is not null").mapInArrow(pack, "d bigint, z binary")  # texts are moved twice at most, deflated
     run = src.mapInArrow(runs, "d bigint, anchor bigint, whole bigint, first int, n int")
     anchors = run.select("anchor", "d").groupBy("anchor").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y").select("anchor")
     kept = staged(run.join(anchors, "anchor", "left_semi"))
     # at: a place of the run in its least document; b: its greatest document
     kinds = kept.groupBy("anchor", "whole").agg(F.min(F.struct("d", "first", "n")).alias("at"), F.max("d").alias("b"))
-    mixed = at_documents(several(kinds, "anchor", "whole"), "whole")
+    mixed = staged(at_documents(several(kinds, "anchor", "whole"), "whole"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -191,15 +216,19 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for row in range(batch.num_rows):
                 found = batch.column(1)[row].values
                 first, n = found.field("first").to_numpy(), found.field("n").to_numpy()
-                h = RollingHash(zlib.decompress(batch.column(2)[row].as_py()).decode("utf-8"), powers)
-                of, s, m, core, union = split_blocks(h, h.all(inner), first, n, width, inner)
+                text = zlib.decompress(batch.column(2)[row].as_py()).decode("utf-8")
+                found_in = []
+                for own, low, h in pieces(text, first, n, width, powers, chunk):
+                    of, s, m, core, union = split_blocks(h, h.all(inner), first[own] - low, n[own], width, inner)
+                    found_in.append((own[of], s + low, m, core, union))
+                of, s, m, core, union = (np.concatenate(x) for x in zip(*found_in))
                 d = np.full(of.size, batch.column(0)[row].as_py(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(core.view(np.int64)), pa.array(union.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array((s - first[of]).astype(np.int32)), pa.array(found.field("key").to_numpy()[of]), pa.array(found.field("b").to_numpy()[of])],
                     names=["core", "part", "d", "first", "n", "o", "whole", "b"],
                 )
 
-    block = staged(mixed.join(packed, "d").mapInArrow(blocks, "core bigint, part bigint, d bigint, first int, n int, o int, whole bigint, b bigint"))
+    block = staged(mixed.join(packed(mixed), "d").mapInArrow(blocks, "core bigint, part bigint, d bigint, first int, n int, o int, whole bigint, b bigint"))
     parts = block.groupBy("core", "part").agg(F.min(F.struct("d", "first", "n")).alias("at"), F.max("b").alias("b"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,16 +237,20 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for row in range(batch.num_rows):
                 found = batch.column(1)[row].values
                 first, n = found.field("first").to_numpy(), found.field("n").to_numpy()
-                h = RollingHash(zlib.decompress(batch.column(2)[row].as_py()).decode("utf-8"), powers)
+                text = zlib.decompress(batch.column(2)[row].as_py()).decode("utf-8")
                 of = np.repeat(np.arange(n.size), n)
                 o = np.arange(of.size) - np.repeat(np.cumsum(n) - n, n)
-                start = first[of] + o
+                start, hashed = first[of] + o, np.zeros(of.size, np.uint64)
+                for own, low, h in pieces(text, first, n, width, powers, chunk):
+                    at = np.flatnonzero(np.isin(of, own)) if own.size < n.size else np.arange(of.size)
+                    hashed[at] = h.at(start[at] - low, start[at] - low + width)
                 d = np.full(of.size, batch.column(0)[row].as_py(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.at(start, start + width).view(np.int64)), pa.array(found.field("key").to_numpy()[of]), pa.array(o.astype(np.int32)), pa.array(d), pa.array(found.field("b").to_numpy()[of])], names=["h", "part", "o", "a", "b"]
+                    [pa.array(hashed.view(np.int64)), pa.array(found.field("key").to_numpy()[of]), pa.array(o.astype(np.int32)), pa.array(d), pa.array(found.field("b").to_numpy()[of])], names=["h", "part", "o", "a", "b"]
                 )
 
-    window = at_documents(several(parts, "core", "part"), "part").join(packed, "d").mapInArrow(windows, "h bigint, part bigint, o int, a bigint, b bigint")
+    open_parts = staged(at_documents(several(parts, "core", "part"), "part"))
+    window = open_parts.join(packed(open_parts), "d").mapInArrow(windows, "h bigint, part bigint, o int, a bigint, b bigint")
     twice = window.groupBy("h").agg(F.min("a").alias("x"), F.max("b").alias("y")).where("x < y").select("h")
     one = F.struct(F.col("o").alias("s"), (F.col("o") + 1).alias("e"))
     shared_part = (
