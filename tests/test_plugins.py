@@ -264,6 +264,14 @@ def test_many_queries_are_met_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 25)
     assert rows(retrieval.substring_search(asked, corpus, 4), "q", "doc", "score", "rank") == sent and len(sent) == 36
+    words = [("the a b", "b c"), ("the the", ""), ("c c d the", None)]
+    docs = spark.createDataFrame([(i, words[i % 3][0] + f" x{i % 5}") for i in range(40)] + [(99, None)], "doc bigint, t string")
+    wanted = spark.createDataFrame([(1, "the c x3"), (2, "b x1 x1"), (3, None), (4, "nothing")], "q bigint, t string")
+    pairs = spark.createDataFrame([(1, 2), (1, 7), (2, 33), (4, 5)], "q bigint, doc bigint")
+    args = (wanted, docs, "q", "t", "doc", "t", 1.2, 0.75, True)
+    by_join = (rows(retrieval.bm25_search(*args, 4), "q", "doc", "score", "rank"), rows(retrieval.bm25_ranks(pairs, *args), "q", "rank"))
+    monkeypatch.setattr(retrieval, "SENT_QUERIES", 100)
+    assert (rows(retrieval.bm25_search(*args, 4), "q", "doc", "score", "rank"), rows(retrieval.bm25_ranks(pairs, *args), "q", "rank")) == by_join and len(by_join[0]) == 8 and len(by_join[1]) == 2
     scored = spark.createDataFrame([(1, 5, 2.0), (1, 6, 3.0), (1, 4, 2.0), (2, 1, 1.0)], "q int, doc int, score double")
     assert rows(retrieval.best_ranks(scored.where("doc in (5, 1)"), scored), "q", "rank") == [(1, 3), (2, 1)]
 

@@ -1,9 +1,8 @@
 """Lexical, dense and visual retrieval: for a stated set of queries the k best documents of a corpus.
 
-Scores that factor over terms (BM25) are equi-joins on the term with partial aggregates. Scores that do not
-(substrings, inner products, bit patterns) are computed in blocks of fixed size: a query block meets each corpus
-block in one task, which returns its k best, and the blocks' results are merged by a window whose limit runs
-before the shuffle. Ties go to the smaller document id, as a stable sort of the corpus would give.
+A bounded set of queries is sent to the corpus, which is scanned and not shuffled: each task returns its k best, and
+these are merged by a window whose limit runs before the shuffle. More queries meet the corpus in blocks of fixed size
+(substrings, inner products, bit patterns) or by equi-joins on the term with partial aggregates (BM25). Ties go to the smaller document id, as a stable sort of the corpus would give.
 
 Null texts have no terms; null vectors are left out; an empty side gives an empty result.
 """
@@ -11,6 +10,7 @@ Null texts have no terms; null vectors are left out; an empty side gives an empt
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +23,8 @@ from tracequarry.functions.textnorm import ascii_tokens
 
 QUERY_BLOCK = 2_000
 CORPUS_BLOCK = 50_000
+#: Scores held at once in a scan (8 bytes each).
+SCORE_CELLS = 4_000_000
 #: Queries that are sent to the corpus instead of being met in blocks (about 10 MB of texts or vectors).
 SENT_QUERIES = 10_000
 
@@ -136,6 +138,130 @@ def bm25(queries: DataFrame, corpus: DataFrame, q_id: str, q_text: str, doc: str
     return x.select("doc", "term", weight.alias("w")).join(asked, "term").groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where("score > 0")
 
 
+class TermScores:
+    """BM25 of a bounded set of queries, sent to the corpus: the queries by term, the terms' weights, the mean length."""
+
+    def __init__(self, ids: list, by_term: dict[str, list[tuple[int, int]]], idf: dict[str, float], mean: float, k1: float, b: float):
+        self.ids = np.asarray(ids, dtype=np.int64)
+        self.holders = {t: (np.array([q for q, _ in own]), np.array([n for _, n in own], dtype=np.float64) * idf[t]) for t, own in by_term.items() if idf.get(t, 0.0) > 0}
+        self.mean, self.k1, self.b = mean, k1, b
+
+    @classmethod
+    def of(cls, queries: DataFrame, corpus: DataFrame, q_id: str, q_text: str, text: str, k1: float, b: float, logged: bool) -> TermScores | None:
+        """None if there are more queries than may be sent. Two aggregates of the corpus: its size and mean length, and the
+        number of documents of each queried term."""
+        few = queries.select(q_id, ascii_tokens(F.col(q_text)).alias("t")).limit(SENT_QUERIES + 1).collect()
+        if len(few) > SENT_QUERIES:
+            return None
+        by_term: dict[str, dict[int, int]] = {}
+        for i, (_, terms) in enumerate(few):
+            for t in terms or ():
+                own = by_term.setdefault(t, {})
+                own[i] = own.get(i, 0) + 1
+        spark = corpus.sparkSession
+        terms = ascii_tokens(F.col(text))
+        size = corpus.select(F.coalesce(F.greatest(F.size(terms), F.lit(0)), F.lit(0)).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).first()
+        asked = spark.createDataFrame([(t,) for t in sorted(by_term)], "term string")  # terms of at most SENT_QUERIES queries
+        found = corpus.select(F.explode(F.array_distinct(terms)).alias("term")).join(F.broadcast(asked), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()
+        odds = {r["term"]: (size["docs"] - r["df"] + 0.5) / (r["df"] + 0.5) for r in found}
+        idf = {t: math.log(1 + x) if logged else max(0.0, x) for t, x in odds.items()}
+        return cls([i for i, _ in few], {t: list(own.items()) for t, own in by_term.items()}, idf, size["mean"] or 1.0, k1, b)
+
+    def blocks(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document ids, scores [document, query]) of a few documents at a time; columns id, terms."""
+        most = max(1, SCORE_CELLS // max(1, self.ids.size))
+        for batch in batches:
+            ids, terms = batch.iloc[:, 0].to_numpy(), batch.iloc[:, 1].tolist()
+            for at in range(0, len(ids), most):
+                scores = np.zeros((min(most, len(ids) - at), self.ids.size))
+                for row, own in enumerate(terms[at : at + most]):
+                    if own is None:
+                        continue
+                    drag = self.k1 * (1 - self.b + self.b * len(own) / self.mean)
+                    for term, tf in Counter(own).items():
+                        if (held := self.holders.get(term)) is not None:
+                            scores[row, held[0]] += held[1] * (tf * (self.k1 + 1) / (tf + drag))
+                yield ids[at : at + most], np.round(scores, 6)
+
+
+def bm25_search(queries: DataFrame, corpus: DataFrame, q_id: str, q_text: str, doc: str, text: str, k1: float, b: float, logged: bool, k: int) -> DataFrame:
+    """(q, doc, score, rank): the k best documents of each query by ``bm25``, scores rounded to 6 decimals, above 0.
+
+    The queries are sent to the corpus, whose scan returns k documents a query and task: a term in all documents and all queries
+    costs no shuffle. More queries than ``SENT_QUERIES`` are joined by term.
+    """
+    model = TermScores.of(queries, corpus, q_id, q_text, text, k1, b, logged)
+    if model is None:
+        return top_k(bm25(queries, corpus, q_id, q_text, doc, text, k1, b, logged).withColumn("score", F.round("score", 6)), k)
+    shared = corpus.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        least, held, size = np.zeros(own.ids.size), [], 0
+        prune = lambda: _best(*(np.concatenate(x) for x in zip(*held)), k)
+        for docs, scores in own.blocks(batches):
+            row, col = np.nonzero((scores >= least) & (scores > 0))
+            held.append((col, docs[row], scores[row, col]))
+            size += row.size
+            if size > 1_000_000:
+                best = prune()
+                worst = best.groupby("q")["score"].agg(["min", "size"])
+                full = worst[worst["size"] == k]
+                least[full.index.to_numpy()] = full["min"].to_numpy()  # equal ones may have a smaller id
+                held, size = [(best["q"].to_numpy(), best["doc"].to_numpy(), best["score"].to_numpy())], len(best)
+        if held:
+            best = prune()
+            yield best.assign(q=own.ids[best["q"].to_numpy()])
+
+    found = corpus.select(F.col(doc).alias("doc"), ascii_tokens(F.col(text)).alias("t")).mapInPandas(run, "q bigint, doc bigint, score double")
+    return top_k(found, k)
+
+
+def bm25_ranks(relevant: DataFrame, queries: DataFrame, corpus: DataFrame, q_id: str, q_text: str, doc: str, text: str, k1: float, b: float, logged: bool) -> DataFrame:
+    """(q, rank) of the best document of each query among its relevant ones (q, doc), for queries with one that scores.
+
+    The relevant pairs are scored by a join on their documents; a scan of the corpus counts the documents that score
+    higher, or equally with a smaller id.
+    """
+    model = TermScores.of(queries, corpus, q_id, q_text, text, k1, b, logged)
+    if model is None:
+        scored = bm25(queries, corpus, q_id, q_text, doc, text, k1, b, logged).withColumn("score", F.round("score", 6))
+        return best_ranks(scored.join(relevant, ["q", "doc"]), scored)
+    shared = corpus.sparkSession.sparkContext.broadcast(model)
+    docs = corpus.select(F.col(doc).alias("doc"), ascii_tokens(F.col(text)).alias("t"))
+    pairs = docs.join(relevant, "doc").select("doc", "t", "q")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        place = {int(i): n for n, i in enumerate(own.ids)}
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000].reset_index(drop=True)
+                out = [scores[np.arange(ids.size), [place[int(q)] for q in part["q"].iloc[lo : lo + ids.size]]] for lo, ids, scores in _numbered(own.blocks(iter([part])))]
+                yield pd.DataFrame({"q": part["q"], "doc": part["doc"], "score": np.concatenate(out)})
+
+    best = pairs.mapInPandas(score, "q bigint, doc bigint, score double").where("score > 0").groupBy("q").agg(F.max(F.struct("score", (-F.col("doc")).alias("o"))).alias("b"))
+    known = {r["q"]: (r["b"]["score"], -r["b"]["o"]) for r in best.collect()}  # one row a query that was sent
+
+    def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        least, first = (np.array([known.get(int(q), (np.inf, -1))[i] for q in own.ids], dtype=float) for i in (0, 1))
+        count = np.zeros(own.ids.size, np.int64)
+        for ids, scores in own.blocks(batches):
+            count += ((scores > least) | ((scores == least) & (ids[:, None] < first))).sum(axis=0)
+        yield pd.DataFrame({"q": own.ids, "n": count})
+
+    counted = docs.mapInPandas(ahead, "q bigint, n bigint").groupBy("q").agg((F.sum("n") + 1).alias("rank"))
+    return counted.join(corpus.sparkSession.createDataFrame([(q,) for q in known], "q bigint"), "q", "left_semi")
+
+
+def _numbered(blocks):
+    at = 0
+    for ids, scores in blocks:
+        yield at, ids, scores
+        at += ids.size
+
+
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(q, doc, score, rank) by inner product of the normalised vectors; (id, vector) on both sides.
 

@@ -151,7 +151,7 @@ q("f45_observation_length", lambda s, d: steps(s, d).select("row_id", "pos", F.c
 
 
 def formatted(s, d):
-    top = J.top_k(bm25(s, d, True), 3).join(table(s, d, "text_corpus").select(F.col("corpus_id").alias("doc"), "title"), "doc")
+    top = bm25(s, d, True, 3).join(table(s, d, "text_corpus").select(F.col("corpus_id").alias("doc"), "title"), "doc")
     line = F.format_string("%d. %s\n   relevance: %.4f", F.col("rank"), F.coalesce("title", F.lit("")), F.col("score"))
     return top.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("block"))
 

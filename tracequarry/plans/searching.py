@@ -44,12 +44,12 @@ _B = _bm25_sql(1.2, 0.75, "ln(1 + (n - df + 0.5) / (df + 0.5))")
 _TOPK = ", r AS (SELECT q, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc)::INT AS rank FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 5"
 
 
-def bm25(s, d, logged):
-    return J.bm25(asked(s, d), corpus(s, d), "q", "question", "corpus_id", "text", 1.2 if logged else 1.5, 0.75, logged).withColumn("score", F.round("score", 6))
+def bm25(s, d, logged, k):
+    return J.bm25_search(asked(s, d), corpus(s, d), "q", "question", "corpus_id", "text", 1.2 if logged else 1.5, 0.75, logged, k)
 
 
-R.add("j05_bm25_unlogged", lambda s, d: J.top_k(bm25(s, d, False), 5), _A.rstrip() + _TOPK)
-R.add("j05_bm25_logged", lambda s, d: J.top_k(bm25(s, d, True), 5), _B.rstrip() + _TOPK)
+R.add("j05_bm25_unlogged", lambda s, d: bm25(s, d, False, 5), _A.rstrip() + _TOPK)
+R.add("j05_bm25_logged", lambda s, d: bm25(s, d, True, 5), _B.rstrip() + _TOPK)
 
 
 @R.query(
@@ -60,10 +60,9 @@ SELECT count(*) AS n, round(avg(coalesce((rank <= 1)::INT, 0)), 6) AS top1, roun
 )
 def retrieval_metrics(s, d):
     c = corpus(s, d)
-    scored = bm25(s, d, True)
     q = asked(s, d).select("q", F.col("sample_id").alias("sid"))
-    relevant = scored.join(q.join(c.select(F.col("corpus_id").alias("doc"), F.col("sample_id").alias("sid")), "sid").select("q", "doc"), ["q", "doc"])
-    best = J.best_ranks(relevant, scored)
+    relevant = q.join(c.select(F.col("corpus_id").alias("doc"), F.col("sample_id").alias("sid")), "sid").select("q", "doc")
+    best = J.bm25_ranks(relevant, asked(s, d), c, "q", "question", "corpus_id", "text", 1.2, 0.75, True)
     return J.rank_metrics(q.join(best, "q", "left"), n_docs=c.count())
 
 
