@@ -203,7 +203,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return src.where("d is not null").select("d", "t", F.xxhash64("d").alias("v")).mapInArrow(pack, "d bigint, z binary")
 
-    run = src.mapInArrow(runs, "d bigint, anchor bigint, whole bigint, first int, n int")
+    run = staged(src.mapInArrow(runs, "d bigint, anchor bigint, whole bigint, first int, n int"))
     anchors = run.select("anchor", "d").groupBy("anchor").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y").select("anchor")
     kept = staged(run.join(anchors, "anchor", "left_semi"))
     # at: a place of the run in its least document; b: its greatest document
