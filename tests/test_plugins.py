@@ -64,6 +64,16 @@ def test_batches_of_rows(spark):
     assert [v for (v,) in rows(batch.percent_slice(df, 30, 100), "v")] == list("cdefg")
 
 
+def test_columns_rows_and_prefixes(spark):
+    df = spark.createDataFrame([(0, "a", 1), (1, "b", 2)], "i bigint, x string, y int")
+    left, right = batch.column_partition(df, ["x", "gone"], ["i"])
+    assert left.columns == ["i", "x"] and right.columns == ["i", "y"] and rows(batch.row_at(df, 1), "x") == [("b",)]
+    for at in (-1, 2):
+        with pytest.raises(IndexError):
+            batch.row_at(df, at)
+    assert [r["p"] for r in df.select(readers.with_prefix(F.when(F.col("i") == 0, "x: q").otherwise("q"), "x: ").alias("p")).collect()] == ["x: q", "x: q"]
+
+
 def test_samples_come_out_the_same(spark):
     df = spark.range(2000).select(F.col("id").alias("k")).repartition(7)
     order = [r["k"] for r in sampling.seeded_order(df, 5, "k").orderBy("i").collect()]

@@ -160,6 +160,20 @@ def python_slice(df: DataFrame, start: int | None, stop: int | None, step: int,
     return df.where((F.col(i) >= a) & (F.col(i) < b) & ((F.col(i) - a) % step == 0))
 
 
+def row_at(df: DataFrame, at: int, i: str = "i") -> DataFrame:
+    """The row at a place; a place outside the batch raises."""
+    n = df.count()
+    if not 0 <= at < n:
+        raise IndexError(f"row {at} of {n}")
+    return df.where(F.col(i) == at)
+
+
+def column_partition(df: DataFrame, first: list[str], both: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns of one step, and the others; columns in ``both`` stay on both sides. Names that are missing are ignored."""
+    own = [c for c in df.columns if c in first or c in both]
+    return df.select(*own), df.select(*[c for c in df.columns if c not in first or c in both])
+
+
 def take(df: DataFrame, wanted: DataFrame, i: str = "i", pos: str = "pos") -> DataFrame:
     """Rows by index, repeated and reordered as ``wanted`` (pos, i) says."""
     return wanted.join(df, i)

@@ -74,14 +74,18 @@ q("p12_multimodal_record", lambda s, d: table(s, d, "fvqa_toy").select("row_id",
 q("p13_vqa_adapter", lambda s, d: table(s, d, "offline_doc").select("odoc_id", F.coalesce(N.strip(F.col("question_id")), F.concat(F.lit("ds_"), "odoc_id")).alias("sample_id"), (F.coalesce("category", F.lit("")) != "no_search").alias("needs_search")), f"SELECT odoc_id, coalesce({strip('question_id')}, 'ds_' || odoc_id) AS sample_id, coalesce(category, '') <> 'no_search' AS needs_search FROM offline_doc")
 q("p14_answers_union", lambda s, d: table(s, d, "offline_doc").select("odoc_id", F.array_join(N.ordered_dedupe(F.concat(F.array("answer"), F.coalesce("candidate_answers", F.array().cast("array<string>")))), "|").alias("answers")), f"WITH a AS (SELECT odoc_id, list_filter(list_transform(list_concat([answer], coalesce(candidate_answers, []::VARCHAR[])), lambda x: {strip('x')}), lambda x: x IS NOT NULL AND x <> '') AS l FROM offline_doc) SELECT odoc_id, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: lower(y)), lower(x[1])) THEN acc ELSE list_concat(acc, x) END), '|') AS answers FROM a")
 q("p15_sample_lists", lambda s, d: table(s, d, "fvqa_toy").select("row_id", F.array_join(F.filter(F.transform("gold_answers", N.strip), lambda x: x != ""), "|").alias("golds")), f"SELECT row_id, array_to_string(list_filter(list_transform(gold_answers, lambda x: {strip('x')}), lambda x: x <> ''), '|') AS golds FROM fvqa_toy")
-q("p18_column_partition", lambda s, d: rollout_rows(s, d).select("row_id", "sample_id", "data_source"), f"SELECT row_id, sample_id, data_source FROM {_P}")
+q(
+    "p18_column_partition",
+    lambda s, d: (lambda gen, rest: gen.join(rest, ["row_id", "data_source"]))(*B.column_partition(rollout_rows(s, d).where("data_source is not null").select("row_id", "question", "sample_id", "data_source", "method"), ["question"], ["row_id", "data_source"])),
+    f"SELECT row_id, data_source, question, sample_id, method FROM {_P} WHERE data_source IS NOT NULL",
+)
 q("p19_answer_only_override", lambda s, d: rollout_rows(s, d).select("row_id", F.map_concat(F.expr("map_filter(coalesce(tool_stats, map()), (k, v) -> k not in ('format_penalty', 'search_penalty'))"), F.expr("map('format_penalty', 0, 'search_penalty', 0)")).alias("m")).select("row_id", F.size("m").alias("n"), F.col("m")["format_penalty"].alias("fp")), f"SELECT row_id, (coalesce(cardinality(tool_stats), 0) + 2)::INT AS n, 0 AS fp FROM {_P}")
 q("p21_selected_steps", lambda s, d: rollout_rows(s, d).where("size(steps) >= 2 and not coalesce(final_correct, false)").select("row_id"), f"SELECT row_id FROM {_P} WHERE len(steps) >= 2 AND NOT coalesce(final_correct, FALSE)")
 q("p22_prompt_variants", lambda s, d: table(s, d, "toy_vqa").select("sample_id", "question", F.explode(F.expr("array('direct', 'search')")).alias("mode")).select("sample_id", "mode", F.concat(F.when(F.col("mode") == "search", "You must search first. <image> ").otherwise("Answer directly. <image> "), "question").alias("prompt")), "SELECT sample_id, mode, CASE WHEN mode = 'search' THEN 'You must search first. <image> ' ELSE 'Answer directly. <image> ' END || question AS prompt FROM toy_vqa, (VALUES ('direct'), ('search')) m(mode)")
 q("p23_weighted_expansion", lambda s, d: rollout_rows(s, d).where("latency > 0").select("row_id", F.greatest(F.lit(1), F.bround(F.col("latency") * 2).cast("int")).alias("n")).select("row_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy")), f"SELECT row_id, unnest(range(greatest(1, round_even(latency * 2, 0)::INT)))::INT AS copy FROM {_P} WHERE latency > 0")
 q("p24_find_and_jump", lambda s, d: rollout_rows(s, d).where(F.replace(F.col("rollout_id"), F.lit("-"), F.lit("")).contains("ro_0")).groupBy("data_source").agg(F.min_by("rollout_id", "row_id").alias("first_match")), f"SELECT data_source, arg_min(rollout_id, row_id) AS first_match FROM {_P} WHERE contains(replace(rollout_id, '-', ''), 'ro_0') GROUP BY data_source")
 q("p25_package_counts", lambda s, d: table(s, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull() | (F.length("text") == 0)).alias("missing")), "SELECT source, lang, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR length(text) = 0) AS missing FROM documents GROUP BY source, lang")
-q("p26_single_row", lambda s, d: docs(s, d).where("i = 17").select("doc_id", "n_chars"), f"WITH {_D} SELECT doc_id, n_chars FROM d WHERE i = 17")
+q("p26_single_row", lambda s, d: B.row_at(docs(s, d), 17).select("doc_id", "n_chars"), f"WITH {_D} SELECT doc_id, n_chars FROM d WHERE i = 17")
 
 q("t01_stable_top_k", lambda s, d: table(s, d, "documents").orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(20).select("doc_id", "n_chars"), "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20")
 q("t02_group_top_two", lambda s, d: table(s, d, "documents").withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc_nulls_last("n_chars"), "doc_id"))).where("r <= 2").select("source", "doc_id", "r"), "SELECT source, doc_id, r::INT AS r FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS r FROM documents) WHERE r <= 2")

@@ -38,7 +38,11 @@ def r6(c, name):
 
 
 q("s01_concatenated_scan", lambda s, d: readers.read_tables(s, [f"{d}/toy_vqa.parquet", f"{d}/fvqa_toy.parquet"]).select("sample_id", "question", "split"), "SELECT sample_id, question, NULL::VARCHAR AS split FROM toy_vqa UNION ALL SELECT sample_id, question, split FROM fvqa_toy")
-q("s03_prompt_prefix_scan", lambda s, d: readers.read_tables(s, [f"{d}/toy_vqa.parquet"]).select("sample_id", F.concat(F.lit("<image>\n"), "question").alias("prompt")), "SELECT sample_id, '<image>' || chr(10) || question AS prompt FROM toy_vqa")
+q(
+    "s03_prompt_prefix_scan",
+    lambda s, d: readers.read_tables(s, [f"{d}/toy_vqa.parquet", f"{d}/fvqa_toy.parquet"]).select("sample_id", readers.with_prefix(F.col("question"), "<image>\n").alias("prompt")),
+    "SELECT sample_id, '<image>' || chr(10) || question AS prompt FROM (SELECT sample_id, question FROM toy_vqa UNION ALL SELECT sample_id, question FROM fvqa_toy)",
+)
 q("s04_adapted_rows", lambda s, d: table(s, d, "fvqa_toy").where("question is not null and size(gold_answers) > 0").orderBy("row_id").limit(64).select("row_id", "question"), "SELECT row_id, question FROM fvqa_toy WHERE question IS NOT NULL AND len(gold_answers) > 0 ORDER BY row_id LIMIT 64")
 q("s19_literal_rows", lambda s, d: s.createDataFrame([("a", 1), ("b", 2)], "k string, n int"), "SELECT * FROM (VALUES ('a', 1), ('b', 2)) t(k, n)")
 q(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,11 @@ def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def with_prefix(text: Column, prefix: str) -> Column:
+    """The text with its prefix, once: a text that has it is left as it is."""
+    return F.when(F.startswith(text, F.lit(prefix)), text).otherwise(F.concat(F.lit(prefix), text))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
     """JSON lines. ``strict`` raises on a malformed line, ``tolerant`` drops it; blank lines are skipped; a missing
     path gives an empty table."""
