@@ -331,7 +331,7 @@ def test_index_search(held, train):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("abcdefgh"), min_size=3, max_size=9), st.lists(st.tuples(st.integers(0, 8), st.sampled_from("abcdefghxyz"), st.sampled_from("ird")), max_size=2))
-def test_texts_within_the_distance_share_a_rare_word(a, edits):
+def test_texts_within_the_distance_share_a_key(a, edits):
     b = list(a)
     for at, w, kind in edits:
         if kind == "i":
@@ -342,7 +342,7 @@ def test_texts_within_the_distance_share_a_rare_word(a, edits):
 
     hashes = WordHashes()
     for common in ({}, {"a": 9, "b": 5, "c": 1}):
-        assert set(overlap.rare_tokens(a, hashes, common, 3)) & set(overlap.rare_tokens(b, hashes, common, 3))
+        assert set(overlap.rare_keys(a, hashes, common, 2)) & set(overlap.rare_keys(b, hashes, common, 2))
 
 
 @settings(max_examples=200, deadline=None)

@@ -10,11 +10,11 @@ and the word edit distance decides. Nothing within the distance is lost.
 
 Copies are compared once: rows are reduced to distinct word sequences, results brought back to all rows.
 
-Which shards a question meets: of two texts within ``edits`` word edits the ``edits + 1`` rarest words of each, in any common
-order, have one in common (unless both have at most ``edits`` words, then they always match). The evaluation questions are
-sharded by these words, so a training question goes to at most ``edits + 1`` shards however many there are, and the work grows
-with the number of questions, not with its square; a filter of the evaluation side's words keeps it from shards that cannot
-hold a match. The order is by counts in a bounded sample (``ORDER_SAMPLE`` questions,
+Which shards a question meets: two texts within ``edits`` word edits have all words of the longer one but ``edits`` in common, so
+the ``edits + 2`` rarest words of each, in any common order, have two in common (texts of at most ``edits + 1`` words one; unless
+both have at most ``edits`` words, then they always match). The evaluation questions are sharded by these pairs of words, so a
+training question goes to a fixed number of shards at most however many there are, and the work grows with the number of
+questions, not with its square; a filter of the evaluation side's pairs keeps it from shards that cannot hold a match. The order is by counts in a bounded sample (``ORDER_SAMPLE`` questions,
 ``COMMON`` words), then by hash; it decides how even the shards are, not what is found.
 
 Plan: words and keys in the JVM, staged once; partial aggregates to distinct questions; a cogroup of (shard, part, block) keys,
@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -237,43 +238,46 @@ def common_words(texts: DataFrame) -> dict[str, int]:
     return dict(count.most_common(COMMON))
 
 
-def rare_tokens(words: list[str], hashes: WordHashes, common: dict[str, int], most: int) -> list[int]:
-    """Hashes of the rarest words; a word that occurs again is another one."""
+def rare_keys(words: list[str], hashes: WordHashes, common: dict[str, int], edits: int) -> list[int]:
+    """Keys of which two texts within ``edits`` share one: the pairs of their ``edits + 2`` rarest words, and the single words of
+    texts with at most ``edits + 1``. A word that occurs again is another one."""
     seen: Counter = Counter()
     order = []
     for w in words:
         n = seen[w]
         seen[w] += 1
         order.append((common.get(w, 0) >> (2 * n), (hashes[w] + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
-    return [h for _, h in sorted(order)[:most]]
+    rare = sorted(h for _, h in sorted(order)[: edits + 2])
+    pairs = [(x * 0xBF58476D1CE4E5B9 + (y ^ (y >> 29)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF for x, y in combinations(rare, 2)]
+    return pairs + (rare if len(words) <= edits + 1 else [])
 
 
 def near_questions(train: DataFrame, held: DataFrame, edits: int = EDITS, shard: int = SHARD_QUESTIONS, block: int = BLOCK_QUESTIONS) -> DataFrame:
     """(tk, hk): keys of the distinct word sequences (columns k, words) within ``edits`` word edits of each other."""
     key_type = train.schema["k"].dataType.simpleString()
-    shards = max(1, math.ceil((edits + 1) * held.count() / shard))
+    shards = max(1, math.ceil(math.comb(edits + 2, 2) * held.count() / shard))
     common = common_words(held)
 
-    def tokens(x: DataFrame, held_tokens: KeyFilter | None = None) -> DataFrame:
-        shared = x.sparkSession.sparkContext.broadcast(held_tokens) if held_tokens is not None else None  # of bounded size
+    def keyed(x: DataFrame, held_keys: KeyFilter | None = None) -> DataFrame:
+        shared = x.sparkSession.sparkContext.broadcast(held_keys) if held_keys is not None else None  # of bounded size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                own = [rare_tokens(w.split(), hashes, common, edits + 1) for w in batch.column(1).to_pylist()]
+                own = [rare_keys(w.split(), hashes, common, edits) for w in batch.column(1).to_pylist()]
                 flat = np.fromiter((h for x in own for h in x), dtype=np.uint64)
                 ends = np.cumsum([0, *map(len, own)])
                 if shared is not None:
                     keep = shared.value.holds(flat)
                     flat, ends = flat[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["k", "words", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["k", "words", "keys"])
 
-        return x.select("k", "words").mapInArrow(run, f"k {key_type}, words string, tokens array<bigint>")
+        return x.select("k", "words").mapInArrow(run, f"k {key_type}, words string, keys array<bigint>")
 
-    routed = lambda x: x.select("k", "words", F.explode(F.array_distinct(F.transform("tokens", lambda v: F.pmod(v, F.lit(shards)).cast("int")))).alias("shard"))
-    own = staged(tokens(held))
-    h, t = routed(own), staged(routed(tokens(train, KeyFilter.of(own.select(F.explode("tokens").alias("v"))))))
+    routed = lambda x: x.select("k", "words", F.explode(F.array_distinct(F.transform("keys", lambda v: F.pmod(v, F.lit(shards)).cast("int")))).alias("shard"))
+    own = staged(keyed(held))
+    h, t = routed(own), staged(routed(keyed(train, KeyFilter.of(own.select(F.explode("keys").alias("v"))))))
     # one row a shard: the parts of its held side and the blocks of its training side
     size = lambda x, c, most: x.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(c))
     sizes = staged(size(h, "parts", shard).join(size(t, "blocks", block), "shard"))
