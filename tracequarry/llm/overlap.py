@@ -309,8 +309,8 @@ def split_overlaps(df: DataFrame, id_col: str = "row_id", sample_col: str = "sam
     src = df.select(df[id_col].alias("id"), F.lower(F.regexp_replace(df[sample_col], r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("sample"), words.alias("words"), (df[split_col] == train).alias("train")).where("train is not null")
     asked = staged(src.where("words is not null").select("id", "words", "train", F.unhex(F.md5("words")).alias("k")))
     a, b = asked.where("train"), asked.where("not train")
-    distinct = lambda x: staged(x.groupBy("k").agg(F.min("words").alias("words")))
-    near = near_questions(distinct(a), distinct(b), edits)
+    once = staged(asked.groupBy("k").agg(F.min("words").alias("words"), F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("held")))
+    near = near_questions(once.where("train").select("k", "words"), once.where("held").select("k", "words"), edits)
     by_question = near.join(a.select(F.col("k").alias("tk"), F.col("id").alias("x")), "tk").join(b.select(F.col("k").alias("hk"), F.col("id").alias("y")), "hk").select("x", "y")
     ids = src.where("sample is not null")
     by_id = ids.where("train").select("sample", F.col("id").alias("x")).join(ids.where("not train").select("sample", F.col("id").alias("y")), "sample").select("x", "y")
