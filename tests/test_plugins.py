@@ -195,6 +195,24 @@ def test_matched_calls_and_gates_of_the_rollouts(spark, tiny):
     assert {(a, b): c for a, b, c in rows(RUN["w33_gate_reward"](spark, tiny), "row_id", "pos", "gate")} == gates
 
 
+def test_staleness_against_a_loop(spark):
+    from tracequarry.streaming import queues
+
+    rng = random.Random(5)
+    events = [(k, i, rng.choice(["sample", "sample", "consume", "sync", "other"])) for k in (1, 2) for i in range(80)]
+    got = {(r["k"], r["i"]): (r["version"], r["queued"], r["stale"], r["pause"]) for r in queues.staleness(spark.createDataFrame(events, "k int, i int, kind string"), "k", "i", "kind", 6, 4).collect()}
+    for k in (1, 2):
+        version = queued = stale = 0
+        for _, i, kind in (e for e in events if e[0] == k):
+            if kind == "sample":
+                queued, stale = queued + 1, stale + 1
+            elif kind == "consume":
+                queued = max(0, queued - 1)
+            elif kind == "sync":
+                version, stale = version + 1, queued
+            assert got[k, i] == (version, queued, stale, stale >= 6 or queued >= 4)
+
+
 def test_call_dialects():
     xml = "<tool_call><function=find><parameter=n>\n7\n</parameter><parameter=q>a <b> c</parameter></function><function=bare></function></tool_call> tail <tool_call><function=open><parameter=x>nu"
     assert pyfn.xml_calls(xml, {"n": "integer"}) == [{"name": "find", "arguments": json.dumps({"n": 7, "q": "a <b> c"})}, {"name": "bare", "arguments": "{}"}, {"name": "open", "arguments": '{"x": "nu"}'}]

@@ -60,8 +60,20 @@ R.add("b20_balanced_order", lambda s, d: K.by_batch(lengths(s, d), "batch", "doc
 _EV = "SELECT user_id, event_id, event_type, value, ts FROM events"
 R.add("st01_queue_replay", lambda s, d: Q.queue_replay(table(s, d, "events").select("user_id", "event_id"), "user_id", "event_id", 16), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 16")
 R.add("st02_queue_statistics", lambda s, d: Q.queue_statistics(table(s, d, "events"), "user_id", 64), "SELECT user_id, count(*) AS produced, least(count(*), 64) AS size, greatest(count(*) - 64, 0) AS dropped FROM events GROUP BY user_id")
-R.add("st03_staleness_budget", lambda s, d: table(s, d, "events").agg(F.count(F.lit(1)).alias("produced")).select("produced", F.lit(Q.staleness_budget(512, 0.5, 4)).alias("budget"), (F.col("produced") >= Q.staleness_budget(512, 0.5, 4)).alias("pause")), "SELECT count(*) AS produced, 3072 AS budget, count(*) >= 3072 AS pause FROM events")
-R.add("st04_staleness_reset", lambda s, d: table(s, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("version")).agg(F.count_if(F.col("event_type") == "error").alias("active"), F.count(F.lit(1)).alias("queued")).select("version", (F.col("active") + F.col("queued")).alias("stale")), "SELECT event_id // 1000 AS version, count(*) FILTER (WHERE event_type = 'error') + count(*) AS stale FROM events GROUP BY 1")
+_KIND = "CASE WHEN event_type IN ('click', 'view') THEN 'sample' WHEN event_type = 'error' THEN 'sync' ELSE 'consume' END"
+_PACED = f"""WITH e AS (SELECT user_id, event_id, {_KIND} AS kind FROM events),
+c AS (SELECT *, sum(CASE kind WHEN 'sample' THEN 1 WHEN 'consume' THEN -1 ELSE 0 END) OVER w AS t, count(*) FILTER (WHERE kind = 'sync') OVER w AS version FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+q AS (SELECT *, t - least(min(t) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS queued FROM c),
+s AS (SELECT *, CASE WHEN version > 0 THEN first_value(queued) OVER v ELSE 0 END + count(*) FILTER (WHERE kind = 'sample') OVER v AS stale FROM q WINDOW v AS (PARTITION BY user_id, version ORDER BY event_id)) """
+
+
+def paced(s, d):
+    budget = Q.staleness_budget(3, 0.5, 2)
+    return Q.staleness(table(s, d, "events").select("user_id", "event_id", F.expr(_KIND).alias("kind")), "user_id", "event_id", "kind", budget, 5)
+
+
+R.add("st03_staleness_budget", lambda s, d: paced(s, d).select("user_id", "event_id", "queued", "stale", "pause"), _PACED + "SELECT user_id, event_id, queued::BIGINT AS queued, stale::BIGINT AS stale, stale >= 9 OR queued >= 5 AS pause FROM s")
+R.add("st04_staleness_reset", lambda s, d: paced(s, d).where("kind = 'sync'").select("user_id", "version", F.col("stale").alias("carried")), _PACED + "SELECT user_id, version, stale::BIGINT AS carried FROM s WHERE kind = 'sync'")
 R.add("st05_version_spans", lambda s, d: Q.version_spans(table(s, d, "events").select(F.floor(F.col("event_id") / 1000).alias("a"), F.floor((F.col("event_id") + F.col("user_id")) / 1000).alias("b")), "a", "b"), "SELECT round(avg(abs(b - a)), 6) AS mean_span, round(avg((abs(b - a) > 0)::INT), 6) AS partial_ratio FROM (SELECT event_id // 1000 AS a, (event_id + user_id) // 1000 AS b FROM events)")
 R.add("st06_accumulate_until", lambda s, d: Q.accumulate_until(table(s, d, "events").withColumn("step", F.floor(F.col("event_id") / 100)), "step", F.countDistinct("user_id"), 500), "WITH p AS (SELECT event_id // 100 AS step, count(DISTINCT user_id) AS prompts FROM events GROUP BY 1), t AS (SELECT *, (sum(prompts) OVER (ORDER BY step))::BIGINT AS total FROM p) SELECT step, prompts, total, total >= 500 AS ready FROM t WHERE total - prompts < 500")
 R.add(

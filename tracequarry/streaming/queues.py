@@ -58,6 +58,24 @@ def staleness_budget(required: int, staleness: float, sync_step: int) -> int:
     return int(required * (staleness + 1) * sync_step)
 
 
+def staleness(df: DataFrame, key: str, seq: str, kind: str, budget: int, capacity: int) -> DataFrame:
+    """(columns, version, queued, stale, pause) after every event of a producer, in order.
+
+    Events are "sample" (one more is queued), "consume" (one less, if there is any to take) and "sync" (a new parameter version);
+    others change nothing. What is queued at a version change counts as stale from then on, besides the samples since; the
+    producer has to pause while the stale ones reach the budget or the queue its capacity. Windows run per producer.
+    """
+    w = W.partitionBy(key).orderBy(seq)
+    upto, here = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(key, "version").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    change = F.when(F.col(kind) == "sample", 1).when(F.col(kind) == "consume", -1).otherwise(0)
+    # a queue that is never below 0: the running sum over its least value so far
+    x = df.withColumn("_sum", F.sum(change).over(upto)).withColumn("version", F.count_if(F.col(kind) == "sync").over(upto))
+    x = x.withColumn("queued", F.col("_sum") - F.least(F.min("_sum").over(upto), F.lit(0)))
+    carried = F.first(F.when(F.col("version") > 0, F.col("queued")).otherwise(0)).over(here)
+    x = x.withColumn("stale", carried + F.count_if(F.col(kind) == "sample").over(here))
+    return x.withColumn("pause", (F.col("stale") >= budget) | (F.col("queued") >= capacity)).drop("_sum")
+
+
 def version_spans(df: DataFrame, first: str, last: str) -> DataFrame:
     """One row: mean span of parameter versions, share of samples that span several."""
     span = F.abs(F.col(last) - F.col(first))
