@@ -64,6 +64,20 @@ def test_batches_of_rows(spark):
     assert [v for (v,) in rows(batch.percent_slice(df, 30, 100), "v")] == list("cdefg")
 
 
+def test_own_formats(spark, tmp_path):
+    (tmp_path / "x.pipe").write_text("1|a\n2|b\n")
+    read = lambda s, p: s.read.option("sep", "|").schema("n int, t string").csv(p)
+    readers.register_format("pipe", read)
+    try:
+        assert rows(readers.read_tables(spark, [str(tmp_path / "x.pipe")]), "n", "t") == [(1, "a"), (2, "b")]
+        with pytest.raises(ValueError):
+            readers.register_format("pipe", lambda s, p: None)
+        with pytest.raises(ValueError):
+            readers.read_tables(spark, ["x.none"])
+    finally:
+        del readers.FORMATS["pipe"]
+
+
 def test_columns_rows_and_prefixes(spark):
     df = spark.createDataFrame([(0, "a", 1), (1, "b", 2)], "i bigint, x string, y int")
     left, right = batch.column_partition(df, ["x", "gone"], ["i"])

@@ -231,3 +231,14 @@ def late_data_stream(s, d):
     drained(Q.windowed_counts(stream, "ts", "event_type", "1 day", "2 days"), path, "days")
     last = s.read.parquet(f"{path}/rows").groupBy("start", "event_type").agg(F.max_by("n", "_batch").alias("n"))
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@R.query("k08_fan_out", "SELECT sink, event_id, 'val/' || event_type || '_at_1' AS key FROM events, (VALUES ('file'), ('log')) t(sink)")
+def fan_out(s, d):
+    """Metrics of a stream to two sinks, under safe keys."""
+    path = scratch(s)
+    rows = event_stream(s, d).select("event_id", F.concat(F.lit("val//"), "event_type", F.lit("@1")).alias("key"))
+    sinks = {"file": lambda x, n: x.write.mode("append").parquet(f"{path}/file"), "log": lambda x, n: x.write.mode("append").json(f"{path}/log")}
+    Q.fan_out(rows, sinks, path.rsplit("-", 1)[-1]).awaitTermination()
+    both = s.read.parquet(f"{path}/file").withColumn("sink", F.lit("file")).unionByName(readers.read_jsonl(s, f"{path}/log", "event_id bigint, key string").withColumn("sink", F.lit("log")))
+    return both.select("sink", "event_id", "key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +14,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.globStatus(p))
 
 
+#: Readers by suffix; ``register_format`` adds a user's own.
+FORMATS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "parquet": lambda spark, path: spark.read.parquet(path),
+    "json": lambda spark, path: spark.read.json(path),
+    "jsonl": lambda spark, path: spark.read.json(path),
+}
+
+
+def register_format(suffix: str, read: Callable[[SparkSession, str], DataFrame]) -> None:
+    """A reader (session, path) -> table for paths with a suffix; giving a suffix another reader raises."""
+    if FORMATS.get(suffix, read) is not read:
+        raise ValueError(f"{suffix} is already registered")
+    FORMATS[suffix] = read
+
+
 def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Parquet or JSON lines by suffix, concatenated; missing columns become null; another suffix raises."""
+    """Tables by suffix, concatenated; missing columns become null; a suffix without a reader raises."""
     parts = []
     for path in paths:
         kind = path.rsplit(".", 1)[-1]
-        if kind not in ("parquet", "json", "jsonl"):
+        if kind not in FORMATS:
             raise ValueError(f"unknown format {kind!r}")
-        parts.append(spark.read.parquet(path) if kind == "parquet" else spark.read.json(path))
+        parts.append(FORMATS[kind](spark, path))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -7,7 +7,7 @@ addition of this engine. State of a key is bounded by its capacity.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracequarry.functions.textnorm import metric_key
 from tracequarry.operators.batch import running_sum
 from tracequarry.session import ensure_checkpoint_dir
 
@@ -123,6 +124,22 @@ def windowed_counts(stream: DataFrame, ts: str, key: str, window: str, late: str
     return stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
+def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], name: str) -> StreamingQuery:
+    """Every micro-batch to every sink, computed once; keys of metrics (column ``key``, if there is one) are made safe first."""
+    where = f"{ensure_checkpoint_dir(stream.sparkSession)}/stream-{name}"
+    rows = stream.withColumn("key", metric_key(F.col("key"))) if "key" in stream.columns else stream
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks.values():
+                sink(batch, number)
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", where).trigger(availableNow=True).start()
+
+
 def append_metrics(stream: DataFrame, path: str, name: str) -> StreamingQuery:
     """Metrics rows appended as JSON lines, once per micro-batch, until the available input is read."""
     where = f"{ensure_checkpoint_dir(stream.sparkSession)}/stream-{name}"
