@@ -130,3 +130,11 @@ def rejection(df: DataFrame, level: str, kind: str, lower: float | None, upper:
     else:
         ok = stat <= upper
     return df.withColumn(out, F.coalesce(ok, F.lit(False)).cast("int") * m)
+
+
+def bypass(df: DataFrame, level: str, kind: str, lower: float | None, upper: float, cap: float = 2.0, key: str = "rid", mask: str = "mask", out: str = "w") -> DataFrame:
+    """Where the old log-probabilities are those of the rollout: the mask without rejected tokens, and importance weights of the
+    current against the rollout policy. A REINFORCE loss takes the weights, a clipped one the mask only, as its ratio has them."""
+    x = df.withColumn("rollout_logp", F.col("old_logp")).withColumn("old_logp", F.col("logp"))
+    x = rejection(importance_weights(x, "token", cap, key, mask, out), level, kind, lower, upper, key, mask, "_keep")
+    return x.withColumn(mask, F.col("_keep")).withColumn("old_logp", F.col("rollout_logp")).drop("_keep", "rollout_logp")

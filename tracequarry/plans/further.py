@@ -223,6 +223,25 @@ q(
 )
 
 
+def prompted_rollout(s, d):
+    """Every sample searches for its question, then stops with the first answer found."""
+    x = table(s, d, "fvqa_toy").where("row_id % 100 = 0").select(F.col("row_id").alias("q"), "question", F.lit(True).alias("needs_search"), F.lit("text_search").alias("policy_tool"), F.col("question").alias("policy_action"))
+    actions = G.decided(x, {})
+    docs = table(s, d, "text_corpus").select("corpus_id", F.concat_ws(" ", "title", "snippet").alias("text"))
+    top = J.substring_search(actions.select("q", "action"), docs, 5)
+    found = top.join(table(s, d, "text_corpus").select(F.col("corpus_id").alias("doc"), "answer"), "doc").select("q", "rank", "doc", "answer")
+    return G.answered(actions, found, "q").select("q", "answer", F.size(F.col("steps")[0]["docs"]).alias("n_docs"), F.size("steps").alias("n_steps"))
+
+
+q(
+    "g02_prompted_rollout",
+    prompted_rollout,
+    f"""WITH t AS (SELECT row_id AS q, trim(coalesce(question, ''), ' ') AS action FROM fvqa_toy WHERE row_id % 100 = 0), d AS (SELECT corpus_id AS doc, concat_ws(' ', title, snippet) AS text, answer FROM text_corpus),
+s AS (SELECT q, doc, answer, coalesce(len(list_filter(list_distinct({_TOK.format('action')}), lambda w: contains(lower(text), w))), 0) AS score FROM t CROSS JOIN d),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM s) SELECT q, coalesce(arg_min(answer, rank) FILTER (WHERE answer IS NOT NULL), 'unknown') AS answer, count(*)::INT AS n_docs, 2 AS n_steps FROM r WHERE rank <= 5 GROUP BY q""",
+)
+
+
 @R.query(
     "g07_edge_rows",
     f"WITH {STEPS_SQL}, g AS (SELECT *, coalesce(len(obs) / 5.0 - 0.2, -0.2) AS g FROM steps), r AS (SELECT *, g + coalesce(0.5 * greatest(lead(g) OVER (PARTITION BY row_id ORDER BY pos), 0), 0) - 0.1 * {_COST} AS r FROM g) SELECT row_id, round(max(r) FILTER (WHERE pos = 0), 6) AS r0, round(max(r) FILTER (WHERE pos = 1), 6) AS r1, round(max(r) FILTER (WHERE pos = 2), 6) AS r2, coalesce(max(g) FILTER (WHERE pos = 1) > 0, FALSE) AS future_credit FROM r GROUP BY row_id",

@@ -153,6 +153,17 @@ loss("l11_entropy", lambda a: -(F.exp("logp") * F.col("logp")), "-(exp(logp) * l
 loss("l12_reinforce_weighted", lambda a: -a * F.col("logp") * F.least(F.exp(L.log_ratio("old_logp", "logp")), F.lit(2.0)), f"-{_ADV} * logp * least(exp(greatest(least(old_logp - logp, 20), -20)), 2)")
 
 
+_BYPASS = ", y AS (SELECT * REPLACE (mask * (round(logp - old_logp, 12) BETWEEN round(ln(0.95), 12) AND round(ln(1.05), 12))::INT AS mask) FROM tokens)"
+
+
+def bypassed(x):
+    return L.bypass(x, "token", "k1", 0.95, 1.05)
+
+
+loss("l12_bypass_reinforce", lambda a: -a * F.col("logp") * F.col("w"), f"-{_ADV} * logp * least(exp(greatest(least(logp - old_logp, 20), -20)), 2)", "token-mean", bypassed, _BYPASS, "y")
+loss("l12_bypass_clipped", lambda a: L.ppo_token(a, dual=None), _PPO, "token-mean", bypassed, _BYPASS, "y")
+
+
 @R.query(
     "l02_trajectory_ppo",
     f"""WITH {TOKENS_SQL}, q AS (SELECT rid, greatest(least(sum(logp - old_logp) FILTER (WHERE mask <> 0), 20), -20) AS lr, arg_min(reward - 0.05, pos) FILTER (WHERE mask <> 0 AND reward - 0.05 <> 0) AS adv FROM tokens GROUP BY rid)
