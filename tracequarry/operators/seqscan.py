@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,62 +27,56 @@ def to_long(df: DataFrame, key: str, columns: list[str], pos: str = "pos") -> Da
     return df.select(key, F.posexplode(F.arrays_zip(*columns)).alias(pos, "_t")).select(key, pos, *[F.col(f"_t.{c}").alias(c) for c in columns])
 
 
-def _scan(step: Callable[..., float], *arrays: Column, backwards: bool) -> Column:
-    """One pass over arrays of equal length: ``step`` makes a function of the values at one place, called place by place."""
-
-    @F.pandas_udf("array<double>")
-    def run(*columns: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(*columns):
-            if any(x is None for x in row):
-                out.append(None)
-                continue
-            values = [np.nan_to_num(np.asarray(x, dtype=np.float64)).tolist() for x in row]
-            places = range(len(values[0]))
-            take, got = step(), [0.0] * len(values[0])
-            for i in reversed(places) if backwards else places:
-                got[i] = take(*(v[i] for v in values))
-            out.append(got)
-        return pd.Series(out, dtype=object)
+def _scan(start: Callable[[int], tuple], step: Callable[..., tuple], *arrays: Column, backwards: bool) -> Column:
+    """One pass over arrays of equal length, all rows of a batch at once: ``step`` takes the state and the values at one
+    place and gives the new state and the result there. Numbers are doubles; a null element counts as 0, a null array
+    gives null. Time is in proportion to the length."""
+
+    @F.arrow_udf("array<double>")
+    def run(*columns: pa.Array) -> pa.Array:
+        absent = np.zeros(len(columns[0]), bool)
+        for c in columns:
+            absent |= c.is_null().to_numpy(zero_copy_only=False)
+        keep = pa.array(~absent)
+        lists = [c.filter(keep) for c in columns]
+        size = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = [x.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for x in lists]
+        ends = np.cumsum(size)
+        order = np.argsort(-size, kind="stable")  # the longest first: those that go on are a prefix
+        out, going = np.zeros(ends[-1] if size.size else 0), size[order]
+        state = tuple(np.asarray(x, dtype=np.float64) for x in start(size.size))
+        place = (ends - 1 if backwards else ends - size)[order]
+        for t in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-going, -t, side="left"))  # rows longer than t
+            at = place[:n] - t if backwards else place[:n] + t
+            state, out[at] = step(tuple(x[:n] for x in state), *(v[at] for v in values))
+        offsets = np.zeros(len(absent) + 1, np.int32)
+        offsets[1:][~absent] = size
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(out), mask=pa.array(absent)) if len(absent) else pa.array([], type=pa.list_(pa.float64()))
 
     return run(*[F.transform(a, lambda x: x.cast("double")) for a in arrays])
 
 
 def discounted_returns(reward: Column, mask: Column, gamma: float) -> Column:
-    """G_t = r_t + gamma * G_{t+1}, reset to 0 after a position outside the mask; arrays in, array out. A null element counts as
-    0, a null array gives null. One backward pass in an Arrow batch: time in proportion to the length."""
+    """G_t = r_t + gamma * G_{t+1}, reset to 0 after a position outside the mask; arrays in, array out."""
 
-    def step():
-        g = 0.0
+    def step(state, r, m):
+        now = r + gamma * state[0]
+        return (now * m,), now
 
-        def take(r: float, m: float) -> float:
-            nonlocal g
-            now = r + gamma * g
-            g = now * m
-            return now
-
-        return take
-
-    return _scan(step, reward, mask, backwards=True)
+    return _scan(lambda n: (np.zeros(n),), step, reward, mask, backwards=True)
 
 
 def gae(reward: Column, value: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages before whitening: outside the mask both the next value and the running advantage are
-    held, not updated. Nulls as in ``discounted_returns``."""
-
-    def step():
-        v, a = 0.0, 0.0
+    held, not updated."""
 
-        def take(r: float, own: float, m: float) -> float:
-            nonlocal v, a
-            if m:
-                a = r + gamma * v - own + gamma * lam * a
-                v = own
-            return a
+    def step(state, r, own, m):
+        v, a = state
+        a = np.where(m != 0, r + gamma * v - own + gamma * lam * a, a)
+        return (np.where(m != 0, own, v), a), a
 
-        return take
-
-    return _scan(step, reward, value, mask, backwards=True)
+    return _scan(lambda n: (np.zeros(n), np.zeros(n)), step, reward, value, mask, backwards=True)
 
 
 def suffix_sum(df: DataFrame, value: Column, key: str = "rid", pos: str = "pos", out: str = "ret") -> DataFrame:
@@ -142,14 +136,8 @@ def kl_estimate(logp: Column, ref: Column, kind: str) -> Column:
 def adaptive_coefficient(kls: Column, start: float, target: float, horizon: float, n: float) -> Column:
     """The coefficient after each step: multiplied by 1 + clip(kl / target - 1, +-0.2) * n / horizon. Arrays in step order."""
 
-    def step():
-        b = float(start)
-
-        def take(kl: float) -> float:
-            nonlocal b
-            b *= 1 + max(min(kl / target - 1, 0.2), -0.2) * (n / horizon)
-            return b
-
-        return take
+    def step(state, kl):
+        now = state[0] * (1 + np.clip(kl / target - 1, -0.2, 0.2) * (n / horizon))
+        return (now,), now
 
-    return _scan(step, kls, backwards=False)
+    return _scan(lambda rows: (np.full(rows, float(start)),), step, kls, backwards=False)
