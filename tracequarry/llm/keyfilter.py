@@ -36,23 +36,23 @@ class KeyFilter:
         return out
 
     @classmethod
-    def of(cls, keys: DataFrame) -> KeyFilter:
-        """The filter of a table with a bigint column v."""
-        bits = 1 << max(16, math.ceil(math.log2(max(1, keys.count()) * BITS_A_KEY)))
+    def of(cls, keys: DataFrame, size: int | None = None) -> KeyFilter:
+        """The filter of a table with a bigint column v; ``size`` is about the number of its rows where it is known."""
+        bits = 1 << max(16, math.ceil(math.log2(max(1, keys.count() if size is None else size) * BITS_A_KEY)))
         bits = min(bits, FILTER_BITS)
-        size = bits // SLICES
+        part = bits // SLICES
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = np.unique(np.concatenate(cls.places(batch.column(0).to_numpy().view(np.uint64), np.uint64(bits))))
-                yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(size)).astype(np.int32)), pa.array(at.astype(np.int64))], names=["slice", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(part)).astype(np.int32)), pa.array(at.astype(np.int64))], names=["slice", "at"])
 
         def fill(own: pd.DataFrame) -> pd.DataFrame:
             n = int(own["slice"].iloc[0])
-            on = np.zeros(size, np.uint8)
-            on[own["at"].to_numpy() - n * size] = 1
+            on = np.zeros(part, np.uint8)
+            on[own["at"].to_numpy() - n * part] = 1
             return pd.DataFrame({"slice": [n], "map": [np.packbits(on, bitorder="little").tobytes()]})
 
-        # distinct bits: a slice has at most ``size`` rows
+        # distinct bits: a slice has at most ``part`` rows
         spots = keys.select("v").mapInArrow(places, "slice int, at bigint").distinct()
         return cls({r["slice"]: bytes(r["map"]) for r in spots.groupBy("slice").applyInPandas(fill, "slice int, map binary").collect()}, bits)

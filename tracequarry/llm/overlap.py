@@ -230,10 +230,10 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
         yield np.flatnonzero(group == g)
 
 
-def common_words(texts: DataFrame) -> dict[str, int]:
+def common_words(texts: DataFrame, size: int) -> dict[str, int]:
     """Counts of the most frequent words of a bounded sample of texts (column words)."""
     count: Counter = Counter()
-    for (words,) in hashed_sample(texts.select("words"), F.xxhash64("words"), ORDER_SAMPLE).collect():
+    for (words,) in hashed_sample(texts.select("words"), F.xxhash64("words"), ORDER_SAMPLE, size).collect():
         count.update(set(words.split()))
     return dict(count.most_common(COMMON))
 
@@ -255,8 +255,10 @@ def rare_keys(words: list[str], hashes: WordHashes, common: dict[str, int], edit
 def near_questions(train: DataFrame, held: DataFrame, edits: int = EDITS, shard: int = SHARD_QUESTIONS, block: int = BLOCK_QUESTIONS) -> DataFrame:
     """(tk, hk): keys of the distinct word sequences (columns k, words) within ``edits`` word edits of each other."""
     key_type = train.schema["k"].dataType.simpleString()
-    shards = max(1, math.ceil(math.comb(edits + 2, 2) * held.count() / shard))
-    common = common_words(held)
+    n_held = held.count()
+    n_keys = math.comb(edits + 2, 2) * n_held  # at least, and few more
+    shards = max(1, math.ceil(n_keys / shard))
+    common = common_words(held, n_held)
 
     def keyed(x: DataFrame, held_keys: KeyFilter | None = None) -> DataFrame:
         shared = x.sparkSession.sparkContext.broadcast(held_keys) if held_keys is not None else None  # of bounded size
@@ -277,7 +279,7 @@ def near_questions(train: DataFrame, held: DataFrame, edits: int = EDITS, shard:
 
     routed = lambda x: x.select("k", "words", F.explode(F.array_distinct(F.transform("keys", lambda v: F.pmod(v, F.lit(shards)).cast("int")))).alias("shard"))
     own = staged(keyed(held))
-    h, t = routed(own), staged(routed(keyed(train, KeyFilter.of(own.select(F.explode("keys").alias("v"))))))
+    h, t = routed(own), staged(routed(keyed(train, KeyFilter.of(own.select(F.explode("keys").alias("v")), n_keys))))
     # one row a shard: the parts of its held side and the blocks of its training side
     size = lambda x, c, most: x.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(c))
     sizes = staged(size(h, "parts", shard).join(size(t, "blocks", block), "shard"))

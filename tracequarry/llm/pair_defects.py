@@ -48,7 +48,7 @@ VOTERS = {"empty": 3, "copied_question": 4, "cut_sentence": 4, "cut_gold": 3, "r
 REPORTED = {"cut_sentence": "truncated", "cut_gold": "truncated"}
 CUTOFF_GRID = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 #: Bound of the sample of rows from which labelled pairs are made.
-VALIDATION = 2_000
+VALIDATION = 800
 
 # Stand-ins for a missing value, particles of names, closed-class words of the languages (articles, pronouns,
 # prepositions, conjunctions, auxiliaries, question words).

@@ -209,9 +209,11 @@ def truncation_rates(df: DataFrame, id_col: str = "row_id", source_col: str = "d
 def question_ends(df: DataFrame, question_col: str) -> frozenset[str]:
     """The profile: last words (digits alike) of at least END_SHARE of the questions that show their mark."""
     last = F.regexp_extract(df[question_col], r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*[?][^\p{L}\p{N}_]*$", 1)
-    counts = df.select(F.regexp_replace(F.lower(last), r"\p{N}", "9").alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return frozenset(r["w"] for r in counts.join(total, F.col("n") >= END_SHARE * F.col("total")).select("w").collect())  # at most 1 / END_SHARE
+    words = df.select(F.regexp_replace(F.lower(last), r"\p{N}", "9").alias("w")).where("w <> ''")
+    # the most frequent words, and, as the row without one, their total; at most 1 / END_SHARE words reach the share
+    top = words.rollup("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1 + int(1 / END_SHARE)).collect()
+    total = max((r["n"] for r in top if r["w"] is None), default=0)
+    return frozenset(r["w"] for r in top if r["w"] is not None and r["n"] >= END_SHARE * total)
 
 
 def _judge(df: DataFrame, id_col: str, source_col: str, question_col: str, steps_col: str) -> tuple[DataFrame, DataFrame]:

@@ -16,11 +16,12 @@ def words_of(text: str | None) -> list[str]:
     return find_words(text.lower()) if text else []
 
 
-def hashed_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
+def hashed_sample(rows: DataFrame, key: Column, most: int, size: int | None = None) -> DataFrame:
     """At most ``most`` rows, those with the least hashes ``key`` among a share that holds about four times as many, so that
-    few rows leave the scan whatever the number of its partitions. For fitting only: the same rows at every run."""
-    keep = max(1, rows.count() // (4 * most))
+    few rows leave the scan whatever the number of its partitions. ``size`` is the number of rows where it is known. For fitting
+    only: the same rows at every run."""
     names = rows.columns
+    keep = max(1, (rows.count() if size is None else size) // (4 * most))
     return rows.withColumn("_key", key).where(F.pmod("_key", F.lit(keep)) == 0).orderBy("_key").limit(most).select(*names)
 
 
