@@ -48,7 +48,7 @@ VOTERS = {"empty": 3, "copied_question": 4, "cut_sentence": 4, "cut_gold": 3, "r
 REPORTED = {"cut_sentence": "truncated", "cut_gold": "truncated"}
 CUTOFF_GRID = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 #: Bound of the sample of rows from which labelled pairs are made.
-VALIDATION = 800
+VALIDATION = 400
 
 # Stand-ins for a missing value, particles of names, closed-class words of the languages (articles, pronouns,
 # prepositions, conjunctions, auxiliaries, question words).
@@ -132,9 +132,16 @@ def is_sentence(text: str) -> bool:
 
 
 def _form(text: str | None) -> str:
+    return _short_form(text) if text is not None and len(text) < 1000 else _make_form(text)
+
+
+def _make_form(text: str | None) -> str:
     return " ".join((visual_form(text) or "").split())
 
 
+_short_form = lru_cache(maxsize=20_000)(_make_form)
+
+
 def _sides(x: bool) -> int:
     return 1 if x else -1
 
@@ -232,27 +239,24 @@ def labelled_pairs(rows: list[tuple[str | None, str | None, list[str | None] | N
             sentences.setdefault(language_of(answer), []).append(answer)
     for n, (question, answer, golds) in enumerate(sound):
         language = language_of(question or "")
-        same = not is_sentence(_form(answer)) or language_of(answer) in (None, language)
-        if same:
+        sentence = is_sentence(_form(answer))
+        if not sentence or language_of(answer) in (None, language):
             out.append((None, (question, answer, [g for g in golds if g != answer])))
         seed = xxhash.xxh64_intdigest(f"{question} {answer}")
-        out.append(("empty", (question, ("", " - ", "<answer></answer>", "N/A", "null", "\u200b")[seed % 6], golds)))
+        damaged = [("empty", ("", " - ", "<answer></answer>", "N/A", "null", "\u200b")[seed % 6])]
         if len(answer) >= 8:
             end = max(4, int(len(answer) * (0.3 + 0.6 * (seed % 97) / 97)))
-            if is_sentence(_form(answer)):
-                out.append(("cut_sentence", (question, answer[:end].rstrip() + ("", "", "...")[n % 3], golds)))
-            else:
-                out.append(("cut_gold", (question, answer[: min(end, len(answer) - 2)], golds)))
+            damaged.append(("cut_sentence", answer[:end].rstrip() + ("", "", "...")[n % 3]) if sentence else ("cut_gold", answer[: min(end, len(answer) - 2)]))
         if question:
             asked = question.split()
-            changed = (question, question.lower(), question.upper(), question.rstrip("?"), " ".join(asked[:-2] + asked[-1:]))
-            out.append(("copied_question", (question, changed[seed % 5], golds)))
+            damaged.append(("copied_question", (question, question.lower(), question.upper(), question.rstrip("?"), " ".join(asked[:-2] + asked[-1:]))[seed % 5]))
             foreign = [k for k in sentences if k not in (None, language)]
             if language and foreign:
                 pool = sentences[sorted(foreign)[seed % len(foreign)]]
-                out.append(("other_language", (question, pool[seed % len(pool)], golds)))
+                damaged.append(("other_language", pool[seed % len(pool)]))
         known = REFUSALS.get(language or "en", REFUSALS["en"])
-        out.append(("refusal", (question, known[seed % len(known)], golds)))
+        damaged.append(("refusal", known[seed % len(known)]))
+        out += [(kind, (question, text, golds)) for kind, text in damaged]
     return out
 
 
