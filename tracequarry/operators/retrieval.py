@@ -25,8 +25,8 @@ QUERY_BLOCK = 2_000
 CORPUS_BLOCK = 50_000
 #: Scores held at once in a scan (8 bytes each).
 SCORE_CELLS = 4_000_000
-#: Queries that are sent to the corpus instead of being met in blocks (about 10 MB of texts or vectors).
-SENT_QUERIES = 10_000
+#: Queries, and bytes of them as text, that are sent to the corpus instead of being met in blocks.
+SENT_QUERIES, SENT_BYTES = 10_000, 1 << 25
 
 
 def top_k(scored: DataFrame, k: int, query: str = "q", doc: str = "doc", score: str = "score") -> DataFrame:
@@ -35,15 +35,21 @@ def top_k(scored: DataFrame, k: int, query: str = "q", doc: str = "doc", score:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def may_be_sent(queries: DataFrame) -> bool:
+    """Whether a set of queries is within SENT_QUERIES rows and SENT_BYTES."""
+    size = queries.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= SENT_QUERIES and size["bytes"] <= SENT_BYTES
+
+
 def in_blocks(queries: DataFrame, corpus: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """The scores of every query against every corpus row; the first column of each side is its id.
 
-    Up to ``SENT_QUERIES`` queries are sent to the corpus, which is scanned once and not shuffled; each batch returns its k best.
+    Up to ``SENT_QUERIES`` queries of ``SENT_BYTES`` are sent to the corpus, which is scanned once and not shuffled; each batch returns its k best.
     More are met in a cogroup of every (query block, corpus block).
     """
     q_id, c_id = queries.columns[0], corpus.columns[0]
-    few = queries.limit(SENT_QUERIES + 1).toPandas()
-    if len(few) <= SENT_QUERIES:
+    if may_be_sent(queries):
+        few = queries.toPandas()
         shared = corpus.sparkSession.sparkContext.broadcast([few.iloc[at : at + QUERY_BLOCK] for at in range(0, len(few), QUERY_BLOCK)])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,9 +156,9 @@ class TermScores:
     def of(cls, queries: DataFrame, corpus: DataFrame, q_id: str, q_text: str, text: str, k1: float, b: float, logged: bool) -> TermScores | None:
         """None if there are more queries than may be sent. Two aggregates of the corpus: its size and mean length, and the
         number of documents of each queried term."""
-        few = queries.select(q_id, ascii_tokens(F.col(q_text)).alias("t")).limit(SENT_QUERIES + 1).collect()
-        if len(few) > SENT_QUERIES:
+        if not may_be_sent(queries):
             return None
+        few = queries.select(q_id, ascii_tokens(F.col(q_text)).alias("t")).collect()
         by_term: dict[str, dict[int, int]] = {}
         for i, (_, terms) in enumerate(few):
             for t in terms or ():
