@@ -237,6 +237,15 @@ def test_call_dialects():
     assert [c["name"] for c in pyfn.channel_calls(one + one.replace(".f ", ".g "))] == ["f", "g"]
 
 
+def test_tool_rewards(spark):
+    gold = '<tool_call>\n{"name": "f", "parameters": {"a": 1}}\n</tool_call>'
+    assert pyfn.tool_score("x", "no call") == 0.0 and pyfn.tool_score(gold, gold) == 3.0 and pyfn.tool_score("x", gold) == -3.0
+    assert pyfn.tool_score("<tool_call>\n{bad\n</tool_call>", gold) == -3.0 and pyfn.tool_score('<tool_call>\n{"name": "g"}\n</tool_call>', gold) == -3.0
+    cases = [("<think>a</think>\n" + gold, gold, 1), ("<think>a</think>" + gold, gold, 0), ("<think>a</think>", "x", 1), ("<think>a</think>\n<response>r</response>", "<response>", 1), ("<think></think>\n<response><response>r</response>", "<response>", 0), (None, gold, 0)]
+    df = spark.createDataFrame(cases, "a string, g string, ok int")
+    assert all(r["v"] == r["ok"] for r in df.select(scorers.N.tool_format(F.col("a"), F.col("g")).alias("v"), "ok").collect())
+
+
 def test_custom_rewards(spark, tmp_path):
     path = tmp_path / "own.py"
     path.write_text("import re\nWORD = re.compile('a')\ndef r(data_source, solution_str, ground_truth, extra_info, k=1):\n    return k * len(WORD.findall(solution_str))\nasync def later(d, s, g, e):\n    return {'score': 2, 'e': e}\ndef short(d, s, g):\n    return [0.0]\n")

@@ -199,6 +199,21 @@ def tool_match(gold: list[dict], said: list[dict], least: float = -3.0, most: fl
     return (most - least) * score / possible + least
 
 
+def tool_score(response: str, truth: str, least: float = -3.0, most: float = 3.0) -> float:
+    """Score of the calls in the first call tag, one JSON object a line, against those of the truth; 0 where the truth has none,
+    the least where the response has none that parse."""
+    calls = lambda t: [json.loads(x) for x in t.split("<tool_call>", 1)[1].split("</tool_call>", 1)[0].split("<tool_call>", 1)[0].strip().split("\n")]
+    if "<tool_call>" not in truth:
+        return 0.0
+    gold = calls(truth)
+    if "<tool_call>" not in response or "</tool_call>" not in response:
+        return least
+    try:
+        return tool_match(gold, calls(response), least, most)
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return least
+
+
 def gate_reward(answers: list[str], action: str, is_stop: bool, threshold: float = 0.8) -> float:
     """Agreement of probe answers against the decision to stop."""
     norm = [re.sub(r"[^a-z0-9]+", " ", a.lower()).strip() for a in answers if a]
@@ -274,6 +289,14 @@ def parsed_calls(c: Column, dialect: str = "tagged", types: dict[str, str] | Non
     return run(c)
 
 
+def tool_scores(response: Column, truth: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(a: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else tool_score(x, y) for x, y in zip(a, t)], dtype="float64")
+
+    return run(response, truth)
+
+
 def gate(answers: Column, action: Column, stop: Column) -> Column:
     @F.pandas_udf("double")
     def run(a: pd.Series, t: pd.Series, s: pd.Series) -> pd.Series:

@@ -122,6 +122,19 @@ def final_answer_normalize(c: Column) -> Column:
     return strip(F.when(bare.rlike("^[0-9]+$"), bare).otherwise(x))
 
 
+def tool_format(response: Column, truth: Column) -> Column:
+    """1 if the response is a thought followed by the parts that the truth has (calls on lines of their own, a reply), each
+    once and nothing else; 0 otherwise, null counts as another text."""
+    out = F.lit(0)
+    for calls in (False, True):
+        for reply in (False, True):
+            ok = response.rlike("(?s)^<think>.*?</think>" + r"\n<tool_call>\n.*?\n</tool_call>" * calls + r"\n<response>.*?</response>" * reply + "$")
+            for tag in ["tool_call"] * calls + ["response"] * reply:
+                ok = ok & (count_of(response, f"<{tag}>") == 1) & (count_of(response, f"</{tag}>") == 1)
+            out = F.when((truth.contains("<tool_call>") == F.lit(calls)) & (truth.contains("<response>") == F.lit(reply)), F.coalesce(ok, F.lit(False)).cast("int")).otherwise(out)
+    return out
+
+
 def math_answer(solution: Column) -> Column:
     """Normal form of the last ``Answer: ...`` line among the last 300 characters; "[INVALID]" without one."""
     line = F.try_element_at(F.regexp_extract_all(F.right(solution, F.lit(300)), F.lit(r"(?i)Answer\s*:\s*([^\n]+)")), F.lit(-1))

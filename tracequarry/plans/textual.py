@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracequarry.functions import pyfn as Y
 from tracequarry.functions import textnorm as N
 from tracequarry.functions.scorers import dispatch, scorers
 from tracequarry.plans.registry import Registry
@@ -223,10 +224,28 @@ over(
     lambda: [N.tag_spam_score(F.concat(F.repeat(F.lit("<answer>x</answer>"), (F.col("row_id") % 14).cast("int")), F.lit("<answer>"), A(), F.lit("</answer>")), G()).alias("score")],
     f"CASE WHEN {_EX.format('coalesce(' + qa('g') + ' = ' + qa(strip('''regexp_extract_all(repeat('<answer>x</answer>', (row_id % 14)::INT) || '<answer>' || final_answer || '</answer>', '(?s)<answer>(.*?)</answer>', 1)[-1]''')) + ', FALSE)')} THEN CASE WHEN row_id % 14 + 1 > 10 THEN 0.25 ELSE 1.0 END ELSE 0.0 END::DOUBLE AS score",
 )
-over(
+_PARTS = {
+    "gold": "CASE row_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<tool_call>{nl}{json}{nl}</tool_call>' WHEN 2 THEN '<response>x</response>' ELSE '<tool_call>{nl}{json}{nl}</tool_call>{nl}<response>x</response>' END",
+    "said": "'<think>' || coalesce(final_answer, '') || '</think>' || CASE (row_id % 7 + row_id % 4) % 4 WHEN 0 THEN '' WHEN 1 THEN '{nl}<tool_call>{nl}{other}{nl}</tool_call>' WHEN 2 THEN '{nl}<response>' || coalesce(question, '') || '</response>' ELSE '{nl}<tool_call>{nl}{other}{nl}</tool_call>{nl}<response>y</response>' END",
+}
+
+
+def _parts(name: str, nl: str) -> str:
+    return _PARTS[name].format(nl=nl, json='{"name": "find", "parameters": {"q": 1, "n": 2}}', other='{"name": "find", "parameters": {"q": 1, "m": 2}}')
+
+
+R.add(
     "f25_tool_format",
-    lambda: [F.when(A().contains("<tool_call>"), A().rlike("(?s)^<think>.*?</think>\\n<tool_call>\\n.*?\\n</tool_call>$")).otherwise(F.concat(F.lit("<think>t</think>\n<response>"), A(), F.lit("</response>")).rlike("(?s)^<think>.*?</think>\\n<response>.*?</response>$")).cast("int").alias("ok")],
-    r"(CASE WHEN contains(final_answer, '<tool_call>') THEN regexp_matches(final_answer, '(?s)^<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>$') ELSE regexp_matches('<think>t</think>' || chr(10) || '<response>' || final_answer || '</response>', '(?s)^<think>.*?</think>\n<response>.*?</response>$') END)::INT AS ok",
+    lambda s, d: rollout_rows(s, d).select("row_id", N.tool_format(F.expr(_parts("said", "\\n")), F.expr(_parts("gold", "\\n"))).alias("ok")),
+    f"""WITH p AS (SELECT row_id, {_parts('gold', "' || chr(10) || '")} AS g, {_parts('said', "' || chr(10) || '")} AS t FROM {_P}), c AS (SELECT *, contains(g, '<tool_call>') AS a, contains(g, '<response>') AS b, (length(t) - length(replace(t, '<tool_call>', ''))) // 11 AS n, (length(t) - length(replace(t, '<response>', ''))) // 10 AS m FROM p)
+SELECT row_id, (regexp_matches(t, CASE WHEN a AND b THEN '(?s)^<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>\n<response>.*?</response>$' WHEN a THEN '(?s)^<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>$' WHEN b THEN '(?s)^<think>.*?</think>\n<response>.*?</response>$' ELSE '(?s)^<think>.*?</think>$' END) AND (NOT a OR n = 1) AND (NOT b OR m = 1))::INT AS ok FROM c""",
+)
+# the calls differ in one of two parameters: 1 for the name, 1/3 for the keys, 1 for the equal value, of 4 in all
+R.add(
+    "f25_tool_total",
+    lambda s, d: rollout_rows(s, d).where("not contains(coalesce(final_answer, ''), '<') and not contains(coalesce(question, ''), '<')").select("row_id", F.round(N.tool_format(F.expr(_parts("said", "\\n")), F.expr(_parts("gold", "\\n"))) + Y.tool_scores(F.expr(_parts("said", "\\n")), F.expr(_parts("gold", "\\n"))), 6).alias("total")),
+    f"""WITH p AS (SELECT row_id, row_id % 4 AS g, (row_id % 7 + row_id % 4) % 4 AS t, NOT (coalesce(final_answer, '') LIKE '%<%' OR coalesce(question, '') LIKE '%<%') AS plain FROM {_P})
+SELECT row_id, round((g = t)::INT + CASE WHEN g IN (0, 2) THEN 0 WHEN t IN (0, 2) THEN -3 ELSE 6 * (1 + 1.0 / 3 + 1) / 4 - 3 END, 6)::DOUBLE AS total FROM p WHERE plain""",
 )
 over(
     "f26_score_dispatch",
