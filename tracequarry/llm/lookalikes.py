@@ -3,15 +3,16 @@
 Method: after compatibility normalization and deletion of ignorable characters every token becomes a lattice:
 each letter stands for all letters of Latin, Cyrillic and Greek shaped like it, the written one among them. Viterbi picks
 the path with the best script-consistent character n-gram score: the share of the script and the bigrams of letters within
-it, with a penalty for every change of script. Scores are fitted on a bounded sample of the texts (``SAMPLE`` rows), from
-tokens of one script that hold a letter which no other script shares; so a word is written in the script whose words look
-like it, not letter by letter in Latin.
+it, with a penalty for every change of script. Scores are fitted on all texts, from tokens in the script of their text
+(the one of most letters which no other script shares); so a word is written in the script whose words look like it, not
+letter by letter in Latin.
 
 The lattice depends on the shapes only, not on which of the look-alikes was written, so with the same scores texts that look
 the same get the same form, and texts with different shapes never do. Letter case and accents stay.
 
-Plan: the sample is a top-n by hash; candidate pairs are found by JVM expressions (two different strings without a character outside
-printable ASCII cannot look the same); only those go to one ``mapInArrow``; no shuffle.
+Plan: the scores are counted per task in one scan of the text column and summed by letters, so that only counts are shuffled
+and their number is that of an alphabet, whatever the number of texts; candidate pairs are found by JVM expressions (two different
+strings without a character outside printable ASCII cannot look the same); only those go to one ``mapInArrow``, without a shuffle.
 
 Defined results: null stays null, an empty or invisible text becomes empty; kinds of space become the plain
 space, their number stays; a null gold list or entry gives no pair; repeated rows each give their rows; other
@@ -23,15 +24,13 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracequarry.llm.words import hashed_sample
-
 # Cyrillic and Greek letters shaped like Latin ones (single letters of the Unicode confusables).
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏѵүьАВЕЅІЈКМНОРСТУХҮѴЬԌԚԜҺӀ", "aeopcyxsijhdqwlvybABESIJKMHOPCTYXYVbGQWhI"))
 GREEK = dict(zip("αγικνορσυχϱϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϒϹͿ", "ayikvopouxpcjABEZHIKMNOPTYXYCJ"))
@@ -39,8 +38,8 @@ GREEK = dict(zip("αγικνορσυχϱϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϒϹͿ",
 HIDDEN = {chr(c) for c in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10))}
 
 LATIN, CYR, GRK, COMMON = range(4)
-#: Bound of the sample of rows on which the scores are fitted.
-SAMPLE = 5_000
+#: Counts a task holds before it hands them on.
+HELD = 200_000
 #: Score of a change of script between neighbouring letters.
 CHANGE_SCORE = -8.0
 #: Weight of a bigram that was not seen, and the number of letters it may be of.
@@ -70,6 +69,8 @@ def script_of(ch: str) -> int:
 SHARED = frozenset(OPTIONS)
 # Letters of the lattice that compatibility normalization would turn into other ones.
 KEPT = frozenset(c for c in SHARED if unicodedata.normalize("NFKD", c) != c)
+# Letters of which a bigram can tell paths apart: between two others every path has the same letters.
+TELLING = frozenset(c.lower() for c in SHARED) | {""}
 
 
 def base_letters(text: str) -> str:
@@ -85,13 +86,20 @@ def base_letters(text: str) -> str:
     return unicodedata.normalize("NFD", "".join(kept))
 
 
+#: Tokens of each script before anything is seen: Latin is preferred.
+PRIOR = {LATIN: 3, CYR: 2, GRK: 1}
+
+
 class Scores:
-    """Character bigrams by script (letters in lower case, "" before the first), and how common each script is."""
+    """Character bigrams by script (letters in lower case, "" before the first), and how common each script is.
+
+    Bigrams that cannot tell paths apart are left out of ``pairs``, not of ``firsts``.
+    """
 
     def __init__(self) -> None:
         self.pairs: dict[tuple[int, str, str], int] = {}
         self.firsts: dict[tuple[int, str], int] = {}
-        self.tokens = {LATIN: 3, CYR: 2, GRK: 1}  # before anything is seen Latin is preferred
+        self.tokens = dict(PRIOR)
 
     def add(self, text: str | None) -> None:
         """Counts the tokens written in the script of the text: that of most letters which no other script shares."""
@@ -108,10 +116,26 @@ class Scores:
             script, before = scripts.pop(), ""
             self.tokens[script] += 1
             for c in map(str.lower, letters):
-                self.pairs[script, before, c] = self.pairs.get((script, before, c), 0) + 1
+                if before in TELLING or c in TELLING:
+                    self.pairs[script, before, c] = self.pairs.get((script, before, c), 0) + 1
                 self.firsts[script, before] = self.firsts.get((script, before), 0) + 1
                 before = c
 
+    def counts(self) -> Iterator[tuple[int, str | None, str | None, int]]:
+        """What was seen as (script, before, letter, n): bigrams, first letters without a letter, tokens without both."""
+        yield from ((*k, n) for k, n in self.pairs.items())
+        yield from ((*k, None, n) for k, n in self.firsts.items())
+        yield from ((k, None, None, n - PRIOR[k]) for k, n in self.tokens.items())
+
+    def merge(self, counts: Iterable[tuple[int, str | None, str | None, int]]) -> None:
+        for script, before, letter, n in counts:
+            if letter is not None:
+                self.pairs[script, before, letter] = self.pairs.get((script, before, letter), 0) + n
+            elif before is not None:
+                self.firsts[script, before] = self.firsts.get((script, before), 0) + n
+            else:
+                self.tokens[script] += n
+
     def share(self, script: int) -> float:
         return math.log(self.tokens[script] / sum(self.tokens.values()))
 
@@ -166,11 +190,25 @@ visual_form = VisualForms(Scores())
 
 
 def fit_scores(texts: DataFrame) -> Scores:
-    """Scores of a bounded sample of the texts (the only column)."""
-    t = texts.columns[0]
+    """Scores of all texts (the only column): counts of each task, summed."""
+    arrow = pa.schema([("script", pa.int32()), ("before", pa.string()), ("letter", pa.string()), ("n", pa.int64())])
+
+    def rows(part: Scores) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*part.counts()), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Scores()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                part.add(text)
+            if len(part.pairs) + len(part.firsts) > HELD:
+                yield rows(part)
+                part = Scores()
+        yield rows(part)
+
     scores = Scores()
-    for (text,) in hashed_sample(texts, F.xxhash64(t), SAMPLE).collect():
-        scores.add(text)
+    counted = texts.mapInArrow(run, "script int, before string, letter string, n bigint")
+    scores.merge(counted.groupBy("script", "before", "letter").agg(F.sum("n")).collect())
     return scores
 
 
